@@ -1,0 +1,73 @@
+"""Views over the driver's tables in the shape the operators expect.
+
+The tables carry no time, tool, model or wallet, so these are derived from the
+conversation number as attributes of every row. No row is left out.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnlake.functions import dates, text
+from turnlake.operators import slices, turns
+from turnlake.session import prepare
+
+NOW = "2024-05-01 00:00:00"
+QUERY = "thing from this"
+INTERNAL_MODEL_MARKER = "haiku"
+
+
+def now() -> Column:
+    return F.to_timestamp(F.lit(NOW))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def conversation_ts(conv_id: Column) -> Column:
+    return F.timestamp_millis(
+        F.unix_millis(F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+        + (conv_id % 120) * F.lit(86_400_000)
+        + conv_id * F.lit(60_000)
+    )
+
+
+def conversation_attributes(conv_id: Column) -> dict[str, Column]:
+    return {
+        "wallet_id": conv_id % 4,
+        "ts": conversation_ts(conv_id),
+        "tool": F.element_at(
+            F.array(F.lit("alpha"), F.lit("beta"), F.lit("gamma")), (conv_id % 3 + 1).cast("int")
+        ),
+        "model": F.when(conv_id % 10 == 0, F.lit(f"small-{INTERNAL_MODEL_MARKER}")).otherwise(
+            F.lit("large-general")
+        ),
+        "incognito": conv_id % 17 == 0,
+    }
+
+
+def fingerprints(messages: DataFrame) -> DataFrame:
+    prompts = turns.system_prompts(messages)
+    return prompts.select("conv_id", text.context_fingerprint(F.col("system_text")).alias("fingerprint"))
+
+
+def stored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turn pairs with identity, time, tool and context fingerprint."""
+    messages = table(spark, sf_dir, "conversations")
+    pairs = turns.turn_pairs(messages, keep_position=True)
+    joined = slices.attach(pairs, fingerprints(messages), ["conv_id"])
+    attributes = conversation_attributes(F.col("conv_id"))
+    return joined.select(
+        F.concat_ws("_", F.lit("turn"), "conv_id", "turn_index").alias("turn_id"),
+        F.concat(F.lit("conv_"), F.col("conv_id")).alias("session_id"),
+        "conv_id",
+        "turn_index",
+        "user_content",
+        "assistant_content",
+        attributes["wallet_id"].alias("wallet_id"),
+        attributes["ts"].alias("ts"),
+        attributes["tool"].alias("tool"),
+        F.coalesce("fingerprint", F.lit(text.DEFAULT_FINGERPRINT)).alias("fingerprint"),
+    )

@@ -1,0 +1,291 @@
+"""Registered queries: every operator over the driver's whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnlake import fixtures as fx
+from turnlake.functions import dates, redaction
+from turnlake.functions import text as tx
+from turnlake.operators import bm25, documents, rerank, sessions, slices, turns
+from turnlake.plans import search
+from turnlake.verify import oracle as o
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def add(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql is not None:
+            ORACLES[name] = sql
+        return query
+
+    return add
+
+
+# --- turns ------------------------------------------------------------------
+
+
+@register("turn_pairs", o.statement("SELECT * FROM pairs", "spoken", "pairs"))
+def turn_pairs(spark, sf):
+    return turns.turn_pairs(fx.table(spark, sf, "conversations"))
+
+
+@register(
+    "orphan_messages",
+    o.statement(
+        """SELECT conv_id, turn, role FROM spoken
+           WHERE NOT (role = 'user' AND coalesce(next_role = 'assistant', false))
+             AND NOT (role = 'assistant' AND coalesce(prev_role = 'user', false))""",
+        "spoken",
+    ),
+)
+def orphan_messages(spark, sf):
+    return turns.orphan_messages(fx.table(spark, sf, "conversations"))
+
+
+@register(
+    "last_user_message",
+    "SELECT conv_id, arg_max(text, turn) AS content FROM conversations WHERE role = 'user' GROUP BY conv_id",
+)
+def last_user_message(spark, sf):
+    return turns.last_message(fx.table(spark, sf, "conversations"))
+
+
+@register("message_tokens", f"SELECT conv_id, turn, {o.tokens('text')} AS tokens FROM conversations")
+def message_tokens(spark, sf):
+    return fx.table(spark, sf, "conversations").select(
+        "conv_id", "turn", tx.estimate_tokens(F.col("text")).alias("tokens")
+    )
+
+
+@register(
+    "conversation_tokens",
+    f"SELECT conv_id, CAST(sum(4 + {o.tokens('text')}) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id",
+)
+def conversation_tokens(spark, sf):
+    return documents.conversation_tokens(fx.table(spark, sf, "conversations"))
+
+
+@register("context_fingerprint", o.statement("SELECT conv_id, fingerprint FROM fx_conv", "fx_conv"))
+def context_fingerprint(spark, sf):
+    messages = fx.table(spark, sf, "conversations")
+    prompt = F.when(F.col("role") == "system", F.struct("turn", "text"))
+    first = messages.groupBy("conv_id").agg(F.min(prompt).alias("first"))
+    return first.select(
+        "conv_id",
+        F.coalesce(
+            tx.context_fingerprint(F.col("first.text")), F.lit(tx.DEFAULT_FINGERPRINT)
+        ).alias("fingerprint"),
+    )
+
+
+@register(
+    "content_hash_dedup",
+    "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS min_id FROM documents GROUP BY sha256(text)",
+)
+def content_hash_dedup(spark, sf):
+    docs = fx.table(spark, sf, "documents")
+    return (
+        docs.select("doc_id", tx.content_hash(F.col("text")).alias("hash"))
+        .groupBy("hash")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("min_id"))
+    )
+
+
+@register(
+    "redact_documents",
+    f"""SELECT doc_id, redacted,
+               CAST((length(redacted) - length(replace(redacted, '[REDACTED]', ''))) // 10
+                  - (length(text) - length(replace(text, '[REDACTED]', ''))) // 10 AS BIGINT) AS n_hits
+        FROM (SELECT doc_id, text, {o.redact('text')} AS redacted FROM documents)""",
+)
+def redact_documents(spark, sf):
+    docs = fx.table(spark, sf, "documents")
+    return docs.select(
+        "doc_id",
+        redaction.redact_secrets(F.col("text")).alias("redacted"),
+        redaction.redaction_count(F.col("text")).alias("n_hits"),
+    )
+
+
+# --- text index -------------------------------------------------------------
+
+
+@register(
+    "tokenize_terms",
+    f"""SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf
+        FROM (SELECT doc_id, unnest({o.words('text')}) AS term FROM documents) GROUP BY term""",
+)
+def tokenize_terms(spark, sf):
+    docs = fx.table(spark, sf, "documents")
+    return bm25.term_statistics(bm25.postings(docs, F.col("text"), "doc_id"))
+
+
+@register(
+    "postings",
+    f"""SELECT doc_id, term, count(*) AS tf
+        FROM (SELECT doc_id, unnest({o.words('text')}) AS term FROM documents) GROUP BY ALL""",
+)
+def postings(spark, sf):
+    return bm25.postings(fx.table(spark, sf, "documents"), F.col("text"), "doc_id")
+
+
+@register(
+    "doc_stats",
+    f"""SELECT count(*) AS n_docs, CAST(sum(len({o.words('text')})) AS BIGINT) AS total_terms,
+               round(sum(len({o.words('text')}))::DOUBLE / count(*), 6) AS avgdl FROM documents""",
+)
+def doc_stats(spark, sf):
+    lengths = bm25.document_lengths(fx.table(spark, sf, "documents"), F.col("text"), "doc_id")
+    return lengths.agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.sum("dl").alias("total_terms"),
+        F.round(F.sum("dl") / F.count(F.lit(1)), 6).alias("avgdl"),
+    )
+
+
+# --- search -----------------------------------------------------------------
+
+
+def wanted_fingerprint(spark: SparkSession, sf: str) -> Column:
+    """Context of the earliest conversation with a system prompt, as the asker's."""
+    prints = fx.fingerprints(fx.table(spark, sf, "conversations"))
+    known = prints.filter(F.col("fingerprint") != tx.DEFAULT_FINGERPRINT)
+    return known.agg(F.min_by("fingerprint", "conv_id")).scalar()
+
+
+@register("bm25_search", o.statement("SELECT * FROM fetched", *o.TURNS, extra=o.search_ctes()))
+def bm25_search(spark, sf):
+    return search.fetch_turns(fx.stored_turns(spark, sf), fx.QUERY, 8).select("turn_id", "score")
+
+
+@register(
+    "bm25_scores", o.statement("SELECT doc_id, score FROM d_score", extra=o.bm25_ctes("documents", "doc_id", "text", "d"))
+)
+def bm25_scores(spark, sf):
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    return bm25.search(docs, F.col("text"), fx.QUERY, "doc_id").select("doc_id", "score")
+
+
+@register(
+    "search_collections",
+    o.statement(
+        """SELECT source, id, score FROM (
+               (SELECT 'conversations' AS source, conv_id AS id, score FROM c_score ORDER BY score DESC, id LIMIT 20)
+               UNION ALL
+               (SELECT 'documents', doc_id, score FROM d_score ORDER BY score DESC, doc_id LIMIT 20))
+           WHERE score >= 0.3 ORDER BY score DESC, source, id LIMIT 10""",
+        extra={
+            "whole": "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS body FROM conversations GROUP BY conv_id",
+            **o.bm25_ctes("whole", "conv_id", "body", "c"),
+            **o.bm25_ctes("documents", "doc_id", "text", "d"),
+        },
+    ),
+)
+def search_collections(spark, sf):
+    terms = tx.query_terms(fx.QUERY)
+    messages = fx.table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "text")
+    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    by_message = bm25.count_terms(messages, F.col("text"), terms)
+    return search.search_collections(
+        {
+            "conversations": bm25.merge_counts(by_message, ["id"], terms),
+            "documents": bm25.count_terms(docs, F.col("text"), terms).drop("text"),
+        },
+        fx.QUERY,
+    )
+
+
+@register(
+    "recency_boost",
+    o.statement(
+        f"""SELECT turn_id, round(greatest(0, 1 - (epoch_ms({o.NOW}) - epoch_ms(ts)) / 86400000.0::DOUBLE / 90), 9) AS factor
+            FROM fx_turns""",
+        *o.TURNS,
+    ),
+)
+def recency_boost(spark, sf):
+    factor = F.round(dates.recency_factor(F.col("ts"), fx.now()), 9)
+    return fx.stored_turns(spark, sf).select("turn_id", factor.alias("factor"))
+
+
+@register(
+    "context_boost",
+    o.statement(
+        """SELECT turn_id, CASE WHEN fingerprint = fp THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS factor
+           FROM fx_turns, wanted""",
+        *o.TURNS,
+        extra={"wanted": o.search_ctes()["wanted"]},
+    ),
+)
+def context_boost(spark, sf):
+    stored = fx.stored_turns(spark, sf).withColumn("_wanted", wanted_fingerprint(spark, sf))
+    return stored.select("turn_id", rerank.context_multiplier(F.col("fingerprint"), F.col("_wanted")).alias("factor"))
+
+
+@register(
+    "word_overlap",
+    o.statement(
+        f"SELECT turn_id, round({o.overlap('a', 'b')}, 9) AS overlap FROM sets",
+        *o.TURNS,
+        extra={
+            "sets": f"""SELECT turn_id, list_distinct({o.words('user_content')}) AS a,
+                               list_distinct({o.words('assistant_content')}) AS b FROM fx_turns"""
+        },
+    ),
+)
+def word_overlap(spark, sf):
+    sets = fx.stored_turns(spark, sf).select(
+        "turn_id", tx.word_set(F.col("user_content")).alias("a"), tx.word_set(F.col("assistant_content")).alias("b")
+    )
+    return sets.select("turn_id", F.round(tx.word_set_overlap(F.col("a"), F.col("b")), 9).alias("overlap"))
+
+
+@register(
+    "dedup_session",
+    o.statement("SELECT turn_id, session_id, score FROM deduped", *o.TURNS, extra=o.search_ctes()),
+)
+def dedup_session(spark, sf):
+    fetched = search.fetch_turns(fx.stored_turns(spark, sf), fx.QUERY, 8)
+    final = rerank.boosted(
+        F.col("score"), F.col("ts"), fx.now(), 0.3, F.col("fingerprint"), F.col("_wanted")
+    )
+    boosted = fetched.withColumn("_wanted", wanted_fingerprint(spark, sf)).withColumn("score", rerank.rounded(final))
+    return rerank.drop_near_duplicates(boosted, search.compared_text(), "turn_id").select(
+        "turn_id", "session_id", "score"
+    )
+
+
+@register("search_turns", o.statement("SELECT * FROM results", *o.TURNS, extra=o.search_ctes()))
+def search_turns(spark, sf):
+    stored = fx.stored_turns(spark, sf)
+    found = search.search_turns(stored, fx.QUERY, fx.now(), fingerprint=wanted_fingerprint(spark, sf))
+    return found.select("turn_id", "session_id", "score", "rank")
+
+
+@register(
+    "search_turns_daterange",
+    o.statement(
+        "SELECT * FROM results",
+        *o.TURNS,
+        extra={
+            "ranged": "SELECT * FROM fx_turns WHERE ts >= TIMESTAMP '2024-02-01' AND ts < TIMESTAMP '2024-04-01'",
+            **o.search_ctes("ranged"),
+        },
+    ),
+)
+def search_turns_daterange(spark, sf):
+    stored = search.in_date_range(
+        fx.stored_turns(spark, sf),
+        F.to_timestamp(F.lit("2024-02-01 00:00:00")),
+        F.to_timestamp(F.lit("2024-04-01 00:00:00")),
+    )
+    found = search.search_turns(stored, fx.QUERY, fx.now(), fingerprint=wanted_fingerprint(spark, sf))
+    return found.select("turn_id", "session_id", "score", "rank")
