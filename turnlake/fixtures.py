@@ -71,3 +71,71 @@ def stored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         attributes["tool"].alias("tool"),
         F.coalesce("fingerprint", F.lit(text.DEFAULT_FINGERPRINT)).alias("fingerprint"),
     )
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One capture per exchange, as a client resending its history would cause."""
+    from turnlake.operators import sessions
+
+    prefixes = sessions.exchanges(table(spark, sf_dir, "conversations"))
+    attributes = conversation_attributes(F.col("conv_id"))
+    return prefixes.select(
+        F.concat_ws("_", F.lit("cap"), "conv_id", "k").alias("capture_id"),
+        "conv_id",
+        "k",
+        "n",
+        "end_turn",
+        attributes["wallet_id"].alias("wallet_id"),
+        F.timestamp_millis(F.unix_millis(attributes["ts"]) + F.col("k") * 60_000).alias("ts"),
+        attributes["tool"].alias("tool"),
+        attributes["model"].alias("model"),
+        attributes["incognito"].alias("incognito"),
+    )
+
+
+def provider(conv_id: Column) -> Column:
+    return F.when(conv_id % 3 == 1, F.lit("anthropic")).otherwise(F.lit("openai"))
+
+
+def _pick(values: tuple[str, ...], number: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
+
+
+def memories(turns_df: DataFrame) -> DataFrame:
+    """One memory per turn, holding the answer, in every state of the life cycle."""
+    from turnlake.operators import memories as ops
+
+    number = F.col("conv_id") + F.col("turn_index")
+    ended = F.when(F.col("tool") == "gamma", F.timestamp_millis(F.unix_millis("ts") + F.lit(2_592_000_000)))
+    return turns_df.select(
+        F.concat_ws("_", F.lit("mem"), "conv_id", "turn_index").alias("memory_id"),
+        "wallet_id",
+        F.col("assistant_content").alias("text"),
+        _pick(ops.CATEGORIES, number).alias("category"),
+        _pick(ops.CONFIDENCES, number).alias("confidence"),
+        F.col("session_id").alias("source"),
+        F.col("ts").alias("created_at"),
+        F.col("ts").alias("valid_from"),
+        ended.alias("invalidated_at"),
+    )
+
+
+def facts(turns_df: DataFrame) -> DataFrame:
+    """One fact per turn, holding the question, with a decided action.
+
+    The target is the memory of the following turn, so the last turn of a
+    conversation names one that does not exist.
+    """
+    from turnlake.operators import memories as ops
+
+    number = F.col("conv_id") + F.col("turn_index")
+    return turns_df.select(
+        F.concat_ws("_", F.lit("fact"), "conv_id", "turn_index").alias("fact_id"),
+        F.col("user_content").alias("text"),
+        _pick(ops.CATEGORIES, number).alias("category"),
+        _pick(ops.CONFIDENCES, number).alias("confidence"),
+        F.col("session_id").alias("source"),
+        F.col("ts").alias("valid_from"),
+        _pick(ops.ACTIONS, number).alias("action"),
+        F.concat_ws("_", F.lit("mem"), "conv_id", F.col("turn_index") + 1).alias("target_id"),
+    )

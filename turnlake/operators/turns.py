@@ -71,6 +71,30 @@ def system_prompts(messages: DataFrame) -> DataFrame:
     )
 
 
+def capture_records(messages: DataFrame) -> DataFrame:
+    """(conv_id, part, first_index, messages): dialogue rows as message arrays.
+
+    An ordinary conversation is one record. A very long one is one record per
+    slice; each repeats the message before the slice, so that a pair across the
+    border is found exactly once, and ``first_index`` numbers pairs on.
+    """
+    spoken = dialogue(messages)
+    before = slices.with_previous(spoken, GROUP, ORDER, ["role", "text"])
+    answer = ((F.col("role") == "assistant") & F.coalesce(F.col("prev_role") == "user", F.lit(False))).cast("int")
+    flagged = before.withColumn("_answer", answer)
+    counted = slices.with_running_sum(flagged, GROUP, ORDER, F.col("_answer"), "_k")
+    key = ["conv_id", *_slice_column(spoken)]
+    listed = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    records = counted.groupBy(*key).agg(
+        F.transform(listed, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("own"),
+        F.min_by(F.struct(F.col("prev_role").alias("role"), F.col("prev_text").alias("content")), "turn").alias("head"),
+        F.min_by(F.col("_k") - F.col("_answer"), "turn").alias("first_index"),
+    )
+    part = F.col(slices.SLICE) if slices.is_sliced(spoken) else F.lit(0).cast("bigint")
+    joined = F.when(F.col("head.role").isNull(), F.col("own")).otherwise(F.concat(F.array("head"), F.col("own")))
+    return records.select("conv_id", part.alias("part"), "first_index", joined.alias("messages"))
+
+
 def pairs_in_array(messages):
     """The same pairing inside one captured request, as an array expression.
 

@@ -166,3 +166,48 @@ def statement(select: str, *names: str, extra: dict[str, str] | None = None, bef
 
 TURNS = ("fx_conv", "spoken", "pairs", "fx_turns")
 CAPTURES = ("fx_conv", "spoken", "captures")
+
+
+def first_sentences(expr: str, count: int = 3) -> str:
+    marked = rf"regexp_replace({expr}, '([.!?]){WS}+([A-Z0-9\-`*])', '\1' || chr(1) || '\2', 'g')"
+    parts = f"list_slice(string_split({marked}, chr(1)), 1, {count})"
+    return f"array_to_string(list_transform({parts}, lambda s: rtrim(s, {quoted(WHITESPACE)})), ' ')"
+
+
+def truncate(expr: str) -> str:
+    return f"CASE WHEN {tokens(expr)} <= 200 THEN {expr} ELSE {first_sentences(expr)} END"
+
+
+def entry(ts: str, user: str, assistant: str) -> str:
+    question = trim(rf"regexp_replace({user}, '\n+', ' ', 'g')")
+    return f"'[' || strftime({ts}, '%Y-%m-%d') || '] You: ' || {question} || chr(10) || '→ ' || {truncate(assistant)}"
+
+
+def clean_section(expr: str) -> str:
+    return trim(strip_tags(expr, FOREIGN_TAGS[0], CONTEXT_TAG, FOREIGN_TAGS[1]))
+
+
+TURN_DOC = f"""'---' || chr(10) || 'id: ' || turn_id || chr(10) || 'sessionId: ' || session_id || chr(10)
+    || 'tool: ' || tool || chr(10) || 'timestamp: ' || {iso('ts')} || chr(10) || 'turnIndex: ' || turn_index || chr(10)
+    || 'contextFingerprint: ' || fingerprint || chr(10) || '---' || chr(10) || chr(10) || '## User' || chr(10)
+    || user_content || chr(10) || chr(10) || '## Assistant' || chr(10) || assistant_content || chr(10)"""
+
+CATEGORY = "['IDENTITY','PREFERENCE','CONTEXT','RELATIONSHIP','SKILL','EVENT'][CAST((conv_id + turn_index) % 6 AS INTEGER) + 1]"
+CONFIDENCE = "['HIGH','MEDIUM','LOW'][CAST((conv_id + turn_index) % 3 AS INTEGER) + 1]"
+ACTION = "['ADD','UPDATE','INVALIDATE','NOOP'][CAST((conv_id + turn_index) % 4 AS INTEGER) + 1]"
+
+MEMORY = {
+    "mem": f"""
+        SELECT 'mem_' || conv_id || '_' || turn_index AS memory_id, wallet_id, assistant_content AS text,
+               {CATEGORY} AS category, {CONFIDENCE} AS confidence, session_id AS source, ts AS created_at,
+               ts AS valid_from, CASE WHEN tool = 'gamma' THEN ts + INTERVAL 30 DAY END AS invalidated_at
+        FROM fx_turns""",
+    "fact": f"""
+        SELECT 'fact_' || conv_id || '_' || turn_index AS fact_id, user_content AS text, {CATEGORY} AS category,
+               {CONFIDENCE} AS confidence, session_id AS source, ts AS valid_from, {ACTION} AS action,
+               'mem_' || conv_id || '_' || (turn_index + 1) AS target_id
+        FROM fx_turns""",
+    "acts": """
+        SELECT f.*, f.action NOT IN ('UPDATE', 'INVALIDATE') OR m.memory_id IS NOT NULL AS applied
+        FROM fact f LEFT JOIN mem m ON m.memory_id = f.target_id""",
+}

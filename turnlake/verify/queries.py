@@ -10,8 +10,24 @@ from pyspark.sql import functions as F
 from turnlake import fixtures as fx
 from turnlake.functions import dates, redaction
 from turnlake.functions import text as tx
-from turnlake.operators import bm25, documents, rerank, sessions, slices, turns
-from turnlake.plans import search
+from turnlake.config import InjectionConfig, ToolConfig
+from turnlake.functions import requests
+from turnlake.operators import (
+    bm25,
+    documents,
+    memories,
+    packing,
+    reconcile,
+    rerank,
+    sessions,
+    similarity,
+    turns,
+    vectors,
+)
+from turnlake.plans import extraction, search, status
+from turnlake.session import fresh_dir
+from turnlake.sources import sinks, wallet
+from turnlake.streaming import ingest
 from turnlake.verify import oracle as o
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -289,3 +305,904 @@ def search_turns_daterange(spark, sf):
     )
     found = search.search_turns(stored, fx.QUERY, fx.now(), fingerprint=wanted_fingerprint(spark, sf))
     return found.select("turn_id", "session_id", "score", "rank")
+
+
+# --- injection --------------------------------------------------------------
+
+
+@register(
+    "truncate_assistant",
+    o.statement(f"SELECT turn_id, {o.truncate('assistant_content')} AS text FROM fx_turns", *o.TURNS),
+)
+def truncate_assistant(spark, sf):
+    return fx.stored_turns(spark, sf).select("turn_id", tx.truncate_assistant(F.col("assistant_content")).alias("text"))
+
+
+@register(
+    "truncate_documents",
+    f"SELECT doc_id, {o.truncate('text')} AS text FROM documents",
+)
+def truncate_documents(spark, sf):
+    return fx.table(spark, sf, "documents").select("doc_id", tx.truncate_assistant(F.col("text")).alias("text"))
+
+
+@register(
+    "format_turn_entry",
+    o.statement(
+        f"SELECT turn_id, {o.entry('ts', 'user_content', 'assistant_content')} AS text FROM fx_turns", *o.TURNS
+    ),
+)
+def format_turn_entry(spark, sf):
+    return packing.turn_entries(fx.stored_turns(spark, sf)).select("turn_id", F.col("entry").alias("text"))
+
+
+PROFILE = "Prefers short answers.\nWorks on data pipelines."
+TIGHT = InjectionConfig(max_tokens=900)
+
+
+def _search_hits(spark, sf):
+    stored = fx.stored_turns(spark, sf)
+    return packing.turn_entries(
+        search.search_turns(stored, fx.QUERY, fx.now(), fingerprint=wanted_fingerprint(spark, sf))
+    )
+
+
+SKELETON = packing.skeleton(PROFILE)
+PACKED = {
+    **o.search_ctes(),
+    "entries": f"""SELECT turn_id, rank AS position, {o.entry('ts', 'user_content', 'assistant_content')} AS entry
+                   FROM results JOIN fx_turns USING (turn_id)""",
+    "costs": f"""SELECT *, {o.tokens("(CASE WHEN position > 1 THEN chr(10) || chr(10) ELSE '' END || entry)")} AS cost
+                 FROM entries""",
+    "running": "SELECT *, CAST(sum(cost) OVER (ORDER BY position) AS BIGINT) AS running_cost FROM costs",
+    "packed": f"""SELECT * FROM running WHERE position <= 8
+                  AND running_cost <= greatest(0, 900 - {o.tokens(o.quoted(SKELETON))})""",
+}
+
+
+@register(
+    "budget_pack",
+    o.statement("SELECT turn_id, position, cost, running_cost FROM packed", *o.TURNS, extra=PACKED),
+)
+def budget_pack(spark, sf):
+    packed = packing.pack(_search_hits(spark, sf), PROFILE, TIGHT)
+    return packed.select("turn_id", "position", "cost", "running_cost")
+
+
+@register(
+    "injection_block",
+    o.statement(
+        f"SELECT text, {o.tokens('text')} AS token_count, memory_count, true AS has_profile FROM block",
+        *o.TURNS,
+        extra={
+            **PACKED,
+            "block": f"""SELECT {o.quoted(SKELETON.split(packing.TURNS_HEADER)[0] + packing.TURNS_HEADER)}
+                            || coalesce(chr(10) || string_agg(entry, chr(10) || chr(10) ORDER BY position), '')
+                            || {o.quoted(SKELETON.split(packing.TURNS_HEADER)[1])} AS text,
+                            count(*) AS memory_count
+                         FROM packed""",
+        },
+    ),
+)
+def injection_block(spark, sf):
+    return packing.injection_block(_search_hits(spark, sf), PROFILE, TIGHT)
+
+
+# --- sessions ---------------------------------------------------------------
+
+
+@register(
+    "captures",
+    o.statement(f"SELECT * EXCLUDE (ts), {o.iso('ts')} AS captured_at FROM captures", *o.CAPTURES),
+)
+def captures(spark, sf):
+    return fx.captures(spark, sf).withColumn("captured_at", dates.iso_utc(F.col("ts"))).drop("ts")
+
+
+@register(
+    "capture_sessions",
+    o.statement("SELECT wallet_id, capture_id, CAST(session_no AS BIGINT) AS session_no FROM sessions", *o.CAPTURES, "sessions"),
+)
+def capture_sessions(spark, sf):
+    numbered = sessions.assign_sessions(fx.captures(spark, sf), fx.INTERNAL_MODEL_MARKER)
+    return numbered.select("wallet_id", "capture_id", "session_no")
+
+
+def _representatives(spark, sf):
+    return sessions.representatives(sessions.assign_sessions(fx.captures(spark, sf), fx.INTERNAL_MODEL_MARKER))
+
+
+@register(
+    "session_representatives",
+    o.statement("SELECT wallet_id, capture_id, n FROM reps", *o.CAPTURES, "sessions", "reps"),
+)
+def session_representatives(spark, sf):
+    return _representatives(spark, sf).select("wallet_id", "capture_id", "n")
+
+
+@register(
+    "pending_sessions",
+    o.statement(
+        """SELECT capture_id FROM reps WHERE capture_id NOT IN
+           (SELECT capture_id FROM captures WHERE tool = 'alpha')""",
+        *o.CAPTURES,
+        "sessions",
+        "reps",
+    ),
+)
+def pending_sessions(spark, sf):
+    processed = fx.captures(spark, sf).filter(F.col("tool") == "alpha").select("capture_id")
+    return sessions.pending(_representatives(spark, sf), processed).select("capture_id")
+
+
+def _conversation_attributes():
+    return {**fx.conversation_attributes(F.col("conv_id")), "provider": fx.provider(F.col("conv_id"))}
+
+
+RENDERED = f"""
+    SELECT conv_id, 0::BIGINT AS part,
+           '---' || chr(10) || 'id: conv_' || conv_id || chr(10) || 'tool: ' || any_value(tool) || chr(10)
+           || 'provider: ' || any_value(provider) || chr(10) || 'model: ' || any_value(model) || chr(10)
+           || 'timestamp: ' || {o.iso('any_value(ts)')} || chr(10)
+           || 'tokenEstimate: ' || CAST(sum(4 + {o.tokens('text')}) AS BIGINT) || chr(10)
+           || 'incognito: ' || any_value(incognito) || chr(10) || '---' || chr(10) || chr(10)
+           || string_agg('## ' || upper(role[1]) || role[2:] || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text
+    FROM conversations JOIN fx_conv USING (conv_id) GROUP BY conv_id"""
+
+
+@register("render_conversation", o.statement("SELECT * FROM rendered", "fx_conv", extra={"rendered": RENDERED}))
+def render_conversation(spark, sf):
+    return documents.conversation_parts(fx.table(spark, sf, "conversations"), _conversation_attributes())
+
+
+@register(
+    "conversation_heads",
+    o.statement(
+        f"""SELECT conv_id, 'conv_' || conv_id AS id, any_value(tool) AS tool, any_value(model) AS model,
+                   {o.iso('any_value(ts)')} AS captured_at, any_value(incognito) AS incognito,
+                   count(*) FILTER (role <> 'system') AS n_messages
+            FROM conversations JOIN fx_conv USING (conv_id) GROUP BY conv_id""",
+        "fx_conv",
+    ),
+)
+def conversation_heads(spark, sf):
+    parts = documents.conversation_parts(fx.table(spark, sf, "conversations"), _conversation_attributes())
+    heads = parts.withColumn("head", documents.parse_conversation_head(F.col("text")))
+    # Parts after the first hold no front matter, only further messages.
+    return heads.groupBy("conv_id").agg(
+        *[
+            F.max(F.when(F.col("part") == 0, F.col(f"head.{name}"))).alias(alias)
+            for name, alias in (
+                ("id", "id"), ("tool", "tool"), ("model", "model"),
+                ("timestamp", "captured_at"), ("incognito", "incognito"),
+            )
+        ],
+        F.sum("head.n_messages").alias("n_messages"),
+    )
+
+
+CLEANED = {
+    "cleaned": f"""SELECT conv_id, turn, role, {o.clean_section('text')} AS body FROM conversations
+                   WHERE role IN ('user', 'assistant')""",
+}
+
+
+@register(
+    "clean_session",
+    o.statement(
+        """SELECT conv_id, 0::BIGINT AS part,
+                  string_agg(CASE role WHEN 'user' THEN '## User' ELSE '## Assistant' END || chr(10) || body,
+                             chr(10) || chr(10) ORDER BY turn) AS text
+           FROM cleaned WHERE body <> '' GROUP BY conv_id""",
+        extra=CLEANED,
+    ),
+)
+def clean_session(spark, sf):
+    return extraction.clean_parts(fx.table(spark, sf, "conversations"))
+
+
+@register(
+    "substantive_sessions",
+    o.statement(
+        """SELECT conv_id, count(*) FILTER (role = 'user' AND length(body) > 20) >= 2 AS substantive
+           FROM (SELECT conv_id, turn FROM conversations) LEFT JOIN cleaned USING (conv_id, turn) GROUP BY conv_id""",
+        extra=CLEANED,
+    ),
+)
+def substantive_sessions(spark, sf):
+    return extraction.substance(fx.table(spark, sf, "conversations"))
+
+
+# --- turn documents ---------------------------------------------------------
+
+
+def _turn_documents(spark, sf):
+    return fx.stored_turns(spark, sf).select(
+        "turn_id", "session_id", "turn_index", "ts", documents.turn_path().alias("path"),
+        documents.render_turn().alias("content"),
+    )
+
+
+@register("render_turn", o.statement(f"SELECT turn_id, {o.TURN_DOC} AS content FROM fx_turns", *o.TURNS))
+def render_turn(spark, sf):
+    return _turn_documents(spark, sf).select("turn_id", "content")
+
+
+PARSED = f"""SELECT turn_id, session_id, tool, {o.iso('ts')} AS timestamp, turn_index, fingerprint,
+                    {o.trim('user_content')} AS user_content, {o.trim('assistant_content')} AS assistant_content
+             FROM fx_turns"""
+
+
+@register("parse_turn_document", o.statement(PARSED, *o.TURNS))
+def parse_turn_document(spark, sf):
+    docs = _turn_documents(spark, sf).select("content")
+    return documents.parse_turns(docs).drop("content")
+
+
+@register(
+    "parse_turn_lenient",
+    o.statement(PARSED.replace("fingerprint,", ""), *o.TURNS),
+)
+def parse_turn_lenient(spark, sf):
+    docs = _turn_documents(spark, sf).select("content")
+    return documents.parse_turns_lenient(docs).drop("content")
+
+
+@register(
+    "normalize_path",
+    o.statement(
+        "SELECT turn_id, strftime(ts, '%Y-%m-%d') || '/conv-' || conv_id || '-' || turn_index || '.md' AS path FROM fx_turns",
+        *o.TURNS,
+    ),
+)
+def normalize_path(spark, sf):
+    return _turn_documents(spark, sf).select("turn_id", tx.normalize_path(F.col("path")).alias("path"))
+
+
+@register(
+    "normalize_document_paths",
+    r"""SELECT doc_id, source || '/' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}$]+', '-', 'g'), '-') || '.md' AS path
+        FROM documents WHERE regexp_matches(text, '[\p{L}\p{N}$]')""",
+)
+def normalize_document_paths(spark, sf):
+    """Whole texts as file names; separators inside them would be folders or suffixes."""
+    docs = fx.table(spark, sf, "documents")
+    name = F.translate("text", "/._", "   ")
+    path = tx.normalize_path(F.concat("source", F.lit("/"), name, F.lit(".md")))
+    return docs.select("doc_id", path.alias("path")).filter(F.col("path").isNotNull())
+
+
+@register("extract_title", o.statement("SELECT turn_id, 'User' AS title FROM fx_turns", *o.TURNS))
+def extract_title(spark, sf):
+    docs = _turn_documents(spark, sf)
+    return docs.select("turn_id", tx.extract_title(F.col("content"), F.col("path")).alias("title"))
+
+
+@register(
+    "turn_index_rows",
+    o.statement(
+        f"""SELECT 'turns' AS collection, 'User' AS title, sha256({o.TURN_DOC}) AS hash,
+                   strftime(ts, '%Y-%m-%d') || '/conv-' || conv_id || '-' || turn_index || '.md' AS path
+            FROM fx_turns""",
+        *o.TURNS,
+    ),
+)
+def turn_index_rows(spark, sf):
+    docs = _turn_documents(spark, sf)
+    return reconcile.described(docs, "turns", F.col("path"), F.col("content")).drop("content")
+
+
+# --- index maintenance ------------------------------------------------------
+
+
+def _snapshots(spark, sf):
+    """Indexed: documents but the German ones. Scanned: redacted, without source src0."""
+    docs = fx.table(spark, sf, "documents").withColumn("path", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".md")))
+    indexed = docs.filter(F.col("lang") != "de")
+    scanned = docs.filter(F.col("source") != "src0").withColumn("text", redaction.redact_secrets(F.col("text")))
+    describe = lambda df: reconcile.described(df, "documents", F.col("path"), F.col("text"))
+    return describe(indexed), describe(scanned)
+
+
+SNAPSHOTS = {
+    "old": "SELECT doc_id, sha256(text) AS hash FROM documents WHERE lang <> 'de'",
+    "new": f"SELECT doc_id, sha256({o.redact('text')}) AS hash FROM documents WHERE source <> 'src0'",
+    "diff": """SELECT coalesce(o.doc_id, n.doc_id) AS doc_id,
+                      CASE WHEN o.doc_id IS NULL THEN 'indexed' WHEN n.doc_id IS NULL THEN 'removed'
+                           WHEN o.hash <> n.hash THEN 'updated' ELSE 'unchanged' END AS status
+               FROM old o FULL JOIN new n ON o.doc_id = n.doc_id""",
+}
+
+
+@register(
+    "reconcile_diff",
+    o.statement("SELECT status, count(*) AS n FROM diff GROUP BY status", extra=SNAPSHOTS),
+)
+def reconcile_diff(spark, sf):
+    return reconcile.counters(reconcile.compare(*_snapshots(spark, sf)))
+
+
+@register(
+    "index_changes",
+    o.statement(
+        "SELECT 'doc-' || doc_id || '.md' AS path, hash FROM new JOIN diff USING (doc_id) WHERE status IN ('indexed', 'updated')",
+        extra=SNAPSHOTS,
+    ),
+)
+def index_changes(spark, sf):
+    indexed, scanned = _snapshots(spark, sf)
+    return reconcile.changed(scanned, indexed).select("path", "hash")
+
+
+@register(
+    "index_upsert",
+    o.statement(
+        """SELECT 'doc-' || coalesce(o.doc_id, n.doc_id) || '.md' AS path, coalesce(n.hash, o.hash) AS hash,
+                  CASE WHEN o.doc_id IS NULL THEN '2024-05-01' ELSE '2024-01-01' END AS created,
+                  CASE WHEN n.hash IS NOT NULL AND n.hash IS DISTINCT FROM o.hash THEN '2024-05-01' ELSE '2024-01-01' END AS modified
+           FROM old o FULL JOIN new n ON o.doc_id = n.doc_id""",
+        extra=SNAPSHOTS,
+    ),
+)
+def index_upsert(spark, sf):
+    indexed, scanned = _snapshots(spark, sf)
+    first = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    index = indexed.drop("content").withColumns({"created_at": first, "modified_at": first})
+    merged = reconcile.upsert(index, scanned, fx.now())
+    return merged.select(
+        "path", "hash", dates.utc_day(F.col("created_at")).alias("created"), dates.utc_day(F.col("modified_at")).alias("modified")
+    )
+
+
+@register(
+    "content_store",
+    o.statement(
+        f"""SELECT hash, length(body) AS chars FROM (
+                SELECT sha256(body) AS hash, any_value(body) AS body FROM (
+                    SELECT {o.redact('text')} AS body FROM documents WHERE source <> 'src0') GROUP BY sha256(body))
+            WHERE hash NOT IN (SELECT hash FROM old)""",
+        extra={"old": SNAPSHOTS["old"]},
+    ),
+)
+def content_store(spark, sf):
+    indexed, scanned = _snapshots(spark, sf)
+    added = reconcile.new_contents(scanned, indexed.select("hash").distinct())
+    return added.select("hash", F.length("body").cast("bigint").alias("chars"))
+
+
+# --- memories ---------------------------------------------------------------
+
+
+def _resolved(spark, sf):
+    stored = fx.stored_turns(spark, sf)
+    return memories.resolve_actions(fx.facts(stored), fx.memories(stored)), fx.memories(stored)
+
+
+@register(
+    "memory_apply_actions",
+    o.statement(
+        f"""SELECT memory_id, text, category, confidence, source, {o.iso('created_at')} AS created,
+                   {o.iso('valid_from')} AS valid, {o.iso('invalidated_at')} AS invalidated
+            FROM (
+              SELECT m.* EXCLUDE (wallet_id, invalidated_at),
+                     CASE WHEN e.target_id IS NOT NULL THEN coalesce(m.invalidated_at, {o.NOW})
+                          ELSE m.invalidated_at END AS invalidated_at
+              FROM mem m LEFT JOIN (SELECT DISTINCT target_id FROM acts WHERE applied AND action IN ('UPDATE', 'INVALIDATE')) e
+                ON e.target_id = m.memory_id
+              UNION ALL BY NAME
+              SELECT 'mem_' || substr(sha256(fact_id), 1, 12) AS memory_id, text, category, confidence, source,
+                     {o.NOW} AS created_at, valid_from, NULL::TIMESTAMP AS invalidated_at
+              FROM acts WHERE applied AND action IN ('ADD', 'UPDATE'))""",
+        *o.TURNS,
+        extra=o.MEMORY,
+    ),
+)
+def memory_apply_actions(spark, sf):
+    resolved, stored = _resolved(spark, sf)
+    applied = memories.apply_actions(stored.drop("wallet_id"), resolved, fx.now())
+    return applied.select(
+        "memory_id", "text", "category", "confidence", "source",
+        dates.iso_utc(F.col("created_at")).alias("created"),
+        dates.iso_utc(F.col("valid_from")).alias("valid"),
+        dates.iso_utc(F.col("invalidated_at")).alias("invalidated"),
+    )
+
+
+@register(
+    "action_stats",
+    o.statement(
+        """SELECT count(*) FILTER (action = 'ADD' AND applied) AS created, count(*) FILTER (action = 'UPDATE' AND applied) AS updated,
+                  count(*) FILTER (action = 'INVALIDATE' AND applied) AS invalidated,
+                  count(*) FILTER (action = 'NOOP' AND applied) AS noop, count(*) FILTER (NOT applied) AS skipped FROM acts""",
+        *o.TURNS,
+        extra=o.MEMORY,
+    ),
+)
+def action_stats(spark, sf):
+    return memories.action_counts(_resolved(spark, sf)[0])
+
+
+@register(
+    "live_high_memories",
+    o.statement(
+        f"""SELECT wallet_id, row_number() OVER w AS n, row_number() OVER w || '. ' || {o.trim('text')} AS line
+            FROM mem WHERE confidence = 'HIGH' AND invalidated_at IS NULL AND {o.trim('text')} <> ''
+            WINDOW w AS (PARTITION BY wallet_id ORDER BY created_at, memory_id)""",
+        *o.TURNS,
+        extra=o.MEMORY,
+    ),
+)
+def live_high_memories(spark, sf):
+    return memories.profile_lines(fx.memories(fx.stored_turns(spark, sf)))
+
+
+@register(
+    "memory_documents",
+    o.statement(
+        f"""SELECT memory_id, category, confidence, source, {o.iso('created_at')} AS created, {o.iso('invalidated_at')} AS invalidated,
+                   {o.trim('text')} AS text FROM mem""",
+        *o.TURNS,
+        extra=o.MEMORY,
+    ),
+)
+def memory_documents(spark, sf):
+    rendered = fx.memories(fx.stored_turns(spark, sf)).select(documents.render_memory().alias("content"))
+    parsed = documents.parse_memories(rendered)
+    return parsed.select(
+        "memory_id", "category", "confidence", "source",
+        dates.iso_utc(F.col("created_at")).alias("created"),
+        dates.iso_utc(F.col("invalidated_at")).alias("invalidated"),
+        "text",
+    )
+
+
+@register(
+    "similar_memories_top5",
+    o.statement(
+        """SELECT fact_id, memory_id, score, rank FROM (
+             SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY score DESC, memory_id) AS rank FROM (
+               SELECT fact_id, memory_id, round(raw / (1 + raw), 6) AS score FROM (
+                 SELECT fact_id, memory_id,
+                        sum(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE
+                            / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS raw
+                 FROM fact_terms JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (memory_id), n
+                 GROUP BY fact_id, memory_id)))
+           WHERE rank <= 5""",
+        *o.TURNS,
+        extra={
+            **o.MEMORY,
+            "live": "SELECT * FROM mem WHERE invalidated_at IS NULL",
+            "fact_terms": f"SELECT DISTINCT fact_id, unnest({o.words('text')}) AS term FROM fact",
+            "tf": f"SELECT memory_id, term, count(*) AS tf FROM (SELECT memory_id, unnest({o.words('text')}) AS term FROM live) GROUP BY ALL",
+            "df": "SELECT term, count(*) AS df FROM tf GROUP BY term",
+            "dl": f"SELECT memory_id, len({o.words('text')}) AS dl FROM live",
+            "n": "SELECT count(*)::DOUBLE AS n, sum(dl)::DOUBLE / count(*) AS avgdl FROM dl",
+        },
+    ),
+)
+def similar_memories_top5(spark, sf):
+    stored = fx.stored_turns(spark, sf)
+    live = fx.memories(stored).filter(F.col("invalidated_at").isNull())
+    found = similarity.top_k_join(
+        fx.facts(stored), "fact_id", F.col("text"), live, "memory_id", F.col("text"), extraction.SIMILAR_MEMORIES
+    )
+    return found.select("fact_id", "memory_id", "score", "rank")
+
+
+FENCE = "```"
+
+
+def _answers(spark, sf):
+    """Model answers of every shape, one per fact, spelled from the fact's fields."""
+    facts = fx.facts(fx.stored_turns(spark, sf))
+    plain = F.to_json(F.struct("action", F.col("target_id").alias("targetId"), F.col("category").alias("reason")))
+    fenced = F.concat(F.lit(f"{FENCE}json\n"), plain, F.lit(f"\n{FENCE}"))
+    bare = F.to_json(F.struct("action"))
+    unknown = F.to_json(F.struct(F.lit("REPLACE").alias("action"), F.col("target_id").alias("targetId")))
+    return facts.withColumn(
+        "answer",
+        F.when(F.col("category") == "IDENTITY", plain)
+        .when(F.col("category") == "PREFERENCE", fenced)
+        .when(F.col("category") == "CONTEXT", bare)
+        .when(F.col("category") == "SKILL", unknown)
+        .otherwise(F.when(F.col("confidence") == "LOW", F.col("text")).otherwise(fenced)),
+    )
+
+
+@register(
+    "parse_decisions",
+    o.statement(
+        """SELECT fact_id, action, CASE WHEN action IN ('UPDATE', 'INVALIDATE') THEN target_id END AS target_id,
+                  CASE WHEN action = 'NOOP' THEN CASE WHEN bare THEN 'Already captured' ELSE category END END AS reason
+           FROM (
+             SELECT fact_id, target_id, category, category = 'CONTEXT' AS bare,
+                    CASE WHEN category = 'SKILL' OR (category IN ('RELATIONSHIP', 'EVENT') AND confidence = 'LOW') THEN 'ADD'
+                         WHEN category = 'CONTEXT' AND action IN ('UPDATE', 'INVALIDATE') THEN 'ADD' ELSE action END AS action
+             FROM fact)""",
+        *o.TURNS,
+        extra=o.MEMORY,
+    ),
+)
+def parse_decisions(spark, sf):
+    decided = _answers(spark, sf).select("fact_id", memories.parse_decision(F.col("answer")).alias("d"))
+    return decided.select("fact_id", "d.*")
+
+
+@register(
+    "parse_facts",
+    o.statement(
+        f"""SELECT fact_id, row_number() OVER (PARTITION BY fact_id ORDER BY no) - 1 AS fact_no, text, category, confidence, summary
+            FROM (SELECT fact_id, 1 AS no, {o.trim('text')} AS text, category, confidence, source AS summary FROM fact
+                  UNION ALL SELECT fact_id, 3, target_id, 'EVENT', 'HIGH', source FROM fact)
+            WHERE text <> ''""",
+        *o.TURNS,
+        extra=o.MEMORY,
+    ),
+)
+def parse_facts(spark, sf):
+    """Answers with a valid fact, one of unknown category, a valid one and a blank one."""
+    facts = fx.facts(fx.stored_turns(spark, sf))
+    item = lambda text, category, confidence: F.struct(
+        text.alias("text"), category.alias("category"), confidence.alias("confidence")
+    )
+    listed = F.array(
+        item(F.concat(F.lit("  "), F.col("text"), F.lit("\n")), F.col("category"), F.col("confidence")),
+        item(F.col("text"), F.lit("OPINION"), F.lit("HIGH")),
+        item(F.col("target_id"), F.lit("EVENT"), F.lit("HIGH")),
+        item(F.lit("  "), F.lit("EVENT"), F.lit("HIGH")),
+    )
+    payload = F.to_json(F.struct(listed.alias("facts"), F.col("source").alias("summary_update")))
+    answers = facts.select("fact_id", F.concat(F.lit(f"{FENCE}json\n"), payload, F.lit(f"\n{FENCE}")).alias("content"))
+    parsed = memories.parse_facts(answers)
+    return parsed.select(
+        "fact_id",
+        F.col("fact_no"),
+        "text",
+        "category",
+        "confidence",
+        F.col("summary_update").alias("summary"),
+    )
+
+
+# --- requests ---------------------------------------------------------------
+
+
+def _request_bodies(spark, sf):
+    """Provider requests holding each conversation, in both wire formats."""
+    rows = turns.slices.cut(fx.table(spark, sf, "conversations"), "turn")
+    part = F.col(turns.slices.SLICE) if turns.slices.is_sliced(rows) else F.lit(0).cast("bigint")
+    text_json = requests.json_string(F.col("text"))
+    blocks = F.concat(F.lit('[{"type":"text","text":'), text_json, F.lit('},{"type":"image","source":null}]'))
+    content = F.when(F.col("role") == "assistant", blocks).otherwise(text_json)
+    message = F.concat(F.lit('{"role":"'), F.col("role"), F.lit('","content":'), content, F.lit("}"))
+    anthropic = fx.provider(F.col("conv_id")) == "anthropic"
+    in_list = ~anthropic | (F.col("role") != "system")
+    listed = F.array_sort(F.collect_list(F.when(in_list, F.struct("turn", message.alias("json")))))
+    system = F.min(F.when(~in_list, F.struct("turn", text_json.alias("json"))))["json"]
+    bodies = rows.withColumn("part", part).groupBy("conv_id", "part").agg(
+        F.array_join(F.transform(listed, lambda m: m["json"]), ",").alias("messages"), system.alias("system")
+    )
+    model = fx.conversation_attributes(F.col("conv_id"))["model"]
+    tail = F.when(
+        fx.provider(F.col("conv_id")) == "anthropic",
+        F.concat(
+            F.lit(',"max_tokens":1024'),
+            F.coalesce(F.concat(F.lit(',"system":[{"type":"text","text":'), F.col("system"), F.lit("}]")), F.lit("")),
+        ),
+    ).otherwise(F.lit(',"stream":true'))
+    return bodies.select(
+        "conv_id",
+        "part",
+        fx.provider(F.col("conv_id")).alias("provider"),
+        F.concat(
+            F.lit('{"model":"'), model, F.lit('","messages":['), F.col("messages"), F.lit("]"), tail, F.lit("}")
+        ).alias("body"),
+    )
+
+
+@register(
+    "normalize_requests",
+    """SELECT conv_id, 0::BIGINT AS part, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, text AS content
+       FROM conversations WHERE role <> 'system'""",
+)
+def normalize_requests(spark, sf):
+    bodies = _request_bodies(spark, sf)
+    parsed = bodies.withColumn("request", requests.normalize(F.col("body"), F.col("provider")))
+    listed = parsed.select("conv_id", "part", F.posexplode("request.messages").alias("pos", "m"))
+    return listed.select("conv_id", "part", F.col("pos").cast("bigint").alias("pos"), "m.role", "m.content")
+
+
+@register(
+    "request_heads",
+    o.statement(
+        """SELECT conv_id, 0::BIGINT AS part, any_value(provider) AS provider, any_value(model) AS model,
+                  any_value(provider) = 'openai' AS stream,
+                  string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'system') AS system_prompt,
+                  coalesce(arg_max(text, turn) FILTER (role = 'user'), '') AS last_user
+           FROM conversations JOIN fx_conv USING (conv_id) GROUP BY conv_id""",
+        "fx_conv",
+    ),
+)
+def request_heads(spark, sf):
+    bodies = _request_bodies(spark, sf)
+    parsed = bodies.withColumn("request", requests.normalize(F.col("body"), F.col("provider")))
+    return parsed.select(
+        "conv_id",
+        "part",
+        "request.provider",
+        "request.model",
+        "request.stream",
+        "request.system_prompt",
+        requests.last_user_content(F.col("request.messages")).alias("last_user"),
+    )
+
+
+@register(
+    "sse_parse",
+    "SELECT conv_id, turn, nullif(text, '') AS text FROM conversations WHERE role = 'assistant'",
+)
+def sse_parse(spark, sf):
+    """Answers cut into event-stream chunks at spaces and put together again."""
+    answers = fx.table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    provider = fx.provider(F.col("conv_id"))
+
+    def event(piece: Column) -> Column:
+        quoted = requests.json_string(piece)
+        openai = F.concat(F.lit('data: {"choices":[{"delta":{"content":'), quoted, F.lit("}}]}"))
+        anthropic = F.concat(
+            F.lit('event: content_block_delta\ndata: {"delta":{"type":"text_delta","text":'), quoted, F.lit("}}")
+        )
+        return F.when(provider == "anthropic", anthropic).otherwise(openai)
+
+    events = F.array_join(F.transform(F.split("text", r"(?<= )"), event), "\n\n")
+    stream = F.concat(events, F.lit('\n\ndata: not json\n\ndata: [DONE]\n\ndata: {"choices":[{"delta":{"content":"x"}}]}\n'))
+    return answers.select("conv_id", "turn", requests.assistant_answer(stream, provider).alias("text"))
+
+
+@register(
+    "response_parse",
+    "SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'",
+)
+def response_parse(spark, sf):
+    answers = fx.table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    quoted = requests.json_string(F.col("text"))
+    provider = fx.provider(F.col("conv_id"))
+    body = F.when(
+        provider == "anthropic",
+        F.concat(F.lit('{"content":[{"type":"tool_use","id":"t"},{"type":"text","text":'), quoted, F.lit("}]}")),
+    ).otherwise(F.concat(F.lit('{"choices":[{"message":{"role":"assistant","content":'), quoted, F.lit("}}]}")))
+    return answers.select("conv_id", "turn", requests.assistant_answer(body, provider).alias("text"))
+
+
+TOOLS = (
+    ToolConfig("editor", "openai", "key-click", "https://api.example.com/v1"),
+    ToolConfig("terminal", "anthropic", "key-view", "https://api.example.org/v1"),
+    ToolConfig("second-editor", "openai", "key-click", "https://api.example.net/v1"),
+    ToolConfig("unset", "openai", "env:TURNLAKE_UNSET_KEY", "https://api.example.net/v1"),
+    ToolConfig("any-openai", "openai", "*", "https://api.example.com/v1"),
+)
+
+
+def _request_log(spark, sf):
+    """Events read as a request log: the event type decides path and credentials."""
+    log = fx.table(spark, sf, "events").select("event_id", "event_type", "props")
+    kind = F.col("event_type")
+    auth = F.when(kind.isin("click", "signup"), F.concat(F.lit("bearer  key-"), kind))
+    api_key = F.when(kind.isin("view", "error"), F.concat(F.lit("key-"), kind))
+    url = (
+        F.when(kind == "click", "/v1/chat/completions")
+        .when(kind == "purchase", "/v1/messages?beta=true")
+        .otherwise("/custom")
+    )
+    headers = F.map_from_arrays(
+        F.array_compact(F.array(F.lit("content-type"), F.when(auth.isNotNull(), F.lit("authorization")), F.when(api_key.isNotNull(), F.lit("x-api-key")))),
+        F.array_compact(F.array(F.lit("application/json"), auth, api_key)),
+    )
+    body = F.when(kind == "error", F.col("props")).otherwise(F.lit('{"messages":[]}'))
+    return log.select("event_id", url.alias("url"), headers.alias("headers"), auth.alias("auth"), api_key.alias("api_key"), body.alias("body"))
+
+
+@register(
+    "detect_format",
+    """SELECT event_id, CASE event_type WHEN 'click' THEN 'openai' WHEN 'purchase' THEN 'anthropic' WHEN 'view' THEN 'anthropic'
+              WHEN 'signup' THEN 'openai' ELSE 'unknown' END AS format FROM events""",
+)
+def detect_format(spark, sf):
+    log = _request_log(spark, sf)
+    return log.select("event_id", requests.detect_format(F.col("url"), F.col("headers"), F.col("body")).alias("format"))
+
+
+@register(
+    "tool_match",
+    """SELECT event_id, CASE event_type WHEN 'click' THEN 'editor' WHEN 'view' THEN 'terminal' WHEN 'purchase' THEN NULL
+              ELSE 'any-openai' END AS tool FROM events""",
+)
+def tool_match(spark, sf):
+    log = _request_log(spark, sf)
+    return log.select("event_id", requests.match_tool(TOOLS, F.col("auth"), F.col("api_key")).alias("tool"))
+
+
+# --- reporting --------------------------------------------------------------
+
+
+@register(
+    "turn_filter_substring",
+    o.statement(
+        """SELECT turn_id FROM fx_turns WHERE contains(lower(user_content), 'thing') OR contains(lower(assistant_content), 'thing')
+           OR contains(lower(tool), 'thing')""",
+        *o.TURNS,
+    ),
+)
+def turn_filter_substring(spark, sf):
+    return status.filter_turns(fx.stored_turns(spark, sf), "Thing").select("turn_id")
+
+
+DAYS = f"date_diff('day', ts::DATE, {o.NOW}::DATE)"
+LABEL = f"""CASE WHEN {DAYS} = 0 THEN 'Today' WHEN {DAYS} = 1 THEN 'Yesterday' WHEN {DAYS} < 7 THEN strftime(ts, '%A')
+            WHEN {DAYS} < 365 THEN strftime(ts, '%B %-d') ELSE strftime(ts, '%B %-d, %Y') END"""
+
+
+@register(
+    "date_groups",
+    o.statement(
+        f"SELECT label, count(*) AS n_turns, {o.iso('max(ts)')} AS latest FROM (SELECT ts, {LABEL} AS label FROM fx_turns) GROUP BY label",
+        *o.TURNS,
+    ),
+)
+def date_groups(spark, sf):
+    return status.date_groups(fx.stored_turns(spark, sf), fx.now())
+
+
+@register(
+    "status_counts",
+    o.statement(
+        f"""SELECT count(*) AS turn_count, count(DISTINCT session_id) AS session_count, count(DISTINCT tool) AS tool_count,
+                   {o.iso('max(ts)')} AS last_capture_at FROM fx_turns""",
+        *o.TURNS,
+    ),
+)
+def status_counts(spark, sf):
+    return status.status(fx.stored_turns(spark, sf))
+
+
+@register(
+    "relative_times",
+    f"""SELECT event_id,
+          CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || CASE WHEN s // 60 = 1 THEN ' minute ago' ELSE ' minutes ago' END
+               WHEN s < 86400 THEN (s // 3600) || CASE WHEN s // 3600 = 1 THEN ' hour ago' ELSE ' hours ago' END
+               ELSE (s // 86400) || CASE WHEN s // 86400 = 1 THEN ' day ago' ELSE ' days ago' END END AS words,
+          CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago'
+               WHEN s < 2592000 THEN (s // 86400) || 'd ago' ELSE (s // 2592000) || 'mo ago' END AS short,
+          s >= 604800 AS idle, '[' || strftime(ts, '%-I:%M %p') || ']' AS clock
+        FROM (SELECT event_id, ts, (epoch_ms(TIMESTAMP '2024-01-31') - epoch_ms(ts)) // 1000 AS s FROM events)""",
+)
+def relative_times(spark, sf):
+    now = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
+    ts = F.col("ts").cast("timestamp")
+    return fx.table(spark, sf, "events").select(
+        "event_id",
+        dates.relative_time_words(ts, now).alias("words"),
+        dates.relative_time_short(ts, now).alias("short"),
+        dates.is_idle(ts, now).alias("idle"),
+        dates.clock(ts).alias("clock"),
+    )
+
+
+CUT = f"rtrim(text[1:120], {o.quoted(tx.WHITESPACE)})"
+
+
+@register(
+    "document_display",
+    rf"""SELECT doc_id, CASE WHEN length(text) > 120 THEN {CUT} || '…' ELSE text END AS short,
+               regexp_replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'),
+                              '(?i)the', '<mark class="hl">\0</mark>', 'g') AS marked,
+               replace(text[1:60], chr(10), ' ') AS snippet,
+               CASE WHEN n_chars < 1024 THEN n_chars || ' B'
+                    ELSE printf('%.1f KB', floor(n_chars / 1024.0::DOUBLE * 10 + 0.5) / 10) END AS size
+        FROM documents""",
+)
+def document_display(spark, sf):
+    text = F.col("text")
+    return fx.table(spark, sf, "documents").select(
+        "doc_id",
+        tx.ellipsize(text, 120).alias("short"),
+        tx.highlight(text, "the").alias("marked"),
+        tx.snippet(text).alias("snippet"),
+        tx.format_bytes(F.col("n_chars")).alias("size"),
+    )
+
+
+# --- vectors ----------------------------------------------------------------
+
+DIMENSIONS = 64
+
+
+def _query_vector(spark, sf):
+    """Vector of the lowest id, used as the question."""
+    return fx.table(spark, sf, "embeddings").agg(F.min_by("embedding", "vec_id")).scalar()
+
+
+COSINE = """round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE),
+                  (SELECT list_transform(arg_min(embedding, vec_id), lambda x: x::DOUBLE) FROM embeddings)), 6)"""
+
+
+@register("vector_topk", f"SELECT vec_id AS id, {COSINE} AS score FROM embeddings ORDER BY score DESC, id LIMIT 16")
+def vector_topk(spark, sf):
+    rows = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return vectors.nearest(rows, "id", "embedding", _query_vector(spark, sf), DIMENSIONS, 16)
+
+
+@register(
+    "hybrid_rrf",
+    o.statement(
+        """SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM (
+             SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r
+             FROM (SELECT * FROM d_score ORDER BY score DESC, doc_id LIMIT 16)
+             UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM near)
+           GROUP BY id ORDER BY score DESC, id LIMIT 8""",
+        extra={
+            **o.bm25_ctes("documents", "doc_id", "text", "d"),
+            "near": f"SELECT vec_id AS id, {COSINE} AS score FROM embeddings ORDER BY score DESC, id LIMIT 16",
+        },
+    ),
+)
+def hybrid_rrf(spark, sf):
+    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    lexical = bm25.search(docs, F.col("text"), fx.QUERY, "id", 16).select("id", "score")
+    return vectors.fuse([lexical, vector_topk(spark, sf)], "id", 8)
+
+
+EMBEDDED = {
+    "weights": f"""SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS bucket, ln(1 + count(*)::DOUBLE) AS weight
+                   FROM (SELECT doc_id, unnest({o.words('text')}) AS term FROM documents
+                         WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) GROUP BY ALL""",
+    "norms": "SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM weights GROUP BY doc_id",
+}
+
+
+@register(
+    "embed_missing",
+    o.statement(
+        "SELECT doc_id, bucket, round(weight / norm, 4) AS value FROM weights JOIN norms USING (doc_id)", extra=EMBEDDED
+    ),
+)
+def embed_missing(spark, sf):
+    """Vectors of documents that have none yet, listed by their non-zero entries."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    known = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    embedded = vectors.embed(vectors.lacking(docs, known, "doc_id"), "doc_id", F.col("text"), DIMENSIONS)
+    entries = embedded.select("doc_id", F.posexplode("embedding").alias("bucket", "v")).filter("v <> 0")
+    return entries.select(
+        "doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round(F.col("v").cast("double"), 4).alias("value")
+    )
+
+
+# --- files and streams ------------------------------------------------------
+
+
+@register(
+    "wallet_roundtrip",
+    o.statement(PARSED.replace("fingerprint,", ""), *o.TURNS),
+)
+def wallet_roundtrip(spark, sf):
+    """Turn documents written as markdown files and scanned back."""
+    root = fresh_dir(spark, "wallet")
+    written = sinks.export_markdown(
+        _turn_documents(spark, sf).select(F.concat(F.lit("turns/"), F.col("path")).alias("path"), "content"), root
+    )
+    failures = written.filter(~F.col("ok")).count()
+    if failures:
+        raise RuntimeError(f"{failures} files could not be written below {root}")
+    parsed = documents.parse_turns_lenient(wallet.scan(spark, root, "turns").select("content"))
+    return parsed.drop("content")
+
+
+@register("stream_ingest_turns", o.statement("SELECT * FROM pairs", "spoken", "pairs"))
+def stream_ingest_turns(spark, sf):
+    """Captures written as files, ingested by a stream in micro-batches."""
+    root = fresh_dir(spark, "ingest")
+    turns.capture_records(fx.table(spark, sf, "conversations")).write.parquet(f"{root}/captures")
+    stream = ingest.capture_stream(spark, f"{root}/captures", files_per_trigger=4)
+    query = ingest.start_ingest(stream, f"{root}/out", f"{root}/checkpoint", availableNow=True)
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/out/turns").select(*ingest.TURN_COLUMNS)
