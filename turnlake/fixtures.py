@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from turnlake.functions import dates, text
 from turnlake.operators import slices, turns
 from turnlake.session import prepare
+from turnlake.sources.tables import spread
 
 NOW = "2024-05-01 00:00:00"
 QUERY = "thing from this"
@@ -26,6 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def conversation_ts(conv_id: Column) -> Column:
     return F.timestamp_millis(
         F.unix_millis(F.to_timestamp(F.lit("2024-01-01 00:00:00")))

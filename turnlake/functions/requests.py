@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from turnlake.config import ToolConfig, resolve_key
-from turnlake.functions.text import js_trim, strip_bearer
+from turnlake.functions.text import bind, js_trim, strip_bearer
 
 # --- fixed values -----------------------------------------------------------
 OPENAI_ROLES = ("system", "user", "assistant", "tool", "function")
@@ -45,7 +45,7 @@ def at(value: Column, path: str) -> Column:
 
 def string_at(value: Column, path: str) -> Column:
     """The string at a path; NULL for any other JSON type."""
-    return F.when(kind(at(value, path)) == "STRING", F.try_variant_get(value, path, "string"))
+    return bind(at(value, path), lambda found: F.when(kind(found) == "STRING", found.try_cast("string")))
 
 
 def array_at(value: Column, path: str) -> Column:
@@ -203,21 +203,35 @@ def _json_answer(body: Column, provider: Column) -> Column:
 def _sse_answer(text: Column, provider: Column) -> Column:
     marked = F.filter(F.split(text, "\n"), lambda line: line.startswith(SSE_PREFIX))
     payloads = F.transform(marked, lambda line: js_trim(F.substring(line, len(SSE_PREFIX) + 1, 2**31 - 1)))
-    end = F.array_position(payloads, SSE_END)
-    before_end = F.when(end > 0, F.slice(payloads, F.lit(1), end.cast("int") - 1)).otherwise(payloads)
 
-    def delta(payload: Column) -> Column:
-        chunk = F.try_parse_json(payload)
-        anthropic = F.when(string_at(chunk, "$.delta.type") == "text_delta", string_at(chunk, "$.delta.text"))
-        return F.when(provider == "anthropic", anthropic).otherwise(string_at(chunk, "$.choices[0].delta.content"))
+    def up_to_end(lines: Column) -> Column:
+        end = F.array_position(lines, SSE_END)
+        return F.when(end > 0, F.slice(lines, F.lit(1), end.cast("int") - 1)).otherwise(lines)
 
-    return F.nullif(F.array_join(F.transform(before_end, delta), ""), F.lit(""))
+    def anthropic_text(chunk: Column) -> Column:
+        return F.when(string_at(chunk, "$.delta.type") == "text_delta", string_at(chunk, "$.delta.text"))
+
+    def openai_text(chunk: Column) -> Column:
+        return string_at(chunk, "$.choices[0].delta.content")
+
+    def joined(chunks: Column) -> Column:
+        deltas = F.when(provider == "anthropic", F.transform(chunks, anthropic_text)).otherwise(
+            F.transform(chunks, openai_text)
+        )
+        return F.nullif(F.array_join(deltas, ""), F.lit(""))
+
+    chunks = F.transform(bind(payloads, up_to_end), lambda payload: F.try_parse_json(payload))
+    return bind(chunks, joined)
 
 
 def assistant_answer(response: Column, provider: Column) -> Column:
     """Answer text of a JSON or event-stream response body; NULL when there is none."""
-    body = F.try_parse_json(response)
-    return F.when(body.isNotNull(), _json_answer(body, provider)).otherwise(_sse_answer(response, provider))
+    return bind(
+        F.try_parse_json(response),
+        lambda body: F.when(body.isNotNull(), _json_answer(body, provider)).otherwise(
+            _sse_answer(response, provider)
+        ),
+    )
 
 
 def json_string(text: Column) -> Column:
@@ -241,7 +255,7 @@ def inject_system(body_json: Column, request_format: Column, block: Column) -> C
         F.when(string_at(body, "$.system").isNotNull(), json_string(F.concat_ws("\n\n", string_at(body, "$.system"), block)))
         .when(
             old_array.isNotNull(),
-            F.concat(F.lit("["), F.array_join(F.concat(F.transform(old_array, F.to_json), F.array(part)), ","), F.lit("]")),
+            F.concat(F.lit("["), F.array_join(F.concat(F.transform(old_array, lambda block: F.to_json(block)), F.array(part)), ","), F.lit("]")),
         )
         .when(old.isNull(), json_string(block))
         .otherwise(F.to_json(old))
@@ -261,7 +275,7 @@ def inject_system(body_json: Column, request_format: Column, block: Column) -> C
 
     in_front = F.concat(F.lit('{"role":"system","content":'), json_string(block), F.lit("}"))
     listed = F.when(F.array_contains(flags, True), F.transform(messages, appended)).otherwise(
-        F.concat(F.array(in_front), F.transform(messages, F.to_json))
+        F.concat(F.array(in_front), F.transform(messages, lambda m: F.to_json(m)))
     )
     new_messages = F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]"))
 

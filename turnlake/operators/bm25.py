@@ -100,9 +100,16 @@ def search(docs: DataFrame, body: Column, query: str, key: str, limit: int | Non
 
 
 def postings(docs: DataFrame, body: Column, key: str) -> DataFrame:
-    """(term, key, tf): repetitions are combined before the shuffle."""
+    """(key, term, tf).
+
+    Texts are distributed by document first. That is the only shuffle: the
+    counts group by (key, term), which the distribution by key already serves,
+    and texts take less room than the postings made of them.
+    """
     return (
-        docs.select(key, F.explode(tx.word_tokens(body)).alias("term"))
+        docs.select(key, body.alias("_body"))
+        .repartition(key)
+        .select(key, F.explode(tx.word_tokens(F.col("_body"))).alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

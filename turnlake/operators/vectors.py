@@ -13,21 +13,21 @@ RRF_K = 60  # Cormack, Clarke & Buettcher 2009
 SCORE_DIGITS = 6
 
 
-def dot(a: Column, b: Column, size: int) -> Column:
-    """Unrolled over the dimensions, so it compiles to plain arithmetic."""
-    return reduce(lambda x, y: x + y, [F.get(a, i).cast("double") * F.get(b, i).cast("double") for i in range(size)])
+def dot(a: Column, b: Column) -> Column:
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda total, product: total + product)
 
 
-def cosine(a: Column, b: Column, size: int) -> Column:
-    norms = F.sqrt(dot(a, a, size)) * F.sqrt(dot(b, b, size))
-    return F.when(norms > 0, dot(a, b, size) / norms).otherwise(F.lit(0.0))
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
 
 
-def nearest(vectors: DataFrame, key: str, column: str, query: Column, size: int, limit: int) -> DataFrame:
+def nearest(vectors: DataFrame, key: str, column: str, query: Column, limit: int) -> DataFrame:
     """(key, score): exact cosine top ``limit``; a heap per task, no shuffle of vectors."""
-    scored = vectors.withColumn("_query", query).select(
-        key, F.round(cosine(F.col(column), F.col("_query"), size), SCORE_DIGITS).alias("score")
-    )
+    prepared = vectors.select(key, F.col(column).alias("_v")).withColumn("_query", query)
+    norms = norm(F.col("_v")) * norm(F.col("_query"))
+    cosine = F.when(norms > 0, dot(F.col("_v"), F.col("_query")) / norms).otherwise(F.lit(0.0))
+    scored = prepared.select(key, F.round(cosine, SCORE_DIGITS).alias("score"))
     return scored.orderBy(F.desc("score"), F.asc(key)).limit(limit)
 
 
@@ -50,7 +50,9 @@ def hashed_bucket(term: Column, size: int) -> Column:
 def hashed_weights(docs: DataFrame, key: str, body: Column, size: int) -> DataFrame:
     """(key, bucket, weight): log-scaled term counts hashed into ``size`` buckets."""
     return (
-        docs.select(key, F.explode(tx.word_tokens(body)).alias("term"))
+        docs.select(key, body.alias("_body"))
+        .repartition(key)
+        .select(key, F.explode(tx.word_tokens(F.col("_body"))).alias("term"))
         .groupBy(key, hashed_bucket(F.col("term"), size).alias("bucket"))
         .agg(F.log1p(F.count(F.lit(1)).cast("double")).alias("weight"))
     )

@@ -8,18 +8,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-
-def _inflate(body: bytes | None) -> bytes | None:
-    try:
-        return None if body is None else gzip.decompress(body)
-    except (OSError, EOFError, zlib.error):
-        return body
-
-
-@F.pandas_udf("binary")
-def _gunzip(bodies: pd.Series) -> pd.Series:
-    return bodies.map(_inflate)
+from pyspark.sql.types import BinaryType
 
 
 def response_text(body: Column, encoding: Column) -> Column:
@@ -28,5 +17,16 @@ def response_text(body: Column, encoding: Column) -> Column:
     Spark has no expression for inline gzip, hence the Arrow-batched function;
     uncompressed rows do not depend on its result.
     """
+
+    def inflate(data: bytes | None) -> bytes | None:
+        try:
+            return None if data is None else gzip.decompress(data)
+        except (OSError, EOFError, zlib.error):
+            return data
+
+    @F.pandas_udf(BinaryType())
+    def gunzip(bodies: pd.Series) -> pd.Series:
+        return bodies.map(inflate)
+
     packed = F.coalesce(F.lower(encoding).isin("gzip", "deflate"), F.lit(False))
-    return F.when(packed, F.decode(_gunzip(body), "UTF-8")).otherwise(F.decode(body, "UTF-8"))
+    return F.when(packed, F.decode(gunzip(body), "UTF-8")).otherwise(F.decode(body, "UTF-8"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -24,28 +25,38 @@ def append_by_day(rows: DataFrame, path: str, ts: str = "ts", day: str = "turn_d
     dated.hint("rebalance", day).write.mode("append").partitionBy(day).parquet(path)
 
 
-def current_version(spark: SparkSession, base: str) -> int | None:
-    """Newest snapshot number below ``base``; NULL before the first write."""
+def _current(spark: SparkSession, base: str):
+    """(version, folder) of the newest complete snapshot, or None."""
     try:
-        return spark.read.parquet(base).agg(F.max("v")).first()[0]
+        log = spark.read.schema("version bigint, folder string").parquet(f"{base}/log")
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+    return log.agg(F.max(F.struct("version", "folder")).alias("last")).first()["last"]
 
 
 def read_snapshot(spark: SparkSession, base: str, schema: str) -> DataFrame:
     """Rows of the newest snapshot; an empty table before the first write."""
-    version = current_version(spark, base)
-    if version is None:
+    current = _current(spark, base)
+    if current is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{base}/v={version}")
+    return spark.read.schema(schema).parquet(f"{base}/{current['folder']}")
 
 
 def write_snapshot(rows: DataFrame, base: str) -> int:
-    """Write the next snapshot beside the old ones, which stay readable meanwhile."""
-    version = (current_version(rows.sparkSession, base) or 0) + 1
-    rows.write.mode("errorifexists").parquet(f"{base}/v={version}")
+    """Write the next snapshot beside the old ones, which stay readable meanwhile.
+
+    A snapshot counts only once its log row is written, so a failed write
+    leaves the previous one current.
+    """
+    spark = rows.sparkSession
+    current = _current(spark, base)
+    version = 1 if current is None else current["version"] + 1
+    folder = f"snapshot-{version:08d}-{uuid.uuid4().hex}"
+    rows.write.mode("errorifexists").parquet(f"{base}/{folder}")
+    entry = spark.createDataFrame([(version, folder)], "version bigint, folder string")
+    entry.coalesce(1).write.mode("append").parquet(f"{base}/log")
     return version
 
 

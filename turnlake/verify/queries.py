@@ -107,7 +107,7 @@ def context_fingerprint(spark, sf):
     "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS min_id FROM documents GROUP BY sha256(text)",
 )
 def content_hash_dedup(spark, sf):
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.documents(spark, sf)
     return (
         docs.select("doc_id", tx.content_hash(F.col("text")).alias("hash"))
         .groupBy("hash")
@@ -123,7 +123,7 @@ def content_hash_dedup(spark, sf):
         FROM (SELECT doc_id, text, {o.redact('text')} AS redacted FROM documents)""",
 )
 def redact_documents(spark, sf):
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.documents(spark, sf)
     return docs.select(
         "doc_id",
         redaction.redact_secrets(F.col("text")).alias("redacted"),
@@ -159,7 +159,7 @@ def postings(spark, sf):
                round(sum(len({o.words('text')}))::DOUBLE / count(*), 6) AS avgdl FROM documents""",
 )
 def doc_stats(spark, sf):
-    lengths = bm25.document_lengths(fx.table(spark, sf, "documents"), F.col("text"), "doc_id")
+    lengths = bm25.document_lengths(fx.documents(spark, sf), F.col("text"), "doc_id")
     return lengths.agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.sum("dl").alias("total_terms"),
@@ -186,7 +186,7 @@ def bm25_search(spark, sf):
     "bm25_scores", o.statement("SELECT doc_id, score FROM d_score", extra=o.bm25_ctes("documents", "doc_id", "text", "d"))
 )
 def bm25_scores(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    docs = fx.documents(spark, sf).select("doc_id", "text")
     return bm25.search(docs, F.col("text"), fx.QUERY, "doc_id").select("doc_id", "score")
 
 
@@ -208,7 +208,7 @@ def bm25_scores(spark, sf):
 def search_collections(spark, sf):
     terms = tx.query_terms(fx.QUERY)
     messages = fx.table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "text")
-    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = fx.documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
     by_message = bm25.count_terms(messages, F.col("text"), terms)
     return search.search_collections(
         {
@@ -323,7 +323,7 @@ def truncate_assistant(spark, sf):
     f"SELECT doc_id, {o.truncate('text')} AS text FROM documents",
 )
 def truncate_documents(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", tx.truncate_assistant(F.col("text")).alias("text"))
+    return fx.documents(spark, sf).select("doc_id", tx.truncate_assistant(F.col("text")).alias("text"))
 
 
 @register(
@@ -566,7 +566,7 @@ def normalize_path(spark, sf):
 )
 def normalize_document_paths(spark, sf):
     """Whole texts as file names; separators inside them would be folders or suffixes."""
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.documents(spark, sf)
     name = F.translate("text", "/._", "   ")
     path = tx.normalize_path(F.concat("source", F.lit("/"), name, F.lit(".md")))
     return docs.select("doc_id", path.alias("path")).filter(F.col("path").isNotNull())
@@ -597,7 +597,7 @@ def turn_index_rows(spark, sf):
 
 def _snapshots(spark, sf):
     """Indexed: documents but the German ones. Scanned: redacted, without source src0."""
-    docs = fx.table(spark, sf, "documents").withColumn("path", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".md")))
+    docs = fx.documents(spark, sf).withColumn("path", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".md")))
     indexed = docs.filter(F.col("lang") != "de")
     scanned = docs.filter(F.col("source") != "src0").withColumn("text", redaction.redact_secrets(F.col("text")))
     describe = lambda df: reconcile.described(df, "documents", F.col("path"), F.col("text"))
@@ -1103,7 +1103,7 @@ CUT = f"rtrim(text[1:120], {o.quoted(tx.WHITESPACE)})"
 )
 def document_display(spark, sf):
     text = F.col("text")
-    return fx.table(spark, sf, "documents").select(
+    return fx.documents(spark, sf).select(
         "doc_id",
         tx.ellipsize(text, 120).alias("short"),
         tx.highlight(text, "the").alias("marked"),
@@ -1129,7 +1129,7 @@ COSINE = """round(list_cosine_similarity(list_transform(embedding, lambda x: x::
 @register("vector_topk", f"SELECT vec_id AS id, {COSINE} AS score FROM embeddings ORDER BY score DESC, id LIMIT 16")
 def vector_topk(spark, sf):
     rows = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return vectors.nearest(rows, "id", "embedding", _query_vector(spark, sf), DIMENSIONS, 16)
+    return vectors.nearest(rows, "id", "embedding", _query_vector(spark, sf), 16)
 
 
 @register(
@@ -1147,7 +1147,7 @@ def vector_topk(spark, sf):
     ),
 )
 def hybrid_rrf(spark, sf):
-    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = fx.documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
     lexical = bm25.search(docs, F.col("text"), fx.QUERY, "id", 16).select("id", "score")
     return vectors.fuse([lexical, vector_topk(spark, sf)], "id", 8)
 
@@ -1168,7 +1168,7 @@ EMBEDDED = {
 )
 def embed_missing(spark, sf):
     """Vectors of documents that have none yet, listed by their non-zero entries."""
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    docs = fx.documents(spark, sf).select("doc_id", "text")
     known = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
     embedded = vectors.embed(vectors.lacking(docs, known, "doc_id"), "doc_id", F.col("text"), DIMENSIONS)
     entries = embedded.select("doc_id", F.posexplode("embedding").alias("bucket", "v")).filter("v <> 0")
