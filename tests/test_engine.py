@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnlake.config import Config, InjectionConfig, ToolConfig
 from turnlake.engine import REQUEST_COLUMNS, MemoryEngine
-from turnlake.operators import bm25, documents, index
+from turnlake.operators import bm25, documents, index, vectors
 from turnlake.sources import wallet
 
 CONFIG = Config(tools=(ToolConfig("editor", "openai", "k", ""),), injection=InjectionConfig(min_relevance_score=0.05))
@@ -100,8 +100,9 @@ def test_search_and_inject(engine):
 def test_vectors_join_the_ranking(engine):
     assert engine.reconcile() == {"indexed": 0, "removed": 0, "embedded": 7}
     assert engine.reconcile()["embedded"] == 0
-    vector = engine._table("vectors", "turn_id string, embedding array<float>").first().embedding
-    assert engine.search_turns("watermark", now(), query_vector=vector).count() == 0  # fused scores are below the threshold
+    vector = vectors.embed_query(engine.spark, "What is a watermark in streaming?")
+    best = engine.search_turns("watermark", now(), query_vector=vector).first()
+    assert best.user_content == "What is a watermark in streaming?" and best.score >= 1.0
     assert engine.search_memories("watermark").count() >= 1
 
 
@@ -155,7 +156,8 @@ def test_extraction(engine):
 
 def test_wallet_export(engine, spark, tmp_path):
     root = str(tmp_path)
-    assert engine.export_markdown(root).filter("ok").count() == engine.turns().count() + engine.memories().count()
+    assert engine.export_markdown(root).filter("ok").count() == engine.turns().count() + engine.memories().count() + 4
+    assert sorted(r.n for r in wallet.captures(spark, root).collect()) == [2, 2, 4, 6]
     rows = wallet.turns(spark, root).collect()
     assert len(rows) == 7 and rows[0].timestamp >= rows[-1].timestamp
     assert wallet.turn(spark, root, "turn_conv_r0_0").first().user_content.startswith("How do I")

@@ -187,3 +187,18 @@ def test_message_lists(spark):
 def test_forwardable_headers(spark):
     df = spark.sql("SELECT map('Host','h','Connection','x','TE','y') AS h")
     assert df.select(rq.forwardable_headers(F.col("h"))).first()[0] == {"Host": "h"}
+
+
+def test_replace_system(value):
+    rebuild = lambda body, form, prompt: json.loads(
+        value(lambda c, p: rq.replace_system(c, F.lit(form), p), json.dumps(body), prompt)
+    )
+    user = {"role": "user", "content": "q"}
+    body = {"model": "m", "x": [1], "messages": [{"role": "system", "content": "old"}, user]}
+    assert rebuild(body, "openai", "new") == {**body, "messages": [{"role": "system", "content": "new"}, user]}
+    assert rebuild(body, "openai", None) == {**body, "messages": [user]}
+    plain = {"model": "m", "max_tokens": 1, "messages": [user]}
+    assert rebuild(plain, "anthropic", "new") == {**plain, "system": "new"}
+    assert rebuild({**plain, "system": "old"}, "anthropic", "new")["system"] == "new\n\nold"
+    assert rebuild({**plain, "system": [{"type": "text", "text": "o"}]}, "anthropic", "n")["system"][0] == {"type": "text", "text": "n"}
+    assert rebuild({**plain, "system": "old"}, "anthropic", None) == plain

@@ -166,8 +166,8 @@ class MemoryEngine:
         if query_vector is not None:
             stored = self._table("vectors", "turn_id string, embedding array<float>")
             if not stored.isEmpty():
-                near = vectors.nearest(stored, "turn_id", "embedding", F.array(*map(F.lit, query_vector)), 2 * limit)
-                hits = vectors.fuse([hits, near], "turn_id", 2 * limit)
+                near = vectors.nearest(stored, "turn_id", "embedding", F.lit(list(query_vector)), 2 * limit)
+                hits = vectors.fuse([hits, near], "turn_id", 2 * limit, unit=True)
         # At most 2 * limit hits are broadcast; the turn table is never shuffled.
         fetched = self.turns().join(F.broadcast(hits), "turn_id")
         return search.rerank_turns(
@@ -209,8 +209,11 @@ class MemoryEngine:
 
     # --- maintenance --------------------------------------------------------
 
-    def reconcile(self, embed: bool = True) -> dict[str, int]:
-        """Index turns the index lacks, drop vanished ones, embed what has no vector."""
+    def reconcile(self, embed: bool = True, embedder=vectors.embed) -> dict[str, int]:
+        """Index turns the index lacks, drop vanished ones, embed what has no vector.
+
+        ``embedder(docs, key, text)`` returns (key, embedding); a model goes here.
+        """
         base = f"{self.root}/index"
         indexed = index.keys(self.spark, base, "turn_id")
         stored = self.turns()
@@ -222,7 +225,7 @@ class MemoryEngine:
         if embed:
             known = self._table("vectors", "turn_id string, embedding array<float>")
             lacking = vectors.lacking(stored, known, "turn_id")
-            new = cut_lineage(vectors.embed(lacking, "turn_id", search.turn_text()))
+            new = cut_lineage(embedder(lacking, "turn_id", search.turn_text()))
             counts["embedded"] = new.count()
             if counts["embedded"]:
                 new.write.mode("append").parquet(f"{self.root}/vectors")
@@ -272,14 +275,26 @@ class MemoryEngine:
         return memories.profile_lines(self.memories().withColumn("wallet_id", F.lit(self.root)))
 
     def regenerate_profile(self, model) -> str:
-        """Profile text from the live high-confidence memories; empty when there are none."""
-        parts = extraction.profile_prompt_parts(self.profile_lines()).select(
-            F.col("part").cast("string").alias("part"), "prompt"
-        )
-        answers = extraction.ask(parts, "part", model).filter(F.col("error").isNull())
-        # One model answer per part of 4096 memories.
-        texts = [row.content for row in answers.orderBy(F.col("part").cast("bigint")).collect()]
-        profile = "\n".join(texts).strip(tx.WHITESPACE)
+        """Profile text from the live high-confidence memories; empty when there are none.
+
+        The model sees 4096 memories at a time. Its answers are summarised in
+        the same way until one is left, so one text reaches the driver.
+        """
+        lines = self.profile_lines()
+        profile = ""
+        while not lines.isEmpty():
+            parts = extraction.profile_prompt_parts(lines).select(F.col("part").cast("string").alias("part"), "prompt")
+            answers = extraction.ask(parts, "part", model)
+            failed = answers.filter(F.col("error").isNotNull())
+            if not failed.isEmpty():
+                raise RuntimeError(f"profile not regenerated: {failed.first().error}")
+            if answers.count() == 1:
+                profile = answers.first().content.strip(tx.WHITESPACE)
+                break
+            number = F.col("part").cast("bigint") + 1
+            lines = answers.select(
+                F.lit(self.root).alias("wallet_id"), number.alias("n"), F.concat(number, F.lit(". "), "content").alias("line")
+            )
         sinks.write_text(f"{self.root}/profile.md", profile)
         return profile
 
@@ -296,7 +311,13 @@ class MemoryEngine:
         return status.date_groups(self.turns(), now)
 
     def export_markdown(self, folder: str) -> DataFrame:
-        """Turns and memories as markdown files of a file-based wallet."""
+        """Conversations, turns and memories as markdown files of a file-based wallet."""
+        capture_docs = self.captures().select(
+            F.concat(
+                F.lit("conversations/"), documents.capture_path(F.col("capture_id"), F.col("tool"), F.col("ts"))
+            ).alias("path"),
+            documents.render_capture().alias("content"),
+        )
         turn_docs = self.turns().select(
             F.concat(F.lit("turns/"), documents.turn_path()).alias("path"), documents.render_turn().alias("content")
         )
@@ -304,7 +325,7 @@ class MemoryEngine:
             F.concat(F.lit("memories/"), "memory_id", F.lit(".md")).alias("path"),
             documents.render_memory().alias("content"),
         )
-        return sinks.export_markdown(turn_docs.unionByName(memory_docs), folder)
+        return sinks.export_markdown(capture_docs.unionByName(turn_docs).unionByName(memory_docs), folder)
 
     @property
     def last_capture_day(self) -> str | None:

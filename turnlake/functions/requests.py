@@ -240,6 +240,34 @@ def json_string(text: Column) -> Column:
     return F.substring(boxed, F.lit(2), F.length(boxed) - 2)
 
 
+def replace_system(body_json: Column, request_format: Column, prompt: Column) -> Column:
+    """Request body rebuilt with a given system prompt, other fields kept.
+
+    For openai the prompt replaces all system messages. For anthropic it goes in
+    front of the existing ``system``; a NULL prompt removes either.
+    """
+    fields = F.from_json(body_json, "map<string,variant>")
+    body = F.try_parse_json(body_json)
+    message = F.concat(F.lit('{"role":"system","content":'), json_string(prompt), F.lit("}"))
+    others = F.filter(array_at(body, "$.messages"), lambda m: string_at(m, "$.role") != F.lit("system"))
+    rest = F.transform(others, lambda m: F.to_json(m))
+    listed = F.when(prompt.isNull(), rest).otherwise(F.concat(F.array(message), rest))
+
+    block = F.concat(F.lit('{"type":"text","text":'), json_string(prompt), F.lit("}"))
+    blocks = F.concat(F.array(block), F.transform(array_at(body, "$.system"), lambda b: F.to_json(b)))
+    system = (
+        F.when(array_at(body, "$.system").isNotNull(), F.concat(F.lit("["), F.array_join(blocks, ","), F.lit("]")))
+        .when(string_at(body, "$.system").isNotNull(), json_string(F.concat_ws("\n\n", prompt, string_at(body, "$.system"))))
+        .otherwise(json_string(prompt))
+    )
+    anthropic = request_format == "anthropic"
+    target = F.when(anthropic, F.lit("system")).otherwise(F.lit("messages"))
+    value = F.when(anthropic, system).otherwise(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")))
+    kept = F.map_filter(fields, lambda k, _: k != target)
+    rebuilt = F.map_concat(kept, F.create_map(target, F.try_parse_json(value)))
+    return F.to_json(F.when(anthropic & prompt.isNull(), kept).otherwise(rebuilt))
+
+
 def inject_system(body_json: Column, request_format: Column, block: Column) -> Column:
     """Request body with a block appended to the system prompt, other fields kept.
 

@@ -153,6 +153,25 @@ def conversation_parts(messages: DataFrame, attributes: dict[str, Column]) -> Da
     return parts.select("conv_id", part.alias("part"), whole.alias("text"))
 
 
+def render_capture() -> Column:
+    """Document of one captured request: capture columns and its message array."""
+    matter = front_matter(
+        {
+            "id": F.col("capture_id"),
+            "tool": F.col("tool"),
+            "provider": F.col("provider"),
+            "model": F.col("model"),
+            "timestamp": dates.iso_utc(F.col("ts")),
+            "tokenEstimate": F.aggregate(
+                "messages", F.lit(0).cast("bigint"), lambda total, m: total + tx.message_tokens(m["content"])
+            ),
+            "incognito": F.col("incognito"),
+        }
+    )
+    sections = F.transform("messages", lambda m: section(m["role"], m["content"]))
+    return F.concat(matter, F.lit("\n\n"), F.array_join(sections, "\n\n"))
+
+
 def conversation_tokens(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(
         F.sum(tx.message_tokens(F.col("text"))).cast("bigint").alias("tokens")

@@ -6,7 +6,8 @@ Layout below one folder, each written in generations ``g=n``:
   range-sorted by (bucket, term, key), so that a frequent term spreads over
   several files while a query term is found by partition and row-group pruning;
 * ``terms``: term, bucket, df;
-* ``corpus``: one row with the number of documents and their total length;
+* ``corpus``: one row with the number of documents, their total length and the
+  number of buckets, which the first generation fixes;
 * ``removed``: keys superseded by this generation.
 
 Adding documents appends a generation. Document frequencies are sums over
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 from turnlake.functions import text as tx
 from turnlake.operators import bm25
 
-BUCKETS = 64
+BUCKETS = 16  # for a small store; thousands suit a large one
 
 
-def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
+def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
@@ -39,13 +40,15 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def generation(spark: SparkSession, base: str) -> int:
-    """Newest complete generation, 0 for an empty index.
+def layout(spark: SparkSession, base: str) -> tuple[int, int | None]:
+    """(newest complete generation, buckets); (0, None) for an empty index.
 
     ``corpus`` is written last, so it only lists complete generations.
     """
     corpus = _read(spark, f"{base}/corpus")
-    return 0 if corpus is None else corpus.agg(F.max("g")).first()[0]
+    if corpus is None:
+        return 0, None
+    return tuple(corpus.agg(F.max("g"), F.max("buckets")).first())
 
 
 def _live(postings: DataFrame, removed: DataFrame | None, key: str) -> DataFrame:
@@ -57,10 +60,13 @@ def _live(postings: DataFrame, removed: DataFrame | None, key: str) -> DataFrame
     return joined.filter(F.col("_gone").isNull() | (F.col("g") >= F.col("_gone"))).drop("_gone")
 
 
-def add(docs: DataFrame, key: str, body: Column, base: str, removed: DataFrame | None = None) -> int:
+def add(
+    docs: DataFrame, key: str, body: Column, base: str, removed: DataFrame | None = None, buckets: int = BUCKETS
+) -> int:
     """Index documents as the next generation; ``removed`` names keys to drop or replace."""
     spark = docs.sparkSession
-    last = generation(spark, base)
+    last, fixed = layout(spark, base)
+    buckets = fixed or buckets
     if removed is None and docs.isEmpty():
         return last
     g = last + 1
@@ -71,7 +77,7 @@ def add(docs: DataFrame, key: str, body: Column, base: str, removed: DataFrame |
         .select(key, F.size("_words").cast("bigint").alias("dl"), F.explode_outer("_words").alias("term"))
         .groupBy(key, "dl", "term")
         .agg(F.count("term").alias("tf"))
-        .withColumn("bucket", bucket_of(F.coalesce("term", F.lit(""))))
+        .withColumn("bucket", bucket_of(F.coalesce("term", F.lit("")), buckets))
     )
     target = f"{base}/postings/g={g}"
     sorted_rows = counted.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key)
@@ -100,7 +106,9 @@ def add(docs: DataFrame, key: str, body: Column, base: str, removed: DataFrame |
     ).partitionBy("bucket").parquet(f"{base}/terms/g={g}")
     corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"))
     corpus.withColumn("_lost", n_lost.scalar()).select(
-        (F.col("n") - F.col("_lost.n")).alias("n"), (F.col("dl") - F.col("_lost.dl")).alias("dl")
+        (F.col("n") - F.col("_lost.n")).alias("n"),
+        (F.col("dl") - F.col("_lost.dl")).alias("dl"),
+        F.lit(buckets).alias("buckets"),
     ).write.mode("overwrite").parquet(f"{base}/corpus/g={g}")
     return g
 
@@ -108,10 +116,10 @@ def add(docs: DataFrame, key: str, body: Column, base: str, removed: DataFrame |
 def search(spark: SparkSession, base: str, key: str, query: str, limit: int) -> DataFrame:
     """(key, score) of the best ``limit`` documents; reads the query terms' buckets only."""
     terms = tx.query_terms(query)
-    last = generation(spark, base)
+    last, buckets = layout(spark, base)
     if not terms or last == 0:
         return spark.createDataFrame([], f"{key} string, score double")
-    wanted = F.col("bucket").isin([bucket_of(F.lit(t)) for t in terms]) & F.col("term").isin(terms) & (F.col("g") <= last)
+    wanted = F.col("bucket").isin([bucket_of(F.lit(t), buckets) for t in terms]) & F.col("term").isin(terms) & (F.col("g") <= last)
     corpus = spark.read.parquet(f"{base}/corpus").filter(F.col("g") <= last)
     totals = corpus.agg(
         F.struct(F.sum("n").cast("double").alias("n"), (F.sum("dl") / F.sum("n")).cast("double").alias("avgdl"))
@@ -138,7 +146,7 @@ def search(spark: SparkSession, base: str, key: str, query: str, limit: int) ->
 
 def keys(spark: SparkSession, base: str, key: str, key_type: str = "string") -> DataFrame:
     """Keys of the documents the index holds."""
-    last = generation(spark, base)
+    last, _ = layout(spark, base)
     if last == 0:
         return spark.createDataFrame([], f"{key} {key_type}")
     postings = spark.read.parquet(f"{base}/postings").filter(F.col("g") <= last).select(key, "g")

@@ -111,9 +111,10 @@ def apply_actions(memories: DataFrame, resolved: DataFrame, now: Column) -> Data
     source, valid_from, action, target_id, applied. A target that has already
     ended keeps its end.
     """
-    applied = resolved.filter("applied")
+    # Targets that do not exist find no row to end, so ``applied`` is not needed
+    # here and the look-up behind it is not run for this branch.
     ended = (
-        applied.filter(F.col("action").isin("UPDATE", "INVALIDATE"))
+        resolved.filter(F.col("action").isin("UPDATE", "INVALIDATE"))
         .select(F.col("target_id").alias("memory_id"))
         .distinct()
         .withColumn("_ended", F.lit(True))
@@ -121,7 +122,7 @@ def apply_actions(memories: DataFrame, resolved: DataFrame, now: Column) -> Data
     kept = memories.join(ended, "memory_id", "left").withColumn(
         "invalidated_at", F.when(F.col("_ended"), F.coalesce("invalidated_at", now)).otherwise(F.col("invalidated_at"))
     )
-    added = applied.filter(F.col("action").isin("ADD", "UPDATE")).select(
+    added = resolved.filter(F.col("applied") & F.col("action").isin("ADD", "UPDATE")).select(
         tx.derived_id("mem", F.col("fact_id")).alias("memory_id"),
         "text",
         "category",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions import text as tx
@@ -31,15 +31,19 @@ def nearest(vectors: DataFrame, key: str, column: str, query: Column, limit: int
     return scored.orderBy(F.desc("score"), F.asc(key)).limit(limit)
 
 
-def fuse(lists: list[DataFrame], key: str, limit: int) -> DataFrame:
-    """Reciprocal rank fusion of fetched (key, score) lists."""
+def fuse(lists: list[DataFrame], key: str, limit: int, unit: bool = False) -> DataFrame:
+    """Reciprocal rank fusion of fetched (key, score) lists.
+
+    ``unit`` scales scores so that the first place in every list gives 1.
+    """
+    scale = (RRF_K + 1.0) / len(lists) if unit else 1.0
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), F.asc(key))
     votes = [
         hits.select(key, "score").withColumn("_vote", F.lit(1.0) / (F.lit(float(RRF_K)) + F.row_number().over(order)))
         for hits in lists
     ]
     merged = reduce(lambda a, b: a.unionByName(b), votes)
-    fused = merged.groupBy(key).agg(F.round(F.sum("_vote"), 9).alias("score"))
+    fused = merged.groupBy(key).agg(F.round(F.sum("_vote") * F.lit(scale), 9).alias("score"))
     return fused.orderBy(F.desc("score"), F.asc(key)).limit(limit)
 
 
@@ -73,6 +77,12 @@ def embed(docs: DataFrame, key: str, body: Column, size: int = 64) -> DataFrame:
     )
 
 
+def embed_query(spark: SparkSession, query: str, size: int = 64) -> list[float]:
+    """Vector of a query string under the default embedder."""
+    rows = embed(spark.createDataFrame([(0, query)], "id int, t string"), "id", F.col("t"), size).head(1)
+    return rows[0].embedding if rows else [0.0] * size
+
+
 def lacking(docs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """Documents without a vector yet."""
     return docs.join(vectors.select(key), key, "left_anti")

@@ -231,9 +231,11 @@ def run_extraction(
 
     Callers write the snapshots with ``sources.sinks.write_snapshot``.
     """
-    pending = sessions.join(processed.select("capture_id").distinct(), "capture_id", "left_anti")
+    # Each step below feeds several results, so it is written once.
+    pending = cut_lineage(sessions.join(processed.select("capture_id").distinct(), "capture_id", "left_anti"))
     facts, outcomes = extract_facts(pending, messages, extractor, profile, summary, prompts)
-    actions = memories.resolve_actions(decide_actions(facts, stored, decider, prompts), stored)
+    facts, outcomes = cut_lineage(facts), cut_lineage(outcomes)
+    actions = cut_lineage(memories.resolve_actions(decide_actions(facts, stored, decider, prompts), stored))
     done = outcomes.filter(F.col("outcome") != "failed").select("capture_id")
     sessions_done = outcomes.agg(F.count_if(F.col("outcome") == "done")).scalar()
     facts_found = facts.agg(F.count(F.lit(1))).scalar()

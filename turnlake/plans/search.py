@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.config import InjectionConfig
-from turnlake.operators import bm25, rerank
+from turnlake.operators import bm25, rerank, vectors
 
 DEFAULTS = InjectionConfig()
 
@@ -73,6 +75,23 @@ def search_turns(
     return rerank_turns(fetched, now, limit, min_score, recency_boost, fingerprint)
 
 
+def fetch_turns_hybrid(
+    turns: DataFrame, vectors_df: DataFrame | None, query: str, query_vector: Sequence[float], limit: int
+) -> DataFrame:
+    """Twice the wanted number of turns by fused lexical and vector rank.
+
+    Without vectors (None) the lexical list is used alone; whether there are any
+    is known when the plan is built.
+    """
+    lexical = fetch_turns(turns, query, limit)
+    if vectors_df is None:
+        return lexical
+    # A list of numbers is one literal; at most 2 * limit keys are broadcast.
+    near = vectors.nearest(vectors_df, "turn_id", "embedding", F.lit(list(query_vector)), 2 * limit)
+    fused = vectors.fuse([lexical.select("turn_id", "score"), near], "turn_id", 2 * limit, unit=True)
+    return turns.join(F.broadcast(fused), "turn_id")
+
+
 def search_collections(
     collections: dict[str, DataFrame], query: str, limit: int = 10, min_score: float = 0.3
 ) -> DataFrame:

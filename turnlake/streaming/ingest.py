@@ -37,11 +37,16 @@ def index_rows(pairs: DataFrame) -> DataFrame:
     return reconcile.described(pairs, "turns", path, body)
 
 
-def _known_index(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """Latest hash per path from earlier batches."""
+def _known_index(spark: SparkSession, path: str, batch_id: int, incoming: DataFrame) -> DataFrame:
+    """Latest hash of the incoming paths from earlier batches.
+
+    Reduced to the paths of the micro-batch before anything is shuffled; AQE
+    broadcasts those when they are few.
+    """
     log = spark.read.schema(INDEX_SCHEMA).parquet(path).filter(F.col("batch") < batch_id)
+    relevant = log.join(incoming.select(*reconcile.KEY), reconcile.KEY, "left_semi")
     latest = F.max_by(F.struct("title", "hash"), "batch").alias("_latest")
-    return log.groupBy(*reconcile.KEY).agg(latest).select(*reconcile.KEY, "_latest.*")
+    return relevant.groupBy(*reconcile.KEY).agg(latest).select(*reconcile.KEY, "_latest.*")
 
 
 def start_ingest(captures: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -58,7 +63,7 @@ def start_ingest(captures: DataFrame, out: str, checkpoint: str, **trigger) -> S
         stored = spark.read.parquet(target)
         incoming = index_rows(stored)
         if batch_id > 0:
-            incoming = reconcile.changed(incoming, _known_index(spark, f"{out}/documents", batch_id))
+            incoming = reconcile.changed(incoming, _known_index(spark, f"{out}/documents", batch_id, incoming))
         incoming.select("collection", "path", "title", "hash").write.mode("overwrite").parquet(
             f"{out}/documents/batch={batch_id}"
         )

@@ -1152,6 +1152,48 @@ def hybrid_rrf(spark, sf):
     return vectors.fuse([lexical, vector_topk(spark, sf)], "id", 8)
 
 
+HYBRID = {
+    **o.search_ctes(),
+    "wanted_terms": "SELECT unnest(['thing', 'from', 'this']) AS term",
+    "turn_weights": f"""SELECT turn_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS bucket, ln(1 + count(*)::DOUBLE) AS weight
+                        FROM (SELECT turn_id, unnest({o.words("user_content || chr(10) || assistant_content")}) AS term FROM fx_turns)
+                        GROUP BY ALL""",
+    "turn_values": """SELECT turn_id, bucket, (weight / sqrt(sum(weight * weight) OVER (PARTITION BY turn_id)))::FLOAT::DOUBLE AS v
+                      FROM turn_weights""",
+    "asked_weights": """SELECT ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS bucket, ln(1 + count(*)::DOUBLE) AS weight
+                        FROM wanted_terms GROUP BY ALL""",
+    "asked": "SELECT bucket, (weight / sqrt(sum(weight * weight) OVER ()))::FLOAT::DOUBLE AS v FROM asked_weights",
+    "near": """SELECT turn_id, round(coalesce(dot, 0) / (norm * (SELECT sqrt(sum(v * v)) FROM asked)), 6) AS score
+               FROM (SELECT turn_id, sqrt(sum(t.v * t.v)) AS norm, sum(t.v * a.v) AS dot
+                     FROM turn_values t LEFT JOIN asked a USING (bucket) GROUP BY turn_id)
+               ORDER BY score DESC, turn_id LIMIT 16""",
+    "fused": """SELECT turn_id, round(sum(1.0::DOUBLE / (60 + r)) * 30.5, 9) AS score FROM (
+                  SELECT turn_id, row_number() OVER (ORDER BY score DESC, turn_id) AS r FROM lexical
+                  UNION ALL SELECT turn_id, row_number() OVER (ORDER BY score DESC, turn_id) FROM near)
+                GROUP BY turn_id ORDER BY score DESC, turn_id LIMIT 16""",
+}
+
+
+def _hybrid_ctes():
+    """The lexical statements with the fused list in place of the fetched one."""
+    lexical = {name: body for name, body in HYBRID.items() if name.startswith("t_")}
+    vector = {n: HYBRID[n] for n in ("wanted_terms", "turn_weights", "turn_values", "asked_weights", "asked", "near")}
+    rest = {n: HYBRID[n] for n in ("wanted", "boosted", "listed", "kept", "deduped", "results")}
+    return {
+        **lexical, "lexical": HYBRID["fetched"], **vector, "fused": HYBRID["fused"], "fetched": "SELECT * FROM fused", **rest
+    }
+
+
+@register("search_turns_hybrid", o.statement("SELECT * FROM results", *o.TURNS, extra=_hybrid_ctes()))
+def search_turns_hybrid(spark, sf):
+    stored = fx.stored_turns(spark, sf)
+    embedded = vectors.embed(stored, "turn_id", search.turn_text(), DIMENSIONS)
+    question = vectors.embed_query(spark, fx.QUERY, DIMENSIONS)
+    fetched = search.fetch_turns_hybrid(stored, embedded, fx.QUERY, question, 8)
+    found = search.rerank_turns(fetched, fx.now(), fingerprint=wanted_fingerprint(spark, sf))
+    return found.select("turn_id", "session_id", "score", "rank")
+
+
 EMBEDDED = {
     "weights": f"""SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS bucket, ln(1 + count(*)::DOUBLE) AS weight
                    FROM (SELECT doc_id, unnest({o.words('text')}) AS term FROM documents
