@@ -49,8 +49,8 @@ def difference(query, sql, spark, con, sf_dir) -> str | None:
         return f"columns {spark_cols} / {duck_cols}"
     if spark_rows == duck_rows:
         return None
-    only_spark = [r for r in spark_rows if r not in set(duck_rows)][:2]
-    only_duck = [r for r in duck_rows if r not in set(spark_rows)][:2]
+    only_spark = sorted(set(spark_rows) - set(duck_rows))[:2]
+    only_duck = sorted(set(duck_rows) - set(spark_rows))[:2]
     return f"rows {len(spark_rows)} / {len(duck_rows)}; spark {only_spark}; duckdb {only_duck}"
 
 
