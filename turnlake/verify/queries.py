@@ -1205,7 +1205,7 @@ EMBEDDED = {
 @register(
     "embed_missing",
     o.statement(
-        "SELECT doc_id, bucket, round(weight / norm, 4) AS value FROM weights JOIN norms USING (doc_id)", extra=EMBEDDED
+        "SELECT doc_id, bucket, round((weight / norm)::FLOAT::DOUBLE, 4) AS value FROM weights JOIN norms USING (doc_id)", extra=EMBEDDED
     ),
 )
 def embed_missing(spark, sf):
