@@ -29,15 +29,26 @@ def _tf(i: int) -> str:
 
 
 def count_terms(docs: DataFrame, body: Column, terms: Sequence[str]) -> DataFrame:
-    """Add document length and one count per query term."""
-    hits = docs.withColumn("_words", tx.word_tokens(body)).withColumns(
-        {
-            "_dl": F.size("_words").cast("bigint"),
-            "_hits": F.filter("_words", lambda word: word.isin(list(terms))),
-        }
-    )
-    counts = {_tf(i): F.size(F.filter("_hits", _occurrences(t))).cast("bigint") for i, t in enumerate(terms)}
-    return hits.drop("_words").withColumns(counts).withColumn("_n", F.size("_hits")).drop("_hits")
+    """Add document length and one count per query term.
+
+    The counts come out of a one-row ``inline``, so a later condition on them is
+    not pushed below it, where it would tokenise every text a second time.
+    """
+
+    def summary(words: Column) -> Column:
+        return tx.bind(
+            F.filter(words, lambda word: word.isin(list(terms))),
+            lambda hits: F.struct(
+                F.size(words).cast("bigint").alias("_dl"),
+                F.size(hits).cast("bigint").alias("_n"),
+                *[
+                    F.size(F.filter(hits, _occurrences(term))).cast("bigint").alias(_tf(i))
+                    for i, term in enumerate(terms)
+                ],
+            ),
+        )
+
+    return docs.select("*", F.inline(F.transform(F.array(tx.word_tokens(body)), summary)))
 
 
 def merge_counts(counted: DataFrame, key: Sequence[str], terms: Sequence[str]) -> DataFrame:
