@@ -17,6 +17,9 @@ counts, so statistics stay exact without rewriting older generations.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,24 +34,41 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
+CORPUS = "n bigint, dl bigint, buckets int, g int"
+TERMS = "term string, df bigint, g int, bucket int"
+
+
+def _postings_schema(key: str, key_type: str) -> str:
+    return f"{key} {key_type}, dl bigint, term string, tf bigint, g int, bucket int"
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A table of the index, NULL before it is first written; no file is opened for its schema."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
-def layout(spark: SparkSession, base: str) -> tuple[int, int | None]:
-    """(newest complete generation, buckets); (0, None) for an empty index.
+@dataclass(frozen=True)
+class Layout:
+    """Newest complete generation and what ``corpus`` says about the index."""
 
-    ``corpus`` is written last, so it only lists complete generations.
-    """
-    corpus = _read(spark, f"{base}/corpus")
+    generation: int = 0
+    buckets: int | None = None
+    documents: int = 0
+    average_length: float = 0.0
+
+
+def layout(spark: SparkSession, base: str) -> Layout:
+    """``corpus`` is written last in a generation, so it lists complete ones only."""
+    corpus = _read(spark, f"{base}/corpus", CORPUS)
     if corpus is None:
-        return 0, None
-    return tuple(corpus.agg(F.max("g"), F.max("buckets")).first())
+        return Layout()
+    row = corpus.agg(F.max("g").alias("g"), F.max("buckets").alias("b"), F.sum("n").alias("n"), F.sum("dl").alias("dl")).first()
+    return Layout(row.g or 0, row.b, row.n or 0, row.dl / row.n if row.n else 0.0)
 
 
 def _live(postings: DataFrame, removed: DataFrame | None, key: str) -> DataFrame:
@@ -65,8 +85,10 @@ def add(
 ) -> int:
     """Index documents as the next generation; ``removed`` names keys to drop or replace."""
     spark = docs.sparkSession
-    last, fixed = layout(spark, base)
-    buckets = fixed or buckets
+    key_type = docs.schema[key].dataType.simpleString()
+    current = layout(spark, base)
+    last = current.generation
+    buckets = current.buckets or buckets
     if removed is None and docs.isEmpty():
         return last
     g = last + 1
@@ -91,7 +113,9 @@ def add(
     if removed is not None and last > 0:
         gone = removed.select(key).distinct()
         earlier = _live(
-            spark.read.parquet(f"{base}/postings").filter(F.col("g") <= last), _read(spark, f"{base}/removed"), key
+            _read(spark, f"{base}/postings", _postings_schema(key, key_type)).filter(F.col("g") <= last),
+            _read(spark, f"{base}/removed", f"{key} {key_type}, g int"),
+            key,
         )
         lost = earlier.join(gone, key, "left_semi")
         lost_terms = lost.filter(F.col("term").isNotNull()).groupBy("bucket", "term").agg((-F.count(F.lit(1))).alias("df"))
@@ -113,31 +137,39 @@ def add(
     return g
 
 
-def search(spark: SparkSession, base: str, key: str, query: str, limit: int) -> DataFrame:
-    """(key, score) of the best ``limit`` documents; reads the query terms' buckets only."""
+def search(
+    spark: SparkSession, base: str, key: str, query: str, limit: int, key_type: str = "string"
+) -> DataFrame:
+    """(key, score) of the best ``limit`` documents; reads the query terms' buckets only.
+
+    What the driver sees is one row of corpus figures and one per query term.
+    """
     terms = tx.query_terms(query)
-    last, buckets = layout(spark, base)
-    if not terms or last == 0:
-        return spark.createDataFrame([], f"{key} string, score double")
-    wanted = F.col("bucket").isin([bucket_of(F.lit(t), buckets) for t in terms]) & F.col("term").isin(terms) & (F.col("g") <= last)
-    corpus = spark.read.parquet(f"{base}/corpus").filter(F.col("g") <= last)
-    totals = corpus.agg(
-        F.struct(F.sum("n").cast("double").alias("n"), (F.sum("dl") / F.sum("n")).cast("double").alias("avgdl"))
+    current = layout(spark, base)
+    empty = spark.createDataFrame([], f"{key} {key_type}, score double")
+    if not terms or not current.documents:
+        return empty
+    wanted = (
+        F.col("bucket").isin([bucket_of(F.lit(t), current.buckets) for t in terms])
+        & F.col("term").isin(terms)
+        & (F.col("g") <= current.generation)
     )
-    # One row per query term, so this side's size is bounded by the query.
     frequencies = (
-        spark.read.parquet(f"{base}/terms").filter(wanted).groupBy("term").agg(F.sum("df").cast("double").alias("df"))
+        _read(spark, f"{base}/terms", TERMS).filter(wanted).groupBy("term").agg(F.sum("df").alias("df")).collect()
     )
+    found = [row for row in frequencies if row.df > 0]
+    if not found:
+        return empty
+    n = F.lit(float(current.documents))
+    weights = [(F.col("term") == row.term, bm25.idf(n, F.lit(float(row.df)))) for row in found]
+    idf = reduce(lambda chain, weight: chain.when(*weight), weights[1:], F.when(*weights[0]))
     postings = _live(
-        spark.read.parquet(f"{base}/postings").filter(wanted).select(key, "term", "tf", "dl", "g"),
-        _read(spark, f"{base}/removed"),
+        _read(spark, f"{base}/postings", _postings_schema(key, key_type)).filter(wanted).select(key, "term", "tf", "dl", "g"),
+        _read(spark, f"{base}/removed", f"{key} {key_type}, g int"),
         key,
     )
-    weight = bm25.idf(F.col("_t.n"), F.col("df")) * bm25.saturated_tf(F.col("tf"), F.col("dl"), F.col("_t.avgdl"))
     scored = (
-        postings.join(F.broadcast(frequencies), "term")
-        .withColumn("_t", totals.scalar())
-        .select(key, weight.alias("w"))
+        postings.select(key, (idf * bm25.saturated_tf(F.col("tf"), F.col("dl"), F.lit(current.average_length))).alias("w"))
         .groupBy(key)
         .agg(F.round(bm25.squash(F.sum("w")), bm25.SCORE_DIGITS).alias("score"))
     )
@@ -146,8 +178,8 @@ def search(spark: SparkSession, base: str, key: str, query: str, limit: int) ->
 
 def keys(spark: SparkSession, base: str, key: str, key_type: str = "string") -> DataFrame:
     """Keys of the documents the index holds."""
-    last, _ = layout(spark, base)
+    last = layout(spark, base).generation
     if last == 0:
         return spark.createDataFrame([], f"{key} {key_type}")
-    postings = spark.read.parquet(f"{base}/postings").filter(F.col("g") <= last).select(key, "g")
-    return _live(postings, _read(spark, f"{base}/removed"), key).select(key).distinct()
+    postings = _read(spark, f"{base}/postings", _postings_schema(key, key_type)).filter(F.col("g") <= last).select(key, "g")
+    return _live(postings, _read(spark, f"{base}/removed", f"{key} {key_type}, g int"), key).select(key).distinct()
