@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import language, mixing
+from turnlake.llm import language, mixing, secrets
 from turnlake.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.detect(docs.select("doc_id", "text", "held_out"), model).drop("text")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(docs, secrets.train(docs)).drop("text", "masked")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, F.array("source"))
@@ -23,6 +28,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_language_id": op3_language_id,
+    "op7_secret_scan": op7_secret_scan,
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLES: dict[str, str] = {}
