@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import language, mixing, secrets
+from turnlake.llm import language, licences, mixing, personal, secrets
 from turnlake.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.detect(docs.select("doc_id", "text", "held_out"), model).drop("text")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "detections")
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "sanitised")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.scan(docs, secrets.train(docs)).drop("text", "masked")
@@ -28,6 +36,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_language_id": op3_language_id,
+    "op4_license_scan": op4_license_scan,
+    "op5_personal_data": op5_personal_data,
     "op7_secret_scan": op7_secret_scan,
     "op10_source_mixing": op10_source_mixing,
 }
