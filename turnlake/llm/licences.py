@@ -173,8 +173,8 @@ def _holds(low: Column, keyword: str) -> Column:
 
 def rule_table(spark: SparkSession) -> DataFrame:
     """One row per rule: a few hundred, whatever the data."""
-    base = {(label, phrase) for phrase, label in BASE}
-    rows = [(label, word, rank, pattern, (label, pattern) in base) for label, word, rank, pattern in rules()]
+    base = {(label, 50, phrase) for phrase, label in BASE}
+    rows = [(label, word, rank, pattern, (label, rank, pattern) in base) for label, word, rank, pattern in rules()]
     return spark.createDataFrame(rows, "label string, keyword string, priority int, pattern string, base boolean")
 
 
