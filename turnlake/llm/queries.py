@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import language, licences, mixing, personal, secrets
+from turnlake.llm import jaccard, language, licences, mixing, personal, secrets
 from turnlake.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(docs)).drop("text", "masked")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, F.array("source"))
@@ -39,6 +43,7 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_personal_data": op5_personal_data,
     "op7_secret_scan": op7_secret_scan,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLES: dict[str, str] = {}
