@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import jaccard, language, licences, mixing, personal, secrets
+from turnlake.llm import bpe, jaccard, language, licences, mixing, personal, secrets
 from turnlake.llm.common import table
 
 
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, outputs).drop("text")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language.fold_of("doc_id") == 0)
     model = language.train(docs.filter("NOT held_out"))
@@ -39,6 +50,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_language_id": op3_language_id,
     "op4_license_scan": op4_license_scan,
     "op5_personal_data": op5_personal_data,

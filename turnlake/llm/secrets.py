@@ -85,8 +85,9 @@ def train(docs: DataFrame) -> list[float] | None:
         ).alias("value")
     ).distinct()
     random = _transitions(values.orderBy(F.xxhash64("value"), "value").limit(RANDOM_SAMPLE))
-    chosen = docs.select("text").orderBy(F.xxhash64("text"), "text").limit(NAME_DOCUMENTS)
-    words = chosen.select(F.explode(F.regexp_extract_all(text, F.lit(NAME_WORD), F.lit(0))).alias("value")).distinct()
+    order = F.xxhash64("text")
+    last = docs.select(order.alias("h")).orderBy("h").limit(NAME_DOCUMENTS).agg(F.max("h")).first()[0]
+    words = docs.filter(order <= F.lit(last)).select(F.explode(F.regexp_extract_all(text, F.lit(NAME_WORD), F.lit(0))).alias("value")).distinct()
     names = _transitions(words)
     if not random or not names:
         return None
