@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, jaccard, language, licences, mixing, personal, secrets
+from turnlake.llm import bpe, jaccard, language, licences, mixing, personal, secrets, sentences, vectors
 from turnlake.llm.common import table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return vectors.near_duplicates(rows).select("vec_id", "n_links", "component_id", "kept")
+
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -34,6 +39,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "sanitised")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.scan(docs, secrets.train(docs)).drop("text", "masked")
@@ -50,10 +59,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_language_id": op3_language_id,
     "op4_license_scan": op4_license_scan,
     "op5_personal_data": op5_personal_data,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_source_mixing": op10_source_mixing,
