@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, jaccard, language, licences, mixing, personal, secrets, sentences, vectors
+from turnlake.llm import bpe, jaccard, language, licences, mixing, orderhash, personal, secrets, sentences, vectors
 from turnlake.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, F.array("source"))
@@ -67,6 +71,7 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_order_minhash": op9_order_minhash,
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLES: dict[str, str] = {}
