@@ -2,7 +2,8 @@
 
 1. Each text becomes a set of hashed shingles; equal sets are one from here on.
 2. Two similar sets share a token among the first few of each in any common
-   order, rarest first. Sets that share such a token fall into one block.
+   order, rarest first. Sets that share such a token, and whose bitmaps leave
+   enough overlap possible, fall into one block.
 3. A block is the unit of a signature-tree join. A block too large for a task is
    cut by size class and salt, and pairs of cells are joined; size classes too
    far apart are never paired.
@@ -27,6 +28,7 @@ from turnlake.llm.sigtree import links
 
 WIDTH = 4
 PERCENT = 85
+WHOLE_GROUP = 1000  # sets sharing a first token up to which their bitmaps are compared; more are one block as they are
 CLASS_BITS = 17  # buckets of the frequency sketch; its classes are one byte each
 CELL_TOKENS = 2_000_000  # tokens a cell of a block may hold
 FILTER_BITS = 20  # bits of the filter in front of the text join
@@ -37,8 +39,36 @@ def _texts(batches, name: str = "text"):
         yield batch, batch.column(name).to_pylist()
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Half of the tokens, chosen by hash, in n/2 to n bits (a power of two, 64 at least)."""
+    bits = max(64, 1 << (len(tokens).bit_length() - 1))
+    flags = np.zeros(bits, dtype=bool)
+    flags[(tokens[(tokens >> np.uint64(40)) % np.uint64(2) == 0] % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def may_be_similar(n_a: int, a: bytes, n_b: int, b: bytes, percent: int = PERCENT) -> bool:
+    """Can sets of these sizes and bitmaps be similar? Each bit that one lacks is a token it lacks."""
+    if percent * max(n_a, n_b) > 100 * min(n_a, n_b):
+        return False
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    bits = 8 * min(len(a), len(b))
+    x, y = _folded(x, bits, len(a)), _folded(y, bits, len(b))
+    shared = min(n_a - (x & ~y).bit_count(), n_b - (y & ~x).bit_count())
+    return (100 + percent) * shared >= percent * (n_a + n_b)
+
+
+def _folded(value: int, bits: int, size: int) -> int:
+    """Bitmap of ``size`` bytes OR-ed down to ``bits`` bits."""
+    width = 8 * size
+    while width > bits:
+        width //= 2
+        value = (value >> width) | (value & ((1 << width) - 1))
+    return value
+
+
 def set_keys(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n, key, check): size of the set and two hashes of it."""
+    """(doc_id, n, key, check, bits): size of the set, two hashes of it and its bitmap."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -50,11 +80,13 @@ def set_keys(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_key(s, 1) for s in sets], pa.int64()),
                     pa.array([set_key(s, 7) for s in sets], pa.int64()),
+                    pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n", "key", "check"],
+                ["doc_id", "n", "key", "check", "bits"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, key bigint, check bigint")
+    schema = f"doc_id {kind}, n bigint, key bigint, check bigint, bits binary"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def frequency_classes(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
@@ -112,12 +144,63 @@ def prefixes(docs: DataFrame, classes: np.ndarray, width: int = WIDTH, percent:
     return docs.select("text").mapInArrow(run, "token bigint, key bigint")
 
 
-def blocks(prefix_rows: DataFrame) -> DataFrame:
-    """(node, component): the block of every set key that shares a first token with another."""
+def _possible(group: list[tuple[int, int, bytes]], percent: int) -> list[tuple[int, int]]:
+    """Spanning forest over (key, n, bits) of the pairs that may be similar."""
+    group = sorted(group, key=lambda g: g[1])
+    root = list(range(len(group)))
+    found = []
+    for i, (key, n, bits) in enumerate(group):
+        for j in range(i + 1, len(group)):
+            other, m, more = group[j]
+            if percent * m > 100 * n:
+                break  # sorted by size: all later ones are too large
+            if root[i] != root[j] and may_be_similar(n, bits, m, more, percent):
+                found.append((key, other))
+                gone, stays = root[j], root[i]
+                root = [stays if r == gone else r for r in root]
+    return found
+
+
+def blocks(prefix_rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component): the block of every set key that may be similar to another.
+
+    ``sets`` has key, n and bits. Sets sharing a first token are compared by
+    bitmap, and what may be similar is chained. The few tokens of very many
+    sets chain all their sets without a look; a block is only where to search.
+    """
     rows = stored(prefix_rows, "prefixes")
-    spread = rows.groupBy("token").agg(F.min("key").alias("v"), F.max("key").alias("_most")).filter("v < _most")
-    edges = rows.join(spread, "token").filter("key <> v").select(F.col("key").alias("u"), "v").distinct()
-    return components(edges)
+    spread = (
+        rows.groupBy("token")
+        .agg(F.min("key").alias("low"), F.max("key").alias("_high"), F.count(F.lit(1)).alias("members"))
+        .filter("low < _high")
+        .drop("_high")
+    )
+    shared = stored(rows.join(spread, "token").distinct(), "shared")
+    large = shared.filter((F.col("members") > WHOLE_GROUP) & (F.col("key") != F.col("low")))
+    chained = large.select(F.col("key").alias("u"), F.col("low").alias("v"))
+    small = shared.filter(F.col("members") <= WHOLE_GROUP).select("token", "key")
+    looked = small.join(sets.select("key", "n", "bits"), "key").select("token", "key", "n", "bits")
+    ordered = looked.repartition("token").sortWithinPartitions("token")
+
+    def run(batches):
+        token, group = None, []
+        for batch in batches:
+            found = []
+            for own, key, n, bits in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if own != token:
+                    found += _possible(group, percent) if len(group) > 1 else []
+                    token, group = own, []
+                group.append((key, n, bits))
+            yield _edge_batch(found)
+        yield _edge_batch(_possible(group, percent))
+
+    return components(chained.union(ordered.mapInArrow(run, "u bigint, v bigint")).distinct())
+
+
+def _edge_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())}
+    )
 
 
 def _cells(members: DataFrame, percent: int) -> DataFrame:
@@ -216,13 +299,8 @@ def links_of(docs: DataFrame, members: DataFrame, width: int = WIDTH, percent: i
                 if set_key(tokens, 1) == key and rep not in seen:
                     seen.add(rep)
                     group.append((side, rep, tokens))
-            yield pa.RecordBatch.from_pydict(
-                {"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())}
-            )
-        found = list(closed(group)) if group else []
-        yield pa.RecordBatch.from_pydict(
-            {"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())}
-        )
+            yield _edge_batch(found)
+        yield _edge_batch(list(closed(group)) if group else [])
 
     return ordered.mapInArrow(run, "u bigint, v bigint")
 
@@ -241,12 +319,17 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     sets = stored(
         keys.filter("n > 0")
         .groupBy("n", "key")
-        .agg(F.min("doc_id").cast("bigint").alias("rep"), F.min("check").alias("lo"), F.max("check").alias("hi")),
+        .agg(
+            F.min("doc_id").cast("bigint").alias("rep"),
+            F.min("check").alias("lo"),
+            F.max("check").alias("hi"),
+            F.first("bits").alias("bits"),
+        ),
         "sets",
     )
     if not sets.filter("lo <> hi").isEmpty():
         raise ValueError("two shingle sets share a 64-bit key")
-    block = blocks(prefixes(docs, frequency_classes(docs, width), width, percent))
+    block = blocks(prefixes(docs, frequency_classes(docs, width), width, percent), sets, percent)
     members = (
         sets.filter("rep IS NOT NULL")
         .join(block, sets["key"] == block["node"])
