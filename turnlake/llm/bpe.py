@@ -33,6 +33,8 @@ from turnlake.llm.spans import bound
 TABLE_WORDS = 400_000  # words shipped to every task, most frequent first
 TABLE_BYTES = 64  # longest word of the table, so its size is bounded
 FOLD_BYTES = 128  # longer words take the same merges from a heap, which needs n log n steps
+PART_WORDS = 200_000  # distinct words counted before they are handed on
+ROWS = 1000  # documents of a batch handed on
 BUCKETS = 1 << 14  # maps look up by comparing keys one by one, so ranks are spread over small maps
 NEVER = 2147483647
 WAITING = -1
@@ -145,7 +147,7 @@ def word_table(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> dict[s
             for text in batch.column("text").to_pylist():
                 if text:
                     seen.update(find(text))
-                    if len(seen) > 1_000_000:  # hand on what was counted so far; the sums come later
+                    if len(seen) > PART_WORDS:  # hand on what was counted so far; the sums come later
                         yield rows()
                         seen.clear()
         yield rows()
@@ -193,10 +195,16 @@ def decode_ids(ids: Sequence[int], tokens: Sequence[bytes]) -> bytes:
 
 
 def encode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, outputs: Sequence[str] = ("n_tokens", "ids")
+    docs: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    outputs: Sequence[str] = ("n_tokens", "ids"),
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Documents with the wanted outputs: n_tokens, ids, ids_sha256 and decoded_sha256.
 
+    ``keep`` names the columns to carry along, all unless given.
+
     Only ``text`` is read, whole at any length; null counts as empty and has no
     id. Every single byte must have a rank. Equal texts get equal ids. An empty
     table gives an empty one. Columns of the added names are replaced, others kept.
@@ -205,14 +213,14 @@ def encode(
     context = docs.sparkSession.sparkContext
     table = context.broadcast(word_table(docs, ranks, pattern))
     shipped = context.broadcast(ranks)
-    names = docs.columns
-    schema = to_arrow_schema(docs.schema)
+    names = docs.columns if keep is None else [n for n in docs.columns if n in keep]
+    schema = to_arrow_schema(docs.select(*names).schema)
     looked_up = pa.schema([*schema, pa.field("_known", pa.binary()), pa.field("_rest", pa.list_(pa.string()))])
     waiting = np.int32(WAITING).tobytes()
 
     def look_up(batches):
         find, known, all_ranks = regex.compile(pattern).findall, table.value.get, shipped.value
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             blobs, rests = [], []
             for text in batch.column("text").to_pylist():
                 words = find(text) if text else ()
@@ -229,7 +237,7 @@ def encode(
                                 rest.append(raw.hex())
                 blobs.append(b"".join(parts))
                 rests.append(rest)
-            columns = [*batch.columns, pa.array(blobs, pa.binary()), pa.array(rests, pa.list_(pa.string()))]
+            columns = [*[batch.column(n) for n in names], pa.array(blobs, pa.binary()), pa.array(rests, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, schema=looked_up)
 
     final = pa.schema([*schema, *[pa.field(name, TYPES[name]) for name in outputs]])

@@ -22,7 +22,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
     outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
-    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, outputs).drop("text")
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, outputs, keep=["doc_id"])
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
