@@ -236,9 +236,10 @@ def test_markov_model_tells_random_from_names(spark):
     rng = random.Random(2)
     alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     key = lambda: "".join(rng.choice(alphabet) for _ in range(32))
-    names = ["configuration", "document", "handler", "request", "session", "iterator", "value", "connection"]
+    parts = ["con", "fig", "doc", "ment", "hand", "ler", "quest", "ses", "sion", "iter", "ator", "val", "ue", "nec", "tion"]
+    names = ["".join(rng.choices(parts, k=4)) for _ in range(800)]
     rows = [(i, f"token = {key()} " + " ".join(rng.choices(names, k=60))) for i in range(200)]
-    bare, name = key() + "7", "requestHandlerSessionIterator2value"
+    bare, name = key() + "7", "questhandlersessioniterator2valuetion"
     rows.append((1000, f"see {bare} and {name} here"))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     row = secrets.scan(docs, secrets.train(docs)).filter("doc_id = 1000").first()
@@ -247,7 +248,8 @@ def test_markov_model_tells_random_from_names(spark):
 
 
 def test_personal_terms_that_reveal(spark):
-    rows = [(i, f"w{i} note{i} zebulon wrote from zeb@mail.org about item{i} here") for i in range(6)]
+    other = ["first", "second", "third", "fourth", "fifth", "sixth"]
+    rows = [(i, f"{w} zebulon wrote from zeb@mail.org about {w} here") for i, w in enumerate(other)]
     rows += [(100 + i, "people wrote about many things here from there " * 40) for i in range(60)]
     made = {r.doc_id: r for r in personal.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     text = rows[0][1]

@@ -30,8 +30,9 @@ SIDE = len(SYMBOLS) + 1  # 0 stands for any other character
 RANDOM_SAMPLE = 20_000  # values the model of random strings is trained on, first in a hash order
 NAME_DOCUMENTS = 500  # documents whose words train the model of ordinary names, first in a hash order
 NAME_WORD = r"[A-Za-z_]{5,}"
-SMOOTHING = 0.5
-THRESHOLD = 0.5  # mean log-likelihood ratio of a transition
+SMOOTHING = 0.5  # added to the count of each character
+PRIOR = 4.0  # transitions the rate of single characters counts as
+THRESHOLD = 0.1  # mean log-likelihood ratio of a transition
 ADDED = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "masked")
 
 
@@ -87,17 +88,21 @@ def train(docs: DataFrame) -> list[float] | None:
     random = _transitions(values.orderBy(F.xxhash64("value"), "value").limit(RANDOM_SAMPLE))
     order = F.xxhash64("text")
     last = docs.select(order.alias("h")).orderBy("h").limit(NAME_DOCUMENTS).agg(F.max("h")).first()[0]
-    words = docs.filter(order <= F.lit(last)).select(F.explode(F.regexp_extract_all(text, F.lit(NAME_WORD), F.lit(0))).alias("value")).distinct()
+    found = F.explode(F.regexp_extract_all(text, F.lit(NAME_WORD), F.lit(0)))
+    words = docs.filter(order <= F.lit(last)).select(found.alias("value")).distinct()
     names = _transitions(words)
     if not random or not names:
         return None
 
     def log_rates(counts):
-        totals = [0.0] * SIDE
-        for (a, _), n in counts.items():
-            totals[a] += n
+        """log P(b | a), drawn towards P(b) where a is rare."""
+        after, single = [0.0] * SIDE, [SMOOTHING] * SIDE
+        for (a, b), n in counts.items():
+            after[a] += n
+            single[b] += n
+        whole = sum(single)
         return [
-            math.log((counts.get((a, b), 0) + SMOOTHING) / (totals[a] + SMOOTHING * SIDE))
+            math.log((counts.get((a, b), 0) + PRIOR * single[b] / whole) / (after[a] + PRIOR))
             for a in range(SIDE)
             for b in range(SIDE)
         ]
