@@ -27,14 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-from turnlake.llm.common import stored, without
+from turnlake.llm.common import bounded_batches, stored, without
 from turnlake.llm.spans import bound
 
-TABLE_WORDS = 400_000  # words shipped to every task, most frequent first
+TABLE_WORDS = 300_000  # words shipped to every task, most frequent first
 TABLE_BYTES = 64  # longest word of the table, so its size is bounded
 FOLD_BYTES = 128  # longer words take the same merges from a heap, which needs n log n steps
 PART_WORDS = 200_000  # distinct words counted before they are handed on
-ROWS = 1000  # documents of a batch handed on
 BUCKETS = 1 << 14  # maps look up by comparing keys one by one, so ranks are spread over small maps
 NEVER = 2147483647
 WAITING = -1
@@ -209,6 +208,7 @@ def encode(
     id. Every single byte must have a rank. Equal texts get equal ids. An empty
     table gives an empty one. Columns of the added names are replaced, others kept.
     """
+    bounded_batches(docs.sparkSession)
     docs = without(docs, outputs)
     context = docs.sparkSession.sparkContext
     table = context.broadcast(word_table(docs, ranks, pattern))
@@ -220,7 +220,7 @@ def encode(
 
     def look_up(batches):
         find, known, all_ranks = regex.compile(pattern).findall, table.value.get, shipped.value
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        for batch in batches:
             blobs, rests = [], []
             for text in batch.column("text").to_pylist():
                 words = find(text) if text else ()

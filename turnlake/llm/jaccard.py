@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import components, stored
+from turnlake.llm.common import bounded_batches, components, stored
 from turnlake.llm.shingles import set_key, shingles
 from turnlake.llm.sigtree import links
 
@@ -315,6 +315,7 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     Repeated rows come back repeated. An empty table gives an empty one. Other
     columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     keys = stored(set_keys(docs, width), "keys")
     sets = stored(
         keys.filter("n > 0")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import with_arrow_columns
+from turnlake.llm.common import bounded_batches, with_arrow_columns
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -75,6 +75,7 @@ def train(labelled: DataFrame) -> Model:
                 }
             )
 
+    bounded_batches(labelled.sparkSession)
     rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     counted = rows.mapInArrow(count, "lang string, bucket int, n bigint")
     summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))

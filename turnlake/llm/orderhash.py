@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-from turnlake.llm.common import without
+from turnlake.llm.common import bounded_batches, without
 from turnlake.llm.shingles import mix
 
 K = 5  # code points of a k-mer; a shorter text is one k-mer
@@ -121,6 +121,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     table gives an empty one. Existing columns of the added names are replaced,
     others kept. doc_id must be an integer.
     """
+    bounded_batches(docs.sparkSession)
     docs = without(docs, ADDED)
     names = docs.columns
     spark = docs.sparkSession

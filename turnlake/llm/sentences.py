@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-from turnlake.llm.common import stored, without
+from turnlake.llm.common import bounded_batches, stored, without
 
 MIN_WORDS = 25  # two short stock lines stay below, a passage of 50 words holds a whole span even if its ends are glued
 BORDER = re.compile(r"(?<=[.!?…。！？])[^\S\n]+|\s*\n\s*")
@@ -64,6 +64,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     one document and change alike. Texts of any length are read whole. An empty
     table gives an empty one. Columns of the added names are replaced, others kept.
     """
+    bounded_batches(docs.sparkSession)
     docs = without(docs, ADDED)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
