@@ -224,7 +224,8 @@ def test_conversation_golden(spark):
         "tool": F.lit("cursor"), "provider": F.lit("openai"), "model": F.lit("m1"),
         "ts": F.to_timestamp(F.lit("2026-03-20 14:30:00")), "incognito": F.lit(False),
     }
-    assert documents.conversation_parts(df, attributes).first().text == (
+    sections = documents.conversation_sections(df, attributes).orderBy("turn").collect()
+    assert "\n\n".join(r.text for r in sections) == (
         "---\nid: conv_7\ntool: cursor\nprovider: openai\nmodel: m1\ntimestamp: 2026-03-20T14:30:00.000Z\n"
         "tokenEstimate: 18\nincognito: false\n---\n\n## System\nS\n\n## User\nHello!\n\n## Assistant\nHi there!"
     )

@@ -28,6 +28,7 @@ def test_query(spark, duck, name):
     [
         "turn_pairs", "orphan_messages", "captures", "capture_sessions", "session_representatives", "context_boost",
         "substantive_sessions", "search_turns", "conversation_heads", "stream_ingest_turns",
+        "render_conversation", "clean_session", "normalize_requests", "request_heads",
     ],
 )
 def test_query_with_tiny_slices(spark, duck, name, monkeypatch):

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from turnlake.functions import dates
 from turnlake.functions import text as tx
-from turnlake.operators import slices
 
 # --- fixed values -----------------------------------------------------------
 ROLE_HEADINGS = {"system": "## System", "user": "## User", "assistant": "## Assistant"}
@@ -118,26 +117,16 @@ def parse_turns_lenient(docs: DataFrame, content: str = "content") -> DataFrame:
 # --- conversation documents -------------------------------------------------
 
 
-def conversation_parts(messages: DataFrame, attributes: dict[str, Column]) -> DataFrame:
-    """(conv_id, part, text): the markdown file of each conversation.
+def conversation_sections(messages: DataFrame, attributes: dict[str, Column]) -> DataFrame:
+    """(conv_id, turn, text): the markdown file of each conversation, one row per message.
 
-    A conversation of ordinary length is one part, front matter included. One
-    too long for a single row continues in further parts, which follow each
-    other separated by a blank line; no part gathers more than one slice.
+    The row of the first message also holds the front matter. Rows in order of
+    ``turn``, separated by blank lines, are the file; a conversation of any
+    length has this form, and no row or task gathers a whole one.
     """
-    rows = slices.cut(messages, "turn")
-    key = ["conv_id", slices.SLICE] if slices.is_sliced(rows) else ["conv_id"]
-    ordered = F.array_sort(F.collect_list(F.struct("turn", section(F.col("role"), F.col("text")).alias("section"))))
-    parts = rows.groupBy(*key).agg(
-        F.array_join(F.transform(ordered, lambda m: m["section"]), "\n\n").alias("body"),
-        F.sum(tx.message_tokens(F.col("text"))).cast("bigint").alias("tokens"),
+    heads = messages.groupBy("conv_id").agg(
+        F.min("turn").alias("_first"), F.sum(tx.message_tokens(F.col("text"))).cast("bigint").alias("tokens")
     )
-    if slices.is_sliced(rows):
-        totals = conversation_tokens(messages).withColumnRenamed("tokens", "_all_tokens")
-        parts = slices.attach(parts, totals, ["conv_id"]).withColumn("tokens", F.col("_all_tokens"))
-        part = F.col(slices.SLICE)
-    else:
-        part = F.lit(0).cast("bigint")
     matter = front_matter(
         {
             "id": F.concat(F.lit("conv_"), F.col("conv_id")),
@@ -149,8 +138,11 @@ def conversation_parts(messages: DataFrame, attributes: dict[str, Column]) -> Da
             "incognito": attributes["incognito"],
         }
     )
-    whole = F.when(part == 0, F.concat(matter, F.lit("\n\n"), F.col("body"))).otherwise(F.col("body"))
-    return parts.select("conv_id", part.alias("part"), whole.alias("text"))
+    own = section(F.col("role"), F.col("text"))
+    first = F.concat(matter, F.lit("\n\n"), own)
+    return messages.join(heads, "conv_id").select(
+        "conv_id", "turn", F.when(F.col("turn") == F.col("_first"), first).otherwise(own).alias("text")
+    )
 
 
 def render_capture() -> Column:

@@ -36,9 +36,10 @@ def exchanges(messages: DataFrame) -> DataFrame:
 
 
 def usable(captures: DataFrame, marker: str) -> DataFrame:
-    """Without incognito captures and internal tool calls."""
+    """Without incognito captures and internal tool calls; what is not said is neither."""
     internal = F.col("model").contains(marker) & (F.col("n") <= INTERNAL_MAX_MESSAGES)
-    return captures.filter(~F.col("incognito") & ~internal)
+    hidden = F.coalesce("incognito", F.lit(False)) | F.coalesce(internal, F.lit(False))
+    return captures.filter(~hidden)
 
 
 def assign_sessions(captures: DataFrame, marker: str, group: str = "wallet_id") -> DataFrame:
@@ -73,6 +74,3 @@ def pending(sessions: DataFrame, processed: DataFrame, key: str = "capture_id")
     """Representatives not processed yet."""
     return sessions.join(processed.select(key).distinct(), key, "left_anti")
 
-
-def capture_columns(conv_id: Column, k: Column) -> Column:
-    return F.concat_ws("_", F.lit("cap"), conv_id, k)

@@ -22,7 +22,6 @@ from turnlake.session import cut_lineage
 Model = Callable[[str], str]
 
 # --- fixed values -----------------------------------------------------------
-MAX_CONSECUTIVE_FAILURES = 5
 SIMILAR_MEMORIES = 5
 NO_MEMORIES = "(no existing memories found)"
 NOTHING = "(none)"
@@ -65,19 +64,13 @@ def cleaned_messages(messages: DataFrame, context_tag: str = tx.CONTEXT_TAG) ->
     Sections never span messages, so cleaning needs no whole document.
     """
     section = documents.section(F.col("role"), F.col("text"))
-    cleaned = slices.cut(messages, "turn").withColumn("cleaned", documents.clean_session(section, context_tag))
+    cleaned = messages.withColumn("cleaned", documents.clean_session(section, context_tag))
     return cleaned.filter(F.length("cleaned") > 0).drop("text", "role")
 
 
-def clean_parts(messages: DataFrame, context_tag: str = tx.CONTEXT_TAG) -> DataFrame:
-    """(conv_id, part, text): cleaned conversations, one part per slice."""
-    cleaned = cleaned_messages(messages, context_tag)
-    part = F.col(slices.SLICE) if slices.is_sliced(cleaned) else F.lit(0).cast("bigint")
-    listed = F.array_sort(F.collect_list(F.struct("turn", "cleaned")))
-    return (
-        cleaned.groupBy("conv_id", part.alias("part"))
-        .agg(F.array_join(F.transform(listed, lambda m: m["cleaned"]), "\n\n").alias("text"))
-    )
+def clean_sections(messages: DataFrame, context_tag: str = tx.CONTEXT_TAG) -> DataFrame:
+    """(conv_id, turn, text): cleaned conversations, one row per section that is left."""
+    return cleaned_messages(messages, context_tag).select("conv_id", "turn", F.col("cleaned").alias("text"))
 
 
 def substance(messages: DataFrame, context_tag: str = tx.CONTEXT_TAG) -> DataFrame:
@@ -91,39 +84,38 @@ def substance(messages: DataFrame, context_tag: str = tx.CONTEXT_TAG) -> DataFra
 
 
 def session_texts(sessions: DataFrame, messages: DataFrame, context_tag: str = tx.CONTEXT_TAG) -> DataFrame:
-    """(capture_id, part, text, n_user) for representatives (capture_id, conv_id, end_turn)."""
-    cleaned = cleaned_messages(messages, context_tag)
-    part = F.col(slices.SLICE) if slices.is_sliced(cleaned) else F.lit(0).cast("bigint")
-    members = cleaned.join(sessions.select("capture_id", "conv_id", "end_turn"), "conv_id").filter(
-        F.col("turn") <= F.col("end_turn")
+    """(capture_id, text, n_user) for representatives (capture_id, conv_id, end_turn).
+
+    A session is one text whatever its length, as it is one prompt of a model.
+    """
+    members = (
+        cleaned_messages(messages, context_tag)
+        .join(sessions.select("capture_id", "conv_id", "end_turn"), "conv_id")
+        .filter(F.col("turn") <= F.col("end_turn"))
     )
     listed = F.array_sort(F.collect_list(F.struct("turn", "cleaned")))
-    return members.groupBy("capture_id", part.alias("part")).agg(
+    return members.groupBy("capture_id").agg(
         F.array_join(F.transform(listed, lambda m: m["cleaned"]), "\n\n").alias("text"),
         F.sum(documents.substantive_sections(F.col("cleaned"))).alias("n_user"),
     )
 
 
 def ask(prompts: DataFrame, key: str, model: Model) -> DataFrame:
-    """(key, content, error) for rows (key, prompt).
+    """(key, content, error) for rows (key, prompt); a failed call leaves its row an error, and it pending.
 
-    A task stops calling after five failures in a row, as a persistent error
-    would fail the rest too; those rows carry an error and stay pending.
+    Every prompt is tried once, so what a run gives does not depend on how its
+    rows are dealt to tasks.
     """
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        failures = 0
         for batch in batches:
             answers, errors = [], []
             for prompt in batch["prompt"]:
-                answer, error = None, "not attempted after repeated failures"
-                if failures < MAX_CONSECUTIVE_FAILURES:
-                    try:
-                        answer, error = model(prompt), None
-                        error = None if answer else "empty answer"
-                    except Exception as problem:  # noqa: BLE001 - any model failure leaves the row pending
-                        error = str(problem)
-                    failures = failures + 1 if error else 0
+                try:
+                    answer, error = model(prompt), None
+                    error = None if answer else "empty answer"
+                except Exception as problem:  # noqa: BLE001 - any model failure leaves the row pending
+                    answer, error = None, str(problem)
                 answers.append(answer)
                 errors.append(error)
             yield pd.DataFrame({key: batch[key], "content": answers, "error": errors})
@@ -149,13 +141,12 @@ def extract_facts(
     the summary the previous run ended with.
     """
     texts = session_texts(pending, messages, context_tag)
-    per_session = texts.groupBy("capture_id").agg(F.sum("n_user").alias("n_user"))
-    judged = pending.join(per_session, "capture_id", "left").withColumn(
+    judged = pending.join(texts.select("capture_id", "n_user"), "capture_id", "left").withColumn(
         "worth", F.coalesce("n_user", F.lit(0)) >= documents.MIN_USER_SECTIONS
     )
     worthy = judged.filter("worth").select("capture_id", "ts")
     asked = texts.join(worthy, "capture_id").select(
-        F.concat_ws("#", "capture_id", "part").alias("ask_id"),
+        "capture_id",
         fill(
             prompts.extract,
             conversation=F.col("text"),
@@ -164,7 +155,7 @@ def extract_facts(
             conversation_date=dates.utc_day(F.col("ts")),
         ).alias("prompt"),
     )
-    answers = ask(asked, "ask_id", model).withColumn("capture_id", F.substring_index("ask_id", "#", 1))
+    answers = ask(asked, "capture_id", model)
     failed_call = F.col("error").isNotNull() | memories.facts_error(F.col("content")).isNotNull()
     failed = answers.filter(failed_call).select("capture_id").distinct().withColumn("_failed", F.lit(True))
     outcomes = judged.join(failed, "capture_id", "left").select(
@@ -175,7 +166,7 @@ def extract_facts(
     facts = memories.parse_facts(good).join(worthy, "capture_id")
     return (
         facts.select(
-            F.concat_ws("#", "ask_id", "fact_no").alias("fact_id"),
+            F.concat_ws("#", "capture_id", "fact_no").alias("fact_id"),
             "text",
             "category",
             "confidence",

@@ -14,8 +14,8 @@ from pyspark.sql.types import BinaryType
 def response_text(body: Column, encoding: Column) -> Column:
     """Body as text; gzip and deflate bodies are unpacked, unreadable ones kept.
 
-    Spark has no expression for inline gzip, hence the Arrow-batched function;
-    uncompressed rows do not depend on its result.
+    Spark has no expression for inline gzip, hence the Arrow-batched function.
+    It sees the bytes of compressed rows only, and nulls for the others.
     """
 
     def inflate(data: bytes | None) -> bytes | None:
@@ -29,4 +29,4 @@ def response_text(body: Column, encoding: Column) -> Column:
         return bodies.map(inflate)
 
     packed = F.coalesce(F.lower(encoding).isin("gzip", "deflate"), F.lit(False))
-    return F.when(packed, F.decode(gunzip(body), "UTF-8")).otherwise(F.decode(body, "UTF-8"))
+    return F.when(packed, F.decode(gunzip(F.when(packed, body)), "UTF-8")).otherwise(F.decode(body, "UTF-8"))

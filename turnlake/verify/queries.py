@@ -440,19 +440,19 @@ def _conversation_attributes():
 
 
 RENDERED = f"""
-    SELECT conv_id, 0::BIGINT AS part,
-           '---' || chr(10) || 'id: conv_' || conv_id || chr(10) || 'tool: ' || any_value(tool) || chr(10)
-           || 'provider: ' || any_value(provider) || chr(10) || 'model: ' || any_value(model) || chr(10)
-           || 'timestamp: ' || {o.iso('any_value(ts)')} || chr(10)
-           || 'tokenEstimate: ' || CAST(sum(4 + {o.tokens('text')}) AS BIGINT) || chr(10)
-           || 'incognito: ' || any_value(incognito) || chr(10) || '---' || chr(10) || chr(10)
-           || string_agg('## ' || upper(role[1]) || role[2:] || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text
-    FROM conversations JOIN fx_conv USING (conv_id) GROUP BY conv_id"""
+    SELECT conv_id, turn, CASE WHEN turn = min(turn) OVER w THEN
+           '---' || chr(10) || 'id: conv_' || conv_id || chr(10) || 'tool: ' || tool || chr(10)
+           || 'provider: ' || provider || chr(10) || 'model: ' || model || chr(10)
+           || 'timestamp: ' || {o.iso('ts')} || chr(10)
+           || 'tokenEstimate: ' || CAST(sum(4 + {o.tokens('text')}) OVER w AS BIGINT) || chr(10)
+           || 'incognito: ' || incognito || chr(10) || '---' || chr(10) || chr(10) ELSE '' END
+           || '## ' || upper(role[1]) || role[2:] || chr(10) || text AS text
+    FROM conversations JOIN fx_conv USING (conv_id) WINDOW w AS (PARTITION BY conv_id)"""
 
 
 @register("render_conversation", o.statement("SELECT * FROM rendered", "fx_conv", extra={"rendered": RENDERED}))
 def render_conversation(spark, sf):
-    return documents.conversation_parts(fx.table(spark, sf, "conversations"), _conversation_attributes())
+    return documents.conversation_sections(fx.table(spark, sf, "conversations"), _conversation_attributes())
 
 
 @register(
@@ -466,12 +466,12 @@ def render_conversation(spark, sf):
     ),
 )
 def conversation_heads(spark, sf):
-    parts = documents.conversation_parts(fx.table(spark, sf, "conversations"), _conversation_attributes())
-    heads = parts.withColumn("head", documents.parse_conversation_head(F.col("text")))
-    # Parts after the first hold no front matter, only further messages.
+    sections = documents.conversation_sections(fx.table(spark, sf, "conversations"), _conversation_attributes())
+    heads = sections.withColumn("head", documents.parse_conversation_head(F.col("text")))
+    # Only the first section holds front matter; fields of the others are empty.
     return heads.groupBy("conv_id").agg(
         *[
-            F.max(F.when(F.col("part") == 0, F.col(f"head.{name}"))).alias(alias)
+            F.max(f"head.{name}").alias(alias)
             for name, alias in (
                 ("id", "id"), ("tool", "tool"), ("model", "model"),
                 ("timestamp", "captured_at"), ("incognito", "incognito"),
@@ -490,15 +490,13 @@ CLEANED = {
 @register(
     "clean_session",
     o.statement(
-        """SELECT conv_id, 0::BIGINT AS part,
-                  string_agg(CASE role WHEN 'user' THEN '## User' ELSE '## Assistant' END || chr(10) || body,
-                             chr(10) || chr(10) ORDER BY turn) AS text
-           FROM cleaned WHERE body <> '' GROUP BY conv_id""",
+        """SELECT conv_id, turn, CASE role WHEN 'user' THEN '## User' ELSE '## Assistant' END || chr(10) || body AS text
+           FROM cleaned WHERE body <> ''""",
         extra=CLEANED,
     ),
 )
 def clean_session(spark, sf):
-    return extraction.clean_parts(fx.table(spark, sf, "conversations"))
+    return extraction.clean_sections(fx.table(spark, sf, "conversations"))
 
 
 @register(
@@ -869,8 +867,7 @@ def parse_facts(spark, sf):
 
 def _request_bodies(spark, sf):
     """Provider requests holding each conversation, in both wire formats."""
-    rows = turns.slices.cut(fx.table(spark, sf, "conversations"), "turn")
-    part = F.col(turns.slices.SLICE) if turns.slices.is_sliced(rows) else F.lit(0).cast("bigint")
+    rows = fx.table(spark, sf, "conversations")
     text_json = requests.json_string(F.col("text"))
     blocks = F.concat(F.lit('[{"type":"text","text":'), text_json, F.lit('},{"type":"image","source":null}]'))
     content = F.when(F.col("role") == "assistant", blocks).otherwise(text_json)
@@ -879,7 +876,7 @@ def _request_bodies(spark, sf):
     in_list = ~anthropic | (F.col("role") != "system")
     listed = F.array_sort(F.collect_list(F.when(in_list, F.struct("turn", message.alias("json")))))
     system = F.min(F.when(~in_list, F.struct("turn", text_json.alias("json"))))["json"]
-    bodies = rows.withColumn("part", part).groupBy("conv_id", "part").agg(
+    bodies = rows.groupBy("conv_id").agg(
         F.array_join(F.transform(listed, lambda m: m["json"]), ",").alias("messages"), system.alias("system")
     )
     model = fx.conversation_attributes(F.col("conv_id"))["model"]
@@ -892,7 +889,6 @@ def _request_bodies(spark, sf):
     ).otherwise(F.lit(',"stream":true'))
     return bodies.select(
         "conv_id",
-        "part",
         fx.provider(F.col("conv_id")).alias("provider"),
         F.concat(
             F.lit('{"model":"'), model, F.lit('","messages":['), F.col("messages"), F.lit("]"), tail, F.lit("}")
@@ -902,20 +898,20 @@ def _request_bodies(spark, sf):
 
 @register(
     "normalize_requests",
-    """SELECT conv_id, 0::BIGINT AS part, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, text AS content
+    """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, text AS content
        FROM conversations WHERE role <> 'system'""",
 )
 def normalize_requests(spark, sf):
     bodies = _request_bodies(spark, sf)
     parsed = bodies.withColumn("request", requests.normalize(F.col("body"), F.col("provider")))
-    listed = parsed.select("conv_id", "part", F.posexplode("request.messages").alias("pos", "m"))
-    return listed.select("conv_id", "part", F.col("pos").cast("bigint").alias("pos"), "m.role", "m.content")
+    listed = parsed.select("conv_id", F.posexplode("request.messages").alias("pos", "m"))
+    return listed.select("conv_id", F.col("pos").cast("bigint").alias("pos"), "m.role", "m.content")
 
 
 @register(
     "request_heads",
     o.statement(
-        """SELECT conv_id, 0::BIGINT AS part, any_value(provider) AS provider, any_value(model) AS model,
+        """SELECT conv_id, any_value(provider) AS provider, any_value(model) AS model,
                   any_value(provider) = 'openai' AS stream,
                   string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'system') AS system_prompt,
                   coalesce(arg_max(text, turn) FILTER (role = 'user'), '') AS last_user
@@ -928,7 +924,6 @@ def request_heads(spark, sf):
     parsed = bodies.withColumn("request", requests.normalize(F.col("body"), F.col("provider")))
     return parsed.select(
         "conv_id",
-        "part",
         "request.provider",
         "request.model",
         "request.stream",
