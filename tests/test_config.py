@@ -63,15 +63,12 @@ def test_incognito_keeps_other_keys(tmp_path):
     assert cf.load_config(str(tmp_path)).incognito is True
 
 
-def test_profile_cache_follows_the_file(tmp_path):
-    cache = sinks.ProfileCache()
-    assert cache.load(str(tmp_path)) == ""
-    profile = tmp_path / "profile.md"
-    profile.write_text("one")
-    assert cache.load(str(tmp_path)) == "one"
-    profile.write_text("two")
-    os.utime(profile, (time.time() + 5, time.time() + 5))
-    assert cache.load(str(tmp_path)) == "two"
+def test_small_texts_are_tables(spark, tmp_path):
+    base = f"{tmp_path}/profile"
+    assert sinks.read_text(spark, base) == ""
+    sinks.write_text(spark, base, "one")
+    sinks.write_text(spark, base, "two\nlines")
+    assert sinks.read_text(spark, base) == "two\nlines"
 
 
 def test_snapshots(spark, tmp_path):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from turnlake.config import Config, InjectionConfig, ToolConfig
 from turnlake.engine import REQUEST_COLUMNS, MemoryEngine
 from turnlake.operators import bm25, documents, index, vectors
-from turnlake.sources import wallet
+from turnlake.sources import sinks, wallet
 
 CONFIG = Config(tools=(ToolConfig("editor", "openai", "k", ""),), injection=InjectionConfig(min_relevance_score=0.05))
 AUTH = {"authorization": "Bearer k"}
@@ -98,7 +100,7 @@ def test_search_and_inject(engine):
 
 
 def test_vectors_join_the_ranking(engine):
-    assert engine.reconcile() == {"indexed": 0, "removed": 0, "embedded": 7}
+    assert engine.reconcile() == {"indexed": 0, "updated": 0, "unchanged": 7, "removed": 0, "embedded": 7}
     assert engine.reconcile()["embedded"] == 0
     vector = vectors.embed_query(engine.spark, "What is a watermark in streaming?")
     best = engine.search_turns("watermark", now(), query_vector=vector).first()
@@ -110,7 +112,88 @@ def test_reconcile_catches_missed_turns(engine, spark, tmp_path):
     other = MemoryEngine(spark, str(tmp_path), CONFIG)
     engine.turns().drop("turn_date").write.parquet(f"{tmp_path}/turns/turn_date=2026-03-20")
     assert other.reconcile(embed=False)["indexed"] == 7
-    assert other.reconcile(embed=False) == {"indexed": 0, "removed": 0, "embedded": 0}
+    again = other.reconcile(embed=False)
+    assert again == {"indexed": 0, "updated": 0, "unchanged": 7, "removed": 0, "embedded": 0}
+
+
+def test_reconcile_follows_edits_and_removals(engine, spark, tmp_path):
+    other = MemoryEngine(spark, str(tmp_path), CONFIG)
+    rows = engine.turns().drop("turn_date")
+    day = f"{tmp_path}/turns/turn_date=2026-03-20"
+    rows.write.parquet(day)
+    other.reconcile()
+    edited = F.when(F.col("turn_id") == "turn_conv_r0_0", "Pelicans fly.").otherwise(F.col("assistant_content"))
+    changed = rows.filter("turn_id <> 'turn_conv_r2_2'").withColumn("assistant_content", edited)
+    changed.write.mode("overwrite").parquet(day)
+    assert other.reconcile() == {"indexed": 0, "updated": 1, "unchanged": 5, "removed": 1, "embedded": 1}
+    assert other.stored_vectors().count() == 6
+    assert other.search_turns("pelicans", now()).first().turn_id == "turn_conv_r0_0"
+    assert "turn_conv_r2_2" not in {r.turn_id for r in other.search_turns("watermark streaming", now()).collect()}
+    other.compact()
+    assert other.search_turns("pelicans", now()).count() == 1
+    assert other.reconcile()["unchanged"] == 6
+
+
+def test_incognito_leaves_nothing_behind(spark, tmp_path):
+    hidden = MemoryEngine(spark, f"{tmp_path}/a", replace(CONFIG, incognito=True))
+    hidden.capture(frame(spark, [request(0, ["What is a secret plan?"], "None.")]))
+    assert hidden.turns().count() == hidden.captures().count() == hidden.search_turns("secret plan", now()).count() == 0
+    other = MemoryEngine(spark, f"{tmp_path}/b", CONFIG)
+    rows = frame(spark, [request(0, ["What is a secret plan?"], "None."), request(1, ["Open question here?"], "Yes.")])
+    other.capture(rows.withColumn("incognito", F.col("request_id") == "r0"))
+    assert [r.session_id for r in other.turns().collect()] == ["conv_r1"]
+    assert other.search_turns("secret plan", now()).count() == 0
+
+
+def test_date_limits_and_pruned_days(engine):
+    day = F.to_timestamp(F.lit("2026-03-21"))
+    hits = engine.search_turns("short question salt", now(), after=day).collect()
+    assert all(str(r.ts) >= "2026-03-21" for r in hits)
+    assert {r.session_id for r in engine.search_turns("short", now(), before=day).collect()} <= {"conv_r0", "conv_r1", "conv_r2"}
+    plan = engine.search_turns("skewed join key", now())._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "turn_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_compressed_responses(spark, tmp_path):
+    other = MemoryEngine(spark, str(tmp_path), CONFIG)
+    rows = frame(spark, [request(0, ["Is it packed well?"], "It was packed."), request(1, ["Is it plain here?"], "It was plain.")])
+    packed = F.udf(gzip.compress, "binary")
+    data = F.encode("response", "UTF-8")
+    bytes_ = F.when(F.col("request_id") == "r0", packed(data)).otherwise(data)
+    encoding = F.when(F.col("request_id") == "r0", "gzip")
+    other.capture(rows.withColumn("response_encoding", encoding).withColumn("response", bytes_))
+    assert {r.assistant_content for r in other.turns().collect()} == {"It was packed.", "It was plain."}
+
+
+def test_interrupted_index_runs_are_never_read(spark, tmp_path, monkeypatch):
+    base = f"{tmp_path}/index"
+    docs = spark.createDataFrame([("a", "red green"), ("b", "green blue")], "id string, t string")
+    index.add(docs, "id", F.col("t"), base)
+    newer = spark.createDataFrame([("a", "yellow")], "id string, t string")
+    gone = newer.select("id")
+    for stop in ("_write_postings", "_write_terms", "_publish"):
+        with monkeypatch.context() as patch:
+            patch.setattr(index, stop, lambda *_, **__: (_ for _ in ()).throw(RuntimeError("stopped")))
+            with pytest.raises(RuntimeError):
+                index.add(newer, "id", F.col("t"), base, removed=gone)
+        assert [r.id for r in index.search(spark, base, "id", "red", 5).collect()] == ["a"]
+        assert index.search(spark, base, "id", "yellow", 5).count() == 0
+        assert index.keys(spark, base, "id").count() == 2
+    index.add(spark.createDataFrame([("c", "blue")], "id string, t string"), "id", F.col("t"), base)
+    assert {r.id for r in index.search(spark, base, "id", "red blue", 5).collect()} == {"a", "b", "c"}
+    index.add(newer, "id", F.col("t"), base, removed=gone)
+    assert index.search(spark, base, "id", "red", 5).count() == 0
+    before = index.search(spark, base, "id", "green blue yellow", 5).collect()
+    index.compact(spark, base, "id", buckets=3)
+    assert index.layout(spark, base).runs.__len__() == 1 and index.layout(spark, base).buckets == (3,)
+    assert index.search(spark, base, "id", "green blue yellow", 5).collect() == before
+    assert index.keys(spark, base, "id").count() == 3
+
+
+def test_paths_leaving_the_folder_are_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("turns/../../x.md", "c"), ("turns/y.md", "c")], "path string, content string")
+    got = {r.path: r.ok for r in sinks.export_markdown(rows, f"{tmp_path}/w").collect()}
+    assert got == {"turns/../../x.md": False, "turns/y.md": True} and not (tmp_path / "x.md").exists()
 
 
 def test_status_and_lists(engine):

@@ -34,25 +34,27 @@ def test_sessions_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
 
 
-def test_ingest_indexes_only_what_changed(spark, tmp_path):
-    def captures(rows):
-        listed = [(c, 0, 0, [{"role": r, "content": t} for r, t in messages]) for c, messages in rows]
-        return spark.createDataFrame(listed, ingest.CAPTURE_SCHEMA).coalesce(1)
+def test_resent_turns_are_stored_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "LATEST_EVERY", 2)
 
-    source, out, checkpoint = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp"
-
-    def run():
+    def send(rows):
+        listed = [(c, 0, 0, [{"role": r, "content": t} for r, t in messages], hidden) for c, hidden, messages in rows]
+        spark.createDataFrame(listed, ingest.CAPTURE_SCHEMA).coalesce(1).write.mode("append").parquet(source)
         stream = ingest.capture_stream(spark, source, 1)
         ingest.start_ingest(stream, out, checkpoint, availableNow=True).awaitTermination()
 
-    captures([(1, [("user", "q"), ("assistant", "a")]), (2, [("user", "x"), ("assistant", "y")])]).write.mode("append").parquet(source)
-    run()
-    captures([(1, [("user", "q"), ("assistant", "a")]), (2, [("user", "x"), ("assistant", "new")])]).write.mode("append").parquet(source)
-    run()
-    run()
+    source, out, checkpoint = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp"
+    first, second = (1, None, [("user", "q"), ("assistant", "a")]), [("user", "x"), ("assistant", "y")]
+    send([first, (2, False, second), (3, True, second)])
+    send([first, (2, False, [("user", "x"), ("assistant", "new")])])
+    for _ in range(3):
+        send([first, (2, False, [("user", "x"), ("assistant", "new")])])
     log = spark.read.parquet(f"{out}/documents").collect()
     assert sorted((r.batch, r.path) for r in log) == [(0, "conv-1-0.md"), (0, "conv-2-0.md"), (1, "conv-2-0.md")]
-    assert spark.read.parquet(f"{out}/turns").count() == 4
+    assert spark.read.parquet(f"{out}/turns").count() == 3
+    assert spark.read.parquet(f"{out}/contents").count() == 3
+    current = {r.conv_id: r.assistant_content for r in ingest.current_turns(spark, out).collect()}
+    assert current == {1: "a", 2: "new"}
 
 
 def test_stream_turns_equal_batch(spark):

@@ -51,6 +51,7 @@ class Config:
     extraction: ExtractionConfig = field(default_factory=ExtractionConfig)
     injection: InjectionConfig = field(default_factory=InjectionConfig)
     incognito: bool = False
+    index_buckets: int = 16  # of the inverted index; thousands suit a large store
     # Name of the block this engine injects; set it to the tag existing
     # captures carry when moving an older wallet over.
     context_tag: str = CONTEXT_TAG

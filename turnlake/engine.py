@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from turnlake.config import Config
 from turnlake.functions import dates, redaction, requests
@@ -20,7 +21,7 @@ from turnlake.functions import text as tx
 from turnlake.operators import documents, index, memories, packing, sessions, turns, vectors
 from turnlake.plans import extraction, search, status
 from turnlake.session import cut_lineage, prepare
-from turnlake.sources import sinks
+from turnlake.sources import inline, sinks
 
 REQUEST_COLUMNS = "request_id string, url string, headers map<string,string>, body string, response string, ts timestamp"
 MEMORY_SCHEMA = (
@@ -31,6 +32,8 @@ TURN_SCHEMA = (
     "turn_id string, session_id string, turn_index bigint, user_content string, assistant_content string, "
     "tool string, model string, ts timestamp, fingerprint string, turn_date date"
 )
+INDEX_CARRY = "ts timestamp"  # stored with postings: limits searches by time and names the days to read
+VECTOR_SCHEMA = "turn_id string, embedding array<float>, batch bigint"
 
 
 class MemoryEngine:
@@ -59,16 +62,25 @@ class MemoryEngine:
         return sinks.read_snapshot(self.spark, f"{self.root}/memories", MEMORY_SCHEMA)
 
     def profile(self) -> str:
-        return sinks.read_text(f"{self.root}/profile.md")
+        return sinks.read_text(self.spark, f"{self.root}/profile")
 
     # --- capturing ----------------------------------------------------------
 
     def normalize(self, captured: DataFrame) -> DataFrame:
         """Captured requests as (request_id, tool, provider, model, messages, ...).
 
-        ``captured`` has request_id, url, headers, body, response and ts.
+        ``captured`` has request_id, url, headers, body, response and ts. The
+        response is text, or bytes that ``response_encoding`` (gzip, deflate)
+        says how to unpack. A boolean ``incognito`` column marks single rows.
         Invalid requests keep a row with ``error`` set.
         """
+        if captured.schema["response"].dataType == BinaryType():
+            encoding = F.col("response_encoding") if "response_encoding" in captured.columns else F.lit(None)
+            captured = captured.withColumn("response", inline.response_text(F.col("response"), encoding))
+        marked = F.col("incognito") if "incognito" in captured.columns else F.lit(False)
+        incognito = F.coalesce(marked, F.lit(False)) | F.lit(self.config.incognito)
+        captured = captured.withColumn("incognito", incognito)
+        incognito = F.col("incognito")
         header = lambda name: F.col("headers")[name]
         detected = captured.withColumns(
             {
@@ -93,7 +105,7 @@ class MemoryEngine:
                 tx.context_fingerprint(F.col("request.system_prompt"), self.config.context_tag),
                 F.lit(tx.DEFAULT_FINGERPRINT),
             ).alias("fingerprint"),
-            F.lit(self.config.incognito).alias("incognito"),
+            incognito.alias("incognito"),
             error.alias("error"),
         )
 
@@ -102,9 +114,12 @@ class MemoryEngine:
 
         Ids derive from the request, so capturing a request twice adds nothing.
         Turns stored by a run that failed before indexing them are left to
-        ``reconcile``.
+        ``reconcile``. Incognito leaves nothing behind: with the setting on
+        nothing is written, and rows marked so are dropped first.
         """
-        good = self.normalize(captured).filter(F.col("error").isNull())
+        if self.config.incognito:
+            return
+        good = self.normalize(captured).filter(F.col("error").isNull() & ~F.col("incognito"))
         conversations = good.select(
             F.concat(F.lit("conv_"), "request_id").alias("capture_id"),
             "tool", "provider", "model", "ts", "incognito", "fingerprint",
@@ -131,10 +146,21 @@ class MemoryEngine:
         new = (F.col("turn_id") == F.col("_id")) & (F.to_date("ts") == F.col("_day"))
         pairs = cut_lineage(pairs.join(known, new, "left_anti"))
         sinks.append_by_day(pairs, f"{self.root}/turns")
-        index.add(pairs, "turn_id", search.turn_text(), f"{self.root}/index")
+        self._index(pairs)
         # Captures are written last: a run that failed before this point is repeated in full.
         sinks.append_by_day(fresh, f"{self.root}/captures")
 
+    def _index(self, rows: DataFrame, removed: DataFrame | None = None) -> int:
+        return index.add(
+            rows, "turn_id", search.turn_text(), f"{self.root}/index", removed, self.config.index_buckets, carry=["ts"]
+        )
+
+    def compact(self) -> int:
+        """Rewrite the index as one run, with the bucket number of the configuration."""
+        return index.compact(
+            self.spark, f"{self.root}/index", "turn_id", carry=INDEX_CARRY, buckets=self.config.index_buckets
+        )
+
     @staticmethod
     def _capture_schema() -> str:
         return (
@@ -154,22 +180,46 @@ class MemoryEngine:
         limit: int | None = None,
         fingerprint: str | None = None,
         query_vector: Sequence[float] | None = None,
+        after: Column | None = None,
+        before: Column | None = None,
     ) -> DataFrame:
-        """Ranked turns for a query, from the index; bodies are joined to the hits only.
+        """Ranked turns for a query, from the index; bodies are read for the hits only.
 
-        With a query vector and stored vectors the lexical and vector lists are
-        fused; without either the lexical list is used alone.
+        ``after`` <= ts < ``before`` limits the turns searched. With a query
+        vector and stored vectors the lexical and vector lists are fused;
+        without either the lexical list is used alone.
         """
         injection = self.config.injection
         limit = injection.max_turns if limit is None else limit
-        hits = index.search(self.spark, f"{self.root}/index", "turn_id", query, 2 * limit)
+        hits = index.search(
+            self.spark, f"{self.root}/index", "turn_id", query, 2 * limit, carry=INDEX_CARRY,
+            where=search.between(after, before),
+        )
         if query_vector is not None:
-            stored = self._table("vectors", "turn_id string, embedding array<float>")
+            stored = self.stored_vectors()
+            if after is not None or before is not None:
+                inside = search.in_date_range(self.turns(), after, before).select("turn_id")
+                stored = stored.join(inside, "turn_id", "left_semi")
             if not stored.isEmpty():
                 near = vectors.nearest(stored, "turn_id", "embedding", F.lit(list(query_vector)), 2 * limit)
-                hits = vectors.fuse([hits, near], "turn_id", 2 * limit, unit=True)
-        # At most 2 * limit hits are broadcast; the turn table is never shuffled.
-        fetched = self.turns().join(F.broadcast(hits), "turn_id")
+                hits = vectors.fuse([hits.select("turn_id", "score"), near], "turn_id", 2 * limit, unit=True)
+                # At most 2 * limit hits are broadcast; days are unknown for hits by vector.
+                return self._ranked(self.turns().join(F.broadcast(hits), "turn_id"), now, limit, fingerprint)
+        return self._ranked(self._fetched(hits), now, limit, fingerprint)
+
+    def _fetched(self, hits: DataFrame) -> DataFrame:
+        """Turns of a hit list with ts: the hits, a bounded number, name the days and ids to read."""
+        rows = hits.select("turn_id", F.to_date("ts").alias("day"), "score").collect()
+        if not rows:
+            return self.turns().withColumn("score", F.lit(0.0)).limit(0)
+        days = sorted({row.day for row in rows if row.day is not None})
+        ids = [row.turn_id for row in rows]
+        found = self.turns().filter(F.col("turn_date").isin(days) & F.col("turn_id").isin(ids))
+        scores = self.spark.createDataFrame([(row.turn_id, row.score) for row in rows], "turn_id string, score double")
+        return found.join(F.broadcast(scores), "turn_id")
+
+    def _ranked(self, fetched: DataFrame, now: Column, limit: int, fingerprint: str | None) -> DataFrame:
+        injection = self.config.injection
         return search.rerank_turns(
             fetched, now, limit, injection.min_relevance_score, injection.recency_boost,
             None if fingerprint is None else F.lit(fingerprint),
@@ -209,26 +259,51 @@ class MemoryEngine:
 
     # --- maintenance --------------------------------------------------------
 
+    def stored_vectors(self) -> DataFrame:
+        """(turn_id, embedding) of turns as they are; those of removed or edited texts are left out."""
+        stored = self._table("vectors", VECTOR_SCHEMA)
+        dropped = self._table("vectors_dropped", "turn_id string, batch bigint")
+        gone = dropped.groupBy("turn_id").agg(F.max("batch").alias("_gone"))
+        kept = stored.join(gone, "turn_id", "left").filter(F.col("_gone").isNull() | (F.col("batch") >= F.col("_gone")))
+        return kept.select("turn_id", "embedding")
+
     def reconcile(self, embed: bool = True, embedder=vectors.embed) -> dict[str, int]:
-        """Index turns the index lacks, drop vanished ones, embed what has no vector.
+        """Bring index and vectors in line with the stored turns, by key and hash of the text.
 
-        ``embedder(docs, key, text)`` returns (key, embedding); a model goes here.
+        New turns are indexed, edited ones indexed anew, vanished ones dropped;
+        vectors of the latter two are dropped, and turns without a vector get
+        one. ``embedder(docs, key, text)`` returns (key, embedding); a model
+        goes here.
         """
         base = f"{self.root}/index"
-        indexed = index.keys(self.spark, base, "turn_id")
-        stored = self.turns()
-        missing = cut_lineage(stored.join(indexed, "turn_id", "left_anti"))
-        vanished = cut_lineage(indexed.join(stored.select("turn_id"), "turn_id", "left_anti"))
-        counts = {"indexed": missing.count(), "removed": vanished.count(), "embedded": 0}
-        if counts["indexed"] or counts["removed"]:
-            index.add(missing, "turn_id", search.turn_text(), base, removed=vanished if counts["removed"] else None)
+        indexed = index.keys(self.spark, base, "turn_id").withColumnRenamed("hash", "_old")
+        stored = self.turns().select("turn_id", index.body_hash(search.turn_text()).alias("_new"))
+        status = (
+            F.when(F.col("_old").isNull(), "indexed")
+            .when(F.col("_new").isNull(), "removed")
+            .when(F.col("_old") != F.col("_new"), "updated")
+            .otherwise("unchanged")
+        )
+        compared = cut_lineage(stored.join(indexed, "turn_id", "full_outer").select("turn_id", status.alias("status")))
+        counts = dict.fromkeys(("indexed", "updated", "unchanged", "removed"), 0)
+        counts |= {row.status: row["count"] for row in compared.groupBy("status").count().collect()}
+        counts["embedded"] = 0
+        superseded = compared.filter(F.col("status").isin("removed", "updated")).select("turn_id")
+        if counts["indexed"] or counts["updated"] or counts["removed"]:
+            fresh = compared.filter(F.col("status").isin("indexed", "updated")).select("turn_id")
+            rows = self.turns().join(fresh, "turn_id", "left_semi")
+            batch = self._index(rows, superseded if counts["updated"] or counts["removed"] else None)
+            if counts["updated"] or counts["removed"]:
+                superseded.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("append").parquet(
+                    f"{self.root}/vectors_dropped"
+                )
         if embed:
-            known = self._table("vectors", "turn_id string, embedding array<float>")
-            lacking = vectors.lacking(stored, known, "turn_id")
+            batch = index.layout(self.spark, base).generation
+            lacking = vectors.lacking(self.turns(), self.stored_vectors(), "turn_id")
             new = cut_lineage(embedder(lacking, "turn_id", search.turn_text()))
             counts["embedded"] = new.count()
             if counts["embedded"]:
-                new.write.mode("append").parquet(f"{self.root}/vectors")
+                new.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("append").parquet(f"{self.root}/vectors")
         return counts
 
     # --- extraction ---------------------------------------------------------
@@ -264,11 +339,11 @@ class MemoryEngine:
         sinks.write_snapshot(run["processed"], f"{self.root}/processed")
         last = run["actions"].agg(F.max_by("summary_update", F.struct("valid_from", "fact_id"))).first()[0]
         if last is not None:
-            sinks.write_text(f"{self.root}/summary.txt", last)
+            sinks.write_text(self.spark, f"{self.root}/summary", last)
         return stats
 
     def _summary(self) -> str:
-        return sinks.read_text(f"{self.root}/summary.txt")
+        return sinks.read_text(self.spark, f"{self.root}/summary")
 
     def profile_lines(self) -> DataFrame:
         """Numbered lines of the live high-confidence memories."""
@@ -295,7 +370,7 @@ class MemoryEngine:
             lines = answers.select(
                 F.lit(self.root).alias("wallet_id"), number.alias("n"), F.concat(number, F.lit(". "), "content").alias("line")
             )
-        sinks.write_text(f"{self.root}/profile.md", profile)
+        sinks.write_text(self.spark, f"{self.root}/profile", profile)
         return profile
 
     # --- reporting ----------------------------------------------------------

@@ -200,6 +200,9 @@ def _json_answer(body: Column, provider: Column) -> Column:
     return F.when(provider == "anthropic", joined).otherwise(string_at(body, "$.choices[0].message.content"))
 
 
+SSE_CHUNK = "delta struct<type:string,text:string>, choices array<struct<delta:struct<content:string>>>"
+
+
 def _sse_answer(text: Column, provider: Column) -> Column:
     marked = F.filter(F.split(text, "\n"), lambda line: line.startswith(SSE_PREFIX))
     payloads = F.transform(marked, lambda line: js_trim(F.substring(line, len(SSE_PREFIX) + 1, 2**31 - 1)))
@@ -208,30 +211,24 @@ def _sse_answer(text: Column, provider: Column) -> Column:
         end = F.array_position(lines, SSE_END)
         return F.when(end > 0, F.slice(lines, F.lit(1), end.cast("int") - 1)).otherwise(lines)
 
-    def anthropic_text(chunk: Column) -> Column:
-        return F.when(string_at(chunk, "$.delta.type") == "text_delta", string_at(chunk, "$.delta.text"))
-
-    def openai_text(chunk: Column) -> Column:
-        return string_at(chunk, "$.choices[0].delta.content")
-
-    def joined(chunks: Column) -> Column:
-        deltas = F.when(provider == "anthropic", F.transform(chunks, anthropic_text)).otherwise(
-            F.transform(chunks, openai_text)
-        )
-        return F.nullif(F.array_join(deltas, ""), F.lit(""))
+    def delta(payload: Column) -> Column:
+        chunk = F.from_json(payload, SSE_CHUNK)
+        spoken = F.when(chunk["delta"]["type"] == "text_delta", chunk["delta"]["text"])
+        return F.when(provider == "anthropic", spoken).otherwise(F.get(chunk["choices"], F.lit(0))["delta"]["content"])
 
-    chunks = F.transform(bind(payloads, up_to_end), lambda payload: F.try_parse_json(payload))
-    return bind(chunks, joined)
+    deltas = F.transform(bind(payloads, up_to_end), lambda payload: bind(payload, delta))
+    return F.nullif(F.array_join(deltas, ""), F.lit(""))
 
 
 def assistant_answer(response: Column, provider: Column) -> Column:
     """Answer text of a JSON or event-stream response body; NULL when there is none."""
-    return bind(
-        F.try_parse_json(response),
-        lambda body: F.when(body.isNotNull(), _json_answer(body, provider)).otherwise(
-            _sse_answer(response, provider)
-        ),
-    )
+    def answer(text: Column) -> Column:
+        return bind(
+            F.try_parse_json(text),
+            lambda body: F.when(body.isNotNull(), _json_answer(body, provider)).otherwise(_sse_answer(text, provider)),
+        )
+
+    return bind(response, answer)
 
 
 def json_string(text: Column) -> Column:

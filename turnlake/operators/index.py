@@ -1,22 +1,29 @@
 """Persisted inverted index.
 
-Layout below one folder, each written in generations ``g=n``:
+Layout below one folder. Every call of ``add`` or ``compact`` writes a folder
+``g=n/run=<id>`` below each of
 
-* ``postings``: term, key, tf, dl; partitioned by a hash bucket of the term and
-  range-sorted by (bucket, term, key), so that a frequent term spreads over
-  several files while a query term is found by partition and row-group pruning;
+* ``postings``: term, key, tf, dl and carried columns; partitioned by a hash
+  bucket of the term and range-sorted by (bucket, term, key), so that a
+  frequent term spreads over several files while a query term is found by
+  partition and row-group pruning;
 * ``terms``: term, bucket, df;
-* ``corpus``: one row with the number of documents, their total length and the
-  number of buckets, which the first generation fixes;
-* ``removed``: keys superseded by this generation.
-
-Adding documents appends a generation. Document frequencies are sums over
-generations; removed keys are taken out of ``terms`` and ``corpus`` by negative
-counts, so statistics stay exact without rewriting older generations.
+* ``docs``: key, dl, hash of the text;
+* ``removed``: keys superseded by this run;
+* ``corpus``: one row with the number of documents, their total length, the
+  number of buckets and the runs it replaces.
+
+``corpus`` is written last, and a run counts only once it is listed there: what
+an interrupted run left behind is never read, and two writers cannot overwrite
+each other, as run ids are unique. Document frequencies are sums over runs;
+removed keys are taken out by negative counts, so statistics stay exact without
+rewriting older runs. ``compact`` rewrites the live rows as one run.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,17 +36,21 @@ from turnlake.operators import bm25
 
 BUCKETS = 16  # for a small store; thousands suit a large one
 
+CORPUS = "n bigint, dl bigint, buckets int, replaces array<string>, g int, run string"
+TERMS = "term string, df bigint, g int, run string, bucket int"
+
 
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-CORPUS = "n bigint, dl bigint, buckets int, g int"
-TERMS = "term string, df bigint, g int, bucket int"
+def body_hash(body: Column) -> Column:
+    return F.sha2(body, 256)
 
 
-def _postings_schema(key: str, key_type: str) -> str:
-    return f"{key} {key_type}, dl bigint, term string, tf bigint, g int, bucket int"
+def _postings_schema(key: str, key_type: str, carry: str = "") -> str:
+    carried = f"{carry}, " if carry else ""
+    return f"{key} {key_type}, {carried}dl bigint, term string, tf bigint, g int, run string, bucket int"
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
@@ -54,108 +65,182 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
 
 @dataclass(frozen=True)
 class Layout:
-    """Newest complete generation and what ``corpus`` says about the index."""
+    """What ``corpus`` says about the index: its live runs and figures."""
 
     generation: int = 0
-    buckets: int | None = None
+    runs: tuple[str, ...] = ()
+    buckets: tuple[int, ...] = ()  # of the live runs, newest last
     documents: int = 0
     average_length: float = 0.0
 
 
 def layout(spark: SparkSession, base: str) -> Layout:
-    """``corpus`` is written last in a generation, so it lists complete ones only."""
+    """One row per run comes to the driver; compaction keeps them few."""
     corpus = _read(spark, f"{base}/corpus", CORPUS)
-    if corpus is None:
+    rows = corpus.collect() if corpus is not None else []
+    replaced = {run for row in rows for run in row.replaces}
+    live = [row for row in rows if row.run not in replaced]
+    if not live:
         return Layout()
-    row = corpus.agg(F.max("g").alias("g"), F.max("buckets").alias("b"), F.sum("n").alias("n"), F.sum("dl").alias("dl")).first()
-    return Layout(row.g or 0, row.b, row.n or 0, row.dl / row.n if row.n else 0.0)
+    n, dl = sum(row.n for row in live), sum(row.dl for row in live)
+    buckets = tuple(dict.fromkeys(row.buckets for row in sorted(live, key=lambda row: row.g)))
+    return Layout(
+        max(row.g for row in rows), tuple(sorted(row.run for row in live)), buckets, n, dl / n if n else 0.0
+    )
+
+
+def _runs(spark: SparkSession, path: str, schema: str, current: Layout) -> DataFrame:
+    """Rows of the live runs; the others are pruned as partitions."""
+    found = _read(spark, path, schema) if current.runs else None
+    if found is None:
+        return spark.createDataFrame([], schema)
+    return found.filter(F.col("run").isin(*current.runs))
 
 
-def _live(postings: DataFrame, removed: DataFrame | None, key: str) -> DataFrame:
-    """Postings not superseded by a later generation."""
-    if removed is None:
-        return postings
+def _live(rows: DataFrame, removed: DataFrame, key: str) -> DataFrame:
+    """Rows not superseded by a later run."""
     gone = removed.groupBy(key).agg(F.max("g").alias("_gone"))
-    joined = postings.join(gone, key, "left")
+    joined = rows.join(gone, key, "left")
     return joined.filter(F.col("_gone").isNull() | (F.col("g") >= F.col("_gone"))).drop("_gone")
 
 
+def _target(base: str, table: str, g: int, run: str) -> str:
+    return f"{base}/{table}/g={g}/run={run}"
+
+
+def _write_postings(counted: DataFrame, key: str, path: str) -> None:
+    ordered = counted.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key)
+    ordered.write.partitionBy("bucket").parquet(path)
+
+
+def _write_terms(terms: DataFrame, path: str) -> None:
+    terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+
+
 def add(
-    docs: DataFrame, key: str, body: Column, base: str, removed: DataFrame | None = None, buckets: int = BUCKETS
+    docs: DataFrame,
+    key: str,
+    body: Column,
+    base: str,
+    removed: DataFrame | None = None,
+    buckets: int = BUCKETS,
+    carry: Sequence[str] = (),
 ) -> int:
-    """Index documents as the next generation; ``removed`` names keys to drop or replace."""
+    """Index documents as the next generation; ``removed`` names keys to drop or replace.
+
+    Columns named in ``carry`` are stored with every posting, to restrict a
+    search and to come back with its hits. ``buckets`` counts for the first run
+    and after ``compact``.
+    """
     spark = docs.sparkSession
     key_type = docs.schema[key].dataType.simpleString()
     current = layout(spark, base)
-    last = current.generation
-    buckets = current.buckets or buckets
+    buckets = current.buckets[-1] if current.buckets else buckets
     if removed is None and docs.isEmpty():
-        return last
-    g = last + 1
+        return current.generation
+    g, run = current.generation + 1, uuid.uuid4().hex
     counted = (
-        docs.select(key, body.alias("_body"))
+        docs.select(key, *carry, body.alias("_body"))
         .repartition(key)
-        .select(key, tx.word_tokens(F.col("_body")).alias("_words"))
-        .select(key, F.size("_words").cast("bigint").alias("dl"), F.explode_outer("_words").alias("term"))
-        .groupBy(key, "dl", "term")
+        .select(key, *carry, tx.word_tokens(F.col("_body")).alias("_words"))
+        .select(key, *carry, F.size("_words").cast("bigint").alias("dl"), F.explode_outer("_words").alias("term"))
+        .groupBy(key, *carry, "dl", "term")
         .agg(F.count("term").alias("tf"))
         .withColumn("bucket", bucket_of(F.coalesce("term", F.lit("")), buckets))
     )
-    target = f"{base}/postings/g={g}"
-    sorted_rows = counted.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key)
-    sorted_rows.write.mode("overwrite").partitionBy("bucket").parquet(target)
+    postings = _target(base, "postings", g, run)
+    _write_postings(counted, key, postings)
+    hashes = docs.select(key, body_hash(body).alias("hash"), F.size(tx.word_tokens(body)).cast("bigint").alias("dl"))
+    hashes.write.parquet(_target(base, "docs", g, run))
 
-    written = spark.read.schema(counted.schema).parquet(target)
     # A row without a term stands for a document without words.
-    terms = written.filter(F.col("term").isNotNull()).groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
-    lengths = written.groupBy(key).agg(F.max("dl").alias("dl"))
-
-    if removed is not None and last > 0:
+    written = spark.read.schema(counted.schema).parquet(postings).filter(F.col("term").isNotNull())
+    terms = written.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+    lengths = spark.read.schema(f"{key} {key_type}, dl bigint").parquet(_target(base, "docs", g, run))
+    sums = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")]
+    n_lost = spark.range(1).select(F.struct(F.lit(0).alias("n"), F.lit(0).alias("dl")).alias("l"))
+    if removed is not None and current.runs:
         gone = removed.select(key).distinct()
-        earlier = _live(
-            _read(spark, f"{base}/postings", _postings_schema(key, key_type)).filter(F.col("g") <= last),
-            _read(spark, f"{base}/removed", f"{key} {key_type}, g int"),
-            key,
-        )
-        lost = earlier.join(gone, key, "left_semi")
-        lost_terms = lost.filter(F.col("term").isNotNull()).groupBy("bucket", "term").agg((-F.count(F.lit(1))).alias("df"))
-        lost_lengths = lost.groupBy(key).agg(F.max("dl").alias("dl"))
+        earlier = _runs(spark, f"{base}/removed", f"{key} {key_type}, g int, run string", current)
+        old = _runs(spark, f"{base}/postings", _postings_schema(key, key_type), current).filter(F.col("term").isNotNull())
+        lost = _live(old.join(gone, key, "left_semi"), earlier, key)
+        lost_terms = lost.groupBy("bucket", "term").agg((-F.count(F.lit(1))).alias("df"))
         terms = terms.unionByName(lost_terms).groupBy("bucket", "term").agg(F.sum("df").alias("df"))
-        gone.write.mode("overwrite").parquet(f"{base}/removed/g={g}")
-        n_lost = lost_lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")))
-    else:
-        n_lost = spark.range(1).select(F.struct(F.lit(0).alias("n"), F.lit(0).alias("dl")).alias("l"))
-    terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode(
-        "overwrite"
-    ).partitionBy("bucket").parquet(f"{base}/terms/g={g}")
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"))
-    corpus.withColumn("_lost", n_lost.scalar()).select(
-        (F.col("n") - F.col("_lost.n")).alias("n"),
-        (F.col("dl") - F.col("_lost.dl")).alias("dl"),
-        F.lit(buckets).alias("buckets"),
-    ).write.mode("overwrite").parquet(f"{base}/corpus/g={g}")
+        held = _live(_runs(spark, f"{base}/docs", _docs_schema(key, key_type), current).join(gone, key, "left_semi"), earlier, key)
+        n_lost = held.agg(F.struct(*sums))
+        gone.write.parquet(_target(base, "removed", g, run))
+    _write_terms(terms, _target(base, "terms", g, run))
+    corpus = lengths.agg(*sums).withColumn("_lost", n_lost.scalar())
+    _publish(corpus.select((F.col("n") - F.col("_lost.n")).alias("n"), (F.col("dl") - F.col("_lost.dl")).alias("dl")), base, g, run, buckets)
+    return g
+
+
+def _publish(figures: DataFrame, base: str, g: int, run: str, buckets: int, replaces: Sequence[str] = ()) -> None:
+    listed = F.array(*[F.lit(r) for r in replaces]).cast("array<string>")
+    figures.withColumns({"buckets": F.lit(buckets), "replaces": listed}).write.parquet(_target(base, "corpus", g, run))
+
+
+def _docs_schema(key: str, key_type: str) -> str:
+    return f"{key} {key_type}, hash string, dl bigint, g int, run string"
+
+
+def keys(spark: SparkSession, base: str, key: str, key_type: str = "string") -> DataFrame:
+    """(key, hash) of the documents the index holds; no posting is read."""
+    current = layout(spark, base)
+    docs = _runs(spark, f"{base}/docs", _docs_schema(key, key_type), current)
+    removed = _runs(spark, f"{base}/removed", f"{key} {key_type}, g int, run string", current)
+    return _live(docs, removed, key).select(key, "hash")
+
+
+def compact(spark: SparkSession, base: str, key: str, key_type: str = "string", carry: str = "", buckets: int | None = None) -> int:
+    """Write the live rows as one run, in ``buckets`` buckets; older runs are read no more.
+
+    ``carry`` gives names and types of the carried columns. Files of replaced
+    runs stay for readers that began before, and may be deleted later.
+    """
+    current = layout(spark, base)
+    if not current.runs:
+        return 0
+    buckets = buckets or current.buckets[-1]
+    g, run = current.generation + 1, uuid.uuid4().hex
+    removed = _runs(spark, f"{base}/removed", f"{key} {key_type}, g int, run string", current)
+    postings = _live(_runs(spark, f"{base}/postings", _postings_schema(key, key_type, carry), current), removed, key)
+    postings = postings.drop("g", "run").withColumn("bucket", bucket_of(F.coalesce("term", F.lit("")), buckets))
+    _write_postings(postings, key, _target(base, "postings", g, run))
+    docs = _live(_runs(spark, f"{base}/docs", _docs_schema(key, key_type), current), removed, key).drop("g", "run")
+    docs.write.parquet(_target(base, "docs", g, run))
+    terms = _runs(spark, f"{base}/terms", TERMS, current).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+    _write_terms(terms.withColumn("bucket", bucket_of(F.col("term"), buckets)), _target(base, "terms", g, run))
+    figures = spark.createDataFrame([(current.documents, round(current.average_length * current.documents))], "n bigint, dl bigint")
+    _publish(figures, base, g, run, buckets, current.runs)
     return g
 
 
 def search(
-    spark: SparkSession, base: str, key: str, query: str, limit: int, key_type: str = "string"
+    spark: SparkSession,
+    base: str,
+    key: str,
+    query: str,
+    limit: int,
+    key_type: str = "string",
+    carry: str = "",
+    where: Column | None = None,
 ) -> DataFrame:
-    """(key, score) of the best ``limit`` documents; reads the query terms' buckets only.
+    """(key, carried columns, score) of the best ``limit`` documents; reads the query terms' buckets only.
 
-    What the driver sees is one row of corpus figures and one per query term.
+    ``where`` is a condition on carried columns; statistics are those of the
+    whole index. What the driver sees is a row per run and one per query term.
     """
     terms = tx.query_terms(query)
     current = layout(spark, base)
-    empty = spark.createDataFrame([], f"{key} {key_type}, score double")
+    carried = [part.split()[0] for part in carry.split(",")] if carry else []
+    empty = spark.createDataFrame([], f"{key} {key_type}, " + (f"{carry}, " if carry else "") + "score double")
     if not terms or not current.documents:
         return empty
-    wanted = (
-        F.col("bucket").isin([bucket_of(F.lit(t), current.buckets) for t in terms])
-        & F.col("term").isin(terms)
-        & (F.col("g") <= current.generation)
-    )
+    places = [bucket_of(F.lit(t), count) for t in terms for count in current.buckets]
+    wanted = F.col("bucket").isin(places) & F.col("term").isin(terms)
     frequencies = (
-        _read(spark, f"{base}/terms", TERMS).filter(wanted).groupBy("term").agg(F.sum("df").alias("df")).collect()
+        _runs(spark, f"{base}/terms", TERMS, current).filter(wanted).groupBy("term").agg(F.sum("df").alias("df")).collect()
     )
     found = [row for row in frequencies if row.df > 0]
     if not found:
@@ -163,23 +248,15 @@ def search(
     n = F.lit(float(current.documents))
     weights = [(F.col("term") == row.term, bm25.idf(n, F.lit(float(row.df)))) for row in found]
     idf = reduce(lambda chain, weight: chain.when(*weight), weights[1:], F.when(*weights[0]))
-    postings = _live(
-        _read(spark, f"{base}/postings", _postings_schema(key, key_type)).filter(wanted).select(key, "term", "tf", "dl", "g"),
-        _read(spark, f"{base}/removed", f"{key} {key_type}, g int"),
-        key,
-    )
+    postings = _runs(spark, f"{base}/postings", _postings_schema(key, key_type, carry), current).filter(wanted)
+    if where is not None:
+        postings = postings.filter(where)
+    removed = _runs(spark, f"{base}/removed", f"{key} {key_type}, g int, run string", current)
+    live = _live(postings.select(key, *carried, "term", "tf", "dl", "g"), removed, key)
+    weight = idf * bm25.saturated_tf(F.col("tf"), F.col("dl"), F.lit(current.average_length))
     scored = (
-        postings.select(key, (idf * bm25.saturated_tf(F.col("tf"), F.col("dl"), F.lit(current.average_length))).alias("w"))
-        .groupBy(key)
+        live.select(key, *carried, weight.alias("w"))
+        .groupBy(key, *carried)
         .agg(F.round(bm25.squash(F.sum("w")), bm25.SCORE_DIGITS).alias("score"))
     )
     return scored.orderBy(F.desc("score"), F.asc(key)).limit(limit)
-
-
-def keys(spark: SparkSession, base: str, key: str, key_type: str = "string") -> DataFrame:
-    """Keys of the documents the index holds."""
-    last = layout(spark, base).generation
-    if last == 0:
-        return spark.createDataFrame([], f"{key} {key_type}")
-    postings = _read(spark, f"{base}/postings", _postings_schema(key, key_type)).filter(F.col("g") <= last).select(key, "g")
-    return _live(postings, _read(spark, f"{base}/removed", f"{key} {key_type}, g int"), key).select(key).distinct()

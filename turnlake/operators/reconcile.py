@@ -11,19 +11,23 @@ KEY = ["collection", "path"]
 STATUSES = ("indexed", "updated", "removed", "unchanged")
 
 
+def description(path: Column, content: Column) -> list[Column]:
+    """path, title and hash of a file."""
+    return [
+        tx.normalize_path(path).alias("path"),
+        tx.extract_title(content, path).alias("title"),
+        tx.content_hash(content).alias("hash"),
+    ]
+
+
 def described(docs: DataFrame, collection: str, path: Column, content: Column) -> DataFrame:
     """Index rows (collection, path, title, hash, content) of scanned files.
 
-    Files whose path cannot be normalised are left out.
+    Files whose path cannot be normalised are left out; a one-row ``inline``
+    keeps the path from being computed for the condition and again for the row.
     """
-    rows = docs.select(
-        F.lit(collection).alias("collection"),
-        tx.normalize_path(path).alias("path"),
-        tx.extract_title(content, path).alias("title"),
-        tx.content_hash(content).alias("hash"),
-        content.alias("content"),
-    )
-    return rows.filter(F.col("path").isNotNull())
+    row = F.struct(F.lit(collection).alias("collection"), *description(path, content), content.alias("content"))
+    return docs.select(F.inline(F.array(row))).filter(F.col("path").isNotNull())
 
 
 def changed(incoming: DataFrame, index: DataFrame) -> DataFrame:

@@ -22,13 +22,23 @@ def compared_text() -> Column:
     return F.concat_ws(" ", "user_content", "assistant_content")
 
 
+def between(after: Column | None = None, before: Column | None = None) -> Column | None:
+    """Condition after <= ts < before; None without a limit."""
+    parts = [F.col("ts") >= after] * (after is not None) + [F.col("ts") < before] * (before is not None)
+    return None if not parts else parts[0] if len(parts) == 1 else parts[0] & parts[1]
+
+
 def in_date_range(turns: DataFrame, after: Column | None = None, before: Column | None = None) -> DataFrame:
-    """after <= ts < before; a plain condition, so date partitions are pruned."""
-    if after is not None:
-        turns = turns.filter(F.col("ts") >= after)
-    if before is not None:
-        turns = turns.filter(F.col("ts") < before)
-    return turns
+    """after <= ts < before. Where turns are stored by day, the days outside are never read."""
+    limits = between(after, before)
+    if limits is None:
+        return turns
+    if "turn_date" in turns.columns:
+        if after is not None:
+            turns = turns.filter(F.col("turn_date") >= F.to_date(after))
+        if before is not None:
+            turns = turns.filter(F.col("turn_date") <= F.to_date(before))
+    return turns.filter(limits)
 
 
 def rerank_turns(

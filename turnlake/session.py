@@ -40,7 +40,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (local tests) is one created here.
+    Only a local master, whose executors share the driver's disk, gets one
+    created here; elsewhere the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -48,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_by_user = spark.sparkContext.getCheckpointDir()
     if set_by_user:
         return set_by_user
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     fallback = tempfile.mkdtemp(prefix="turnlake-")
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback

@@ -78,6 +78,8 @@ def export_markdown(rows: DataFrame, root: str) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 target = Path(folder, path)
                 try:
+                    if not target.resolve().is_relative_to(Path(folder).resolve()):
+                        raise OSError("path leaves the folder")
                     target.parent.mkdir(parents=True, exist_ok=True)
                     partial = target.with_name(f".{target.name}.{os.getpid()}")
                     partial.write_text(content, "utf-8", newline="")
@@ -90,31 +92,11 @@ def export_markdown(rows: DataFrame, root: str) -> DataFrame:
     return rows.select("path", "content").mapInPandas(write, WRITE_RESULT)
 
 
-def read_text(path: str) -> str:
-    """A small driver-side file such as the profile; '' when missing."""
-    target = Path(_local(path))
-    return target.read_text("utf-8") if target.exists() else ""
+def read_text(spark: SparkSession, base: str) -> str:
+    """A small text such as the profile, kept as a one-row snapshot; '' before the first write."""
+    row = read_snapshot(spark, base, "content string").first()
+    return row["content"] if row else ""
 
 
-def write_text(path: str, content: str) -> None:
-    target = Path(_local(path))
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(content, "utf-8")
-
-
-class ProfileCache:
-    """Profile text, re-read only when the file's modification time changes."""
-
-    def __init__(self) -> None:
-        self._seen: dict[str, tuple[int, str]] = {}
-
-    def load(self, wallet_dir: str) -> str:
-        target = Path(_local(wallet_dir), "profile.md").expanduser()
-        try:
-            stamp = target.stat().st_mtime_ns
-        except FileNotFoundError:
-            return ""
-        known = self._seen.get(str(target))
-        if known is None or known[0] != stamp:
-            self._seen[str(target)] = (stamp, target.read_text("utf-8"))
-        return self._seen[str(target)][1]
+def write_text(spark: SparkSession, base: str, content: str) -> None:
+    write_snapshot(spark.createDataFrame([(content,)], "content string").coalesce(1), base)

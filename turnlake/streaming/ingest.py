@@ -1,8 +1,9 @@
-"""Structured Streaming: captures in, turn and index tables out."""
+"""Structured Streaming: captures in, turn, index and content tables out."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,10 +11,13 @@ from turnlake.operators import reconcile, turns
 
 CAPTURE_SCHEMA = (
     "conv_id bigint, part bigint, first_index bigint, "
-    "messages array<struct<role:string,content:string>>"
+    "messages array<struct<role:string,content:string>>, incognito boolean"
 )
 TURN_COLUMNS = ("conv_id", "turn_index", "user_content", "assistant_content")
+TURN_SCHEMA = "conv_id bigint, turn_index bigint, user_content string, assistant_content string, batch bigint"
 INDEX_SCHEMA = "collection string, path string, title string, hash string, batch bigint"
+CONTENT_SCHEMA = "hash string, body string, batch bigint"
+LATEST_EVERY = 16  # batches between two snapshots of the latest hashes
 
 
 def capture_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -24,47 +28,94 @@ def capture_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000
 
 
 def turns_of_captures(captures: DataFrame) -> DataFrame:
-    """Turn pairs of each captured message list; row-local, so no state and no shuffle."""
-    pairs = captures.select("conv_id", "first_index", F.inline(turns.pairs_in_array(F.col("messages"))))
+    """Turn pairs of each captured message list, none of incognito ones; row-local, so no state and no shuffle."""
+    seen = captures.filter(~F.coalesce("incognito", F.lit(False))) if "incognito" in captures.columns else captures
+    pairs = seen.select("conv_id", "first_index", F.inline(turns.pairs_in_array(F.col("messages"))))
     return pairs.withColumn("turn_index", F.col("first_index") + F.col("turn_index")).select(*TURN_COLUMNS)
 
 
-def index_rows(pairs: DataFrame) -> DataFrame:
-    body = F.concat(
+def turn_body() -> Column:
+    return F.concat(
         F.lit("## User\n"), F.col("user_content"), F.lit("\n\n## Assistant\n"), F.col("assistant_content"), F.lit("\n")
     )
-    path = F.concat(F.lit("conv_"), F.col("conv_id"), F.lit("-"), F.col("turn_index"), F.lit(".md"))
-    return reconcile.described(pairs, "turns", path, body)
 
 
-def _known_index(spark: SparkSession, path: str, batch_id: int, incoming: DataFrame) -> DataFrame:
-    """Latest hash of the incoming paths from earlier batches.
+def turn_path() -> Column:
+    return F.concat(F.lit("conv_"), F.col("conv_id"), F.lit("-"), F.col("turn_index"), F.lit(".md"))
 
-    Reduced to the paths of the micro-batch before anything is shuffled; AQE
-    broadcasts those when they are few.
-    """
-    log = spark.read.schema(INDEX_SCHEMA).parquet(path).filter(F.col("batch") < batch_id)
-    relevant = log.join(incoming.select(*reconcile.KEY), reconcile.KEY, "left_semi")
-    latest = F.max_by(F.struct("title", "hash"), "batch").alias("_latest")
-    return relevant.groupBy(*reconcile.KEY).agg(latest).select(*reconcile.KEY, "_latest.*")
 
+def index_rows(pairs: DataFrame) -> DataFrame:
+    return reconcile.described(pairs, "turns", turn_path(), turn_body())
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _latest(log: DataFrame) -> DataFrame:
+    """Newest row of each path; combined on the map side."""
+    newest = F.max_by(F.struct("title", "hash"), "batch").alias("_latest")
+    return log.groupBy(*reconcile.KEY).agg(newest, F.max("batch").alias("batch")).select(
+        *reconcile.KEY, "_latest.*", "batch"
+    )
 
-def start_ingest(captures: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append turns and, for new or changed ones, index and content rows.
 
-    Each micro-batch writes to folders named after its id with overwrite, so a
-    batch replayed after a failure replaces its own output and nothing else.
+def known_index(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
+    """Latest hash of every path before a batch: the last snapshot and the few batches after it."""
+    snapshot = (batch_id - 1) // LATEST_EVERY * LATEST_EVERY
+    log = _read(spark, f"{out}/documents", INDEX_SCHEMA).filter(
+        (F.col("batch") >= snapshot) & (F.col("batch") < batch_id)
+    )
+    older = _read(spark, f"{out}/latest/at={snapshot}", INDEX_SCHEMA) if snapshot > 0 else None
+    return _latest(log if older is None else log.unionByName(older))
+
+
+def current_turns(spark: SparkSession, out: str) -> DataFrame:
+    """Each turn as captured last."""
+    rows = _read(spark, f"{out}/turns", TURN_SCHEMA)
+    newest = F.max_by(F.struct("user_content", "assistant_content"), "batch").alias("_newest")
+    return rows.groupBy("conv_id", "turn_index").agg(newest).select("conv_id", "turn_index", "_newest.*")
+
+
+def start_ingest(captures: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write new and changed turns, their index rows and contents not stored yet.
+
+    Clients resend the whole history with every request; a turn that is stored
+    as it is adds nothing. Of several forms of a turn in one micro-batch the
+    greatest by text counts, so that a replay agrees. Each micro-batch writes
+    to folders named after its id with overwrite: replayed after a failure, it
+    replaces its own output and nothing else. Nothing of incognito captures is
+    written.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = f"{out}/turns/batch={batch_id}"
-        turns_of_captures(batch).write.mode("overwrite").parquet(target)
-        stored = spark.read.parquet(target)
-        incoming = index_rows(stored)
-        if batch_id > 0:
-            incoming = reconcile.changed(incoming, _known_index(spark, f"{out}/documents", batch_id, incoming))
-        incoming.select("collection", "path", "title", "hash").write.mode("overwrite").parquet(
+        if batch_id > 0 and batch_id % LATEST_EVERY == 0:
+            known_index(spark, out, batch_id).write.mode("overwrite").parquet(f"{out}/latest/at={batch_id}")
+        pairs = (
+            turns_of_captures(batch)
+            .groupBy("conv_id", "turn_index")
+            .agg(F.max(F.struct("user_content", "assistant_content")).alias("_form"))
+            .select("conv_id", "turn_index", "_form.*")
+        )
+        described = pairs.select(*TURN_COLUMNS, F.struct(*_described()).alias("_row"))
+        known = known_index(spark, out, batch_id).select("path", F.col("hash").alias("_known"))
+        joined = described.join(known, F.col("_row.path") == known["path"], "left").drop(known["path"])
+        changed = joined.filter(F.col("_known").isNull() | (F.col("_known") != F.col("_row.hash"))).drop("_known")
+        # Turns are written last: they carry all the rest, which is derived from what was written.
+        staged = f"{out}/changed/batch={batch_id}"
+        changed.write.mode("overwrite").parquet(staged)
+        rows = spark.read.schema(changed.schema).parquet(staged)
+        documents = rows.select(F.lit("turns").alias("collection"), "_row.path", "_row.title", "_row.hash", turn_body().alias("content"))
+        stored = _read(spark, f"{out}/contents", CONTENT_SCHEMA).filter(F.col("batch") < batch_id)
+        reconcile.new_contents(documents, stored).write.mode("overwrite").parquet(f"{out}/contents/batch={batch_id}")
+        rows.select(*TURN_COLUMNS).write.mode("overwrite").parquet(f"{out}/turns/batch={batch_id}")
+        documents.select("collection", "path", "title", "hash").write.mode("overwrite").parquet(
             f"{out}/documents/batch={batch_id}"
         )
 
@@ -72,3 +123,7 @@ def start_ingest(captures: DataFrame, out: str, checkpoint: str, **trigger) -> S
     return (
         captures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**options).start()
     )
+
+
+def _described() -> list[Column]:
+    return reconcile.description(turn_path(), turn_body())

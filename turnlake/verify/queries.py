@@ -688,7 +688,7 @@ def _resolved(spark, sf):
               FROM mem m LEFT JOIN (SELECT DISTINCT target_id FROM acts WHERE applied AND action IN ('UPDATE', 'INVALIDATE')) e
                 ON e.target_id = m.memory_id
               UNION ALL BY NAME
-              SELECT 'mem_' || substr(sha256(fact_id), 1, 12) AS memory_id, text, category, confidence, source,
+              SELECT 'mem_' || substr(sha256(fact_id), 1, 32) AS memory_id, text, category, confidence, source,
                      {o.NOW} AS created_at, valid_from, NULL::TIMESTAMP AS invalidated_at
               FROM acts WHERE applied AND action IN ('ADD', 'UPDATE'))""",
         *o.TURNS,
