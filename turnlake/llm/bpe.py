@@ -33,6 +33,7 @@ from turnlake.llm.spans import bound
 TABLE_WORDS = 300_000  # words shipped to every task, most frequent first
 TABLE_BYTES = 64  # longest word of the table, so its size is bounded
 FOLD_BYTES = 128  # longer words take the same merges from a heap, which needs n log n steps
+SENT_WORDS = 100_000  # words outside the table that a task folds once and remembers; later ones are folded each time
 PART_WORDS = 200_000  # distinct words counted before they are handed on
 BUCKETS = 1 << 14  # maps look up by comparing keys one by one, so ranks are spread over small maps
 NEVER = 2147483647
@@ -59,35 +60,45 @@ def _rank(maps: Column, piece: Column) -> Column:
 
 
 def fold(maps: Column, word: Column) -> Column:
-    """Ids of one word in hex: again and again the leftmost pair of lowest rank is merged."""
+    """Ids of one word in hex: again and again the leftmost pair of lowest rank is merged.
+
+    The state is the pieces and the ranks of neighbouring pairs; a merge looks
+    up the two pairs it makes and leaves the other ranks as they are.
+    """
+
+    def pair_rank(a: Column, b: Column) -> Column:
+        return F.coalesce(_rank(maps, F.concat(a, b)), F.lit(NEVER))
 
     def merge(state: Column, _: Column) -> Column:
-        parts = state["parts"]
+        parts, ranks = state["parts"], state["ranks"]
+
+        def merged(at: Column) -> Column:
+            # at is counted from 1, as slices are; F.get counts from 0.
+            none = F.array().cast("array<int>")
+            joined = F.concat(F.get(parts, at - 1), F.get(parts, at))
+            before = F.when(at > 1, F.array(pair_rank(F.get(parts, at - 2), joined))).otherwise(none)
+            after = F.when(at < F.size(ranks), F.array(pair_rank(joined, F.get(parts, at + 1)))).otherwise(none)
+            left = F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0)))
+            kept = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(joined), F.slice(parts, at + 2, F.size(parts)))
+            return F.struct(
+                kept.alias("parts"), F.concat(left, before, after, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks")
+            )
 
-        def merged(best: Column) -> Column:
-            i = best["at"]
-            pair = F.array(F.concat(F.get(parts, i), F.get(parts, i + 1)))
-            rest = F.slice(parts, i + 3, F.size(parts))
-            joined = F.concat(F.slice(parts, F.lit(1), i), pair, rest)
-            stop = F.struct(parts.alias("parts"), F.lit(False).alias("live"))
-            go_on = F.struct(joined.alias("parts"), (F.size(parts) > 2).alias("live"))
-            return F.when(best["rank"] == NEVER, stop).otherwise(go_on)
+        def lowest(best: Column) -> Column:
+            go_on = bound(F.array_position(ranks, best).cast("int"), merged)
+            return F.when(best < NEVER, go_on).otherwise(state)
 
-        pairs = F.transform(
-            F.sequence(F.lit(0), F.size(parts) - 2),
-            lambda i: F.struct(
-                F.coalesce(_rank(maps, F.concat(F.get(parts, i), F.get(parts, i + 1))), F.lit(NEVER)).alias("rank"),
-                i.alias("at"),
-            ),
-        )
-        return F.when(state["live"], bound(F.array_min(pairs), merged)).otherwise(state)
+        return bound(F.array_min(ranks), lowest)
 
     count = (F.length(word) / 2).cast("int")
     single = F.transform(F.sequence(F.lit(1), count), lambda i: F.substr(word, i * 2 - 1, F.lit(2)))
-    start = F.struct(single.alias("parts"), (count > 1).alias("live"))
 
     def folded(whole: Column) -> Column:
-        steps = F.sequence(F.lit(1), count)
+        steps = F.sequence(F.lit(2), count)
+        pairs = F.transform(
+            steps, lambda i: pair_rank(F.substr(word, i * 2 - 3, F.lit(2)), F.substr(word, i * 2 - 1, F.lit(2)))
+        )
+        start = F.struct(single.alias("parts"), pairs.alias("ranks"))
         return F.when(whole.isNotNull(), F.array(whole)).otherwise(
             F.aggregate(steps, start, merge, lambda s: F.transform(s["parts"], lambda p: _rank(maps, p)))
         )
@@ -96,8 +107,12 @@ def fold(maps: Column, word: Column) -> Column:
 
 
 def fold_all(ranks: dict[bytes, int], words: Column) -> Column:
-    """Ids of each word of an array of words in hex."""
-    return bound(rank_map(ranks), lambda maps: F.transform(words, lambda w: fold(maps, w)))
+    """Ids of each word of an array of words in hex; a mark ``#n`` stands for a word seen before and has none."""
+    none = F.array().cast("array<int>")
+    return bound(
+        rank_map(ranks),
+        lambda maps: F.transform(words, lambda w: F.when(F.startswith(w, F.lit("#")), none).otherwise(fold(maps, w))),
+    )
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -170,12 +185,12 @@ def word_table(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> dict[s
     }
 
 
-def _outputs(ids: np.ndarray, tokens: Sequence[bytes], names: Sequence[str]) -> list:
+def _outputs(ids: np.ndarray, tokens: Sequence[bytes], written: Sequence[str], names: Sequence[str]) -> list:
     numbers = ids.tolist()
     made: dict[str, Callable[[], object]] = {
         "n_tokens": lambda: len(numbers),
         "ids": lambda: numbers,
-        "ids_sha256": lambda: hashlib.sha256(" ".join(map(str, numbers)).encode()).hexdigest(),
+        "ids_sha256": lambda: hashlib.sha256(" ".join([written[i] for i in numbers]).encode()).hexdigest(),
         "decoded_sha256": lambda: hashlib.sha256(decode_ids(numbers, tokens)).hexdigest(),
     }
     return [made[name]() for name in names]
@@ -220,6 +235,7 @@ def encode(
 
     def look_up(batches):
         find, known, all_ranks = regex.compile(pattern).findall, table.value.get, shipped.value
+        sent: dict[str, int] = {}  # words of this task already on their way to the fold, by their order
         for batch in batches:
             blobs, rests = [], []
             for text in batch.column("text").to_pylist():
@@ -234,7 +250,10 @@ def encode(
                                 parts[i] = np.array(merge_long(raw, all_ranks), dtype=np.int32).tobytes()
                             else:
                                 parts[i] = waiting
-                                rest.append(raw.hex())
+                                place = sent.get(words[i])
+                                rest.append(raw.hex() if place is None else f"#{place}")
+                                if place is None and len(sent) < SENT_WORDS:
+                                    sent[words[i]] = len(sent)
                 blobs.append(b"".join(parts))
                 rests.append(rest)
             columns = [*[batch.column(n) for n in names], pa.array(blobs, pa.binary()), pa.array(rests, pa.list_(pa.string()))]
@@ -246,26 +265,31 @@ def encode(
         tokens: list[bytes] = [b""] * (max(shipped.value.values(), default=-1) + 1)
         for token, rank in shipped.value.items():
             tokens[rank] = token
+        written = list(map(str, range(len(tokens))))
+        came: list[list[int]] = []  # ids of the words of this task, in the order they were sent
         for batch in batches:
             made = []
-            for blob, folded in zip(
-                batch.column("_known").to_pylist(), batch.column("_folded").to_pylist(), strict=True
-            ):
+            columns = [batch.column(n).to_pylist() for n in ("_known", "_rest", "_folded")]
+            for blob, rest, folded in zip(*columns, strict=True):
                 ids = np.frombuffer(blob, dtype=np.int32)
-                if folded:
+                if rest:
                     parts, at = [], 0
-                    for place, own in zip(np.flatnonzero(ids == WAITING).tolist(), folded, strict=True):
+                    for place, word, own in zip(np.flatnonzero(ids == WAITING).tolist(), rest, folded, strict=True):
+                        if word[0] == "#":
+                            own = came[int(word[1:])]
+                        elif len(came) < SENT_WORDS:
+                            came.append(own)
                         parts += [ids[at:place], own]
                         at = place + 1
                     ids = np.concatenate([*parts, ids[at:]]).astype(np.int32)
-                made.append(_outputs(ids, tokens, outputs))
+                made.append(_outputs(ids, tokens, written, outputs))
             columns = [
                 pa.array([row[i] for row in made], TYPES[name]) for i, name in enumerate(outputs)
             ]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *columns], schema=final)
 
     found = docs.mapInArrow(look_up, from_arrow_schema(looked_up))
-    folded = found.select(*names, "_known", fold_all(ranks, F.col("_rest")).alias("_folded"))
+    folded = found.select(*names, "_known", "_rest", fold_all(ranks, F.col("_rest")).alias("_folded"))
     return folded.mapInArrow(put_in, from_arrow_schema(final))
 
 
