@@ -570,10 +570,33 @@ def normalize_document_paths(spark, sf):
     return docs.select("doc_id", path.alias("path")).filter(F.col("path").isNotNull())
 
 
-@register("extract_title", o.statement("SELECT turn_id, 'User' AS title FROM fx_turns", *o.TURNS))
+TITLED = """SELECT doc_id, source, 'notes/' || source || '-' || doc_id || '.md' AS path,
+                   CASE doc_id % 4 WHEN 0 THEN '# Title of ' || doc_id || ' ' || chr(10) || text
+                                   WHEN 1 THEN text || chr(10) || '##  Late ' || doc_id || chr(10) || '# Later'
+                                   WHEN 2 THEN '### Deep' || chr(10) || text ELSE text END AS content
+            FROM documents"""
+
+
+@register(
+    "extract_title",
+    o.statement(
+        """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Title of ' || doc_id WHEN 1 THEN 'Late ' || doc_id
+                               ELSE source || '-' || doc_id END AS title
+           FROM titled WHERE NOT regexp_matches(content, '(?m)^##?[ \t]') OR doc_id % 4 < 2""",
+        extra={"titled": TITLED},
+    ),
+)
 def extract_title(spark, sf):
-    docs = _turn_documents(spark, sf)
-    return docs.select("turn_id", tx.extract_title(F.col("content"), F.col("path")).alias("title"))
+    """Whole texts, some under a heading, some above one, some without."""
+    rest = F.col("doc_id") % 4
+    content = (
+        F.when(rest == 0, F.concat(F.lit("# Title of "), F.col("doc_id"), F.lit(" \n"), F.col("text")))
+        .when(rest == 1, F.concat(F.col("text"), F.lit("\n##  Late "), F.col("doc_id"), F.lit("\n# Later")))
+        .when(rest == 2, F.concat(F.lit("### Deep\n"), F.col("text")))
+        .otherwise(F.col("text"))
+    )
+    path = F.concat(F.lit("notes/"), "source", F.lit("-"), "doc_id", F.lit(".md"))
+    return fx.documents(spark, sf).select("doc_id", tx.extract_title(content, path).alias("title"))
 
 
 @register(
@@ -594,17 +617,21 @@ def turn_index_rows(spark, sf):
 
 
 def _snapshots(spark, sf):
-    """Indexed: documents but the German ones. Scanned: redacted, without source src0."""
+    """Indexed: all but German documents of other sources than src0. Scanned: redacted, without src0.
+
+    Every document is in at least one of them.
+    """
     docs = fx.documents(spark, sf).withColumn("path", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".md")))
-    indexed = docs.filter(F.col("lang") != "de")
-    scanned = docs.filter(F.col("source") != "src0").withColumn("text", redaction.redact_secrets(F.col("text")))
+    gone = F.col("source").eqNullSafe(F.lit("src0"))
+    indexed = docs.filter(gone | ~F.col("lang").eqNullSafe(F.lit("de")))
+    scanned = docs.filter(~gone).withColumn("text", redaction.redact_secrets(F.col("text")))
     describe = lambda df: reconcile.described(df, "documents", F.col("path"), F.col("text"))
     return describe(indexed), describe(scanned)
 
 
 SNAPSHOTS = {
-    "old": "SELECT doc_id, sha256(text) AS hash FROM documents WHERE lang <> 'de'",
-    "new": f"SELECT doc_id, sha256({o.redact('text')}) AS hash FROM documents WHERE source <> 'src0'",
+    "old": "SELECT doc_id, sha256(text) AS hash FROM documents WHERE source = 'src0' OR lang IS DISTINCT FROM 'de'",
+    "new": f"SELECT doc_id, sha256({o.redact('text')}) AS hash FROM documents WHERE source IS DISTINCT FROM 'src0'",
     "diff": """SELECT coalesce(o.doc_id, n.doc_id) AS doc_id,
                       CASE WHEN o.doc_id IS NULL THEN 'indexed' WHEN n.doc_id IS NULL THEN 'removed'
                            WHEN o.hash <> n.hash THEN 'updated' ELSE 'unchanged' END AS status
@@ -657,7 +684,7 @@ def index_upsert(spark, sf):
     o.statement(
         f"""SELECT hash, length(body) AS chars FROM (
                 SELECT sha256(body) AS hash, any_value(body) AS body FROM (
-                    SELECT {o.redact('text')} AS body FROM documents WHERE source <> 'src0') GROUP BY sha256(body))
+                    SELECT {o.redact('text')} AS body FROM documents WHERE source IS DISTINCT FROM 'src0') GROUP BY sha256(body))
             WHERE hash NOT IN (SELECT hash FROM old)""",
         extra={"old": SNAPSHOTS["old"]},
     ),
@@ -1243,3 +1270,6 @@ def stream_ingest_turns(spark, sf):
     query = ingest.start_ingest(stream, f"{root}/out", f"{root}/checkpoint", availableNow=True)
     query.awaitTermination()
     return spark.read.parquet(f"{root}/out/turns").select(*ingest.TURN_COLUMNS)
+
+
+from turnlake.verify import stores  # noqa: E402,F401 - registers its queries
