@@ -179,10 +179,14 @@ def word_table(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> dict[s
         return {}
     chosen = words.filter(F.col("level") >= least).select("word", F.array(F.hex(F.col("word").cast("binary"))).alias("w"))
     ids = chosen.select("word", F.get(fold_all(ranks, F.transform("w", F.lower)), F.lit(0)).alias("ids")).toArrow()
-    return {
-        word: np.array(own, dtype=np.int32).tobytes()
-        for word, own in zip(ids.column("word").to_pylist(), ids.column("ids").to_pylist(), strict=True)
-    }
+    # Slices of one buffer per chunk instead of lists of numbers keep the driver's share small.
+    table: dict[str, bytes] = {}
+    for batch in ids.to_batches():
+        own = batch.column("ids")
+        ends, numbers = own.offsets.to_numpy(), own.values.to_numpy().astype(np.int32, copy=False)
+        for i, word in enumerate(batch.column("word").to_pylist()):
+            table[word] = numbers[ends[i] : ends[i + 1]].tobytes()
+    return table
 
 
 def _outputs(ids: np.ndarray, tokens: Sequence[bytes], written: Sequence[str], names: Sequence[str]) -> list:

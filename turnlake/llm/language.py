@@ -81,13 +81,14 @@ def train(labelled: DataFrame) -> Model:
     summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     limit = MAX_LANGUAGES * ((1 << BITS) + 1)
     found = summed.limit(limit + 1).toArrow()
-    languages = tuple(sorted(set(found.column("lang").to_pylist())))
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    languages = tuple(sorted(names.dictionary.to_pylist()))
     if len(languages) > MAX_LANGUAGES or found.num_rows > limit:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     matrix = np.zeros(((1 << BITS), len(languages)), dtype=np.float64)
     docs = np.zeros(len(languages), dtype=np.float64)
     if languages:
-        where = np.searchsorted(np.array(languages, dtype=object), np.array(found.column("lang").to_pylist(), dtype=object))
+        where = np.array([languages.index(n) for n in names.dictionary.to_pylist()])[names.indices.to_numpy()]
         bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
         is_doc = bucket < 0
         docs[where[is_doc]] = n[is_doc]
