@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import time
 
 import pytest
 
@@ -14,22 +13,20 @@ from turnlake.sources import sinks
 def test_defaults_without_a_file(tmp_path):
     loaded = cf.load_config(str(tmp_path))
     assert loaded.wallet_dir == str(tmp_path)
-    assert (loaded.proxy.port, loaded.dashboard.port) == (4100, 4101)
     assert (loaded.injection.max_tokens, loaded.injection.max_turns) == (1800, 8)
 
 
 def test_merge_and_wrong_types(tmp_path, monkeypatch):
     monkeypatch.setenv("TURNLAKE_A", "secret")
     (tmp_path / "config.yaml").write_text(
-        "proxy: {port: 5000, host: 7}\ninjection: {maxTokens: 100, recencyBoost: x}\nincognito: true\n"
-        "extraction: {apiKey: 'env:TURNLAKE_A', model: m}\nunknown: 1\n"
+        "indexBuckets: 99\nproxy: {port: 5000}\ninjection: {maxTokens: 100, recencyBoost: x}\nincognito: true\n"
+        "unknown: 1\n"
         "tools:\n - {name: a, provider: openai, apiKey: 'env:TURNLAKE_B'}\n - {name: b, provider: other}\n - 5\n"
     )
     loaded = cf.load_config(str(tmp_path))
-    assert (loaded.proxy.port, loaded.proxy.host) == (5000, "127.0.0.1")
+    assert loaded.index_buckets == 99
     assert (loaded.injection.max_tokens, loaded.injection.recency_boost) == (100, 0.3)
     assert loaded.incognito is True
-    assert (loaded.extraction.api_key, loaded.extraction.model) == ("secret", "m")
     assert [(t.name, t.api_key) for t in loaded.tools] == [("a", "env:TURNLAKE_B")]
 
 

@@ -184,11 +184,6 @@ def test_message_lists(spark):
     assert with_both.select(rq.last_user_content(F.col("m"))).first()[0] == "q"
 
 
-def test_forwardable_headers(spark):
-    df = spark.sql("SELECT map('Host','h','Connection','x','TE','y') AS h")
-    assert df.select(rq.forwardable_headers(F.col("h"))).first()[0] == {"Host": "h"}
-
-
 def test_replace_system(value):
     rebuild = lambda body, form, prompt: json.loads(
         value(lambda c, p: rq.replace_system(c, F.lit(form), p), json.dumps(body), prompt)

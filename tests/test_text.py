@@ -143,7 +143,6 @@ def test_display_helpers(value):
     assert value(tx.tool_badge, "my-GPT") == "openai"
     assert value(tx.tool_badge, "vim") == "other"
     assert value(tx.strip_bearer, "bearer   abc") == "abc"
-    assert value(tx.forward_url, "https://api.example.com/v1", "/v1/chat") == "https://api.example.com/v1/chat"
     assert value(tx.snippet, "a\nb" + "c" * 80) == "a b" + "c" * 57
     assert value(lambda c: tx.matches_any("THING", c), "some thing") is True
     assert value(lambda c: tx.matches_any("", c), "x") is True

@@ -22,33 +22,18 @@ class ToolConfig:
 
 @dataclass(frozen=True)
 class InjectionConfig:
+    # --- fixed values -------------------------------------------------------
     max_tokens: int = 1800
     min_relevance_score: float = 0.3
     recency_boost: float = 0.3
     max_turns: int = 8
-
-
-@dataclass(frozen=True)
-class ExtractionConfig:
-    schedule: str = "0 2 * * *"
-    model: str = "gpt-4o-mini"
-    api_key: str = ""
-    base_url: str = "https://api.openai.com/v1"
-
-
-@dataclass(frozen=True)
-class ListenConfig:
-    port: int
-    host: str = "127.0.0.1"
+    # ------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class Config:
     wallet_dir: str = "~/.turnlake"
-    proxy: ListenConfig = ListenConfig(4100)
-    dashboard: ListenConfig = ListenConfig(4101)
     tools: tuple[ToolConfig, ...] = ()
-    extraction: ExtractionConfig = field(default_factory=ExtractionConfig)
     injection: InjectionConfig = field(default_factory=InjectionConfig)
     incognito: bool = False
     index_buckets: int = 16  # of the inverted index; thousands suit a large store
@@ -120,14 +105,10 @@ def from_mapping(raw: Any, defaults: Config = Config()) -> Config:
     if not isinstance(raw, dict):
         return defaults
     merged = _overlay(defaults, raw)
-    extraction = _overlay(defaults.extraction, raw.get("extraction"))
     return replace(
         merged,
         wallet_dir=expand_home(merged.wallet_dir),
-        proxy=_overlay(defaults.proxy, raw.get("proxy")),
-        dashboard=_overlay(defaults.dashboard, raw.get("dashboard")),
         tools=_tools(raw.get("tools")),
-        extraction=replace(extraction, api_key=resolve_key(extraction.api_key)),
         injection=_overlay(defaults.injection, raw.get("injection")),
     )
 

@@ -14,16 +14,6 @@ from turnlake.functions.text import bind, js_trim, strip_bearer
 # --- fixed values -----------------------------------------------------------
 OPENAI_ROLES = ("system", "user", "assistant", "tool", "function")
 ANTHROPIC_ROLES = ("user", "assistant")
-HOP_BY_HOP_HEADERS = (
-    "connection",
-    "keep-alive",
-    "proxy-authenticate",
-    "proxy-authorization",
-    "te",
-    "trailer",
-    "transfer-encoding",
-    "upgrade",
-)
 SSE_PREFIX = "data: "
 SSE_END = "[DONE]"
 # ----------------------------------------------------------------------------
@@ -187,10 +177,6 @@ def match_tool(tools: Sequence[ToolConfig], authorization: Column, api_key: Colu
     return reduce(lambda chain, match: chain.when(*match), matches[1:], F.when(*matches[0]))
 
 
-def forwardable_headers(headers: Column) -> Column:
-    return F.map_filter(headers, lambda name, _: ~F.lower(name).isin(list(HOP_BY_HOP_HEADERS)))
-
-
 def _json_answer(body: Column, provider: Column) -> Column:
     blocks = F.filter(
         array_at(body, "$.content"),

@@ -72,10 +72,17 @@ def turn_path() -> Column:
 
 
 def _turn_sections(body: Column) -> dict[str, Column]:
-    return {
-        "user_content": tx.js_trim(F.regexp_extract(body, r"## User\n([\s\S]*?)(?=\n## Assistant|\z)", 1)),
-        "assistant_content": tx.js_trim(F.regexp_extract(body, r"## Assistant\n([\s\S]*)\z", 1)),
-    }
+    """What follows the first heading of each role; the answer takes all the rest."""
+    asked, answered = f"{ROLE_HEADINGS['user']}\n", f"{ROLE_HEADINGS['assistant']}\n"
+
+    def after(text: Column, mark: str) -> Column:
+        at = F.locate(mark, text)
+        return F.when(at > 0, F.substring(text, at + len(mark), F.length(text))).otherwise("")
+
+    question = after(body, asked)
+    end = F.locate(f"\n{ROLE_HEADINGS['assistant']}", question)
+    own = F.when(end > 0, F.substring(question, F.lit(1), end - 1)).otherwise(question)
+    return {"user_content": tx.js_trim(own), "assistant_content": tx.js_trim(after(body, answered))}
 
 
 def _turn_fields(docs: DataFrame, content: str, opening: str) -> DataFrame:
@@ -192,23 +199,24 @@ def parse_conversation_head(content: Column) -> Column:
 
 
 def message_count(content: Column) -> Column:
-    return F.regexp_count(content, F.lit(r"(?m)^## (User|Assistant)$")).cast("bigint")
+    spoken = "|".join((ROLE_HEADINGS["user"], ROLE_HEADINGS["assistant"]))
+    return F.regexp_count(content, F.lit(f"(?m)^(?:{spoken})$")).cast("bigint")
 
 
 # --- cleaning ---------------------------------------------------------------
 
-SECTION_START = r"(?m)^(?=## (?:User|Assistant|System)(?![A-Za-z0-9_]))"
+SECTION_START = rf"(?m)^(?=(?:{'|'.join(ROLE_HEADINGS.values())})(?![A-Za-z0-9_]))"
 
 
 def clean_session(content: Column, context_tag: str = tx.CONTEXT_TAG) -> Column:
     """User and assistant sections only, injected tag blocks and empty ones removed."""
     spoken = F.filter(
-        F.split(content, SECTION_START), lambda s: s.startswith("## User") | s.startswith("## Assistant")
+        F.split(content, SECTION_START), lambda s: s.startswith(ROLE_HEADINGS["user"]) | s.startswith(ROLE_HEADINGS["assistant"])
     )
     stripped = F.transform(spoken, lambda s: tx.strip_injected_tags(s, context_tag))
     filled = F.filter(
         stripped,
-        lambda s: F.length(tx.js_trim(F.regexp_replace(s, r"\A## (?:User|Assistant)\n", ""))) > 0,
+        lambda s: F.length(tx.js_trim(F.substring_index(F.concat(s, F.lit("\n")), "\n", 1))) < F.length(tx.js_trim(s)),
     )
     return F.array_join(F.transform(filled, tx.js_trim), "\n\n")
 
@@ -220,7 +228,7 @@ def substantive_sections(cleaned: Column, compat: bool = False) -> Column:
     section only counts when a literal capital Z ends it.
     """
     end = "Z" if compat else r"\z"
-    sections = F.regexp_extract_all(cleaned, F.lit(rf"(?m)^## User\n([\s\S]*?)(?=^## |{end})"), F.lit(1))
+    sections = F.regexp_extract_all(cleaned, F.lit(rf"(?m)^{ROLE_HEADINGS['user']}\n([\s\S]*?)(?=^## |{end})"), F.lit(1))
     return F.size(F.filter(sections, lambda s: F.length(tx.js_trim(s)) > MIN_USER_CHARS)).cast("bigint")
 
 

@@ -31,15 +31,15 @@ def nearest(vectors: DataFrame, key: str, column: str, query: Column, limit: int
     return scored.orderBy(F.desc("score"), F.asc(key)).limit(limit)
 
 
-def fuse(lists: list[DataFrame], key: str, limit: int, unit: bool = False) -> DataFrame:
-    """Reciprocal rank fusion of fetched (key, score) lists.
+def fuse(lists: list[DataFrame], key: str, limit: int, unit: bool = False, depth: int = 1000) -> DataFrame:
+    """Reciprocal rank fusion of (key, score) lists, of which the first ``depth`` places count.
 
     ``unit`` scales scores so that the first place in every list gives 1.
     """
     scale = (RRF_K + 1.0) / len(lists) if unit else 1.0
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), F.asc(key))
     votes = [
-        hits.select(key, "score").withColumn("_vote", F.lit(1.0) / (F.lit(float(RRF_K)) + F.row_number().over(order)))
+        hits.select(key, "score").orderBy(F.desc("score"), F.asc(key)).limit(depth).withColumn("_vote", F.lit(1.0) / (F.lit(float(RRF_K)) + F.row_number().over(order)))
         for hits in lists
     ]
     merged = reduce(lambda a, b: a.unionByName(b), votes)

@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 
 from turnlake.operators import documents
 
-# --- fixed values -----------------------------------------------------------
-COLLECTIONS = {
-    "conversations": "Conversation history captured from chat tools",
-    "memories": "Facts about the user extracted from conversations",
-    "turns": "One user message and one assistant response per document",
-}
-# ----------------------------------------------------------------------------
-
 FILE_COLUMNS = "collection string, path string, file_name string, bytes bigint, modified_at timestamp"
 
 

@@ -567,7 +567,8 @@ def normalize_document_paths(spark, sf):
     docs = fx.documents(spark, sf)
     name = F.translate("text", "/._", "   ")
     path = tx.normalize_path(F.concat("source", F.lit("/"), name, F.lit(".md")))
-    return docs.select("doc_id", path.alias("path")).filter(F.col("path").isNotNull())
+    row = F.struct("doc_id", path.alias("path"))  # inlined, so that the condition does not compute it again
+    return docs.select(F.inline(F.array(row))).filter(F.col("path").isNotNull())
 
 
 TITLED = """SELECT doc_id, source, 'notes/' || source || '-' || doc_id || '.md' AS path,
