@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, jaccard, language, licences, mixing, orderhash, personal, secrets, sentences, vectors
+from turnlake.llm import bpe, jaccard, language, licences, mixing, oracles, orderhash, personal, secrets, sentences, vectors
 from turnlake.llm.common import table
 
 
@@ -74,4 +74,7 @@ QUERIES = {
     "op9_order_minhash": op9_order_minhash,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": oracles.EMBEDDING_DEDUP,
+    "op8_ngram_jaccard": oracles.NGRAM_JACCARD,
+}
