@@ -16,6 +16,7 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Sequence
@@ -33,11 +34,12 @@ from turnlake.llm.spans import bound
 TABLE_WORDS = 300_000  # words shipped to every task, most frequent first
 TABLE_BYTES = 64  # longest word of the table, so its size is bounded
 FOLD_BYTES = 128  # longer words take the same merges from a heap, which needs n log n steps
-SENT_WORDS = 100_000  # words outside the table that a task folds once and remembers; later ones are folded each time
 PART_WORDS = 200_000  # distinct words counted before they are handed on
 BUCKETS = 1 << 14  # maps look up by comparing keys one by one, so ranks are spread over small maps
 NEVER = 2147483647
-WAITING = -1
+PLACES = 1 << 16  # above the number of pairs of a word that is folded
+#: Words for counting only. It cuts nearly as vocabularies do, in less time; the counts merely choose the table.
+COUNTED = re.compile(r" ?[^\W\d_]+| ?\d+| ?[^\w\s]+|\s+")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -79,25 +81,23 @@ def fold(maps: Column, word: Column) -> Column:
             before = F.when(at > 1, F.array(pair_rank(F.get(parts, at - 2), joined))).otherwise(none)
             after = F.when(at < F.size(ranks), F.array(pair_rank(joined, F.get(parts, at + 1)))).otherwise(none)
             left = F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0)))
-            kept = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(joined), F.slice(parts, at + 2, F.size(parts)))
-            return F.struct(
-                kept.alias("parts"), F.concat(left, before, after, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks")
-            )
+            kept = F.array(F.slice(parts, F.lit(1), at - 1), F.array(joined), F.slice(parts, at + 2, F.size(parts)))
+            others = F.array(left, before, after, F.slice(ranks, at + 2, F.size(ranks)))
+            return F.struct(F.flatten(kept).alias("parts"), F.flatten(others).alias("ranks"))
 
-        def lowest(best: Column) -> Column:
-            go_on = bound(F.array_position(ranks, best).cast("int"), merged)
-            return F.when(best < NEVER, go_on).otherwise(state)
+        def step(best: Column) -> Column:
+            at = (best % PLACES).cast("int") + 1
+            return F.when(best < NEVER * PLACES, merged(at)).otherwise(state)
 
-        return bound(F.array_min(ranks), lowest)
+        # Rank and place as one number: the least is the leftmost pair of lowest rank.
+        return bound(F.array_min(F.transform(ranks, lambda r, i: r.cast("bigint") * PLACES + i)), step)
 
     count = (F.length(word) / 2).cast("int")
     single = F.transform(F.sequence(F.lit(1), count), lambda i: F.substr(word, i * 2 - 1, F.lit(2)))
 
     def folded(whole: Column) -> Column:
         steps = F.sequence(F.lit(2), count)
-        pairs = F.transform(
-            steps, lambda i: pair_rank(F.substr(word, i * 2 - 3, F.lit(2)), F.substr(word, i * 2 - 1, F.lit(2)))
-        )
+        pairs = F.transform(steps, lambda i: F.coalesce(_rank(maps, F.substr(word, i * 2 - 3, F.lit(4))), F.lit(NEVER)))
         start = F.struct(single.alias("parts"), pairs.alias("ranks"))
         return F.when(whole.isNotNull(), F.array(whole)).otherwise(
             F.aggregate(steps, start, merge, lambda s: F.transform(s["parts"], lambda p: _rank(maps, p)))
@@ -107,12 +107,8 @@ def fold(maps: Column, word: Column) -> Column:
 
 
 def fold_all(ranks: dict[bytes, int], words: Column) -> Column:
-    """Ids of each word of an array of words in hex; a mark ``#n`` stands for a word seen before and has none."""
-    none = F.array().cast("array<int>")
-    return bound(
-        rank_map(ranks),
-        lambda maps: F.transform(words, lambda w: F.when(F.startswith(w, F.lit("#")), none).otherwise(fold(maps, w))),
-    )
+    """Ids of each word of an array of words in hex."""
+    return bound(rank_map(ranks), lambda maps: F.transform(words, lambda w: fold(maps, w)))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -144,12 +140,17 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in pieces if p is not None]
 
 
-def word_table(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> dict[str, bytes]:
-    """Ids (as int32 bytes) of the most frequent distinct words of all texts, at most TABLE_WORDS."""
+def _id_type(ranks: dict[bytes, int]) -> np.dtype:
+    """Type of packed ids; its largest value marks a word that waits for the fold."""
+    return np.dtype(np.uint16 if max(ranks.values(), default=0) < 65535 else np.uint32)
+
+
+def word_table(docs: DataFrame, ranks: dict[bytes, int]) -> dict[str, bytes]:
+    """Packed ids of the most frequent distinct words of all texts, at most TABLE_WORDS."""
 
     def count(batches):
         seen: Counter[str] = Counter()
-        find = regex.compile(pattern).findall
+        find = COUNTED.findall
 
         def rows():
             kept = [(w, n) for w, n in seen.items() if len(w.encode("utf-8", "surrogatepass")) <= TABLE_BYTES]
@@ -183,7 +184,7 @@ def word_table(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> dict[s
     table: dict[str, bytes] = {}
     for batch in ids.to_batches():
         own = batch.column("ids")
-        ends, numbers = own.offsets.to_numpy(), own.values.to_numpy().astype(np.int32, copy=False)
+        ends, numbers = own.offsets.to_numpy(), own.values.to_numpy().astype(_id_type(ranks))
         for i, word in enumerate(batch.column("word").to_pylist()):
             table[word] = numbers[ends[i] : ends[i + 1]].tobytes()
     return table
@@ -230,16 +231,17 @@ def encode(
     bounded_batches(docs.sparkSession)
     docs = without(docs, outputs)
     context = docs.sparkSession.sparkContext
-    table = context.broadcast(word_table(docs, ranks, pattern))
+    table = context.broadcast(word_table(docs, ranks))
     shipped = context.broadcast(ranks)
     names = docs.columns if keep is None else [n for n in docs.columns if n in keep]
     schema = to_arrow_schema(docs.select(*names).schema)
     looked_up = pa.schema([*schema, pa.field("_known", pa.binary()), pa.field("_rest", pa.list_(pa.string()))])
-    waiting = np.int32(WAITING).tobytes()
+    packed = _id_type(ranks)
+    mark = np.iinfo(packed).max
+    waiting = packed.type(mark).tobytes()
 
     def look_up(batches):
         find, known, all_ranks = regex.compile(pattern).findall, table.value.get, shipped.value
-        sent: dict[str, int] = {}  # words of this task already on their way to the fold, by their order
         for batch in batches:
             blobs, rests = [], []
             for text in batch.column("text").to_pylist():
@@ -251,13 +253,10 @@ def encode(
                         if part is None:
                             raw = words[i].encode("utf-8", "surrogatepass")
                             if len(raw) > FOLD_BYTES:
-                                parts[i] = np.array(merge_long(raw, all_ranks), dtype=np.int32).tobytes()
+                                parts[i] = np.array(merge_long(raw, all_ranks), dtype=packed).tobytes()
                             else:
                                 parts[i] = waiting
-                                place = sent.get(words[i])
-                                rest.append(raw.hex() if place is None else f"#{place}")
-                                if place is None and len(sent) < SENT_WORDS:
-                                    sent[words[i]] = len(sent)
+                                rest.append(raw.hex())
                 blobs.append(b"".join(parts))
                 rests.append(rest)
             columns = [*[batch.column(n) for n in names], pa.array(blobs, pa.binary()), pa.array(rests, pa.list_(pa.string()))]
@@ -270,22 +269,17 @@ def encode(
         for token, rank in shipped.value.items():
             tokens[rank] = token
         written = list(map(str, range(len(tokens))))
-        came: list[list[int]] = []  # ids of the words of this task, in the order they were sent
         for batch in batches:
             made = []
-            columns = [batch.column(n).to_pylist() for n in ("_known", "_rest", "_folded")]
-            for blob, rest, folded in zip(*columns, strict=True):
-                ids = np.frombuffer(blob, dtype=np.int32)
-                if rest:
+            columns = [batch.column(n).to_pylist() for n in ("_known", "_folded")]
+            for blob, folded in zip(*columns, strict=True):
+                ids = np.frombuffer(blob, dtype=packed)
+                if folded:
                     parts, at = [], 0
-                    for place, word, own in zip(np.flatnonzero(ids == WAITING).tolist(), rest, folded, strict=True):
-                        if word[0] == "#":
-                            own = came[int(word[1:])]
-                        elif len(came) < SENT_WORDS:
-                            came.append(own)
-                        parts += [ids[at:place], own]
+                    for place, own in zip(np.flatnonzero(ids == mark).tolist(), folded, strict=True):
+                        parts += [ids[at:place], np.array(own, dtype=packed)]
                         at = place + 1
-                    ids = np.concatenate([*parts, ids[at:]]).astype(np.int32)
+                    ids = np.concatenate([*parts, ids[at:]])
                 made.append(_outputs(ids, tokens, written, outputs))
             columns = [
                 pa.array([row[i] for row in made], TYPES[name]) for i, name in enumerate(outputs)
@@ -293,7 +287,7 @@ def encode(
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *columns], schema=final)
 
     found = docs.mapInArrow(look_up, from_arrow_schema(looked_up))
-    folded = found.select(*names, "_known", "_rest", fold_all(ranks, F.col("_rest")).alias("_folded"))
+    folded = found.select(*names, "_known", fold_all(ranks, F.col("_rest")).alias("_folded"))
     return folded.mapInArrow(put_in, from_arrow_schema(final))
 
 
