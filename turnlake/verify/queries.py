@@ -102,6 +102,18 @@ def context_fingerprint(spark, sf):
     )
 
 
+@register("context_fingerprint_tagged", ORACLES["context_fingerprint"])
+def context_fingerprint_tagged(spark, sf):
+    """Prompts that hold an injected block, in front or behind, count as without it."""
+    messages = fx.table(spark, sf, "conversations")
+    block = F.lit(f"<{tx.CONTEXT_TAG}>\nYou: x\n</{tx.CONTEXT_TAG}>")
+    text = F.when(F.col("conv_id") % 2 == 0, F.concat(block, F.lit("\n\n"), "text")).otherwise(F.concat("text", block))
+    prompt = F.when(F.col("role") == "system", F.struct("turn", text.alias("text")))
+    first = messages.groupBy("conv_id").agg(F.min(prompt).alias("first"))
+    own = F.coalesce(tx.context_fingerprint(F.col("first.text")), F.lit(tx.DEFAULT_FINGERPRINT))
+    return first.select("conv_id", own.alias("fingerprint"))
+
+
 @register(
     "content_hash_dedup",
     "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS min_id FROM documents GROUP BY sha256(text)",
@@ -499,6 +511,20 @@ def clean_session(spark, sf):
     return extraction.clean_sections(fx.table(spark, sf, "conversations"))
 
 
+@register(
+    "clean_session_tagged",
+    f"""SELECT conv_id, turn, CASE role WHEN 'user' THEN '## User' ELSE '## Assistant' END || chr(10) || {o.trim("text")} AS text
+        FROM conversations WHERE role IN ('user', 'assistant') AND {o.trim("text")} <> ''""",
+)
+def clean_session_tagged(spark, sf):
+    """Every message holds one of the three tag blocks; nothing of it is left."""
+    tags = F.array(*[F.lit(tag) for tag in (tx.CONTEXT_TAG, *tx.FOREIGN_TAGS)])
+    tag = F.element_at(tags, (F.col("turn") % 3 + 1).cast("int"))
+    block = F.concat(F.lit("<"), tag, F.lit(">a\nb</"), tag, F.lit(">"))
+    text = F.when(F.col("conv_id") % 2 == 0, F.concat(block, "text")).otherwise(F.concat("text", F.lit("\n"), block))
+    return extraction.clean_sections(fx.table(spark, sf, "conversations").withColumn("text", text))
+
+
 @register(
     "substantive_sessions",
     o.statement(
