@@ -1,7 +1,8 @@
 """DuckDB statements computing the same results from the same tables.
 
-Written independently of the Spark code: plain windows, explicit joins and
-RE2-compatible patterns, with no slicing or pruning.
+Plain windows, explicit joins and RE2-compatible patterns, with no slicing or
+pruning. Fixed values (redaction rules, tags, white space) are shared with the
+Spark code; the logic around them is not.
 """
 
 from __future__ import annotations

@@ -359,7 +359,9 @@ def _search_hits(spark, sf):
     )
 
 
-SKELETON = packing.skeleton(PROFILE)
+# The block spelled out: what stands before the entries and what after them.
+BLOCK_HEAD = f"<{tx.CONTEXT_TAG}>\n\n## About You\n{PROFILE}\n\n## Relevant Past Conversations"
+BLOCK_TAIL = f"\n\n</{tx.CONTEXT_TAG}>"
 PACKED = {
     **o.search_ctes(),
     "entries": f"""SELECT turn_id, rank AS position, {o.entry('ts', 'user_content', 'assistant_content')} AS entry
@@ -368,7 +370,7 @@ PACKED = {
                  FROM entries""",
     "running": "SELECT *, CAST(sum(cost) OVER (ORDER BY position) AS BIGINT) AS running_cost FROM costs",
     "packed": f"""SELECT * FROM running WHERE position <= 8
-                  AND running_cost <= greatest(0, 900 - {o.tokens(o.quoted(SKELETON))})""",
+                  AND running_cost <= greatest(0, 900 - {o.tokens(o.quoted(BLOCK_HEAD + BLOCK_TAIL))})""",
 }
 
 
@@ -388,9 +390,9 @@ def budget_pack(spark, sf):
         *o.TURNS,
         extra={
             **PACKED,
-            "block": f"""SELECT {o.quoted(SKELETON.split(packing.TURNS_HEADER)[0] + packing.TURNS_HEADER)}
+            "block": f"""SELECT {o.quoted(BLOCK_HEAD)}
                             || coalesce(chr(10) || string_agg(entry, chr(10) || chr(10) ORDER BY position), '')
-                            || {o.quoted(SKELETON.split(packing.TURNS_HEADER)[1])} AS text,
+                            || {o.quoted(BLOCK_TAIL)} AS text,
                             count(*) AS memory_count
                          FROM packed""",
         },
