@@ -25,7 +25,7 @@ from turnlake.operators import (
     vectors,
 )
 from turnlake.plans import extraction, search, status
-from turnlake.session import fresh_dir
+from turnlake.session import fresh_dir, written
 from turnlake.sources import sinks, wallet
 from turnlake.streaming import ingest
 from turnlake.verify import oracle as o
@@ -1237,7 +1237,7 @@ def _hybrid_ctes():
 
 @register("search_turns_hybrid", o.statement("SELECT * FROM results", *o.TURNS, extra=_hybrid_ctes()))
 def search_turns_hybrid(spark, sf):
-    stored = fx.stored_turns(spark, sf)
+    stored = written(fx.stored_turns(spark, sf), "turns")  # read by each of the three steps
     embedded = vectors.embed(stored, "turn_id", search.turn_text(), DIMENSIONS)
     question = vectors.embed_query(spark, fx.QUERY, DIMENSIONS)
     fetched = search.fetch_turns_hybrid(stored, embedded, fx.QUERY, question, 8)
