@@ -69,10 +69,16 @@ def odd(spark):
         (i, text, ["en", "de", None][i % 3], ["b", "a", None][i % 3], 7, "x", "y", "z") for i, text in enumerate(TEXTS)
     ]
     rows += [rows[4], rows[8], (None, TEXTS[4], "en", "a", 1, "x", "y", "z"), (None, None, None, None, None, None, None, None)]
-    return spark.createDataFrame(
-        rows,
-        "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string, score string, labels string",
-    ).repartition(3)
+    frame_schema = (
+        "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string, score string, labels string"
+    )
+    more = {
+        "seen": F.to_timestamp(F.lit("2026-01-01 00:00:00")),
+        "day": F.to_date(F.lit("2026-01-01")),
+        "price": F.lit(1).cast("decimal(10,2)"),
+        "tags": F.create_map(F.lit("k"), F.array("doc_id")),
+    }
+    return spark.createDataFrame(rows, frame_schema).withColumns(more).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -129,7 +135,8 @@ def test_other_columns_stay(odd, ranks):
         language.detect(odd, language.train(odd)),
         bpe.encode(odd, ranks, public_tokenizers.PATTERN),
     ):
-        assert {"doc_id", "text", "lang", "source"} <= set(made.columns)
+        assert {"doc_id", "text", "lang", "source", "seen", "day", "price", "tags"} <= set(made.columns)
+        assert made.select("seen", "day", "price").distinct().count() == 1
         assert len(set(made.columns)) == len(made.columns)
         assert made.count() == odd.count()
 

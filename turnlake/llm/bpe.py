@@ -26,9 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-from turnlake.llm.common import bounded_batches, stored, without
+from turnlake.llm.common import appended, bounded_batches, extended, stored, without
 from turnlake.llm.spans import bound
 
 TABLE_WORDS = 300_000  # words shipped to every task, most frequent first
@@ -234,8 +233,8 @@ def encode(
     table = context.broadcast(word_table(docs, ranks))
     shipped = context.broadcast(ranks)
     names = docs.columns if keep is None else [n for n in docs.columns if n in keep]
-    schema = to_arrow_schema(docs.select(*names).schema)
-    looked_up = pa.schema([*schema, pa.field("_known", pa.binary()), pa.field("_rest", pa.list_(pa.string()))])
+    kept = docs.select(*names).schema
+    looked_up = pa.schema([pa.field("_known", pa.binary()), pa.field("_rest", pa.list_(pa.string()))])
     packed = _id_type(ranks)
     mark = np.iinfo(packed).max
     waiting = packed.type(mark).tobytes()
@@ -259,10 +258,10 @@ def encode(
                                 rest.append(raw.hex())
                 blobs.append(b"".join(parts))
                 rests.append(rest)
-            columns = [*[batch.column(n) for n in names], pa.array(blobs, pa.binary()), pa.array(rests, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, schema=looked_up)
+            more = [pa.array(blobs, pa.binary()), pa.array(rests, pa.list_(pa.string()))]
+            yield appended([batch.column(n) for n in names], names, more, looked_up)
 
-    final = pa.schema([*schema, *[pa.field(name, TYPES[name]) for name in outputs]])
+    final = pa.schema([pa.field(name, TYPES[name]) for name in outputs])
 
     def put_in(batches):
         tokens: list[bytes] = [b""] * (max(shipped.value.values(), default=-1) + 1)
@@ -281,14 +280,12 @@ def encode(
                         at = place + 1
                     ids = np.concatenate([*parts, ids[at:]])
                 made.append(_outputs(ids, tokens, written, outputs))
-            columns = [
-                pa.array([row[i] for row in made], TYPES[name]) for i, name in enumerate(outputs)
-            ]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *columns], schema=final)
+            more = [pa.array([row[i] for row in made], TYPES[name]) for i, name in enumerate(outputs)]
+            yield appended([batch.column(n) for n in names], names, more, final)
 
-    found = docs.mapInArrow(look_up, from_arrow_schema(looked_up))
+    found = docs.mapInArrow(look_up, extended(kept, looked_up))
     folded = found.select(*names, "_known", fold_all(ranks, F.col("_rest")).alias("_folded"))
-    return folded.mapInArrow(put_in, from_arrow_schema(final))
+    return folded.mapInArrow(put_in, extended(kept, final))
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
 from turnlake.session import fresh_dir
 
@@ -52,16 +53,22 @@ def with_arrow_columns(
     """``rows`` with the columns ``compute`` makes from each Arrow batch, one value per row."""
     bounded_batches(rows.sparkSession)
     rows = without(rows, fields.names)
-    schema = pa.schema([*to_arrow_schema(rows.schema), *fields])
 
     def run(batches):
         for batch in batches:
-            columns = [*batch.columns, *compute(batch)]
-            yield pa.RecordBatch.from_arrays(
-                [c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, schema, strict=True)], schema.names
-            )
+            yield appended(batch.columns, batch.schema.names, compute(batch), fields)
 
-    return rows.mapInArrow(run, from_arrow_schema(schema))
+    return rows.mapInArrow(run, extended(rows.schema, fields))
+
+
+def extended(schema: StructType, fields: pa.Schema) -> StructType:
+    """A Spark schema with Arrow fields behind."""
+    return StructType([*schema.fields, *from_arrow_schema(fields).fields])
+
+
+def appended(columns: Sequence[pa.Array], names: Sequence[str], more: Sequence[pa.Array], fields: pa.Schema) -> pa.RecordBatch:
+    """A batch of columns as they came, and new ones behind."""
+    return pa.RecordBatch.from_arrays([*columns, *more], [*names, *fields.names])
 
 
 def string_or_empty(name: str) -> Column:

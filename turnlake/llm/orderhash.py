@@ -15,9 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-from turnlake.llm.common import bounded_batches, without
+from turnlake.llm.common import appended, bounded_batches, extended, without
 from turnlake.llm.shingles import mix
 
 K = 5  # code points of a k-mer; a shorter text is one k-mer
@@ -140,8 +139,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             ("near_next", pa.float64()),
         ]
     )
-    schema = pa.schema([*to_arrow_schema(docs.schema), *added])
-
     def compared(text, own, following, other):
         changed = edited(text, following)
         print_ = fingerprint(changed)
@@ -173,10 +170,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             if rows:
                 table = pa.Table.from_batches(rows).combine_chunks()
                 columns = [table.column(n).combine_chunks() for n in names]
-                columns += [pa.array([m[k] for m in made], f.type) for k, f in enumerate(added)]
-                yield pa.RecordBatch.from_arrays(
-                    [c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, schema, strict=True)],
-                    schema.names,
-                )
+                columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+                yield appended(columns, names, [pa.array([m[k] for m in made], f.type) for k, f in enumerate(added)], added)
 
-    return ordered.mapInArrow(run, from_arrow_schema(schema))
+    return ordered.mapInArrow(run, extended(docs.schema, added))

@@ -14,9 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-from turnlake.llm.common import bounded_batches, stored, without
+from turnlake.llm.common import appended, bounded_batches, extended, stored, without
 
 MIN_WORDS = 25  # two short stock lines stay below, a passage of 50 words holds a whole span even if its ends are glued
 BORDER = re.compile(r"(?<=[.!?…。！？])[^\S\n]+|\s*\n\s*")
@@ -112,12 +111,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     joined = marked.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_of")), "left")
     rows = joined.select(*docs.columns, "_gone")
     names = docs.columns
-    added = [
-        pa.field("n_sentences", pa.int64()),
-        pa.field("n_removed", pa.int64()),
-        pa.field("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-    ]
-    schema = pa.schema([*to_arrow_schema(docs.schema), *added])
+    place_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    added = pa.schema([("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("removed", place_type)])
 
     def rebuild(batches):
         for batch in batches:
@@ -134,9 +129,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 counts.append(len(covered))
                 removed.append([{"start": sentences[i][0], "end": sentences[i][1]} for i in covered])
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
-            columns += [pa.array(totals, pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, added[2].type)]
-            yield pa.RecordBatch.from_arrays(
-                [c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, schema, strict=True)], schema.names
-            )
+            more = [pa.array(totals, pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, place_type)]
+            yield appended(columns, names, more, added)
 
-    return rows.mapInArrow(rebuild, from_arrow_schema(schema))
+    return rows.mapInArrow(rebuild, extended(docs.schema, added))
