@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.functions import dates, text
+from turnlake.functions import text
 from turnlake.operators import slices, turns
 from turnlake.session import prepare
 from turnlake.sources.tables import spread

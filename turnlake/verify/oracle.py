@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from turnlake import fixtures
 from turnlake.functions.redaction import RULES
-from turnlake.functions.text import CONTEXT_TAG, EMOJI, FOREIGN_TAGS, WHITESPACE, WS
+from turnlake.functions.text import CONTEXT_TAG, FOREIGN_TAGS, WHITESPACE, WS
 
 NOW = f"TIMESTAMP '{fixtures.NOW}'"
 QUERY_TERMS = "('thing','from','this')"
