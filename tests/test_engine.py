@@ -99,6 +99,16 @@ def test_search_and_inject(engine):
     assert engine.inject("", now()).first().text == ""
 
 
+def test_injected_request(engine, spark):
+    asked = frame(spark, [request(50, ["skewed join key"], "")]).select("request_id", "url", "headers", "body")
+    before, after = json.loads(asked.first().body), json.loads(engine.inject_request(asked, now()).first().body)
+    prompt = after["messages"][0]["content"]
+    assert prompt.startswith("You build pipelines.") and "salt" in prompt
+    assert after["messages"][1:] == before["messages"][1:] and after["model"] == before["model"]
+    unknown = asked.withColumn("headers", F.create_map(F.lit("authorization"), F.lit("Bearer other")))
+    assert engine.inject_request(unknown, now()).first().body == asked.first().body
+
+
 def test_vectors_join_the_ranking(engine):
     assert engine.reconcile() == {"indexed": 0, "updated": 0, "unchanged": 7, "removed": 0, "embedded": 7}
     assert engine.reconcile()["embedded"] == 0

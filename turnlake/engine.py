@@ -235,6 +235,23 @@ class MemoryEngine:
         block = packing.injection_block(hits, self.profile(), self.config.injection, self.config.context_tag)
         return block.withColumn("system_prompt", packing.into_system_prompt(prompt, F.col("text")))
 
+    def inject_request(self, request: DataFrame, now: Column) -> DataFrame:
+        """A request (one row: request_id, url, headers, body) with the context block in its system prompt.
+
+        Requests that are not understood, and those without a fitting memory,
+        come back as they are.
+        """
+        empty = {"response": F.lit(None).cast("string"), "ts": now}
+        normal = self.normalize(request.withColumns(empty)).withColumn(
+            "question", requests.last_user_content(F.col("messages"))
+        ).first()
+        if normal is None or normal.error is not None:
+            return request
+        block = self.inject(normal.question, now, normal.system_prompt).first().text
+        if not block:
+            return request
+        return request.withColumn("body", requests.inject_system(F.col("body"), F.lit(normal.provider), F.lit(block)))
+
     @staticmethod
     def _block_schema() -> str:
         return "text string, token_count bigint, memory_count bigint, has_profile boolean, system_prompt string"
