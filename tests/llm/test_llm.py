@@ -266,6 +266,22 @@ def test_personal_terms_that_reveal(spark):
     assert made[100].spans == "" and made[100].sanitised == made[100].text
 
 
+def test_personal_terms_far_from_values_that_stand_once(spark):
+    filler = "people wrote about many things here from there " * 10
+    rows = [(i, f"{filler} note{'abcdefghij'[i % 10]} {'klmnopqrst'[i // 10]}rest") for i in range(100)]
+    rows.append((200, f"Li Quibble called. {filler} mail q.b@mail.org, {filler} said quibble"))
+    rows += [(300 + i, rows[-1][1]) for i in range(3)]  # copies count once
+    made = {r.doc_id: r for r in personal.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    row = made[200]
+    text = row.text
+    last = text.rindex("quibble")
+    found = row.spans.split(",")
+    assert "term:0:2" in found and "term:3:10" in found and f"term:{last}:{last + 7}" in found
+    assert "uibble" not in row.sanitised and "people wrote about many things" in row.sanitised
+    assert all(made[300 + i].spans == row.spans for i in range(3))
+    assert all(made[i].spans == "" for i in range(100))
+
+
 def test_licences(small, odd):
     assert len(licences.rules()) > 300
     for docs in (odd, small):

@@ -1,12 +1,13 @@
 """Personal data: fixed patterns, and terms that give a protected value away.
 
 The fixed patterns find protected values. Which terms reveal one is estimated
-from the whole corpus: a term next to a value is worth the information
-log2(P(value | term) / P(value)) about it. Where that is most of what the value
-itself holds, -log2 P(value), and several different contexts agree, the term is
-treated like the value: its occurrence beside the value becomes a span, which
-sanitising generalises to a placeholder. All of it is built-in functions, equi-joins
-and aggregations with map-side combining.
+from the whole corpus, by distinct texts: a term is worth the information
+log2(P(value | term) / P(value)) about a value, where P(value | term) is drawn
+towards P(value) while counts are small. A term worth most of what the value
+itself holds, -log2 P(value), is treated like the value: in each text that
+holds the value, every occurrence of the term becomes a span, which sanitising
+generalises to a placeholder. All of it is built-in functions, equi-joins and
+aggregations with map-side combining.
 """
 
 from __future__ import annotations
@@ -26,9 +27,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
-CONTEXT = 48  # code points on either side in which terms count as beside a value
-TERM = r"\p{L}{4,}"
-MIN_CONTEXTS = 3  # different contexts in which a term must stand beside the same value
+TERM = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]++"
+SHRINK = 0.5  # texts' worth of P(value) mixed into P(value | term)
 DISCLOSURE = 0.9  # share of a value's information a term must carry
 ADDED = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "sanitised")
 
@@ -64,67 +64,69 @@ def base_matches(text: Column) -> list[Column]:
     ]
 
 
-def _beside(text: Column, start: Column, end: Column) -> Column:
-    """Lower-cased terms wholly within CONTEXT code points of a span, as (start, end, value)."""
+def _terms(text: Column) -> Column:
+    """Distinct lower-cased terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    def side(first: Column, last: Column) -> Column:
-        # A term cut by the border of the context is left out.
-        piece = F.substr(text, first + 1, last - first)
-        found = F.filter(
-            spans.matches(piece, TERM),
-            lambda m: ((m["start"] > 0) | (first == 0) | (first == end))
-            & ((m["end"] < last - first) | (last == F.length(text)) | (last == start)),
-        )
-        return F.transform(
-            found,
-            lambda m: F.struct(
-                (m["start"] + first).alias("start"), (m["end"] + first).alias("end"), F.lower(m["value"]).alias("value")
-            ),
+
+def _entity(kind: Column, value: Column) -> Column:
+    """A value without the ways of writing it: case of letters, signs between the digits of cards and phones."""
+    return F.when(kind >= 2, _digits(value)).otherwise(F.lower(value))
+
+
+def _blanked(text: Column, found: Column) -> Column:
+    """``text`` with each sorted span turned into as many blanks."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def cut(state: Column, s: Column) -> Column:
+        kept = F.substring(text, state["at"] + 1, F.greatest(F.lit(0), s["start"] - state["at"]))
+        blanks = F.repeat(F.lit(" "), s["end"] - F.greatest(state["at"], s["start"]))
+        return F.struct(
+            F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.array(kept, blanks)).alias("out")
         )
 
-    before = side(F.greatest(F.lit(0), start - CONTEXT), start)
-    after = side(end, F.least(F.length(text), end + CONTEXT))
-    return F.concat(before, after)
+    return F.aggregate(
+        found,
+        start,
+        cut,
+        lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text) - s["at"])),
+    )
 
 
-def revealing_terms(docs: DataFrame, beside: DataFrame) -> DataFrame:
-    """(kind, value, term) where the term discloses the value.
+def revealing_terms(docs: DataFrame, held: DataFrame, terms: DataFrame) -> DataFrame:
+    """(hash, term) where the term discloses a value the text holds.
 
-    ``beside`` has a row for each term standing beside a protected value: kind,
-    value, context (a hash), term. Copies of a text repeat a context and count
-    as one towards MIN_CONTEXTS.
+    ``docs`` has hash and text, ``held`` the values (hash, kind, value) and
+    ``terms`` the terms (hash, term) of texts that hold one, each row once.
+    Copies of a text share a hash and count as one. Values that stand in the
+    same texts are one entity, so a list of many values is not paired with its
+    terms once for each.
     """
-    together = (
-        beside.groupBy("kind", "value", "term", "context")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("kind", "value", "term")
-        .agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("contexts"))
-        .filter(F.col("contexts") >= MIN_CONTEXTS)
+    texts = docs.groupBy("hash").agg(F.first("text").alias("text"))
+    counts = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    known = counts.join(terms.select("term").distinct(), "term")
+    total = float(docs.select("hash").distinct().count())
+    places = held.groupBy("kind", "value").agg(
+        F.count(F.lit(1)).alias("texts"), F.bit_xor("hash").alias("a"), F.bit_xor(F.xxhash64("hash")).alias("b")
     )
-    together = stored(together, "personal")
-    words = docs.select(
-        F.explode(F.regexp_extract_all(F.lower(string_or_empty("text")), F.lit(TERM), F.lit(0))).alias("term")
+    # A term discloses where P(value | term) reaches P(value) ** (1 - DISCLOSURE).
+    rate = F.col("texts") / F.lit(total)
+    bar = F.pow(rate, F.lit(1 - DISCLOSURE))
+    # All that tells whether an entity's term can get there: it stands in few enough texts.
+    most = (F.col("texts") + SHRINK * rate) / bar - SHRINK
+    entities = (
+        held.join(places, ["kind", "value"])
+        .filter(rate < 1)
+        .select("hash", "a", "b", "texts", most.alias("most"))
+        .distinct()
     )
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    wanted = together.select("term").distinct().withColumn("wanted", F.lit(True))
-    # One pass over the counts: those of wanted terms, and the total in the row of the null term.
-    known = (
-        counts.join(wanted, "term", "left")
-        .groupBy(F.when(F.col("wanted"), F.col("term")).alias("term"))
-        .agg(F.sum("n").alias("n"))
-    )
-    known = stored(known, "personal")
-    total = known.agg(F.sum("n")).first()[0] or 1
-    values = beside.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("beside_value"))
-    rate = F.least(F.lit(1.0), F.col("together") / F.col("n"))
-    base = F.least(F.lit(0.5), F.col("beside_value") / F.lit(float(total)))
-    information = F.log2(rate / base) / -F.log2(base)
-    return (
-        together.join(known.filter("term IS NOT NULL"), "term")
-        .join(values, ["kind", "value"])
-        .filter(information >= DISCLOSURE)
-        .select("kind", "value", "term")
+    pairs = stored(
+        entities.join(terms.join(known, "term"), "hash").filter(F.col("n") <= F.col("most")).drop("most"), "personal"
     )
+    together = pairs.groupBy("a", "b", "texts", "term", "n").agg(F.count(F.lit(1)).alias("together"))
+    revealing = together.filter(F.col("together") + SHRINK * rate >= bar * (F.col("n") + SHRINK))
+    keys = ["a", "b", "texts", "term"]
+    return pairs.join(revealing.select(keys), keys).select("hash", "term").distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -143,41 +145,33 @@ def scan(docs: DataFrame) -> DataFrame:
     text = string_or_empty("text")
     keyed = docs.withColumns({"_id": F.col("doc_id"), "_hash": F.xxhash64("text")})
     found = keyed.withColumn("_found", F.array(*base_matches(text)))
-    rows = found.filter(F.exists("_found", lambda f: F.size(f) > 0)).select(
-        "_id",
-        "_hash",
-        F.explode(
-            F.flatten(
-                F.transform(
-                    F.col("_found"),
-                    lambda f, k: F.transform(
-                        f,
-                        lambda m: F.struct(
-                            k.alias("kind"), m["value"].alias("value"), _beside(text, m["start"], m["end"]).alias("terms")
-                        ),
-                    ),
-                )
-            )
-        ).alias("hit"),
+    base = F.array_sort(F.flatten(F.array(*[spans.of_kind(F.get("_found", F.lit(k)), k) for k in range(4)])))
+    holders = found.filter(F.exists("_found", lambda f: F.size(f) > 0)).select(
+        "_id", F.col("_hash").alias("hash"), "text", "_found", base.alias("_base")
     )
-    context = F.xxhash64(F.transform("hit.terms", lambda t: t["value"]))
-    beside = stored(
-        rows.select(
-            "_id", "_hash", "hit.kind", "hit.value", context.alias("context"), F.explode("hit.terms").alias("t")
-        ).select(
-            "_id", "_hash", "kind", "value", "context", F.col("t.value").alias("term"), F.col("t.start"), F.col("t.end")
-        ),
-        "personal",
+    values = F.flatten(
+        F.transform(
+            "_found",
+            lambda f, k: F.transform(f, lambda m: F.struct(k.alias("kind"), _entity(k, m["value"]).alias("value"))),
+        )
+    )
+    held = stored(holders.select("hash", F.explode(values).alias("v")).select("hash", "v.*").distinct(), "personal")
+    terms = stored(holders.select("hash", F.explode(_terms(F.col("text"))).alias("term")).distinct(), "personal")
+    revealed = revealing_terms(docs.select(F.xxhash64("text").alias("hash"), text.alias("text")), held, terms)
+    # Where they stand, outside the values themselves, once for all copies of a text.
+    marks = F.explode(spans.matches(_blanked(F.col("text"), F.col("_base")), TERM)).alias("m")
+    occurrences = holders.select("hash", marks).select("hash", F.lower("m.value").alias("term"), "m.start", "m.end")
+    marked = (
+        occurrences.distinct()
+        .join(revealed, ["hash", "term"])
+        .groupBy("hash")
+        .agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end"))).alias("_terms"))
     )
-    revealed = revealing_terms(docs, beside)
     more = (
-        beside.join(revealed, ["kind", "value", "term"])
-        .select("_id", "_hash", F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end").alias("span"))
-        .groupBy(F.col("_id").alias("_to"), F.col("_hash").alias("_of"))
-        .agg(F.array_sort(F.collect_set("span")).alias("_terms"))
+        holders.select("_id", "hash").distinct().join(marked, "hash")
+        .select(F.col("_id").alias("_to"), F.col("hash").alias("_of"), "_terms")
     )
 
-    base = F.array_sort(F.flatten(F.array(*[spans.of_kind(F.get("_found", F.lit(k)), k) for k in range(4)])))
     counts = [F.size(F.get("_found", F.lit(k))).cast("bigint").alias(ADDED[k]) for k in range(4)]
     narrow = found.select(*docs.columns, "_id", "_hash", *counts, base.alias("_base"))
     same = F.col("_id").eqNullSafe(F.col("_to")) & (F.col("_hash") == F.col("_of"))
