@@ -324,6 +324,27 @@ def test_sentences(small, odd):
     assert sentences.dedup(odd).count() == odd.count()
 
 
+def words_of(rng, n):
+    return [("".join(rng.choices("abcdefghijklmnoprstuvwyz", k=rng.randint(3, 9)))) for _ in range(n)]
+
+
+def test_sentences_at_the_ends_of_a_passage(spark):
+    rng = random.Random(8)
+    lengths = (24, 30, 10)  # the last sentence starts no span of its own
+    passage = " ".join(" ".join(words_of(rng, n)) + "." for n in lengths)
+    rows = [(i, f"{' '.join(words_of(rng, 30))}.\n{passage}\n{' '.join(words_of(rng, 30))}.") for i in range(2)]
+    glued = " ".join(words_of(rng, 120))  # one sentence in the middle of foreign words
+    rows += [(10 + i, f"{' '.join(words_of(rng, 20))} {glued} {' '.join(words_of(rng, 20))}") for i in range(2)]
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(90))
+    rows += [(20 + i, "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(40)) + "。" + han + "。") for i in range(2)]
+    made = {r.doc_id: r for r in sentences.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(made[i].text == dict(rows)[i] for i in (0, 10, 20))
+    assert not set(passage.split()) & set(made[1].text.split())
+    left = set(glued.split()) & set(made[11].text.split())
+    assert len(left) <= 40 and made[11].text.split()[:20] == rows[3][1].split()[:20]
+    assert len(set(han) & set(made[21].text[41:])) <= 40
+
+
 def test_sentence_borders():
     text = "One. Two!\n\nThree? four 3.5 five"
     assert [text[a:b] for a, b in sentences.cut(text)] == ["One. ", "Two!\n\n", "Three? ", "four 3.5 five"]

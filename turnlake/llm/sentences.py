@@ -1,8 +1,10 @@
 """Substring dedup over sliding spans of sentences.
 
-From every sentence starts one span: the fewest consecutive sentences that hold
-MIN_WORDS words. Spans are hashed, joined over all documents, and every sentence
-covered by a repeated span goes, except where that span stands first.
+Sentences are cut further at inner borders the characters beside them decide, so
+a passage glued to foreign words has the same pieces inside. At every piece one
+span starts and one ends: the fewest consecutive pieces that hold MIN_WORDS
+words. Spans are hashed, joined over all documents, and every piece covered by a
+repeated span goes, except where that span stands first.
 """
 
 from __future__ import annotations
@@ -17,43 +19,83 @@ from pyspark.sql import functions as F
 
 from turnlake.llm.common import appended, bounded_batches, extended, stored, without
 
-MIN_WORDS = 25  # two short stock lines stay below, a passage of 50 words holds a whole span even if its ends are glued
-BORDER = re.compile(r"(?<=[.!?…。！？])[^\S\n]+|\s*\n\s*")
+MIN_WORDS = 25  # two short stock lines stay below; a longer run loses at most the words outside its first and last border
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF"
+CHARACTER = re.compile(f"[{UNSPACED}]")  # of scripts without blanks; two count as a word
+
+
+def _class(first: int, last: int, step: int, rest: int) -> str:
+    """Characters whose lower-case form leaves ``rest`` by ``step``, for use in brackets."""
+    chosen = (chr(i) for i in range(first, last) if ord(chr(i).lower()[0]) % step == rest)
+    return "".join(re.escape(c) for c in chosen if not c.isspace())
+
+
+# All borders of BLANKS start with white space, which the search can look for; the others are for texts that hold UNSPACED.
+BLANKS = (
+    r"\s(?:(?<=[.!?…。！？]\s)\s*|\s*\n\s*|(?<=\n)\s*"
+    rf"|(?<=[{_class(0x21, 0x3000, 3, 0)}]\s)\s*(?=[{_class(0x21, 0x3000, 3, 1)}]))"
+)
+BORDER = re.compile(BLANKS)
+BORDER_UNSPACED = re.compile(
+    rf"{BLANKS}|(?<=[。！？，、；：])(?=\S)|(?<=[{_class(0x3040, 0xA000, 4, 0)}])(?=[{_class(0x3040, 0xA000, 4, 1)}])"
+)
 ADDED = ("n_sentences", "n_removed", "removed")
 
 
 def cut(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the sentences; trailing white space belongs to the sentence before it."""
-    ends = [m.end() for m in BORDER.finditer(text)]
+    """(start, end) of the pieces of sentences; trailing white space belongs to the piece before it."""
+    border = BORDER if text.isascii() or not CHARACTER.search(text) else BORDER_UNSPACED
+    ends = [m.end() for m in border.finditer(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
     starts = [0, *ends[:-1]]
     return [(a, b) for a, b in zip(starts, ends, strict=True) if b > a]
 
 
+def words_in(words: list[str]) -> int:
+    """Words, and half the characters of scripts without blanks."""
+    spaced, characters = CHARACTER.subn(" ", " ".join(words))
+    return len(spaced.split()) + (characters + 1) // 2
+
+
 def spans_of(text: str) -> list[tuple[bytes, int, int]]:
-    """(hash, first sentence, number of sentences) of every span; case and white space do not count."""
-    pieces = [text[a:b].lower().split() for a, b in cut(text)]
-    digests = [hashlib.blake2b(" ".join(p).encode("utf-8", "surrogatepass"), digest_size=16).digest() for p in pieces]
-    sizes = [len(p) for p in pieces]
-    found, end, words = [], 0, 0
+    """(hash, first piece, number of pieces) of every span; case and white space do not count."""
+    split = [text[a:b].lower().split() for a, b in cut(text)]
+    pieces = [" ".join(words) for words in split]
+    spaced = text.isascii() or not CHARACTER.search(text)
+    sizes = [len(words) if spaced else words_in(words) for words in split]
+    # White space alone holds no word; a span neither starts nor ends with it.
+    places, end, words = set(), 0, 0
     for start in range(len(pieces)):
         while end < len(pieces) and words < MIN_WORDS:
             words += sizes[end]
             end += 1
         if words < MIN_WORDS:
             break
-        # White space alone holds no word; a span neither starts nor ends with it.
         if sizes[start]:
-            own = b"".join(digests[start:end])
-            found.append((hashlib.blake2b(own, digest_size=16).digest(), start, end - start))
+            places.add((start, end))
         words -= sizes[start]
+    start, words = 0, 0
+    for end, size in enumerate(sizes, 1):
+        words += size
+        while words - sizes[start] >= MIN_WORDS:
+            words -= sizes[start]
+            start += 1
+        if size and words >= MIN_WORDS:
+            while not sizes[start]:
+                start += 1
+            places.add((start, end))
+    found = []
+    for start, end in sorted(places):
+        own = " ".join(filter(None, pieces[start:end])).encode("utf-8", "surrogatepass")
+        found.append((hashlib.blake2b(own, digest_size=16).digest(), start, end - start))
     return found
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """Documents with ``text`` less its repeated sentences, n_sentences, n_removed and removed.
 
+    Sentences cut at inner borders are counted by their pieces.
     ``removed`` lists (start, end) of what went, in code points of the old text.
     A text without repeated span stays as it is, to the byte. First is the span
     with the smallest doc_id, then the smallest place.
@@ -96,13 +138,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     )
     found = keyed.mapInArrow(spans, f"a bigint, b bigint, doc_id {kind}, hash bigint, first int, n int")
     place = F.struct("doc_id", "hash", "first")
-    repeated = (
-        found.groupBy("a", "b")
-        .agg(F.min(place).alias("origin"), F.max(place).alias("_last"))
-        .filter("origin <> _last")
-        .select("a", "b", "origin")
-    )
-    later = found.join(stored(repeated, "repeated"), ["a", "b"]).filter(place != F.col("origin"))
+    # Most spans stand once: what stands twice is found by halves of hashes and of places, in rows of fixed size.
+    spot = F.xxhash64("doc_id", "hash", "first")
+    twice = found.groupBy("a").agg(F.min(spot).alias("_low"), F.max(spot).alias("_high")).filter("_low <> _high")
+    repeated = stored(found.join(stored(twice.select("a"), "repeated"), "a"), "repeated")
+    # A table, so that the join may split a span that very many documents hold.
+    origins = stored(repeated.groupBy("a", "b").agg(F.min(place).alias("origin")), "origins")
+    later = repeated.join(origins, ["a", "b"]).filter(place != F.col("origin"))
     gone = (
         later.groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_of"))
         .agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("_gone"))
