@@ -104,15 +104,22 @@ NOTICES = (
 )
 
 
+def _keyword(name: str) -> str:
+    """A keyword every text that matches the pattern ``name`` holds."""
+    if "licen" in name:
+        return "licen"
+    return next(k for k in ("creative commons", "cc0", "gnu", "psl") if k in name)
+
+
 def rules() -> list[tuple[str, str, int, str]]:
     """(label, keyword, priority, pattern), highest priority first; patterns match whole words of a blank-joined text."""
     made = [(label, "licen" if "licen" in phrase else "cc ", 50, phrase) for phrase, label in BASE]
     for label, names, shorts, versions in FAMILIES:
         for name in names:
-            made.append((label, "licen", 50, name))
-            made.append((label, "licen", 60, rf"(?:licen[sc]ed|released|distributed|available) under (?:the )?{name}"))
+            made.append((label, _keyword(name), 50, name))
+            made.append((label, _keyword(name), 60, rf"(?:licen[sc]ed|released|distributed|available) under (?:the )?{name}"))
             for version in versions:
-                made.append((f"{label}-{version.replace(' ', '.')}", "licen", 65, rf"{name} (?:version |v ?)?{version}"))
+                made.append((f"{label}-{version.replace(' ', '.')}", _keyword(name), 65, rf"{name} (?:version |v ?)?{version}"))
         for short in shorts:
             made.append((label, "spdx", 80, rf"spdx licen[sc]e identifier {short}"))
             for version in versions:
