@@ -254,6 +254,22 @@ def test_markov_model_tells_random_from_names(spark):
     assert row.masked == f"see [MARKOV] and {name} here"
 
 
+def test_markov_model_scores_letters_short_keys_and_rests(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    key = lambda n, of=letters + "0123456789": "".join(rng.choice(of) for _ in range(n))
+    parts = ["con", "fig", "doc", "ment", "hand", "ler", "quest", "ses", "sion", "iter", "ator", "val", "ue", "nec", "tion"]
+    names = ["".join(rng.choices(parts, k=4)) for _ in range(300)]
+    rows = [(i, f"token = {key(32)} " + " ".join(rng.choices(names, k=60))) for i in range(200)]
+    bare, short, rest = key(32, letters), key(16), key(20)
+    rule = "-" * 30
+    rows.append((1000, f"see {bare} or {short} {rule} {names[0]}{names[1]} {rest}{'0123456789abcdef' * 2}{rest[::-1]} end"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    row = secrets.scan(docs, secrets.train(docs)).filter("doc_id = 1000").first()
+    assert row.masked.startswith(f"see [MARKOV] or [MARKOV] {rule} {names[0]}{names[1]} ")
+    assert bare not in row.masked and rest[:18] not in row.masked and rest[::-1][2:] not in row.masked
+
+
 def test_personal_terms_that_reveal(spark):
     other = ["first", "second", "third", "fourth", "fifth", "sixth"]
     rows = [(i, f"{w} zebulon wrote from zeb@mail.org about {w} here") for i, w in enumerate(other)]

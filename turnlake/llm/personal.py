@@ -74,25 +74,6 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.when(kind >= 2, _digits(value)).otherwise(F.lower(value))
 
 
-def _blanked(text: Column, found: Column) -> Column:
-    """``text`` with each sorted span turned into as many blanks."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def cut(state: Column, s: Column) -> Column:
-        kept = F.substring(text, state["at"] + 1, F.greatest(F.lit(0), s["start"] - state["at"]))
-        blanks = F.repeat(F.lit(" "), s["end"] - F.greatest(state["at"], s["start"]))
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.array(kept, blanks)).alias("out")
-        )
-
-    return F.aggregate(
-        found,
-        start,
-        cut,
-        lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text) - s["at"])),
-    )
-
-
 def revealing_terms(docs: DataFrame, held: DataFrame, terms: DataFrame) -> DataFrame:
     """(hash, term) where the term discloses a value the text holds.
 
@@ -159,7 +140,7 @@ def scan(docs: DataFrame) -> DataFrame:
     terms = stored(holders.select("hash", F.explode(_terms(F.col("text"))).alias("term")).distinct(), "personal")
     revealed = revealing_terms(docs.select(F.xxhash64("text").alias("hash"), text.alias("text")), held, terms)
     # Where they stand, outside the values themselves, once for all copies of a text.
-    marks = F.explode(spans.matches(_blanked(F.col("text"), F.col("_base")), TERM)).alias("m")
+    marks = F.explode(spans.matches(spans.blanked(F.col("text"), F.col("_base")), TERM)).alias("m")
     occurrences = holders.select("hash", marks).select("hash", F.lower("m.value").alias("term"), "m.start", "m.end")
     marked = (
         occurrences.distinct()

@@ -1,10 +1,12 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and ordinary names.
 
 The models are two tables of character transitions. Random strings are the
-values the fixed patterns find; ordinary names are words of sampled documents.
-A long token is a secret when its transitions are, on average, clearly more
-likely under the first. Everything is built-in Spark functions; the table of
-log-likelihood ratios is a literal of fixed size.
+values the fixed patterns find; ordinary names are words that several sampled
+documents share. A token is a secret when its transitions are, on average,
+clearly more likely under the first, by the more the fewer there are. Tokens
+below 12 characters are scored only beside a match of a fixed pattern, from 4
+on. Everything is built-in Spark functions; the table of log-likelihood ratios
+is a literal of fixed size.
 """
 
 from __future__ import annotations
@@ -24,15 +26,18 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # a shorter run fails as a whole, so the length m
 HEX = r"[0-9a-f]{24,}"
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+FOUND = "\uE000"  # stands for the characters of base matches while tokens are sought
+TOKEN = rf"[A-Za-z0-9+/_=-]{{12,}}|(?<={FOUND})[A-Za-z0-9+/_=-]{{4,}}|[A-Za-z0-9+/_=-]{{4,}}(?={FOUND})"
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 SIDE = len(SYMBOLS) + 1  # 0 stands for any other character
 RANDOM_SAMPLE = 20_000  # values the model of random strings is trained on, first in a hash order
 NAME_DOCUMENTS = 500  # documents whose words train the model of ordinary names, first in a hash order
-NAME_WORD = r"[A-Za-z_]{5,}"
+NAME_WORD = r"[A-Za-z0-9+/_=-]{5,}"
 SMOOTHING = 0.5  # added to the count of each character
 PRIOR = 4.0  # transitions the rate of single characters counts as
-THRESHOLD = 0.1  # mean log-likelihood ratio of a transition
+THRESHOLD = 0.1  # mean log-likelihood ratio of a transition, of a token with ENOUGH different ones
+ENOUGH = 19
+STEP = 0.1  # added to the threshold for each different transition a token has less
 ADDED = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "masked")
 
 
@@ -88,9 +93,12 @@ def train(docs: DataFrame) -> list[float] | None:
     random = _transitions(values.orderBy(F.xxhash64("value"), "value").limit(RANDOM_SAMPLE))
     order = F.xxhash64("text")
     last = docs.select(order.alias("h")).orderBy("h").limit(NAME_DOCUMENTS).agg(F.max("h")).first()[0]
-    found = F.explode(F.regexp_extract_all(text, F.lit(NAME_WORD), F.lit(0)))
-    words = docs.filter(order <= F.lit(last)).select(found.alias("value")).distinct()
-    names = _transitions(words)
+    # Known secrets are no names, nor is what a single document holds, as long as others hold words in common.
+    plain = F.regexp_replace(text, "|".join((ASSIGN, ACCESS, HEX)), " ")
+    found = F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(NAME_WORD), F.lit(0))))
+    words = docs.filter(order <= F.lit(last)).select(order.alias("h"), found.alias("value")).distinct()
+    words = words.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    names = _transitions(words.filter("n > 1")) or _transitions(words)
     if not random or not names:
         return None
 
@@ -121,6 +129,12 @@ def ratio(value: Column, model: list[float]) -> Column:
     return total / (F.length(value) - 1)
 
 
+def threshold(value: Column) -> Column:
+    """Least mean ratio of a secret; repeats of a transition are no further evidence."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda i: F.substr(value, i, F.lit(2)))
+    return THRESHOLD + STEP * F.greatest(F.lit(0), ENOUGH - F.size(F.array_distinct(pairs)))
+
+
 def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     """Documents with n_assign, n_access, n_hex, base_sha256, spans and masked.
 
@@ -139,12 +153,11 @@ def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     found = found.withColumn("_base", base)
     added = F.array().cast(spans.SPAN)
     if model is not None:
-        tokens = F.filter(
-            spans.matches(text, TOKEN, text.rlike(TOKEN)),
-            lambda m: m["value"].rlike("[0-9]")
-            & ~F.exists(F.col("_base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])),
-        )
-        added = spans.of_kind(F.filter(tokens, lambda m: ratio(m["value"], model) > THRESHOLD), 3)
+        # What is left of a token beside a base match is scored by itself.
+        left = F.when(F.size("_base") > 0, spans.blanked(text, F.col("_base"), FOUND)).otherwise(text)
+        found = found.withColumn("_left", left)
+        tokens = spans.matches(F.col("_left"), TOKEN, F.col("_left").rlike(TOKEN))
+        added = spans.of_kind(F.filter(tokens, lambda m: ratio(m["value"], model) > threshold(m["value"])), 3)
     found = found.withColumn("_all", F.array_sort(F.concat("_base", added)))
     return found.select(
         *docs.columns,

@@ -120,3 +120,22 @@ def replaced(text: Column, spans: Column, names: Sequence[str]) -> Column:
         lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text) - s["at"])),
     )
     return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def blanked(text: Column, found: Column, filler: str = " ") -> Column:
+    """``text`` with each sorted span turned into as many fillers."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def cut(state: Column, s: Column) -> Column:
+        kept = F.substring(text, state["at"] + 1, F.greatest(F.lit(0), s["start"] - state["at"]))
+        blanks = F.repeat(F.lit(filler), s["end"] - F.greatest(state["at"], s["start"]))
+        return F.struct(
+            F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.array(kept, blanks)).alias("out")
+        )
+
+    return F.aggregate(
+        found,
+        start,
+        cut,
+        lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text) - s["at"])),
+    )
