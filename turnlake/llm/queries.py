@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, jaccard, language, licences, mixing, oracles, orderhash, personal, secrets, sentences, vectors
+from turnlake.llm import bpe, jaccard, language, licences, mixing, oracles, orderhash, personal, secrets, sentences, tokencounts, vectors
 from turnlake.llm.common import table
 
 
@@ -62,6 +62,17 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
+COUNTED_VOCABULARY = "byte_bpe_50k.json"
+TOKEN_LIMIT = 1024
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = tokencounts.read_vocabulary(public_tokenizers.path(COUNTED_VOCABULARY))
+    counted = tokencounts.count_tokens(docs, vocabulary, ("n_bytes", "n_tokens"), keep=["doc_id"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -73,6 +84,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_order_minhash": op9_order_minhash,
     "op10_source_mixing": op10_source_mixing,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLES: dict[str, str] = {
     "op1_embedding_dedup": oracles.EMBEDDING_DEDUP,
