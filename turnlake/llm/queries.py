@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, jaccard, language, licences, mixing, oracles, orderhash, personal, secrets, sentences, tokencounts, vectors
+from turnlake.llm import bpe, jaccard, language, licences, mixing, oracles, orderhash, personal, repair, secrets, sentences, tokencounts, vectors
 from turnlake.llm.common import table
 
 
@@ -62,6 +62,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.summarise(repair.repair(repair.damage(turns)))
+    every = turns.select(F.col("conv_id").alias("_id")).distinct()
+    joined = every.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left")
+    nothing = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    return joined.select(
+        F.col("_id").alias("conv_id"),
+        *[F.coalesce(F.col(c), nothing.get(c, F.lit(0).cast("bigint"))).alias(c) for c in found.columns[1:]],
+    )
+
+
 COUNTED_VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
 
@@ -84,6 +96,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_order_minhash": op9_order_minhash,
     "op10_source_mixing": op10_source_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_token_counts": op13_token_counts,
 }
 ORACLES: dict[str, str] = {
