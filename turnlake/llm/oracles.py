@@ -42,3 +42,30 @@ r AS (
     SELECT p.b, r.c FROM r JOIN p ON r.node = p.a)
 SELECT doc_id, n_shingles, min(c) AS component_id FROM n JOIN r ON r.node = doc_id GROUP BY doc_id, n_shingles
 """
+
+LEXICAL_SEARCH = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+n AS (SELECT r, doc_id, len(words) AS n FROM d WHERE len(words) > 0),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+m AS (SELECT r, doc_id, 100 - 75 + ((75 * n * docs) // terms) AS m FROM n, s),
+q AS (
+    SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+    GROUP BY ALL),
+t AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d)
+    WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+p AS (
+    SELECT item_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score, any_value(doc_id) AS doc_id
+    FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY item_id, r)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM p WHERE score > 0 QUALIFY rank <= 10
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, jaccard, language, licences, mixing, oracles, orderhash, personal, repair, secrets, sentences, tokencounts, vectors
+from turnlake.llm import bpe, jaccard, language, lexical, licences, mixing, oracles, orderhash, personal, repair, secrets, sentences, tokencounts, vectors
 from turnlake.llm.common import table
 
 
@@ -74,6 +74,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 COUNTED_VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
 
@@ -97,9 +102,11 @@ QUERIES = {
     "op9_order_minhash": op9_order_minhash,
     "op10_source_mixing": op10_source_mixing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_lexical_search": op12_lexical_search,
     "op13_token_counts": op13_token_counts,
 }
 ORACLES: dict[str, str] = {
     "op1_embedding_dedup": oracles.EMBEDDING_DEDUP,
     "op8_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op12_lexical_search": oracles.LEXICAL_SEARCH,
 }
