@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 
 from turnlake.llm.common import appended, bounded_batches, extended, without
 
-KNOWN_WORDS = 200_000  # words a task remembers; then it starts anew, as any word can be counted again
-KNOWN_PAIRS = 1_000_000
+#: What a task remembers; then it starts anew, as all of it can be worked out again.
+KNOWN_WORDS, KNOWN_PAIRS, KNOWN_STARTS = 400_000, 500_000, 300_000
+SHARED = 8  # bytes at the start of a word that are likely to start other words
 SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 UNKNOWN = "\uFFFF"  # no character, so neither letter nor number
 CONTRACTIONS = ("'ll", "'ve", "'re")  # cut after two characters they are two words
@@ -51,10 +52,6 @@ class Vocabulary:
     unknown: str  # ranges of characters that count as neither letter nor number whatever the pattern library says
     spines: tuple[dict, dict] = field(default_factory=lambda: ({}, {}), repr=False)
 
-    @property
-    def longest(self) -> int:
-        return max(map(len, self.tokens), default=1)
-
 
 def _byte_letters() -> dict[str, int]:
     """The letters in which byte-level files write the 256 bytes: printable ones as they are, others from U+0100 on."""
@@ -143,11 +140,17 @@ class Counter:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.longest = vocabulary.longest
+        #: Lengths of the tokens that end in given three bytes, longest first; shorter tokens behind.
+        ends: dict[bytes, set[int]] = {}
+        for token in vocabulary.tokens:
+            if len(token) > 2:
+                ends.setdefault(token[-3:], {1, 2}).add(len(token))
+        self.lengths = {end: tuple(sorted(own, reverse=True)) for end, own in ends.items()}
         self.unknown = re.compile(f"[{vocabulary.unknown}]") if vocabulary.unknown else None
         self.special = regex.compile("|".join(map(regex.escape, vocabulary.specials))) if vocabulary.specials else None
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.begun: dict[bytes, tuple[int, bytes]] = {}  # count and last token of the first bytes of words
 
     def split(self, text: str) -> list[str]:
         """Words of a text, as the vocabulary's own pattern library cuts them."""
@@ -157,10 +160,19 @@ class Counter:
 
     def byte_counts(self, word: bytes) -> list[int]:
         """Tokens of each prefix of one word, the empty one first."""
-        tokens, pairs, longest = self.vocabulary.tokens, self.pairs, self.longest
-        counts, last = [0] * (len(word) + 1), [b""] * (len(word) + 1)
+        tokens, pairs, begun, lengths = self.vocabulary.tokens, self.pairs, self.begun, self.lengths
+        counts, last = [0], [b""]
         for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
+            if end <= SHARED:
+                known = begun.get(word[:end])
+                if known is not None:
+                    counts.append(known[0])
+                    last.append(known[1])
+                    continue
+            for length in lengths.get(word[end - 3 : end] if end > 2 else b"", (2, 1)):
+                start = end - length
+                if start < 0:
+                    continue
                 token = word[start:end]
                 if token not in tokens:
                     continue
@@ -173,8 +185,13 @@ class Counter:
                         fits = pairs[pair] = stable(*pair, self.vocabulary)
                     if not fits:
                         continue
-                counts[end], last[end] = counts[start] + 1, token
+                counts.append(counts[start] + 1)
+                last.append(token)
                 break
+            if end <= SHARED:
+                if len(begun) >= KNOWN_STARTS:
+                    begun.clear()
+                begun[word[:end]] = counts[end], last[end]
         return counts
 
     def steps(self, word: str) -> bytes:
