@@ -144,8 +144,34 @@ def _id_type(ranks: dict[bytes, int]) -> np.dtype:
     return np.dtype(np.uint16 if max(ranks.values(), default=0) < 65535 else np.uint32)
 
 
-def word_table(docs: DataFrame, ranks: dict[bytes, int]) -> dict[str, bytes]:
-    """Packed ids of the most frequent distinct words of all texts, at most TABLE_WORDS."""
+class WordTable:
+    """Packed ids of words. It travels as two columns and becomes a lookup once in each Python worker."""
+
+    def __init__(self, words: pa.ChunkedArray, ids: pa.ChunkedArray, packed: np.dtype):
+        self.words, self.ids, self.packed = words, ids, packed
+        self._found: dict[str, bytes] | None = None
+
+    def __getstate__(self):
+        return self.words, self.ids, self.packed
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def lookup(self) -> dict[str, bytes]:
+        if self._found is None:
+            self._found = {}
+            for words, own in zip(self.words.chunks, self.ids.chunks, strict=True):
+                ends, numbers = own.offsets.to_numpy(), own.values.to_numpy().astype(self.packed)
+                for i, word in enumerate(words.to_pylist()):
+                    self._found[word] = numbers[ends[i] : ends[i + 1]].tobytes()
+        return self._found
+
+
+def word_table(docs: DataFrame, ranks: dict[bytes, int]) -> WordTable:
+    """The most frequent distinct words of all texts, at most TABLE_WORDS."""
 
     def count(batches):
         seen: Counter[str] = Counter()
@@ -175,18 +201,14 @@ def word_table(docs: DataFrame, ranks: dict[bytes, int]) -> dict[str, bytes]:
         if room < 0:
             break
         least = row["level"]
-    if least is None:
-        return {}
-    chosen = words.filter(F.col("level") >= least).select("word", F.array(F.hex(F.col("word").cast("binary"))).alias("w"))
-    ids = chosen.select("word", F.get(fold_all(ranks, F.transform("w", F.lower)), F.lit(0)).alias("ids")).toArrow()
-    # Slices of one buffer per chunk instead of lists of numbers keep the driver's share small.
-    table: dict[str, bytes] = {}
-    for batch in ids.to_batches():
-        own = batch.column("ids")
-        ends, numbers = own.offsets.to_numpy(), own.values.to_numpy().astype(_id_type(ranks))
-        for i, word in enumerate(batch.column("word").to_pylist()):
-            table[word] = numbers[ends[i] : ends[i + 1]].tobytes()
-    return table
+    chosen = words.filter(F.lit(False) if least is None else F.col("level") >= least)
+    hexes = F.transform(F.array(F.hex(F.col("word").cast("binary"))), F.lower)
+    small = "smallint" if _id_type(ranks) == np.uint16 else "int"
+    ids = F.get(fold_all(ranks, hexes), F.lit(0))
+    if small == "smallint":  # the bits of an unsigned number of two bytes
+        ids = F.transform(ids, lambda i: F.when(i > 32767, i - 65536).otherwise(i).cast(small))
+    found = chosen.select("word", ids.alias("ids")).toArrow()
+    return WordTable(found.column("word"), found.column("ids"), _id_type(ranks))
 
 
 def _outputs(ids: np.ndarray, tokens: Sequence[bytes], written: Sequence[str], names: Sequence[str]) -> list:
@@ -240,7 +262,7 @@ def encode(
     waiting = packed.type(mark).tobytes()
 
     def look_up(batches):
-        find, known, all_ranks = regex.compile(pattern).findall, table.value.get, shipped.value
+        find, known, all_ranks = regex.compile(pattern).findall, table.value.lookup().get, shipped.value
         for batch in batches:
             blobs, rests = [], []
             for text in batch.column("text").to_pylist():

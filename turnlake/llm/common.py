@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
@@ -75,16 +75,13 @@ def string_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Count and order-free checksum of an edge set; equal for equal sets."""
+def _stored_with_mark(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
+    """Edges in the shared folder, with their count and an order-free checksum, taken while they are written."""
     mixed = F.xxhash64("u", "v")
-    return tuple(
-        edges.agg(
-            F.count(F.lit(1)),
-            F.sum(F.shiftright(mixed, 20)),
-            F.sum(mixed.bitwiseAND(F.lit((1 << 20) - 1))),
-        ).first()
-    )
+    mark = Observation()
+    parts = F.sum(F.shiftright(mixed, 20)), F.sum(mixed.bitwiseAND(F.lit((1 << 20) - 1)))
+    written = stored(edges.observe(mark, F.count(F.lit(1)).alias("n"), parts[0].alias("high"), parts[1].alias("low")), label)
+    return written, tuple(mark.get.get(name) for name in ("n", "high", "low"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -97,8 +94,7 @@ def components(edges: DataFrame) -> DataFrame:
     splits, never a list. Every round is a table in the shared folder.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    edges = stored(edges, "edges")
-    seen = None
+    edges, seen = _stored_with_mark(edges, "edges")
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -110,8 +106,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             joined.select("u", F.col("m").alias("v"))
         )
-        edges = stored(small.filter("u <> v").distinct(), "edges")
-        mark = _fingerprint(edges)
+        edges, mark = _stored_with_mark(small.filter("u <> v").distinct(), "edges")
         if mark == seen:
             break
         seen = mark

@@ -119,14 +119,14 @@ def prefixes(docs: DataFrame, classes: np.ndarray, width: int = WIDTH, percent:
 
     def run(batches):
         for _, texts in _texts(batches):
-            done: set[int] = set()
+            done: set[tuple[int, int]] = set()
             tokens, keys, lengths = [], [], []
             for text in texts:
                 own = shingles(text, width)
-                key = set_key(own, 1)
-                if not len(own) or key in done:
+                key, check = set_key(own, 1), set_key(own, 7)
+                if not len(own) or (key, check) in done:
                     continue
-                done.add(key)
+                done.add((key, check))
                 rank = shipped.value[(own >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]
                 first = own[np.argsort(rank, kind="stable")[: prefix_length(len(own), percent)]]
                 tokens.append(first)
@@ -246,7 +246,7 @@ def _cells(members: DataFrame, percent: int) -> DataFrame:
     )
     alone = F.array(F.struct(F.col("block").cast("string").alias("task"), F.lit(2).alias("side")))
     every = F.when(F.col("salts").isNull(), alone).otherwise(F.concat(same, up, down))
-    return placed.select("rep", "key", F.explode(every).alias("t")).select("rep", "key", "t.task", "t.side")
+    return placed.select("rep", "key", "check", F.explode(every).alias("t")).select("rep", "key", "check", "t.task", "t.side")
 
 
 def _bit_filter(ids: DataFrame, column: str):
@@ -271,12 +271,12 @@ def _bit_filter(ids: DataFrame, column: str):
 
 
 def links_of(docs: DataFrame, members: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(u, v): links between representatives; ``members`` has block, rep, key and n."""
+    """(u, v): links between representatives; ``members`` has block, rep, key, check and n."""
     members = stored(members, "members")
     holds = _bit_filter(members, "rep")
     texts = docs.select("doc_id", "text").filter(holds("doc_id"))
     cells = _cells(members, percent)
-    rows = texts.join(cells, texts["doc_id"] == cells["rep"]).select("task", "side", "rep", "key", "text")
+    rows = texts.join(cells, texts["doc_id"] == cells["rep"]).select("task", "side", "rep", "key", "check", "text")
     ordered = rows.repartition("task").sortWithinPartitions("task", "side", "rep")
 
     def closed(group):
@@ -290,14 +290,14 @@ def links_of(docs: DataFrame, members: DataFrame, width: int = WIDTH, percent: i
         task, group, seen = None, [], set()
         for batch in batches:
             found = []
-            for own, side, rep, key, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for own, side, rep, key, check, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if own != task:
                     found += closed(group) if group else []
                     task, group, seen = own, [], set()
                 tokens = shingles(text, width)
-                # Other rows may carry the same doc_id; only the text that made the key counts, once.
-                if set_key(tokens, 1) == key and rep not in seen:
-                    seen.add(rep)
+                # Other rows may carry the same doc_id; each text that made a key counts, once.
+                if set_key(tokens, 1) == key and set_key(tokens, 7) == check and (rep, key, check) not in seen:
+                    seen.add((rep, key, check))
                     group.append((side, rep, tokens))
             yield _edge_batch(found)
         yield _edge_batch(list(closed(group)) if group else [])
@@ -305,42 +305,47 @@ def links_of(docs: DataFrame, members: DataFrame, width: int = WIDTH, percent: i
     return ordered.mapInArrow(run, "u bigint, v bigint")
 
 
+def _links_of_ids(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): a doc_id with several sets, and what stands for each of them."""
+    own = keys.filter("n > 0 AND doc_id IS NOT NULL").withColumn("u", F.col("doc_id").cast("bigint"))
+    mark = F.struct("key", "check")
+    several = own.groupBy("u").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high").select("u")
+    linked = own.join(several, "u").join(sets.drop("bits"), ["n", "key", "check"])
+    return linked.select("u", F.col("rep").alias("v")).filter("u <> v")
+
+
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     component_id is the smallest doc_id reachable over links of similar sets,
     itself included. doc_id must be an integer; its null rows get a null
-    component unless a document with an id has the same set. Null or empty text
-    has no shingle, and links with nothing. Texts of any length are read whole.
+    component unless a document with an id has the same set. Rows of one doc_id
+    with different texts are one document: what links to either belongs to it.
+    Null or empty text has no shingle, and links with nothing. Texts of any length are read whole.
     Repeated rows come back repeated. An empty table gives an empty one. Other
     columns are not read.
     """
     bounded_batches(docs.sparkSession)
     keys = stored(set_keys(docs, width), "keys")
+    # Key and check together, 128 bits, stand for a set; the key alone only for the block to search.
+    identity = ["n", "key", "check"]
     sets = stored(
         keys.filter("n > 0")
-        .groupBy("n", "key")
-        .agg(
-            F.min("doc_id").cast("bigint").alias("rep"),
-            F.min("check").alias("lo"),
-            F.max("check").alias("hi"),
-            F.first("bits").alias("bits"),
-        ),
+        .groupBy(*identity)
+        .agg(F.min("doc_id").cast("bigint").alias("rep"), F.first("bits").alias("bits")),
         "sets",
     )
-    if not sets.filter("lo <> hi").isEmpty():
-        raise ValueError("two shingle sets share a 64-bit key")
     block = blocks(prefixes(docs, frequency_classes(docs, width), width, percent), sets, percent)
     members = (
         sets.filter("rep IS NOT NULL")
         .join(block, sets["key"] == block["node"])
-        .select(F.col("component").alias("block"), "rep", "key", "n")
+        .select(F.col("component").alias("block"), "rep", "key", "check", "n")
     )
-    closed = components(links_of(docs, members, width, percent))
+    closed = components(links_of(docs, members, width, percent).union(_links_of_ids(keys, sets)))
     named = sets.join(closed, sets["rep"] == closed["node"], "left").select(
-        "n", "key", F.coalesce("component", "rep").alias("component_id")
+        *identity, F.coalesce("component", "rep").alias("component_id")
     )
-    joined = keys.join(named, ["n", "key"], "left")
+    joined = keys.join(named, identity, "left")
     own = F.col("doc_id").cast("bigint")
     return joined.select(
         "doc_id",
