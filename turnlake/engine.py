@@ -202,7 +202,7 @@ class MemoryEngine:
                 stored = stored.join(inside, "turn_id", "left_semi")
             if not stored.isEmpty():
                 near = vectors.nearest(stored, "turn_id", "embedding", F.lit(list(query_vector)), 2 * limit)
-                hits = vectors.fuse([hits.select("turn_id", "score"), near], "turn_id", 2 * limit, unit=True)
+                hits = vectors.fuse([hits.select("turn_id", "score"), near], "turn_id", 2 * limit, depth=2 * limit, unit=True)
                 # At most 2 * limit hits are broadcast; days are unknown for hits by vector.
                 return self._ranked(self.turns().join(F.broadcast(hits), "turn_id"), now, limit, fingerprint)
         return self._ranked(self._fetched(hits), now, limit, fingerprint)

@@ -31,10 +31,10 @@ def nearest(vectors: DataFrame, key: str, column: str, query: Column, limit: int
     return scored.orderBy(F.desc("score"), F.asc(key)).limit(limit)
 
 
-def fuse(lists: list[DataFrame], key: str, limit: int, unit: bool = False, depth: int = 1000) -> DataFrame:
+def fuse(lists: list[DataFrame], key: str, limit: int, depth: int, unit: bool = False) -> DataFrame:
     """Reciprocal rank fusion of (key, score) lists, of which the first ``depth`` places count.
 
-    ``unit`` scales scores so that the first place in every list gives 1.
+    ``depth`` is the length asked of the lists. ``unit`` scales scores so that the first place in every list gives 1.
     """
     scale = (RRF_K + 1.0) / len(lists) if unit else 1.0
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), F.asc(key))

@@ -98,7 +98,7 @@ def fetch_turns_hybrid(
         return lexical
     # A list of numbers is one literal; at most 2 * limit keys are broadcast.
     near = vectors.nearest(vectors_df, "turn_id", "embedding", F.lit(list(query_vector)), 2 * limit)
-    fused = vectors.fuse([lexical.select("turn_id", "score"), near], "turn_id", 2 * limit, unit=True)
+    fused = vectors.fuse([lexical.select("turn_id", "score"), near], "turn_id", 2 * limit, depth=2 * limit, unit=True)
     return turns.join(F.broadcast(fused), "turn_id")
 
 

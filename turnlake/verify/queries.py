@@ -17,6 +17,7 @@ from turnlake.operators import (
     documents,
     memories,
     packing,
+    pivots,
     reconcile,
     rerank,
     sessions,
@@ -1183,6 +1184,22 @@ def vector_topk(spark, sf):
     return vectors.nearest(rows, "id", "embedding", _query_vector(spark, sf), 16)
 
 
+@register(
+    "vector_topk_join",
+    """
+    SELECT a.vec_id AS query_id, b.vec_id AS id,
+           round(list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE),
+                                        list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS score,
+           row_number() OVER (PARTITION BY a.vec_id ORDER BY score DESC, b.vec_id) AS rank
+    FROM embeddings a, embeddings b QUALIFY rank <= 10""",
+)
+def vector_topk_join(spark, sf):
+    """The ten nearest vectors of every vector, all queries in one join."""
+    rows = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = rows.withColumnRenamed("id", "query_id")
+    return pivots.top_k(asked, "query_id", "embedding", pivots.build(rows, "id", "embedding"), "id", 10)
+
+
 @register(
     "hybrid_rrf",
     o.statement(
@@ -1200,7 +1217,7 @@ def vector_topk(spark, sf):
 def hybrid_rrf(spark, sf):
     docs = fx.documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
     lexical = bm25.search(docs, F.col("text"), fx.QUERY, "id", 16).select("id", "score")
-    return vectors.fuse([lexical, vector_topk(spark, sf)], "id", 8)
+    return vectors.fuse([lexical, vector_topk(spark, sf)], "id", 8, depth=16)
 
 
 HYBRID = {
