@@ -18,7 +18,7 @@ from pyspark.sql.types import BinaryType
 from turnlake.config import Config
 from turnlake.functions import dates, redaction, requests
 from turnlake.functions import text as tx
-from turnlake.operators import documents, index, memories, packing, sessions, turns, vectors
+from turnlake.operators import documents, index, memories, packing, passages, sessions, turns, vectors
 from turnlake.plans import extraction, search, status
 from turnlake.session import cut_lineage, prepare
 from turnlake.sources import inline, sinks
@@ -34,6 +34,7 @@ TURN_SCHEMA = (
 )
 INDEX_CARRY = "ts timestamp"  # stored with postings: limits searches by time and names the days to read
 VECTOR_SCHEMA = "turn_id string, embedding array<float>, batch bigint"
+PASSAGE_SCHEMA = "turn_id string, hash string, passage bigint, start bigint, embedding array<float>, error string"
 
 
 class MemoryEngine:
@@ -323,6 +324,35 @@ class MemoryEngine:
                 new.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("append").parquet(f"{self.root}/vectors")
         return counts
 
+    def passages(self) -> DataFrame:
+        """(turn_id, passage, start, embedding) of turns as they are; those of removed or edited texts are left out."""
+        now = self.turns().select("turn_id", index.body_hash(search.turn_text()).alias("hash"))
+        stored = self._table("passages", PASSAGE_SCHEMA).filter("error IS NULL")
+        return stored.join(now, ["turn_id", "hash"], "left_semi").select("turn_id", "passage", "start", "embedding")
+
+    def embed_passages(self, model: passages.Model | None = None) -> dict[str, int]:
+        """Give every passage of every turn that has no vector yet one; failed ones are tried again by the next run.
+
+        Returns docs_processed, chunks_embedded and errors of this run.
+        """
+        key = F.struct("turn_id", index.body_hash(search.turn_text()).alias("hash")).alias("turn")
+        pieces = passages.cut(self.turns().select(key, search.turn_text().alias("text")), "turn", F.col("text"))
+        done = self._table("passages", PASSAGE_SCHEMA).filter("error IS NULL")
+        lacking = pieces.join(done.select(F.struct("turn_id", "hash").alias("turn"), "passage"), ["turn", "passage"], "left_anti")
+        new = cut_lineage(passages.embed(lacking, "turn", model))
+        counts = passages.counters(new, "turn").first().asDict()
+        if counts["docs_processed"]:
+            new.select("turn.*", "passage", "start", "embedding", "error").write.mode("append").parquet(f"{self.root}/passages")
+        return counts
+
+    def search_passages(
+        self, query: str, query_vector: Sequence[float], limit: int = 10, scorer: passages.Scorer | None = None
+    ) -> DataFrame:
+        """(turn_id, score, best_chunk, best_chunk_pos): hybrid search over passages, re-ranked by ``scorer`` if given."""
+        return search.search_passages(
+            self.turns(), "turn_id", search.turn_text(), self.passages(), query, query_vector, limit, scorer
+        )
+
     # --- extraction ---------------------------------------------------------
 
     def sessions(self, marker: str = "haiku") -> DataFrame:

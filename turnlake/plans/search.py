@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.config import InjectionConfig
-from turnlake.operators import bm25, rerank, vectors
+from turnlake.operators import bm25, passages, rerank, vectors
+from turnlake.session import cut_lineage
+from turnlake.sources import bodies
 
 DEFAULTS = InjectionConfig()
 
@@ -122,3 +124,59 @@ def search_collections(
     for part in parts[1:]:
         merged = merged.unionByName(part)
     return merged.orderBy(F.desc("score"), F.asc("source"), F.asc("id")).limit(limit)
+
+
+def search_passages(
+    docs: DataFrame,
+    key: str,
+    body: Column,
+    embedded: DataFrame,
+    query: str,
+    query_vector: Sequence[float],
+    limit: int = 10,
+    scorer: passages.Scorer | None = None,
+    size: int = passages.SIZE,
+) -> DataFrame:
+    """(key, score, best_chunk, best_chunk_pos): hybrid search whose vector side looks at passages.
+
+    Twice the limit by BM25 and by nearest passage are fused; with a ``scorer``
+    the fused hits are ordered anew by what it gives to their best passage.
+    """
+    vector, wide = F.lit(list(query_vector)), 2 * limit
+    lexical = bm25.search(docs, body, query, key, wide).select(key, "score")
+    near = passages.nearest(embedded, key, vector, wide).select(key, "score")
+    fused = vectors.fuse([lexical, near], key, wide if scorer else limit, depth=wide, unit=True)
+    placed = passages.with_best(cut_lineage(fused), embedded, key, vector)
+    # At most twice the limit, so texts are read for these documents only.
+    texts = docs.select(key, body.alias("_body")).join(F.broadcast(placed), key)
+    start = F.coalesce("best_start", F.lit(0).cast("bigint"))
+    hits = texts.select(
+        key, "score", F.substring("_body", (start + 1).cast("int"), F.lit(size)).alias("best_chunk"), start.alias("best_chunk_pos")
+    )
+    order = [F.desc("score"), F.asc(key)]
+    if scorer is not None:
+        hits, order = passages.rerank(hits, query, "best_chunk", scorer), [F.desc("reranked"), *order]
+    return hits.orderBy(*order).limit(limit).select(key, "score", "best_chunk", "best_chunk_pos")
+
+
+def results(hits: DataFrame, index: DataFrame, store: str, context: Column | None = None) -> DataFrame:
+    """Hits (collection, path, score, more columns) in the shape users see, with bodies fetched last.
+
+    ``index`` describes the stored documents: collection, path, title, hash,
+    modified_at. Hits whose document is gone drop out.
+    """
+    own = [c for c in hits.columns if c not in ("collection", "path", "score")]
+    described = index.select("collection", "path", "title", "hash", "modified_at")
+    named = described.join(F.broadcast(hits), ["collection", "path"]).select(
+        F.concat_ws("/", "collection", "path").alias("file"),
+        F.col("path").alias("display_path"),
+        "title",
+        F.col("collection").alias("collection_name"),
+        (F.lit(None).cast("string") if context is None else context).alias("context"),
+        "hash",
+        F.substring("hash", 1, 6).alias("docid"),
+        "modified_at",
+        "score",
+        *own,
+    )
+    return bodies.attach(named, store).withColumn("body_length", F.length("body").cast("bigint"))

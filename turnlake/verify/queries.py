@@ -17,6 +17,7 @@ from turnlake.operators import (
     documents,
     memories,
     packing,
+    passages,
     pivots,
     reconcile,
     rerank,
@@ -26,8 +27,8 @@ from turnlake.operators import (
     vectors,
 )
 from turnlake.plans import extraction, search, status
-from turnlake.session import fresh_dir, written
-from turnlake.sources import sinks, wallet
+from turnlake.session import cut_lineage, fresh_dir, written
+from turnlake.sources import bodies, sinks, wallet
 from turnlake.streaming import ingest
 from turnlake.verify import oracle as o
 
@@ -1287,6 +1288,121 @@ def embed_missing(spark, sf):
     )
 
 
+PASSAGES = {
+    "passages": f"""SELECT doc_id, passage, passage * {passages.SIZE - passages.OVERLAP} AS start,
+                           substr(text, passage * {passages.SIZE - passages.OVERLAP} + 1, {passages.SIZE}) AS body
+                    FROM (SELECT doc_id, text, unnest(range(0, 1 + greatest(0, ceil((length(text) - {passages.SIZE})
+                                 / {passages.SIZE - passages.OVERLAP}.0)::BIGINT))) AS passage
+                          FROM documents WHERE length(text) > 0)""",
+}
+PASSAGE_SEARCH = {
+    **o.bm25_ctes("documents", "doc_id", "text", "d"),
+    **PASSAGES,
+    "wanted_terms": HYBRID["wanted_terms"],
+    "asked_weights": HYBRID["asked_weights"],
+    "asked": HYBRID["asked"],
+    "p_weights": f"""SELECT doc_id, passage, start, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS bucket,
+                            ln(1 + count(*)::DOUBLE) AS weight
+                     FROM (SELECT doc_id, passage, start, unnest({o.words("body")}) AS term FROM passages) GROUP BY ALL""",
+    "p_values": """SELECT doc_id, passage, start, bucket,
+                          (weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id, passage)))::FLOAT::DOUBLE AS v FROM p_weights""",
+    "p_scores": """SELECT doc_id, passage, start, round(coalesce(dot, 0) / (norm * (SELECT sqrt(sum(v * v)) FROM asked)), 6) AS score
+                   FROM (SELECT doc_id, passage, start, sqrt(sum(t.v * t.v)) AS norm, sum(t.v * a.v) AS dot
+                         FROM p_values t LEFT JOIN asked a USING (bucket) GROUP BY ALL)""",
+    "best": """SELECT * FROM p_scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, passage) = 1""",
+    "fused": """SELECT doc_id, round(sum(1.0::DOUBLE / (60 + r)) * 30.5, 9) AS score FROM (
+                  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r
+                  FROM (SELECT * FROM d_score ORDER BY score DESC, doc_id LIMIT 20)
+                  UNION ALL
+                  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)
+                  FROM (SELECT * FROM best ORDER BY score DESC, doc_id LIMIT 20))
+                GROUP BY doc_id ORDER BY score DESC, doc_id""",
+}
+
+
+def _passage_hits(spark, sf, scorer=None):
+    docs = fx.documents(spark, sf).select("doc_id", "text")
+    embedded = written(passages.embed(passages.cut(docs, "doc_id", F.col("text")), "doc_id", size=DIMENSIONS), "passages")
+    asked = vectors.embed_query(spark, fx.QUERY, DIMENSIONS)
+    found = search.search_passages(docs, "doc_id", F.col("text"), embedded, fx.QUERY, asked, scorer=scorer)
+    return found.select("doc_id", "score", "best_chunk_pos", F.sha2("best_chunk", 256).alias("best_chunk_sha"))
+
+
+@register(
+    "passage_search",
+    o.statement(
+        f"""SELECT f.doc_id, f.score, coalesce(b.start, 0) AS best_chunk_pos,
+                   sha256(substr(text, coalesce(b.start, 0) + 1, {passages.SIZE})) AS best_chunk_sha
+            FROM (SELECT * FROM fused ORDER BY score DESC, doc_id LIMIT 10) f
+            JOIN documents USING (doc_id) LEFT JOIN best b USING (doc_id)""",
+        extra=PASSAGE_SEARCH,
+    ),
+)
+def passage_search(spark, sf):
+    """Hybrid search over passages of all documents."""
+    return _passage_hits(spark, sf)
+
+
+@register(
+    "passage_search_reranked",
+    o.statement(
+        f"""SELECT doc_id, round(100.0::DOUBLE * (length(chunk) - length(replace(chunk, 'th', ''))) / (2 * length(chunk)), 6) AS score,
+                   best_chunk_pos, sha256(chunk) AS best_chunk_sha
+            FROM (SELECT f.doc_id, coalesce(b.start, 0) AS best_chunk_pos,
+                         substr(text, coalesce(b.start, 0) + 1, {passages.SIZE}) AS chunk
+                  FROM (SELECT * FROM fused LIMIT 20) f JOIN documents USING (doc_id) LEFT JOIN best b USING (doc_id))
+            ORDER BY score DESC, doc_id LIMIT 10""",
+        extra=PASSAGE_SEARCH,
+    ),
+)
+def passage_search_reranked(spark, sf):
+    """The same, twice the hits ordered anew by a scorer: here the share of a letter pair in the best passage."""
+    return _passage_hits(spark, sf, lambda question, texts: [100.0 * t.count("th") / len(t) for t in texts])
+
+
+def _failing_model(texts):
+    """Lengths as vectors; a batch with the word "password" fails as a whole."""
+    if any("password" in text for text in texts):
+        raise ValueError("refused")
+    return [[float(len(text)), 1.0] for text in texts]
+
+
+@register(
+    "embed_passages",
+    o.statement(
+        """SELECT count(DISTINCT doc_id) AS docs_processed, count(*) FILTER (NOT contains(body, 'password')) AS chunks_embedded,
+                  count(*) FILTER (contains(body, 'password')) AS errors FROM passages""",
+        extra=PASSAGES,
+    ),
+)
+def embed_passages(spark, sf):
+    """Counters of an embedding run with a model that refuses some passages."""
+    docs = fx.documents(spark, sf).select("doc_id", "text")
+    embedded = passages.embed(passages.cut(docs, "doc_id", F.col("text")), "doc_id", _failing_model)
+    return passages.counters(embedded, "doc_id")
+
+
+@register(
+    "search_results",
+    o.statement(
+        """SELECT 'documents/doc-' || doc_id || '.md' AS file, score, substr(sha256(text), 1, 6) AS docid,
+                  length(text) AS body_length, sha256(text) AS body_sha
+           FROM d_score JOIN documents USING (doc_id) ORDER BY score DESC, doc_id LIMIT 10""",
+        extra=o.bm25_ctes("documents", "doc_id", "text", "d"),
+    ),
+)
+def search_results(spark, sf):
+    """Hits of a lexical search with the bodies fetched from a content-addressed table."""
+    docs = fx.documents(spark, sf).withColumn("path", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".md")))
+    rows = written(reconcile.described(docs, "documents", F.col("path"), F.col("text")), "rows")
+    store = fresh_dir(spark, "bodies")
+    bodies.add(rows.select("hash", F.col("content").alias("body")), store)
+    hits = bm25.search(docs.select("doc_id", "text", F.replace("path", F.lit("_"), F.lit("-")).alias("path")), F.col("text"), fx.QUERY, "doc_id", 10)
+    named = cut_lineage(hits.select(F.lit("documents").alias("collection"), "path", "score"))
+    found = search.results(named, rows.drop("content").withColumn("modified_at", fx.now()), store)
+    return found.select("file", "score", "docid", "body_length", F.sha2("body", 256).alias("body_sha"))
+
+
 # --- files and streams ------------------------------------------------------
 
 
