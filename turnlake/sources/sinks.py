@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-from collections.abc import Iterator
-from pathlib import Path
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WRITE_RESULT = "path string, ok boolean, error string"
+from turnlake.sources import walletsource
 
 
 def append_by_day(rows: DataFrame, path: str, ts: str = "ts", day: str = "turn_date") -> None:
@@ -60,36 +56,21 @@ def write_snapshot(rows: DataFrame, base: str) -> int:
     return version
 
 
-def _local(root: str) -> str:
-    return root.removeprefix("file://").removeprefix("file:")
-
-
 def export_markdown(rows: DataFrame, root: str) -> DataFrame:
-    """Write each (path, content) row as a file below a mounted folder.
+    """Write each (path, content) row as a file below a mounted folder: all of them, or none if the job fails.
 
-    Returns one (path, ok, error) row per file; a failed file stops nothing.
-    For interchange with file-based wallets; bulk storage is the day table.
+    Returns one (path, ok, error) row per file; a path that leaves the folder is
+    refused and stops nothing. For interchange with file-based wallets; bulk
+    storage is the day table.
     """
-    folder = _local(root)
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            outcome = []
-            for path, content in zip(batch["path"], batch["content"]):
-                target = Path(folder, path)
-                try:
-                    if not target.resolve().is_relative_to(Path(folder).resolve()):
-                        raise OSError("path leaves the folder")
-                    target.parent.mkdir(parents=True, exist_ok=True)
-                    partial = target.with_name(f".{target.name}.{os.getpid()}")
-                    partial.write_text(content, "utf-8", newline="")
-                    partial.replace(target)
-                    outcome.append((path, True, None))
-                except OSError as error:
-                    outcome.append((path, False, str(error)))
-            yield pd.DataFrame(outcome, columns=["path", "ok", "error"])
-
-    return rows.select("path", "content").mapInPandas(write, WRITE_RESULT)
+    walletsource.register(rows.sparkSession)
+    parts = F.split("path", "/")
+    refused = F.col("path").isNull() | (F.col("path") == "") | F.startswith("path", F.lit("/"))
+    refused = refused | F.array_contains(parts, "..") | (F.get(parts, F.lit(0)) == walletsource.STAGING)
+    rows = rows.select("path", "content", F.coalesce(refused, F.lit(True)).alias("_refused"))
+    rows.filter("NOT _refused").select("path", "content").write.format("wallet").mode("append").save(root)
+    error = F.when(F.col("_refused"), "path leaves the folder")
+    return rows.select("path", (~F.col("_refused")).alias("ok"), error.alias("error"))
 
 
 def read_text(spark: SparkSession, base: str) -> str:

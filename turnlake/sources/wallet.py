@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.operators import documents
+from turnlake.sources import walletsource
 
 FILE_COLUMNS = "collection string, path string, file_name string, bytes bigint, modified_at timestamp"
 
@@ -96,6 +97,26 @@ def day_of_path(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, r"\A(\d{4}-\d{2}-\d{2})/", 1), F.lit(""))
 
 
+def folders(spark: SparkSession, root: str, collection: str) -> DataFrame:
+    """(folder, files, bytes, newest) of a collection, each folder listed in its own task, no file opened."""
+    return listed(spark, root, [collection]).groupBy("folder").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.max("modified_at").alias("newest")
+    )
+
+
+def listed(spark: SparkSession, root: str, collections: list[str], suffix: str = ".md") -> DataFrame:
+    """Files of several collections without their contents."""
+    walletsource.register(spark)
+    reader = spark.read.format("wallet").option("collections", ",".join(collections)).option("content", "false")
+    return reader.option("suffix", suffix).load(root)
+
+
+def read_day(spark: SparkSession, root: str, collection: str, day: str) -> DataFrame:
+    """Documents of one day; other folders are not listed."""
+    walletsource.register(spark)
+    return spark.read.format("wallet").option("collections", collection).load(root).filter(F.col("folder") == day)
+
+
 def last_capture(spark: SparkSession, root: str) -> DataFrame:
     """One row (last_capture_at): newest file of the newest day folder."""
     files = list_files(spark, root, "turns").withColumn("day", day_of_path(F.col("path")))

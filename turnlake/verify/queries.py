@@ -28,7 +28,7 @@ from turnlake.operators import (
 )
 from turnlake.plans import extraction, search, status
 from turnlake.session import cut_lineage, fresh_dir, written
-from turnlake.sources import bodies, sinks, wallet
+from turnlake.sources import bodies, sinks, wallet, walletsource
 from turnlake.streaming import ingest
 from turnlake.verify import oracle as o
 
@@ -1423,6 +1423,46 @@ def wallet_roundtrip(spark, sf):
     return parsed.drop("content")
 
 
+WALLET = {
+    "files": f"""SELECT strftime(ts, '%Y-%m-%d') AS folder, strlen({o.TURN_DOC}) AS bytes FROM fx_turns""",
+}
+
+
+def _exported(spark, sf):
+    root = fresh_dir(spark, "wallet")
+    docs = _turn_documents(spark, sf).select(F.concat(F.lit("turns/"), F.col("path")).alias("path"), "content")
+    docs.write.format("wallet").mode("append").save(root)
+    return root
+
+
+@register(
+    "wallet_folders",
+    o.statement("SELECT folder, count(*) AS files, sum(bytes)::BIGINT AS bytes FROM files GROUP BY folder", *o.TURNS, extra=WALLET),
+)
+def wallet_folders(spark, sf):
+    """Files and bytes of every day folder, from metadata alone."""
+    walletsource.register(spark)
+    return wallet.folders(spark, _exported(spark, sf), "turns").drop("newest")
+
+
+@register(
+    "wallet_newest_day",
+    o.statement(
+        f"""SELECT turn_id, sha256({o.TURN_DOC}) AS content_sha FROM fx_turns
+            WHERE strftime(ts, '%Y-%m-%d') = (SELECT max(folder) FROM files)""",
+        *o.TURNS,
+        extra=WALLET,
+    ),
+)
+def wallet_newest_day(spark, sf):
+    """Documents of the newest day, found by its folder's name and read alone."""
+    walletsource.register(spark)
+    root = _exported(spark, sf)
+    newest = wallet.folders(spark, root, "turns").agg(F.max("folder")).first()[0]
+    found = documents.parse_turns_lenient(wallet.read_day(spark, root, "turns", newest).select("content"))
+    return found.select("turn_id", F.sha2("content", 256).alias("content_sha"))
+
+
 @register("stream_ingest_turns", o.statement("SELECT * FROM pairs", "spoken", "pairs"))
 def stream_ingest_turns(spark, sf):
     """Captures written as files, ingested by a stream in micro-batches."""
