@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import bounded_batches, with_arrow_columns
+from turnlake.llm.common import appended, bounded_batches, extended, stored, with_arrow_columns
 
 ORDERS = (1, 2, 3)
 BITS = 16
 ALPHA = 0.5
-MAX_LANGUAGES = 1000  # bound of the broadcast matrix: 2**BITS x languages floats
+BLOCK_LANGUAGES = 64  # about so many labels are scored at once; bounds the matrix, 2**BITS x labels floats
 BLOCK = 1 << 20  # characters hashed at a time
 UNKNOWN = "und"
 
@@ -32,6 +32,18 @@ class Model:
     priors: np.ndarray
 
 
+@dataclass(frozen=True)
+class Blocks:
+    """Counts of more labels than one matrix holds, dealt into blocks by a hash of the label."""
+
+    counts: DataFrame
+    number: int
+    n_docs: int
+
+    def model(self, block: int) -> Model:
+        return _block_model(self.counts.filter(F.col("block") == block), self.n_docs)
+
+
 def _code_points(text: str) -> np.ndarray:
     """Lower-cased code points between two blanks; lone surrogates pass as they are."""
     return np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
@@ -53,8 +65,8 @@ def buckets(text: str):
                 yield (own >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def train(labelled: DataFrame) -> Model:
-    """Model of rows (text, lang); rows without text or label are passed over."""
+def train(labelled: DataFrame) -> Model | Blocks:
+    """Model of rows (text, lang), in blocks where labels are many; rows without text or label are passed over."""
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}
@@ -78,23 +90,29 @@ def train(labelled: DataFrame) -> Model:
     bounded_batches(labelled.sparkSession)
     rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     counted = rows.mapInArrow(count, "lang string, bucket int, n bigint")
-    summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    limit = MAX_LANGUAGES * ((1 << BITS) + 1)
-    found = summed.limit(limit + 1).toArrow()
+    summed = stored(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "counts")
+    n_labels, n_docs = summed.filter("bucket < 0").agg(F.count(F.lit(1)), F.sum("n")).first()
+    blocks = -(-n_labels // BLOCK_LANGUAGES)
+    if blocks <= 1:
+        return _block_model(summed, n_docs or 0)
+    return Blocks(summed.withColumn("block", F.pmod(F.xxhash64("lang"), F.lit(blocks))), blocks, n_docs)
+
+
+def _block_model(summed: DataFrame, n_docs: int) -> Model:
+    found = summed.select("lang", "bucket", "n").toArrow()  # about BLOCK_LANGUAGES labels
     names = found.column("lang").combine_chunks().dictionary_encode()
     languages = tuple(sorted(names.dictionary.to_pylist()))
-    if len(languages) > MAX_LANGUAGES or found.num_rows > limit:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     matrix = np.zeros(((1 << BITS), len(languages)), dtype=np.float64)
     docs = np.zeros(len(languages), dtype=np.float64)
     if languages:
-        where = np.array([languages.index(n) for n in names.dictionary.to_pylist()])[names.indices.to_numpy()]
+        place = {language: i for i, language in enumerate(languages)}
+        where = np.array([place[n] for n in names.dictionary.to_pylist()])[names.indices.to_numpy()]
         bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
         is_doc = bucket < 0
         docs[where[is_doc]] = n[is_doc]
         matrix[bucket[~is_doc], where[~is_doc]] = n[~is_doc]
     weights = np.log(matrix + ALPHA) - np.log(matrix.sum(axis=0) + ALPHA * (1 << BITS))
-    priors = np.log(docs / docs.sum()) if languages else docs
+    priors = np.log(docs / n_docs) if languages else docs
     return Model(languages, weights.astype(np.float32), priors)
 
 
@@ -102,25 +120,34 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def totals(text: str, model: Model) -> np.ndarray:
+    """Log-probability of a text with each language."""
+    total = model.priors.copy()
+    for found in buckets(text):
+        total += model.weights[found].sum(axis=0, dtype=np.float64)
+    return total
+
+
 def score(text: str | None, model: Model) -> tuple[str, float]:
     """Most likely language and its posterior probability; ties go to the first in order."""
     if text is None or not model.languages or not has_letter(text):
         return UNKNOWN, 0.0
-    total = model.priors.copy()
-    for found in buckets(text):
-        total += model.weights[found].sum(axis=0, dtype=np.float64)
+    total = totals(text, model)
     best = int(np.argmax(total))
     return model.languages[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
-def detect(docs: DataFrame, model: Model) -> DataFrame:
+def detect(docs: DataFrame, model: Model | Blocks) -> DataFrame:
     """Documents with lang_pred and score (0 to 1).
 
     Only ``text`` is read. Null text, text without a letter (so also empty
     text), or a model without any language gives ``und`` and score 0. Texts of
     any length are scored whole, a block at a time. Equal texts score alike.
-    Existing columns named lang_pred and score are replaced, others kept.
+    Existing columns named lang_pred and score are replaced, others kept. Any
+    number of labels is scored, a block of them in each pass over the texts.
     """
+    if isinstance(model, Blocks):
+        return _detect_in_blocks(docs, model)
     shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.priors))
 
     def compute(batch):
@@ -134,6 +161,53 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
     return with_arrow_columns(docs, compute, pa.schema([("lang_pred", pa.string()), ("score", pa.float64())]))
 
 
+def _detect_in_blocks(docs: DataFrame, blocks: Blocks) -> DataFrame:
+    """One pass for each block: the best label so far, its total, and all probability relative to it."""
+    bounded_batches(docs.sparkSession)
+    context, names = docs.sparkSession.sparkContext, [n for n in docs.columns if n not in ("lang_pred", "score")]
+    fields = pa.schema([("_lang", pa.string()), ("_total", pa.float64()), ("_mass", pa.float64())])
+    rows = docs.select(*names).withColumns(
+        {"_lang": F.lit(None).cast("string"), "_total": F.lit(None).cast("double"), "_mass": F.lit(None).cast("double")}
+    )
+    for block in range(blocks.number):
+        model = blocks.model(block)
+        if not model.languages:
+            continue
+        shipped = context.broadcast((model.languages, model.weights, model.priors))
+
+        def compute(batch, shipped=shipped):
+            own, made = Model(*shipped.value), []
+            before = zip(*[batch.column(c).to_pylist() for c in ("text", "_lang", "_total", "_mass")], strict=True)
+            for text, lang, most, mass in before:
+                if text is not None and has_letter(text):
+                    total = totals(text, own)
+                    best = int(np.argmax(total))
+                    here, name = float(total[best]), own.languages[best]
+                    own_mass = float(np.exp(total - here).sum())
+                    if lang is None:
+                        lang, most, mass = name, here, own_mass
+                    else:
+                        top = max(here, most)
+                        mass = mass * float(np.exp(most - top)) + own_mass * float(np.exp(here - top))
+                        if here > most or (here == most and name < lang):
+                            lang = name
+                        most = top
+                made.append((lang, most, mass))
+            return [pa.array([m[i] for m in made], fields.field(i).type) for i in range(3)]
+
+        def run(batches, compute=compute):
+            for batch in batches:
+                yield appended([batch.column(n) for n in names], names, compute(batch), fields)
+
+        rows = stored(rows.mapInArrow(run, extended(docs.select(*names).schema, fields)), "scored")
+        shipped.unpersist()
+    return (
+        rows.withColumn("lang_pred", F.coalesce("_lang", F.lit(UNKNOWN)))
+        .withColumn("score", F.coalesce(1.0 / F.col("_mass"), F.lit(0.0)))
+        .drop("_lang", "_total", "_mass")
+    )
+
+
 def fold_of(doc_id: str) -> Column:
     """Fold 0 to 4 of a document; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(5)).cast("int")

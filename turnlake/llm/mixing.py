@@ -10,7 +10,6 @@ over all of them, and for the rest the documents first in a seeded order.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,65 +52,87 @@ def targets(sizes: dict[str | None, int], total: int, weights: Sequence[int] = W
 def route(patterns: Sequence[tuple], sizes: Sequence[int], wanted: dict[str | None, float]) -> list[int]:
     """Tokens each pattern gives in a cheapest flow that fills the sources as far as possible.
 
-    Successive shortest paths with potentials. Costs of a pattern's edges are
-    1, 2, 3, ... for its repetitions, so the cost is convex in what it gives.
+    Only the edges into patterns cost something, 1, 2, 3, ... for a pattern's
+    first, second, third repetition, and no path to the sink leaves a pattern
+    backward through them. So shortest paths come in the order of repetitions:
+    all that first repetitions can fill, then the second, then the third, each a
+    maximum flow on top of the last. Each is found by blocking flows, which push
+    along all shortest paths at once.
     """
-    sources = list(wanted)
-    place = {s: 1 + len(patterns) + i for i, s in enumerate(sources)}
-    sink = 1 + len(patterns) + len(sources)
+    place = {s: 1 + len(patterns) + i for i, s in enumerate(wanted)}
+    sink = 1 + len(patterns) + len(place)
     graph: list[list[int]] = [[] for _ in range(sink + 1)]
     ends: list[int] = []
     room: list[int] = []
-    cost: list[int] = []
 
-    def edge(a: int, b: int, capacity: int, price: int) -> None:
-        for start, end, c, p in ((a, b, capacity, price), (b, a, 0, -price)):
+    def edge(a: int, b: int, capacity: int) -> None:
+        for start, end, own in ((a, b, capacity), (b, a, 0)):
             graph[start].append(len(ends))
             ends.append(end)
-            room.append(c)
-            cost.append(p)
+            room.append(own)
 
-    unlimited = MAX_REPEATS * sum(sizes)
+    for i in range(len(patterns)):  # edge 2 * i leads into pattern i
+        edge(0, 1 + i, 0)
     for i, (members, size) in enumerate(zip(patterns, sizes, strict=True)):
-        for repeat in range(1, MAX_REPEATS + 1):
-            edge(0, 1 + i, size, repeat)
         for member in members:
-            edge(1 + i, place[member], unlimited, 0)
-    for s in sources:
-        edge(place[s], sink, round(wanted[s]), 0)
-
-    potential = [0] * (sink + 1)
-    while True:
-        distance = [None] * (sink + 1)
-        came: list[int] = [-1] * (sink + 1)
-        distance[0] = 0
-        queue = [(0, 0)]
-        while queue:
-            d, node = heapq.heappop(queue)
-            if d > distance[node]:
-                continue
+            edge(1 + i, place[member], MAX_REPEATS * size)
+    for s, node in place.items():
+        edge(node, sink, round(wanted[s]))
+
+    for _ in range(MAX_REPEATS):
+        for i, size in enumerate(sizes):
+            room[2 * i] += size
+        while (depth := _depths(graph, ends, room, sink)) is not None:
+            _block(graph, ends, room, sink, depth)
+    return [room[2 * i + 1] for i in range(len(patterns))]
+
+
+def _depths(graph: list[list[int]], ends: list[int], room: list[int], sink: int) -> list[int] | None:
+    """Edges from the source to each node over open edges, -1 for none; None where the sink is out of reach."""
+    depth = [-1] * len(graph)
+    depth[0] = 0
+    front = [0]
+    while front and depth[sink] < 0:
+        following = []
+        for node in front:
             for e in graph[node]:
-                if room[e]:
-                    far = d + cost[e] + potential[node] - potential[ends[e]]
-                    if distance[ends[e]] is None or far < distance[ends[e]]:
-                        distance[ends[e]], came[ends[e]] = far, e
-                        heapq.heappush(queue, (far, ends[e]))
-        if distance[sink] is None:
-            break
-        far = max(d for d in distance if d is not None)
-        potential = [p + (far if d is None else d) for p, d in zip(potential, distance, strict=True)]
-        path, node = [], sink
-        while node:
-            path.append(came[node])
-            node = ends[came[node] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
-    given = [0] * len(patterns)
-    for node in range(1, 1 + len(patterns)):
-        given[node - 1] = sum(room[e ^ 1] for e in graph[0] if ends[e] == node)
-    return given
+                if room[e] and depth[ends[e]] < 0:
+                    depth[ends[e]] = depth[node] + 1
+                    following.append(ends[e])
+        front = following
+    return depth if depth[sink] >= 0 else None
+
+
+def _block(graph: list[list[int]], ends: list[int], room: list[int], sink: int, depth: list[int]) -> None:
+    """Push along shortest paths until every one of them holds a full edge."""
+    tried = [0] * len(graph)
+    path: list[int] = []
+    node = 0
+    while True:
+        if node == sink:
+            push = min(room[e] for e in path)
+            full = 0
+            for k, e in enumerate(path):
+                room[e] -= push
+                room[e ^ 1] += push
+                if not room[e] and not full:
+                    full = k + 1
+            node = ends[path[full - 1] ^ 1]  # go on from where the first full edge starts
+            del path[full - 1 :]
+            continue
+        open_ = graph[node]
+        while tried[node] < len(open_):
+            e = open_[tried[node]]
+            if room[e] and depth[ends[e]] == depth[node] + 1:
+                path.append(e)
+                node = ends[e]
+                break
+            tried[node] += 1
+        else:
+            if not path:
+                return
+            node = ends[path.pop() ^ 1]
+            tried[node] += 1
 
 
 def mix(docs: DataFrame, members: Column, seed: int = 17, weights: Sequence[int] = WEIGHTS) -> DataFrame:
