@@ -16,7 +16,7 @@ from turnlake.operators import index, turns
 from turnlake.plans import search
 from turnlake.session import fresh_dir
 from turnlake.sources import inline, sinks, wallet
-from turnlake.streaming import ingest
+from turnlake.streaming import ingest, late
 from turnlake.streaming.sessions import number_sessions
 from turnlake.verify import oracle as o
 from turnlake.verify import queries as q
@@ -184,6 +184,23 @@ def streaming_sessions(spark, sf):
     return spark.read.parquet(f"{root}/out").select("wallet_id", "capture_id", "session_no")
 
 
+@register("streaming_sessions_late", ORACLES["capture_sessions"])
+def streaming_sessions_late(spark, sf):
+    """The same from captures in any order: they wait in the state store until nothing older can come."""
+    root = fresh_dir(spark, "late")
+    rows = fx.captures(spark, sf)
+    rows.repartition(4, F.xxhash64("capture_id")).write.parquet(f"{root}/in")
+    beat = {f.name: F.lit(None).cast(f.dataType) for f in rows.schema.fields} | {"ts": F.to_timestamp(F.lit("2030-01-01 00:00:00"))}
+    spark.range(1).select(*[value.alias(name) for name, value in beat.items()]).write.mode("append").parquet(f"{root}/in")
+    source = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+    query = (
+        late.number_sessions(source, fx.INTERNAL_MODEL_MARKER, "365 days").writeStream.format("parquet")
+        .option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("wallet_id", "capture_id", "session_no")
+
+
 BLOCK = "Known: \"likes\" short answers."
 
 
