@@ -33,7 +33,7 @@ TURN_SCHEMA = (
     "tool string, model string, ts timestamp, fingerprint string, turn_date date"
 )
 INDEX_CARRY = "ts timestamp"  # stored with postings: limits searches by time and names the days to read
-VECTOR_SCHEMA = "turn_id string, embedding array<float>, batch bigint"
+VECTOR_SCHEMA = "turn_id string, hash string, embedding array<float>"
 PASSAGE_SCHEMA = "turn_id string, hash string, passage bigint, start bigint, embedding array<float>, error string"
 
 
@@ -151,17 +151,11 @@ class MemoryEngine:
         # Captures are written last: a run that failed before this point is repeated in full.
         sinks.append_by_day(fresh, f"{self.root}/captures")
 
-    def _index(self, rows: DataFrame, removed: DataFrame | None = None) -> int:
-        return index.add(
+    def _index(self, rows: DataFrame, removed: DataFrame | None = None) -> None:
+        index.add(
             rows, "turn_id", search.turn_text(), f"{self.root}/index", removed, self.config.index_buckets, carry=["ts"]
         )
 
-    def compact(self) -> int:
-        """Rewrite the index as one run, with the bucket number of the configuration."""
-        return index.compact(
-            self.spark, f"{self.root}/index", "turn_id", carry=INDEX_CARRY, buckets=self.config.index_buckets
-        )
-
     @staticmethod
     def _capture_schema() -> str:
         return (
@@ -279,17 +273,15 @@ class MemoryEngine:
 
     def stored_vectors(self) -> DataFrame:
         """(turn_id, embedding) of turns as they are; those of removed or edited texts are left out."""
+        now = self.turns().select("turn_id", index.body_hash(search.turn_text()).alias("hash"))
         stored = self._table("vectors", VECTOR_SCHEMA)
-        dropped = self._table("vectors_dropped", "turn_id string, batch bigint")
-        gone = dropped.groupBy("turn_id").agg(F.max("batch").alias("_gone"))
-        kept = stored.join(gone, "turn_id", "left").filter(F.col("_gone").isNull() | (F.col("batch") >= F.col("_gone")))
-        return kept.select("turn_id", "embedding")
+        return stored.join(now, ["turn_id", "hash"], "left_semi").select("turn_id", "embedding")
 
     def reconcile(self, embed: bool = True, embedder=vectors.embed) -> dict[str, int]:
         """Bring index and vectors in line with the stored turns, by key and hash of the text.
 
-        New turns are indexed, edited ones indexed anew, vanished ones dropped;
-        vectors of the latter two are dropped, and turns without a vector get
+        New turns are indexed, edited ones indexed anew, vanished ones dropped.
+        A vector counts for the text it was made of, and turns without one get
         one. ``embedder(docs, key, text)`` returns (key, embedding); a model
         goes here.
         """
@@ -310,18 +302,15 @@ class MemoryEngine:
         if counts["indexed"] or counts["updated"] or counts["removed"]:
             fresh = compared.filter(F.col("status").isin("indexed", "updated")).select("turn_id")
             rows = self.turns().join(fresh, "turn_id", "left_semi")
-            batch = self._index(rows, superseded if counts["updated"] or counts["removed"] else None)
-            if counts["updated"] or counts["removed"]:
-                superseded.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("append").parquet(
-                    f"{self.root}/vectors_dropped"
-                )
+            self._index(rows, superseded if counts["updated"] or counts["removed"] else None)
         if embed:
-            batch = index.layout(self.spark, base).generation
             lacking = vectors.lacking(self.turns(), self.stored_vectors(), "turn_id")
             new = cut_lineage(embedder(lacking, "turn_id", search.turn_text()))
             counts["embedded"] = new.count()
             if counts["embedded"]:
-                new.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("append").parquet(f"{self.root}/vectors")
+                hashes = lacking.select("turn_id", index.body_hash(search.turn_text()).alias("hash"))
+                named = new.select("turn_id", "embedding").join(hashes, "turn_id").select("turn_id", "hash", "embedding")
+                named.write.mode("append").parquet(f"{self.root}/vectors")
         return counts
 
     def passages(self) -> DataFrame:

@@ -1,43 +1,34 @@
-"""Persisted inverted index.
-
-Layout below one folder. Every call of ``add`` or ``compact`` writes a folder
-``g=n/run=<id>`` below each of
-
-* ``postings``: term, key, tf, dl and carried columns; partitioned by a hash
-  bucket of the term and range-sorted by (bucket, term, key), so that a
-  frequent term spreads over several files while a query term is found by
-  partition and row-group pruning;
-* ``terms``: term, bucket, df;
-* ``docs``: key, dl, hash of the text;
-* ``removed``: keys superseded by this run;
-* ``corpus``: one row with the number of documents, their total length, the
-  number of buckets and the runs it replaces.
-
-``corpus`` is written last, and a run counts only once it is listed there: what
-an interrupted run left behind is never read, and two writers cannot overwrite
-each other, as run ids are unique. Document frequencies are sums over runs;
-removed keys are taken out by negative counts, so statistics stay exact without
-rewriting older runs. ``compact`` rewrites the live rows as one run.
+"""Persisted inverted index: plain Parquet snapshots.
+
+A snapshot holds ``postings`` (term, key, tf, dl and carried columns, in
+partitions by a hash of the term and sorted by (term, key) inside, so that a
+query term is found by partition and row-group pruning while a frequent one
+spreads over several files), ``docs`` (key, dl, hash of the text) and
+``figures`` (number of documents, their length, number of buckets).
+
+An update is a Spark job from one snapshot to the next: postings of removed and
+re-indexed documents drop out by an anti-join, new ones are added. A snapshot
+counts once it is listed (``sources.sinks``), so what an interrupted update left
+is never read, and readers keep the snapshot they began with. Document
+frequencies are counted from the postings a query reads, so nothing has to be
+kept in step.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.functions import text as tx
 from turnlake.operators import bm25
+from turnlake.sources import sinks
 
 BUCKETS = 16  # for a small store; thousands suit a large one
-
-CORPUS = "n bigint, dl bigint, buckets int, replaces array<string>, g int, run string"
-TERMS = "term string, df bigint, g int, run string, bucket int"
+FIGURES = "n bigint, dl bigint, buckets int"
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -48,73 +39,46 @@ def body_hash(body: Column) -> Column:
     return F.sha2(body, 256)
 
 
-def _postings_schema(key: str, key_type: str, carry: str = "") -> str:
-    carried = f"{carry}, " if carry else ""
-    return f"{key} {key_type}, {carried}dl bigint, term string, tf bigint, g int, run string, bucket int"
-
-
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    """A table of the index, NULL before it is first written; no file is opened for its schema."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
 @dataclass(frozen=True)
-class Layout:
-    """What ``corpus`` says about the index: its live runs and figures."""
+class Snapshot:
+    """The newest complete snapshot and its figures; no folder before the first update."""
 
-    generation: int = 0
-    runs: tuple[str, ...] = ()
-    buckets: tuple[int, ...] = ()  # of the live runs, newest last
+    folder: str | None = None
     documents: int = 0
-    average_length: float = 0.0
-
-
-def layout(spark: SparkSession, base: str) -> Layout:
-    """One row per run comes to the driver; compaction keeps them few."""
-    corpus = _read(spark, f"{base}/corpus", CORPUS)
-    rows = corpus.collect() if corpus is not None else []
-    replaced = {run for row in rows for run in row.replaces}
-    live = [row for row in rows if row.run not in replaced]
-    if not live:
-        return Layout()
-    n, dl = sum(row.n for row in live), sum(row.dl for row in live)
-    buckets = tuple(dict.fromkeys(row.buckets for row in sorted(live, key=lambda row: row.g)))
-    return Layout(
-        max(row.g for row in rows), tuple(sorted(row.run for row in live)), buckets, n, dl / n if n else 0.0
-    )
-
+    length: int = 0
+    buckets: int = 0
 
-def _runs(spark: SparkSession, path: str, schema: str, current: Layout) -> DataFrame:
-    """Rows of the live runs; the others are pruned as partitions."""
-    found = _read(spark, path, schema) if current.runs else None
-    if found is None:
-        return spark.createDataFrame([], schema)
-    return found.filter(F.col("run").isin(*current.runs))
 
+def current(spark: SparkSession, base: str) -> Snapshot:
+    folder = sinks.current_folder(spark, base)
+    if folder is None:
+        return Snapshot()
+    row = spark.read.schema(FIGURES).parquet(f"{folder}/figures").first()
+    return Snapshot(folder, row.n, row.dl, row.buckets)
 
-def _live(rows: DataFrame, removed: DataFrame, key: str) -> DataFrame:
-    """Rows not superseded by a later run."""
-    gone = removed.groupBy(key).agg(F.max("g").alias("_gone"))
-    joined = rows.join(gone, key, "left")
-    return joined.filter(F.col("_gone").isNull() | (F.col("g") >= F.col("_gone"))).drop("_gone")
 
-
-def _target(base: str, table: str, g: int, run: str) -> str:
-    return f"{base}/{table}/g={g}/run={run}"
+def _postings(spark: SparkSession, snapshot: Snapshot, key: str, key_type: str, carry: str = "") -> DataFrame:
+    carried = f"{carry}, " if carry else ""
+    schema = f"{key} {key_type}, {carried}dl bigint, term string, tf bigint, bucket int"
+    return spark.read.schema(schema).parquet(f"{snapshot.folder}/postings")
 
 
-def _write_postings(counted: DataFrame, key: str, path: str) -> None:
-    ordered = counted.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key)
-    ordered.write.partitionBy("bucket").parquet(path)
+def _docs(spark: SparkSession, snapshot: Snapshot, key: str, key_type: str) -> DataFrame:
+    return spark.read.schema(f"{key} {key_type}, hash string, dl bigint").parquet(f"{snapshot.folder}/docs")
 
 
-def _write_terms(terms: DataFrame, path: str) -> None:
-    terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+def _write(postings: DataFrame, docs: DataFrame, key: str, base: str, buckets: int) -> None:
+    """The next snapshot; ``postings`` get their bucket here."""
+    spark = docs.sparkSession
+    folder = sinks.new_folder(base)
+    placed = postings.withColumn("bucket", bucket_of(F.col("term"), buckets))
+    ordered = placed.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key)
+    ordered.write.partitionBy("bucket").parquet(f"{folder}/postings")
+    docs.write.parquet(f"{folder}/docs")
+    held = spark.read.schema(docs.schema).parquet(f"{folder}/docs")
+    sums = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"), F.lit(buckets).alias("buckets")]
+    held.agg(*sums).write.parquet(f"{folder}/figures")
+    sinks.publish(spark, base, folder)
 
 
 def add(
@@ -125,95 +89,44 @@ def add(
     removed: DataFrame | None = None,
     buckets: int = BUCKETS,
     carry: Sequence[str] = (),
-) -> int:
-    """Index documents as the next generation; ``removed`` names keys to drop or replace.
+) -> None:
+    """Bring documents into the index; those it holds already are replaced, and ``removed`` names keys to drop.
 
     Columns named in ``carry`` are stored with every posting, to restrict a
-    search and to come back with its hits. ``buckets`` counts for the first run
-    and after ``compact``.
+    search and to come back with its hits; they stay the same from one update
+    to the next. The index comes out in ``buckets`` buckets. An update rewrites
+    the index, so documents should come in batches.
     """
     spark = docs.sparkSession
-    key_type = docs.schema[key].dataType.simpleString()
-    current = layout(spark, base)
-    buckets = current.buckets[-1] if current.buckets else buckets
-    if removed is None and docs.isEmpty():
-        return current.generation
-    g, run = current.generation + 1, uuid.uuid4().hex
-    counted = (
+    before = current(spark, base)
+    if before.folder is not None and removed is None and docs.isEmpty():
+        return
+    postings = (
         docs.select(key, *carry, body.alias("_body"))
         .repartition(key)
         .select(key, *carry, tx.word_tokens(F.col("_body")).alias("_words"))
-        .select(key, *carry, F.size("_words").cast("bigint").alias("dl"), F.explode_outer("_words").alias("term"))
+        .select(key, *carry, F.size("_words").cast("bigint").alias("dl"), F.explode("_words").alias("term"))
         .groupBy(key, *carry, "dl", "term")
-        .agg(F.count("term").alias("tf"))
-        .withColumn("bucket", bucket_of(F.coalesce("term", F.lit("")), buckets))
+        .agg(F.count(F.lit(1)).alias("tf"))
     )
-    postings = _target(base, "postings", g, run)
-    _write_postings(counted, key, postings)
-    hashes = docs.select(key, body_hash(body).alias("hash"), F.size(tx.word_tokens(body)).cast("bigint").alias("dl"))
-    hashes.write.parquet(_target(base, "docs", g, run))
-
-    # A row without a term stands for a document without words.
-    written = spark.read.schema(counted.schema).parquet(postings).filter(F.col("term").isNotNull())
-    terms = written.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
-    lengths = spark.read.schema(f"{key} {key_type}, dl bigint").parquet(_target(base, "docs", g, run))
-    sums = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")]
-    n_lost = spark.range(1).select(F.struct(F.lit(0).alias("n"), F.lit(0).alias("dl")).alias("l"))
-    if removed is not None and current.runs:
-        gone = removed.select(key).distinct()
-        earlier = _runs(spark, f"{base}/removed", f"{key} {key_type}, g int, run string", current)
-        old = _runs(spark, f"{base}/postings", _postings_schema(key, key_type), current).filter(F.col("term").isNotNull())
-        lost = _live(old.join(gone, key, "left_semi"), earlier, key)
-        lost_terms = lost.groupBy("bucket", "term").agg((-F.count(F.lit(1))).alias("df"))
-        terms = terms.unionByName(lost_terms).groupBy("bucket", "term").agg(F.sum("df").alias("df"))
-        held = _live(_runs(spark, f"{base}/docs", _docs_schema(key, key_type), current).join(gone, key, "left_semi"), earlier, key)
-        n_lost = held.agg(F.struct(*sums))
-        gone.write.parquet(_target(base, "removed", g, run))
-    _write_terms(terms, _target(base, "terms", g, run))
-    corpus = lengths.agg(*sums).withColumn("_lost", n_lost.scalar())
-    _publish(corpus.select((F.col("n") - F.col("_lost.n")).alias("n"), (F.col("dl") - F.col("_lost.dl")).alias("dl")), base, g, run, buckets)
-    return g
-
-
-def _publish(figures: DataFrame, base: str, g: int, run: str, buckets: int, replaces: Sequence[str] = ()) -> None:
-    listed = F.array(*[F.lit(r) for r in replaces]).cast("array<string>")
-    figures.withColumns({"buckets": F.lit(buckets), "replaces": listed}).write.parquet(_target(base, "corpus", g, run))
-
-
-def _docs_schema(key: str, key_type: str) -> str:
-    return f"{key} {key_type}, hash string, dl bigint, g int, run string"
+    described = docs.select(key, body_hash(body).alias("hash"), F.size(tx.word_tokens(body)).cast("bigint").alias("dl"))
+    if before.folder is not None:
+        key_type = docs.schema[key].dataType.simpleString()
+        carried = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+        stale = docs.select(key)
+        stale = (stale if removed is None else stale.unionByName(removed.select(key))).distinct()
+        kept = _postings(spark, before, key, key_type, carried).drop("bucket").join(stale, key, "left_anti")
+        postings = kept.unionByName(postings)
+        described = _docs(spark, before, key, key_type).join(stale, key, "left_anti").unionByName(described)
+    _write(postings, described, key, base, buckets)
 
 
 def keys(spark: SparkSession, base: str, key: str, key_type: str = "string") -> DataFrame:
     """(key, hash) of the documents the index holds; no posting is read."""
-    current = layout(spark, base)
-    docs = _runs(spark, f"{base}/docs", _docs_schema(key, key_type), current)
-    removed = _runs(spark, f"{base}/removed", f"{key} {key_type}, g int, run string", current)
-    return _live(docs, removed, key).select(key, "hash")
-
-
-def compact(spark: SparkSession, base: str, key: str, key_type: str = "string", carry: str = "", buckets: int | None = None) -> int:
-    """Write the live rows as one run, in ``buckets`` buckets; older runs are read no more.
-
-    ``carry`` gives names and types of the carried columns. Files of replaced
-    runs stay for readers that began before, and may be deleted later.
-    """
-    current = layout(spark, base)
-    if not current.runs:
-        return 0
-    buckets = buckets or current.buckets[-1]
-    g, run = current.generation + 1, uuid.uuid4().hex
-    removed = _runs(spark, f"{base}/removed", f"{key} {key_type}, g int, run string", current)
-    postings = _live(_runs(spark, f"{base}/postings", _postings_schema(key, key_type, carry), current), removed, key)
-    postings = postings.drop("g", "run").withColumn("bucket", bucket_of(F.coalesce("term", F.lit("")), buckets))
-    _write_postings(postings, key, _target(base, "postings", g, run))
-    docs = _live(_runs(spark, f"{base}/docs", _docs_schema(key, key_type), current), removed, key).drop("g", "run")
-    docs.write.parquet(_target(base, "docs", g, run))
-    terms = _runs(spark, f"{base}/terms", TERMS, current).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
-    _write_terms(terms.withColumn("bucket", bucket_of(F.col("term"), buckets)), _target(base, "terms", g, run))
-    figures = spark.createDataFrame([(current.documents, round(current.average_length * current.documents))], "n bigint, dl bigint")
-    _publish(figures, base, g, run, buckets, current.runs)
-    return g
+    snapshot = current(spark, base)
+    if snapshot.folder is None:
+        return spark.createDataFrame([], f"{key} {key_type}, hash string")
+    return _docs(spark, snapshot, key, key_type).select(key, "hash")
 
 
 def search(
@@ -229,33 +142,28 @@ def search(
     """(key, carried columns, score) of the best ``limit`` documents; reads the query terms' buckets only.
 
     ``where`` is a condition on carried columns; statistics are those of the
-    whole index. What the driver sees is a row per run and one per query term.
+    whole index.
     """
     terms = tx.query_terms(query)
-    current = layout(spark, base)
+    snapshot = current(spark, base)
     carried = [part.split()[0] for part in carry.split(",")] if carry else []
-    empty = spark.createDataFrame([], f"{key} {key_type}, " + (f"{carry}, " if carry else "") + "score double")
-    if not terms or not current.documents:
-        return empty
-    places = [bucket_of(F.lit(t), count) for t in terms for count in current.buckets]
-    wanted = F.col("bucket").isin(places) & F.col("term").isin(terms)
-    frequencies = (
-        _runs(spark, f"{base}/terms", TERMS, current).filter(wanted).groupBy("term").agg(F.sum("df").alias("df")).collect()
-    )
-    found = [row for row in frequencies if row.df > 0]
-    if not found:
-        return empty
-    n = F.lit(float(current.documents))
-    weights = [(F.col("term") == row.term, bm25.idf(n, F.lit(float(row.df)))) for row in found]
+    if not terms or not snapshot.documents:
+        return spark.createDataFrame([], f"{key} {key_type}, " + (f"{carry}, " if carry else "") + "score double")
+    places = F.col("bucket").isin([bucket_of(F.lit(t), snapshot.buckets) for t in terms])
+    read = _postings(spark, snapshot, key, key_type, carry).filter(places & F.col("term").isin(terms))
+    # One count per query term, taken in the same query.
+    frequencies = read.agg(F.struct(*[F.count_if(F.col("term") == t).alias(f"t{i}") for i, t in enumerate(terms)])).scalar()
+    n = F.lit(float(snapshot.documents))
+    weights = [
+        (F.col("term") == t, bm25.idf(n, F.col(f"_df.t{i}").cast("double"))) for i, t in enumerate(terms)
+    ]
     idf = reduce(lambda chain, weight: chain.when(*weight), weights[1:], F.when(*weights[0]))
-    postings = _runs(spark, f"{base}/postings", _postings_schema(key, key_type, carry), current).filter(wanted)
-    if where is not None:
-        postings = postings.filter(where)
-    removed = _runs(spark, f"{base}/removed", f"{key} {key_type}, g int, run string", current)
-    live = _live(postings.select(key, *carried, "term", "tf", "dl", "g"), removed, key)
-    weight = idf * bm25.saturated_tf(F.col("tf"), F.col("dl"), F.lit(current.average_length))
+    average = snapshot.length / snapshot.documents
+    weight = idf * bm25.saturated_tf(F.col("tf"), F.col("dl"), F.lit(average))
+    found = read if where is None else read.filter(where)
     scored = (
-        live.select(key, *carried, weight.alias("w"))
+        found.withColumn("_df", frequencies)
+        .select(key, *carried, weight.alias("w"))
         .groupBy(key, *carried)
         .agg(F.round(bm25.squash(F.sum("w")), bm25.SCORE_DIGITS).alias("score"))
     )

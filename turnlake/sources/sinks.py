@@ -32,12 +32,30 @@ def _current(spark: SparkSession, base: str):
     return log.agg(F.max(F.struct("version", "folder")).alias("last")).first()["last"]
 
 
+def current_folder(spark: SparkSession, base: str) -> str | None:
+    """Path of the newest complete snapshot, None before the first."""
+    current = _current(spark, base)
+    return None if current is None else f"{base}/{current['folder']}"
+
+
+def new_folder(base: str) -> str:
+    """An unused path for the next snapshot."""
+    return f"{base}/snapshot-{uuid.uuid4().hex}"
+
+
+def publish(spark: SparkSession, base: str, folder: str) -> int:
+    """List a complete snapshot as the newest one."""
+    current = _current(spark, base)
+    version = 1 if current is None else current["version"] + 1
+    entry = spark.createDataFrame([(version, folder.rpartition("/")[2])], "version bigint, folder string")
+    entry.coalesce(1).write.mode("append").parquet(f"{base}/log")
+    return version
+
+
 def read_snapshot(spark: SparkSession, base: str, schema: str) -> DataFrame:
     """Rows of the newest snapshot; an empty table before the first write."""
-    current = _current(spark, base)
-    if current is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{base}/{current['folder']}")
+    folder = current_folder(spark, base)
+    return spark.createDataFrame([], schema) if folder is None else spark.read.schema(schema).parquet(folder)
 
 
 def write_snapshot(rows: DataFrame, base: str) -> int:
@@ -46,14 +64,9 @@ def write_snapshot(rows: DataFrame, base: str) -> int:
     A snapshot counts only once its log row is written, so a failed write
     leaves the previous one current.
     """
-    spark = rows.sparkSession
-    current = _current(spark, base)
-    version = 1 if current is None else current["version"] + 1
-    folder = f"snapshot-{version:08d}-{uuid.uuid4().hex}"
-    rows.write.mode("errorifexists").parquet(f"{base}/{folder}")
-    entry = spark.createDataFrame([(version, folder)], "version bigint, folder string")
-    entry.coalesce(1).write.mode("append").parquet(f"{base}/log")
-    return version
+    folder = new_folder(base)
+    rows.write.mode("errorifexists").parquet(folder)
+    return publish(rows.sparkSession, base, folder)
 
 
 def export_markdown(rows: DataFrame, root: str) -> DataFrame:

@@ -97,15 +97,14 @@ def search_turns_indexed(spark, sf):
     ),
 )
 def index_after_removal(spark, sf):
-    """Some turns removed, some edited, and the index compacted into other buckets."""
+    """Some turns removed, some edited, in the next snapshot with other buckets."""
     root, stored = _indexed(spark, sf)
     base = f"{root}/index"
     edited = stored.filter("conv_id % 7 = 1 AND conv_id % 5 <> 0").withColumn(
         "user_content", F.concat(F.lit("This thing again. "), "user_content")
     )
     gone = stored.filter("conv_id % 7 = 1 OR conv_id % 5 = 0").select("turn_id")
-    index.add(edited, "turn_id", search.turn_text(), base, removed=gone, carry=["ts"])
-    index.compact(spark, base, "turn_id", carry="ts timestamp", buckets=7)
+    index.add(edited, "turn_id", search.turn_text(), base, removed=gone, buckets=7, carry=["ts"])
     return index.search(spark, base, "turn_id", fx.QUERY, 16).select("turn_id", "score")
 
 
