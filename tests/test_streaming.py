@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -57,6 +58,19 @@ def test_resent_turns_are_stored_once(spark, tmp_path, monkeypatch):
     assert current == {1: "a", 2: "new"}
 
 
+def test_of_two_forms_in_one_batch_the_later_capture_counts(spark, tmp_path):
+    source, out = tmp_path / "in", f"{tmp_path}/out"
+    for time, answer in ((1_700_000_000, "zebra"), (1_700_000_500, "apple")):
+        rows = [(7, 0, 0, [{"role": "user", "content": "q"}, {"role": "assistant", "content": answer}], False)]
+        before = set(source.glob("*.parquet"))
+        spark.createDataFrame(rows, ingest.CAPTURE_SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+        for file in set(source.glob("*.parquet")) - before:
+            os.utime(file, (time, time))
+    stream = ingest.capture_stream(spark, str(source))
+    ingest.start_ingest(stream, out, f"{tmp_path}/cp", availableNow=True).awaitTermination()
+    assert [r.assistant_content for r in ingest.current_turns(spark, out).collect()] == ["apple"]
+
+
 def test_stream_turns_equal_batch(spark):
     from turnlake.verify.queries import QUERIES
 

@@ -17,21 +17,22 @@ TURN_COLUMNS = ("conv_id", "turn_index", "user_content", "assistant_content")
 TURN_SCHEMA = "conv_id bigint, turn_index bigint, user_content string, assistant_content string, batch bigint"
 INDEX_SCHEMA = "collection string, path string, title string, hash string, batch bigint"
 CONTENT_SCHEMA = "hash string, body string, batch bigint"
+CAPTURED_AT = "captured_at"
 LATEST_EVERY = 16  # batches between two snapshots of the latest hashes
 
 
 def capture_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """New capture files; ``files_per_trigger`` bounds a micro-batch."""
-    return (
-        spark.readStream.schema(CAPTURE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    )
+    """New capture files, with the time of their file; ``files_per_trigger`` bounds a micro-batch."""
+    files = spark.readStream.schema(CAPTURE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return files.withColumn(CAPTURED_AT, F.col("_metadata.file_modification_time"))
 
 
 def turns_of_captures(captures: DataFrame) -> DataFrame:
     """Turn pairs of each captured message list, none of incognito ones; row-local, so no state and no shuffle."""
     seen = captures.filter(~F.coalesce("incognito", F.lit(False))) if "incognito" in captures.columns else captures
-    pairs = seen.select("conv_id", "first_index", F.inline(turns.pairs_in_array(F.col("messages"))))
-    return pairs.withColumn("turn_index", F.col("first_index") + F.col("turn_index")).select(*TURN_COLUMNS)
+    timed = [c for c in (CAPTURED_AT,) if c in captures.columns]
+    pairs = seen.select("conv_id", "first_index", *timed, F.inline(turns.pairs_in_array(F.col("messages"))))
+    return pairs.withColumn("turn_index", F.col("first_index") + F.col("turn_index")).select(*TURN_COLUMNS, *timed)
 
 
 def turn_body() -> Column:
@@ -86,8 +87,9 @@ def start_ingest(captures: DataFrame, out: str, checkpoint: str, **trigger) -> S
     """Write new and changed turns, their index rows and contents not stored yet.
 
     Clients resend the whole history with every request; a turn that is stored
-    as it is adds nothing. Of several forms of a turn in one micro-batch the
-    greatest by text counts, so that a replay agrees. Each micro-batch writes
+    as it is adds nothing. Of several forms of a turn in one micro-batch the one
+    captured last counts (``captured_at``, where the stream has it), of equal
+    times the greatest by text, so that a replay agrees. Each micro-batch writes
     to folders named after its id with overwrite: replayed after a failure, it
     replaces its own output and nothing else. Nothing of incognito captures is
     written.
@@ -97,11 +99,12 @@ def start_ingest(captures: DataFrame, out: str, checkpoint: str, **trigger) -> S
         spark = batch.sparkSession
         if batch_id > 0 and batch_id % LATEST_EVERY == 0:
             known_index(spark, out, batch_id).write.mode("overwrite").parquet(f"{out}/latest/at={batch_id}")
+        found = turns_of_captures(batch)
+        form = [c for c in (CAPTURED_AT,) if c in found.columns] + ["user_content", "assistant_content"]
         pairs = (
-            turns_of_captures(batch)
-            .groupBy("conv_id", "turn_index")
-            .agg(F.max(F.struct("user_content", "assistant_content")).alias("_form"))
-            .select("conv_id", "turn_index", "_form.*")
+            found.groupBy("conv_id", "turn_index")
+            .agg(F.max(F.struct(*form)).alias("_form"))
+            .select("conv_id", "turn_index", "_form.user_content", "_form.assistant_content")
         )
         described = pairs.select(*TURN_COLUMNS, F.struct(*_described()).alias("_row"))
         known = known_index(spark, out, batch_id).select("path", F.col("hash").alias("_known"))
