@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,11 @@ Model = Callable[[str], str]
 SIMILAR_MEMORIES = 5
 NO_MEMORIES = "(no existing memories found)"
 NOTHING = "(none)"
+FAILURES_IN_A_ROW = 5
 # ----------------------------------------------------------------------------
+WAVE = 64  # prompts sent out between two looks at what failed
+WAVE_TASKS = 8
+NOT_ASKED = "not asked: too many failures in a row"
 
 
 @dataclass(frozen=True)
@@ -100,11 +105,12 @@ def session_texts(sessions: DataFrame, messages: DataFrame, context_tag: str = t
     )
 
 
-def ask(prompts: DataFrame, key: str, model: Model) -> DataFrame:
+def ask(prompts: DataFrame, key: str, model: Model, stop_after: int | None = None) -> DataFrame:
     """(key, content, error) for rows (key, prompt); a failed call leaves its row an error, and it pending.
 
-    Every prompt is tried once, so what a run gives does not depend on how its
-    rows are dealt to tasks.
+    With ``stop_after`` the prompts go out in waves, in order of their key, and
+    a run of so many failures in that order ends them: a service that is down is
+    not asked for every row. Rows not asked have the error NOT_ASKED.
     """
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,8 +126,28 @@ def ask(prompts: DataFrame, key: str, model: Model) -> DataFrame:
                 errors.append(error)
             yield pd.DataFrame({key: batch[key], "content": answers, "error": errors})
 
+    schema = f"{key} string, content string, error string"
     asked = prompts.select(F.col(key).cast("string").alias(key), "prompt")
-    return cut_lineage(asked.mapInPandas(call, f"{key} string, content string, error string"))
+    if stop_after is None:
+        return cut_lineage(asked.mapInPandas(call, schema))
+    asked = cut_lineage(asked)
+    waves = -(-asked.count() // WAVE)
+    if waves > 1:  # ranges of keys of about WAVE rows, fixed by the checkpoint
+        asked = cut_lineage(asked.repartitionByRange(waves, key).withColumn("_wave", F.spark_partition_id()))
+    else:
+        asked = asked.withColumn("_wave", F.lit(0))
+    answers, streak = [], 0
+    for wave in range(waves):
+        own = asked.filter(F.col("_wave") == wave).drop("_wave").repartition(WAVE_TASKS)
+        answers.append(cut_lineage(own.mapInPandas(call, schema)))
+        # A flag for each prompt of the wave; the streak goes on from one wave to the next.
+        for row in answers[-1].orderBy(key).select(F.col("error").isNotNull().alias("failed")).collect():
+            streak = streak + 1 if row.failed else 0
+            if streak >= stop_after:
+                rest = asked.filter(F.col("_wave") > wave)
+                unasked = rest.select(key, F.lit(None).cast("string").alias("content"), F.lit(NOT_ASKED).alias("error"))
+                return reduce(DataFrame.unionByName, [*answers, unasked])
+    return reduce(DataFrame.unionByName, answers) if answers else prompts.sparkSession.createDataFrame([], schema)
 
 
 def extract_facts(
@@ -155,7 +181,7 @@ def extract_facts(
             conversation_date=dates.utc_day(F.col("ts")),
         ).alias("prompt"),
     )
-    answers = ask(asked, "capture_id", model)
+    answers = ask(asked, "capture_id", model, FAILURES_IN_A_ROW)
     failed_call = F.col("error").isNotNull() | memories.facts_error(F.col("content")).isNotNull()
     failed = answers.filter(failed_call).select("capture_id").distinct().withColumn("_failed", F.lit(True))
     outcomes = judged.join(failed, "capture_id", "left").select(
