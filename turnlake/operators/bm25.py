@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.functions import text as tx
+from turnlake.operators import slices
 
 K1 = 1.2
 B = 0.75
@@ -115,11 +116,12 @@ def postings(docs: DataFrame, body: Column, key: str) -> DataFrame:
 
     Texts are distributed by document first. That is the only shuffle: the
     counts group by (key, term), which the distribution by key already serves,
-    and texts take less room than the postings made of them.
+    and texts take less room than the postings made of them. The number of
+    tasks follows the size of the texts, so that of a task's counts does not.
     """
     return (
         docs.select(key, body.alias("_body"))
-        .repartition(key)
+        .repartition(slices.tasks_for(slices.text_bytes(docs, body), docs.sparkSession), key)
         .select(key, F.explode(tx.word_tokens(F.col("_body"))).alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))

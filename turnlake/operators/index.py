@@ -24,10 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.functions import text as tx
-from turnlake.operators import bm25
+from turnlake.operators import bm25, slices
 from turnlake.sources import sinks
 
 BUCKETS = 16  # for a small store; thousands suit a large one
+WORD_BYTES = 8  # of a text, a word with what parts it from the next
 FIGURES = "n bigint, dl bigint, buckets int"
 
 
@@ -67,12 +68,12 @@ def _docs(spark: SparkSession, snapshot: Snapshot, key: str, key_type: str) -> D
     return spark.read.schema(f"{key} {key_type}, hash string, dl bigint").parquet(f"{snapshot.folder}/docs")
 
 
-def _write(postings: DataFrame, docs: DataFrame, key: str, base: str, buckets: int) -> None:
+def _write(postings: DataFrame, docs: DataFrame, key: str, base: str, buckets: int, tasks: int) -> None:
     """The next snapshot; ``postings`` get their bucket here."""
     spark = docs.sparkSession
     folder = sinks.new_folder(base)
     placed = postings.withColumn("bucket", bucket_of(F.col("term"), buckets))
-    ordered = placed.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key)
+    ordered = placed.repartitionByRange(tasks, "bucket", "term", key).sortWithinPartitions("bucket", "term", key)
     ordered.write.partitionBy("bucket").parquet(f"{folder}/postings")
     docs.write.parquet(f"{folder}/docs")
     held = spark.read.schema(docs.schema).parquet(f"{folder}/docs")
@@ -101,9 +102,11 @@ def add(
     before = current(spark, base)
     if before.folder is not None and removed is None and docs.isEmpty():
         return
+    size = slices.text_bytes(docs, body)
+    tasks = slices.tasks_for(size + before.length * WORD_BYTES, spark)
     postings = (
         docs.select(key, *carry, body.alias("_body"))
-        .repartition(key)
+        .repartition(slices.tasks_for(size, spark), key)
         .select(key, *carry, tx.word_tokens(F.col("_body")).alias("_words"))
         .select(key, *carry, F.size("_words").cast("bigint").alias("dl"), F.explode("_words").alias("term"))
         .groupBy(key, *carry, "dl", "term")
@@ -115,10 +118,10 @@ def add(
         carried = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
         stale = docs.select(key)
         stale = (stale if removed is None else stale.unionByName(removed.select(key))).distinct()
-        kept = _postings(spark, before, key, key_type, carried).drop("bucket").join(stale, key, "left_anti")
+        kept = _postings(spark, before, key, key_type, carried).drop("bucket").repartition(tasks, key).join(stale, key, "left_anti")
         postings = kept.unionByName(postings)
         described = _docs(spark, before, key, key_type).join(stale, key, "left_anti").unionByName(described)
-    _write(postings, described, key, base, buckets)
+    _write(postings, described, key, base, buckets, tasks)
 
 
 def keys(spark: SparkSession, base: str, key: str, key_type: str = "string") -> DataFrame:

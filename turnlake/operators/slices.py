@@ -16,13 +16,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnlake.session import cut_lineage
 
 SLICE_BITS = 12  # 4096 positions per slice
 SLICE = "_slice"
+TASK_BYTES = 16 << 20  # of text in one task: the counts of its words take some twenty times as much memory
+SMALL_BYTES = 1 << 20
+
+
+def text_bytes(rows: DataFrame, text: Column) -> int:
+    """Bytes of a text column; one pass over it."""
+    return rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def tasks_for(size: int, spark: SparkSession) -> int:
+    """Tasks over texts of ``size`` bytes, so that each has at most about TASK_BYTES.
+
+    Left to itself AQE joins partitions up to a compressed size, and their
+    number has an upper limit, so a task would grow with the table.
+    """
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // TASK_BYTES), min(usual, -(-size // SMALL_BYTES)))
 
 
 def cut(rows: DataFrame, position: str) -> DataFrame:
