@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
-from turnlake.session import fresh_dir
+from turnlake.session import bounded_batches, fresh_dir
 
-BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -28,20 +26,6 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of texts hold at most BATCH_ROWS rows and BATCH_BYTES, whichever comes first.
-
-    The defaults count rows alone and suit numbers; ten thousand long texts in
-    one batch would be held several times over by a task and its Python worker.
-    Smaller settings of the session stay.
-    """
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        name = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(name).rstrip("b")
-        if not (now.isdigit() and 0 < int(now) <= most):
-            spark.conf.set(name, str(most))
-
-
 def without(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     """Drop columns an operator is about to add; an operator's own columns win over equal names."""
     return rows.drop(*names)

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
+
 
 def build_session(app_name: str = "turnlake", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are written for.
@@ -32,11 +35,26 @@ def build_session(app_name: str = "turnlake", master: str | None = None, **conf:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings results depend on (all dates are UTC)."""
+    """Pin the runtime settings results depend on (all dates are UTC) and bound what Python holds at once."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    bounded_batches(spark)
     return spark
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of texts hold at most BATCH_ROWS rows and BATCH_BYTES, whichever comes first.
+
+    The defaults count rows alone and suit numbers; ten thousand long texts in
+    one batch would be held several times over by a task and its Python worker.
+    Smaller settings of the session stay.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
