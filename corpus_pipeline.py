@@ -51,7 +51,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the documents."""
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
     outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
-    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, outputs, keep=["doc_id", "source"])
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, outputs, keep=["doc_id", "source"], apart=True)
 
 
 STAGES = [

@@ -6,12 +6,14 @@ import base64
 import collections
 import hashlib
 import os
+import pickle
 import random
 import re
 import sys
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -637,3 +639,25 @@ def test_query_runs(spark, name):
     else:
         rows = table({"op1": "embeddings"}.get(op, "documents")).count()
     assert QUERIES[name](spark, SF_DIR).count() == rows
+
+
+def test_bpe_table_finds_words_beside_the_dictionary(monkeypatch):
+    words = [f"w{i}" for i in range(50)]
+    monkeypatch.setattr(bpe, "QUICK_WORDS", 5)
+    monkeypatch.setattr(bpe, "BATCH_WORDS", 7)
+    ids = pa.array([[i, -1] for i in range(50)], pa.list_(pa.int16()))
+    table = pickle.loads(pickle.dumps(bpe.WordTable(pa.array(words), ids, np.dtype(np.uint16))))
+    wanted = [np.array([i, 65535], dtype=np.uint16).tobytes() for i in range(50)]
+    assert table.quick() == dict(zip(words[:5], wanted, strict=False))
+    assert table.find([*words, "other", "w", ""]) == [*wanted, None, None, None]
+    nothing = bpe.WordTable(pa.array([], pa.string()), pa.array([], pa.list_(pa.int16())), np.dtype(np.uint16))
+    assert nothing.quick() == {} and nothing.find(["a"]) == [None]
+
+
+def test_bpe_apart(odd, ranks):
+    """One stage for each pass of Python: no stage holds two workers for a task, and the rows are the same."""
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    both = [bpe.encode(odd, ranks, public_tokenizers.PATTERN, outputs, ["doc_id"], apart) for apart in (False, True)]
+    plans = [made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") for made in both]
+    assert plans == [2, 1]
+    assert sorted(map(str, both[0].collect())) == sorted(map(str, both[1].collect()))

@@ -23,6 +23,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +31,11 @@ from pyspark.sql import functions as F
 from turnlake.llm.common import appended, bounded_batches, extended, stored, without
 from turnlake.llm.spans import bound
 
-TABLE_WORDS = 300_000  # words shipped to every task, most frequent first
+TABLE_WORDS = 1_000_000  # words shipped to every task, most frequent first
+QUICK_WORDS = 100_000  # of them in a dictionary of Python; the others lie in flat arrays
 TABLE_BYTES = 64  # longest word of the table, so its size is bounded
 FOLD_BYTES = 128  # longer words take the same merges from a heap, which needs n log n steps
+BATCH_WORDS = 50_000  # words of the table that are Python strings at a time
 PART_WORDS = 200_000  # distinct words counted before they are handed on
 BUCKETS = 1 << 14  # maps look up by comparing keys one by one, so ranks are spread over small maps
 NEVER = 2147483647
@@ -63,44 +66,47 @@ def _rank(maps: Column, piece: Column) -> Column:
 def fold(maps: Column, word: Column) -> Column:
     """Ids of one word in hex: again and again the leftmost pair of lowest rank is merged.
 
-    The state is the pieces and the ranks of neighbouring pairs; a merge looks
-    up the two pairs it makes and leaves the other ranks as they are.
+    The state is where pieces start and, for each neighbouring pair, its rank
+    and start as one number, so the least is the leftmost pair of lowest rank. A
+    merge looks up the two pairs it makes and leaves the other numbers as they are.
     """
+    count = (F.length(word) / 2).cast("int")
+
+    def piece(start: Column, end: Column) -> Column:
+        return F.substr(word, start * 2 + 1, (end - start) * 2)
 
-    def pair_rank(a: Column, b: Column) -> Column:
-        return F.coalesce(_rank(maps, F.concat(a, b)), F.lit(NEVER))
+    def pair(start: Column, end: Column) -> Column:
+        return F.coalesce(_rank(maps, piece(start, end)), F.lit(NEVER)).cast("bigint") * PLACES + start
 
     def merge(state: Column, _: Column) -> Column:
-        parts, ranks = state["parts"], state["ranks"]
+        pairs, starts = state["pairs"], state["starts"]
 
         def merged(at: Column) -> Column:
             # at is counted from 1, as slices are; F.get counts from 0.
-            none = F.array().cast("array<int>")
-            joined = F.concat(F.get(parts, at - 1), F.get(parts, at))
-            before = F.when(at > 1, F.array(pair_rank(F.get(parts, at - 2), joined))).otherwise(none)
-            after = F.when(at < F.size(ranks), F.array(pair_rank(joined, F.get(parts, at + 1)))).otherwise(none)
-            left = F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0)))
-            kept = F.array(F.slice(parts, F.lit(1), at - 1), F.array(joined), F.slice(parts, at + 2, F.size(parts)))
-            others = F.array(left, before, after, F.slice(ranks, at + 2, F.size(ranks)))
-            return F.struct(F.flatten(kept).alias("parts"), F.flatten(others).alias("ranks"))
+            none = F.array().cast("array<bigint>")
+            end = F.get(starts, at + 1)
+            before = F.when(at > 1, F.array(pair(F.get(starts, at - 2), end))).otherwise(none)
+            after = F.when(at < F.size(pairs), F.array(pair(F.get(starts, at - 1), F.get(starts, at + 2)))).otherwise(none)
+            left = F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0)))
+            others = F.concat(left, before, after, F.slice(pairs, at + 2, F.size(pairs)))
+            return F.struct(others.alias("pairs"), F.array_remove(starts, F.get(starts, at)).alias("starts"))
 
         def step(best: Column) -> Column:
-            at = (best % PLACES).cast("int") + 1
-            return F.when(best < NEVER * PLACES, merged(at)).otherwise(state)
+            at = F.array_position(starts, (best % PLACES).cast("int")).cast("int")
+            return F.when(best < NEVER * PLACES, bound(at, merged)).otherwise(state)
 
-        # Rank and place as one number: the least is the leftmost pair of lowest rank.
-        return bound(F.array_min(F.transform(ranks, lambda r, i: r.cast("bigint") * PLACES + i)), step)
+        return bound(F.array_min(pairs), step)
 
-    count = (F.length(word) / 2).cast("int")
-    single = F.transform(F.sequence(F.lit(1), count), lambda i: F.substr(word, i * 2 - 1, F.lit(2)))
+    def ids(state: Column) -> Column:
+        starts = state["starts"]
+        firsts = F.slice(starts, F.lit(1), F.size(starts) - 1)
+        return F.transform(firsts, lambda start, i: _rank(maps, piece(start, F.get(starts, i + 1))))
 
     def folded(whole: Column) -> Column:
         steps = F.sequence(F.lit(2), count)
-        pairs = F.transform(steps, lambda i: F.coalesce(_rank(maps, F.substr(word, i * 2 - 3, F.lit(4))), F.lit(NEVER)))
-        start = F.struct(single.alias("parts"), pairs.alias("ranks"))
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(
-            F.aggregate(steps, start, merge, lambda s: F.transform(s["parts"], lambda p: _rank(maps, p)))
-        )
+        pairs = F.transform(steps, lambda i: pair(i - 2, i))
+        start = F.struct(pairs.alias("pairs"), F.sequence(F.lit(0), count).alias("starts"))
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.aggregate(steps, start, merge, ids))
 
     return bound(_rank(maps, word), folded)
 
@@ -145,11 +151,15 @@ def _id_type(ranks: dict[bytes, int]) -> np.dtype:
 
 
 class WordTable:
-    """Packed ids of words. It travels as two columns and becomes a lookup once in each Python worker."""
+    """Packed ids of words, the most frequent first. It travels as two columns and becomes a lookup once in each Python worker.
 
-    def __init__(self, words: pa.ChunkedArray, ids: pa.ChunkedArray, packed: np.dtype):
+    Few words make up nearly all of a text: they are in a dictionary. The others
+    are found by their hash in flat arrays, which take a fifth of its memory.
+    """
+
+    def __init__(self, words: pa.Array, ids: pa.Array, packed: np.dtype):
         self.words, self.ids, self.packed = words, ids, packed
-        self._found: dict[str, bytes] | None = None
+        self._quick: dict[str, bytes] | None = None
 
     def __getstate__(self):
         return self.words, self.ids, self.packed
@@ -160,14 +170,37 @@ class WordTable:
     def __len__(self) -> int:
         return len(self.words)
 
-    def lookup(self) -> dict[str, bytes]:
-        if self._found is None:
-            self._found = {}
-            for words, own in zip(self.words.chunks, self.ids.chunks, strict=True):
-                ends, numbers = own.offsets.to_numpy(), own.values.to_numpy().astype(self.packed)
-                for i, word in enumerate(words.to_pylist()):
-                    self._found[word] = numbers[ends[i] : ends[i + 1]].tobytes()
-        return self._found
+    def _packed(self, row: int) -> bytes:
+        return self._numbers[self._ends[row] : self._ends[row + 1]].tobytes()
+
+    def quick(self) -> dict[str, bytes]:
+        """The most frequent words and their ids."""
+        if self._quick is None:
+            self._ends = self.ids.offsets.to_numpy()
+            self._numbers = self.ids.values.to_numpy().view(self.packed)
+            hashes = [np.zeros(0, dtype=np.int64)]
+            for at in range(0, len(self), BATCH_WORDS):
+                words = self.words.slice(at, BATCH_WORDS)
+                hashes.append(np.fromiter(map(hash, words.to_pylist()), np.int64, len(words)))
+            hashes = np.concatenate(hashes)
+            self._rows = np.argsort(hashes, kind="stable").astype(np.int32)
+            self._hashes = hashes[self._rows]
+            self._quick = {w: self._packed(i) for i, w in enumerate(self.words.slice(0, QUICK_WORDS).to_pylist())}
+        return self._quick
+
+    def find(self, words: Sequence[str]) -> list[bytes | None]:
+        """The ids of words, None for words outside the table."""
+        self.quick()
+        if not len(self) or not words:
+            return [None] * len(words)
+        places = np.searchsorted(self._hashes, np.fromiter(map(hash, words), np.int64, len(words)))
+        rows = self._rows[np.minimum(places, len(self) - 1)]
+        same = pc.equal(self.words.take(pa.array(rows)), pa.array(words, pa.string())).to_pylist()
+        return [self._packed(row) if found else None for row, found in zip(rows.tolist(), same, strict=True)]
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def word_table(docs: DataFrame, ranks: dict[bytes, int]) -> WordTable:
@@ -207,8 +240,8 @@ def word_table(docs: DataFrame, ranks: dict[bytes, int]) -> WordTable:
     ids = F.get(fold_all(ranks, hexes), F.lit(0))
     if small == "smallint":  # the bits of an unsigned number of two bytes
         ids = F.transform(ids, lambda i: F.when(i > 32767, i - 65536).otherwise(i).cast(small))
-    found = chosen.select("word", ids.alias("ids")).toArrow()
-    return WordTable(found.column("word"), found.column("ids"), _id_type(ranks))
+    found = chosen.select("word", ids.alias("ids"), "level").toArrow().sort_by([("level", "descending")])
+    return WordTable(_whole(found.column("word")), _whole(found.column("ids")), _id_type(ranks))
 
 
 def _outputs(ids: np.ndarray, tokens: Sequence[bytes], written: Sequence[str], names: Sequence[str]) -> list:
@@ -240,10 +273,13 @@ def encode(
     pattern: str,
     outputs: Sequence[str] = ("n_tokens", "ids"),
     keep: Sequence[str] | None = None,
+    apart: bool = False,
 ) -> DataFrame:
     """Documents with the wanted outputs: n_tokens, ids, ids_sha256 and decoded_sha256.
 
-    ``keep`` names the columns to carry along, all unless given.
+    ``keep`` names the columns to carry along, all unless given. ``apart`` writes
+    the packed ids to the shared folder halfway: it takes about the room of the
+    texts, and a task then has one Python worker at a time instead of two.
 
     Only ``text`` is read, whole at any length; null counts as empty and has no
     id. Every single byte must have a rank. Equal texts get equal ids. An empty
@@ -262,22 +298,30 @@ def encode(
     waiting = packed.type(mark).tobytes()
 
     def look_up(batches):
-        find, known, all_ranks = regex.compile(pattern).findall, table.value.lookup().get, shipped.value
+        find, own, all_ranks = regex.compile(pattern).findall, table.value, shipped.value
+        quick = own.quick().get
         for batch in batches:
+            texts = [find(text) if text else () for text in batch.column("text").to_pylist()]
+            known = [[quick(w) for w in words] for words in texts]
+            others = {
+                w: None for words, parts in zip(texts, known, strict=True) if None in parts
+                for w, part in zip(words, parts, strict=True) if part is None
+            }
+            others = dict(zip(others, own.find(list(others)), strict=True))
             blobs, rests = [], []
-            for text in batch.column("text").to_pylist():
-                words = find(text) if text else ()
-                parts = [known(w) for w in words]
+            for words, parts in zip(texts, known, strict=True):
                 rest = []
                 if None in parts:
                     for i, part in enumerate(parts):
                         if part is None:
-                            raw = words[i].encode("utf-8", "surrogatepass")
-                            if len(raw) > FOLD_BYTES:
-                                parts[i] = np.array(merge_long(raw, all_ranks), dtype=packed).tobytes()
-                            else:
-                                parts[i] = waiting
-                                rest.append(raw.hex())
+                            parts[i] = others[words[i]]
+                            if parts[i] is None:
+                                raw = words[i].encode("utf-8", "surrogatepass")
+                                if len(raw) > FOLD_BYTES:
+                                    parts[i] = np.array(merge_long(raw, all_ranks), dtype=packed).tobytes()
+                                else:
+                                    parts[i] = waiting
+                                    rest.append(raw.hex())
                 blobs.append(b"".join(parts))
                 rests.append(rest)
             more = [pa.array(blobs, pa.binary()), pa.array(rests, pa.list_(pa.string()))]
@@ -306,6 +350,8 @@ def encode(
             yield appended([batch.column(n) for n in names], names, more, final)
 
     found = docs.mapInArrow(look_up, extended(kept, looked_up))
+    if apart:
+        found = stored(found, "looked_up")
     folded = found.select(*names, "_known", fold_all(ranks, F.col("_rest")).alias("_folded"))
     return folded.mapInArrow(put_in, extended(kept, final))
 
