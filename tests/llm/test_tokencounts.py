@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import pickle
 import random
 
 import public_tokenizers
@@ -113,3 +114,15 @@ def test_other_kinds_of_tokenizers_are_refused(tmp_path):
     path.write_text(json.dumps(content))
     with pytest.raises(ValueError):
         tokencounts.read_vocabulary(str(path))
+
+
+def test_words_stay_known_from_task_to_task(vocabulary, monkeypatch):
+    monkeypatch.setattr(tokencounts, "KNOWN_WORDS", 4)
+    own = pickle.loads(pickle.dumps(vocabulary))
+    counter = own.shared_counter()
+    assert own.shared_counter() is counter and pickle.loads(pickle.dumps(own)).counter is None
+    worked, work_out = [], counter.words.work_out
+    counter.words.work_out = lambda word: worked.append(word) or work_out(word)
+    for rare in ("one", "two", "three", "four", "five", "six", "seven"):
+        counter.counts(f"often{rare}"), counter.counts("often")
+    assert worked.count("often") == 1 and len(worked) == 8

@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 
 from turnlake.llm.common import appended, bounded_batches, extended, without
 
-#: What a task remembers; then it starts anew, as all of it can be worked out again.
-KNOWN_WORDS, KNOWN_PAIRS, KNOWN_STARTS = 400_000, 500_000, 300_000
-SHARED = 8  # bytes at the start of a word that are likely to start other words
+#: What a Python worker remembers, from one task to the next; all of it can be worked out again.
+KNOWN_WORDS, KNOWN_PAIRS, KNOWN_STARTS = 600_000, 500_000, 60_000
+ENDING = 5  # bytes at the end of a token by which its possible lengths are known
+SHORT = tuple(range(ENDING - 1, 0, -1))
+SHARED = 7  # bytes at the start of a word that are likely to start other words
 SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 UNKNOWN = "\uFFFF"  # no character, so neither letter nor number
 CONTRACTIONS = ("'ll", "'ve", "'re")  # cut after two characters they are two words
@@ -51,6 +53,16 @@ class Vocabulary:
     specials: tuple[str, ...]
     unknown: str  # ranges of characters that count as neither letter nor number whatever the pattern library says
     spines: tuple[dict, dict] = field(default_factory=lambda: ({}, {}), repr=False)
+    counter: Counter | None = field(default=None, repr=False)
+
+    def __getstate__(self):
+        return {**self.__dict__, "spines": ({}, {}), "counter": None}  # what was remembered stays where it is
+
+    def shared_counter(self) -> Counter:
+        """One counter for all tasks of a worker, as words come back from task to task."""
+        if self.counter is None:
+            self.counter = Counter(self)
+        return self.counter
 
 
 def _byte_letters() -> dict[str, int]:
@@ -135,22 +147,41 @@ def stable(left: bytes, right: bytes, vocabulary: Vocabulary) -> bool:
             j += 1
 
 
+class _Steps(dict):
+    """Steps of words. When half of KNOWN_WORDS are known they become the older half, of which only words asked for again stay."""
+
+    def __init__(self, work_out: Callable[[str], bytes]):
+        super().__init__()
+        self.work_out, self.older = work_out, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.work_out(word)
+        if len(self) >= KNOWN_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+
 class Counter:
     """Counts at the prefixes of words and texts under one vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        #: Lengths of the tokens that end in given three bytes, longest first; shorter tokens behind.
+        #: Lengths of the tokens that end in given ENDING bytes, longest first; shorter tokens behind.
         ends: dict[bytes, set[int]] = {}
         for token in vocabulary.tokens:
-            if len(token) > 2:
-                ends.setdefault(token[-3:], {1, 2}).add(len(token))
+            if len(token) >= ENDING:
+                ends.setdefault(token[-ENDING:], set(range(1, ENDING))).add(len(token))
         self.lengths = {end: tuple(sorted(own, reverse=True)) for end, own in ends.items()}
         self.unknown = re.compile(f"[{vocabulary.unknown}]") if vocabulary.unknown else None
         self.special = regex.compile("|".join(map(regex.escape, vocabulary.specials))) if vocabulary.specials else None
-        self.words: dict[str, bytes] = {}
+        self.words = _Steps(self._steps)
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.begun: dict[bytes, tuple[int, bytes]] = {}  # count and last token of the first bytes of words
+        #: Counts and last tokens at all prefixes of the first SHARED bytes of words.
+        self.begun: dict[bytes, tuple[list[int], list[bytes]]] = {}
 
     def split(self, text: str) -> list[str]:
         """Words of a text, as the vocabulary's own pattern library cuts them."""
@@ -161,15 +192,10 @@ class Counter:
     def byte_counts(self, word: bytes) -> list[int]:
         """Tokens of each prefix of one word, the empty one first."""
         tokens, pairs, begun, lengths = self.vocabulary.tokens, self.pairs, self.begun, self.lengths
-        counts, last = [0], [b""]
-        for end in range(1, len(word) + 1):
-            if end <= SHARED:
-                known = begun.get(word[:end])
-                if known is not None:
-                    counts.append(known[0])
-                    last.append(known[1])
-                    continue
-            for length in lengths.get(word[end - 3 : end] if end > 2 else b"", (2, 1)):
+        known = begun.get(word[:SHARED]) if len(word) >= SHARED else None
+        counts, last = (known[0].copy(), known[1].copy()) if known else ([0], [b""])
+        for end in range(len(counts), len(word) + 1):
+            for length in lengths.get(word[end - ENDING : end], SHORT) if end >= ENDING else SHORT:
                 start = end - length
                 if start < 0:
                     continue
@@ -188,33 +214,31 @@ class Counter:
                 counts.append(counts[start] + 1)
                 last.append(token)
                 break
-            if end <= SHARED:
+            if end == SHARED:
                 if len(begun) >= KNOWN_STARTS:
                     begun.clear()
-                begun[word[:end]] = counts[end], last[end]
+                begun[word[:end]] = counts.copy(), last.copy()
         return counts
 
     def steps(self, word: str) -> bytes:
         """Differences of the counts from one code point of a word to the next, as packed 32-bit numbers."""
-        found = self.words.get(word)
-        if found is None:
-            raw = word.encode("utf-8", "surrogatepass")
-            counts = self.byte_counts(raw)
-            if len(raw) > len(word):  # places between code points only
-                counts = [n for n, byte in zip(counts, raw, strict=False) if byte & 0xC0 != 0x80] + counts[-1:]
-            if word in CONTRACTIONS:
-                counts[2] = 2
-            if len(self.words) >= KNOWN_WORDS:
-                self.words.clear()
-            found = self.words[word] = array("i", map(sub, counts[1:], counts)).tobytes()
-        return found
+        return self.words[word]
+
+    def _steps(self, word: str) -> bytes:
+        raw = word.encode("utf-8", "surrogatepass")
+        counts = self.byte_counts(raw)
+        if len(raw) > len(word):  # places between code points only
+            counts = [n for n, byte in zip(counts, raw, strict=False) if byte & 0xC0 != 0x80] + counts[-1:]
+        if word in CONTRACTIONS:
+            counts[2] = 2
+        return array("i", map(sub, counts[1:], counts)).tobytes()
 
     def word_tokens(self, word: str) -> int:
         return int(np.frombuffer(self.steps(word), dtype=np.int32).sum())
 
     def _plain(self, text: str, words: Sequence[str]) -> np.ndarray:
         """Counts at the code points of a text without special strings."""
-        counts = np.frombuffer(b"".join(map(self.steps, words)), dtype=np.int32).cumsum(dtype=np.int32)
+        counts = np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype=np.int32).cumsum(dtype=np.int32)
         # White space at the end of a text is one word; in front of more text it may be two.
         for run in RUN.finditer(text):
             start, end = run.span()
@@ -271,7 +295,7 @@ def count_tokens(
     final = pa.schema([pa.field(name, TYPES[name]) for name in outputs])
 
     def run(batches):
-        counter = Counter(shipped.value)
+        counter = shipped.value.shared_counter()
         for batch in batches:
             column = batch.column("text")
             found = [counter.counts(text) for text in column.to_pylist()]
