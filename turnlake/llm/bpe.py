@@ -20,6 +20,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ TABLE_WORDS = 1_000_000  # words shipped to every task, most frequent first
 QUICK_WORDS = 100_000  # of them in a dictionary of Python; the others lie in flat arrays
 TABLE_BYTES = 64  # longest word of the table, so its size is bounded
 FOLD_BYTES = 128  # longer words take the same merges from a heap, which needs n log n steps
+LOOKED_UP = 64  # texts that are cut into words at a time
 BATCH_WORDS = 50_000  # words of the table that are Python strings at a time
 PART_WORDS = 200_000  # distinct words counted before they are handed on
 BUCKETS = 1 << 14  # maps look up by comparing keys one by one, so ranks are spread over small maps
@@ -207,11 +209,14 @@ def word_table(docs: DataFrame, ranks: dict[bytes, int]) -> WordTable:
     """The most frequent distinct words of all texts, at most TABLE_WORDS."""
 
     def count(batches):
-        seen: Counter[str] = Counter()
-        find = COUNTED.findall
+        seen: Counter[str] = Counter()  # pieces between blanks; only different ones are cut into words
 
         def rows():
-            kept = [(w, n) for w, n in seen.items() if len(w.encode("utf-8", "surrogatepass")) <= TABLE_BYTES]
+            counts: Counter[str] = Counter()
+            for piece, n in seen.items():
+                for w in COUNTED.findall(" " + piece):
+                    counts[w] += n
+            kept = [(w, n) for w, n in counts.items() if len(w.encode("utf-8", "surrogatepass")) <= TABLE_BYTES]
             return pa.RecordBatch.from_pydict(
                 {"word": pa.array([w for w, _ in kept], pa.string()), "n": pa.array([n for _, n in kept], pa.int64())}
             )
@@ -219,7 +224,7 @@ def word_table(docs: DataFrame, ranks: dict[bytes, int]) -> WordTable:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 if text:
-                    seen.update(find(text))
+                    seen.update(text.split(" "))
                     if len(seen) > PART_WORDS:  # hand on what was counted so far; the sums come later
                         yield rows()
                         seen.clear()
@@ -301,29 +306,28 @@ def encode(
         find, own, all_ranks = regex.compile(pattern).findall, table.value, shipped.value
         quick = own.quick().get
         for batch in batches:
-            texts = [find(text) if text else () for text in batch.column("text").to_pylist()]
-            known = [[quick(w) for w in words] for words in texts]
-            others = {
-                w: None for words, parts in zip(texts, known, strict=True) if None in parts
-                for w, part in zip(words, parts, strict=True) if part is None
-            }
-            others = dict(zip(others, own.find(list(others)), strict=True))
             blobs, rests = [], []
-            for words, parts in zip(texts, known, strict=True):
-                rest = []
-                if None in parts:
-                    for i, part in enumerate(parts):
-                        if part is None:
-                            parts[i] = others[words[i]]
-                            if parts[i] is None:
-                                raw = words[i].encode("utf-8", "surrogatepass")
-                                if len(raw) > FOLD_BYTES:
-                                    parts[i] = np.array(merge_long(raw, all_ranks), dtype=packed).tobytes()
-                                else:
-                                    parts[i] = waiting
-                                    rest.append(raw.hex())
-                blobs.append(b"".join(parts))
-                rests.append(rest)
+            for at in range(0, batch.num_rows, LOOKED_UP):
+                texts = [find(text) if text else () for text in batch.column("text").slice(at, LOOKED_UP).to_pylist()]
+                known = [[quick(w) for w in words] for words in texts]
+                lacking = [[w for w, part in zip(words, parts, strict=True) if part is None] for words, parts in zip(texts, known, strict=True)]
+                others = list(dict.fromkeys(chain.from_iterable(lacking)))
+                others = dict(zip(others, own.find(others), strict=True))
+                for words, parts in zip(texts, known, strict=True):
+                    rest = []
+                    if None in parts:
+                        for i, part in enumerate(parts):
+                            if part is None:
+                                parts[i] = others[words[i]]
+                                if parts[i] is None:
+                                    raw = words[i].encode("utf-8", "surrogatepass")
+                                    if len(raw) > FOLD_BYTES:
+                                        parts[i] = np.array(merge_long(raw, all_ranks), dtype=packed).tobytes()
+                                    else:
+                                        parts[i] = waiting
+                                        rest.append(raw.hex())
+                    blobs.append(b"".join(parts))
+                    rests.append(rest)
             more = [pa.array(blobs, pa.binary()), pa.array(rests, pa.list_(pa.string()))]
             yield appended([batch.column(n) for n in names], names, more, looked_up)
 
