@@ -7,7 +7,7 @@ and shipped as a table of fixed size. A word outside the table is folded where
 it stands, so no word is ever joined back to its text and no result depends on
 the table. Decoding concatenates the bytes of the ids.
 
-Bytes are held as pairs of hex digits, the form map keys of a literal can take.
+The fold gets the bytes of a word as a string with a character for each.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Sequence
-from itertools import chain
+from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,18 @@ TABLE_WORDS = 1_000_000  # words shipped to every task, most frequent first
 QUICK_WORDS = 100_000  # of them in a dictionary of Python; the others lie in flat arrays
 TABLE_BYTES = 64  # longest word of the table, so its size is bounded
 FOLD_BYTES = 128  # longer words take the same merges from a heap, which needs n log n steps
-LOOKED_UP = 64  # texts that are cut into words at a time
 BATCH_WORDS = 50_000  # words of the table that are Python strings at a time
-PART_WORDS = 200_000  # distinct words counted before they are handed on
-BUCKETS = 1 << 14  # maps look up by comparing keys one by one, so ranks are spread over small maps
-NEVER = 2147483647
-PLACES = 1 << 16  # above the number of pairs of a word that is folded
+PART_WORDS = 400_000  # distinct pieces counted before their words are handed on
+BUCKETS = 1 << 13  # pairs are looked up by comparing keys one by one, so they are spread over small lists
+#: An entry of a word's state is one number: the rank of the pair that begins at a piece, where the piece starts, its id.
+ID_BITS, START_BITS = 24, 15
+PAIR_BITS = ID_BITS + START_BITS
+NEVER = (1 << ID_BITS) - 1  # above every rank
+NOTHING = NEVER - 1  # id in front of a word
+GONE = (1 << 63) - 1
+#: Of this pattern no match but the one that begins with it holds a blank before a visible character, so texts can be cut there.
+CUT_AT_BLANKS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ODD_BLANK = r" ([\s\x0b\x1c-\x1f\x85\p{Z}]|\z)"  # a blank that may belong to white space before or behind it
 #: Words for counting only. It cuts nearly as vocabularies do, in less time; the counts merely choose the table.
 COUNTED = re.compile(r" ?[^\W\d_]+| ?\d+| ?[^\w\s]+|\s+")
 
@@ -52,70 +59,114 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """Literal array of maps hex -> rank, chosen by a checksum of the hex digits."""
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+def _last_pieces(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """What is left of a token before its own rank comes: two pieces, unless no merge makes the token."""
+    pieces = [token[i : i + 1] for i in range(len(token))]
+    while len(pieces) > 2:
+        rank, at = min((ranks.get(a + b, NEVER), i) for i, (a, b) in enumerate(pairwise(pieces)))
+        if rank >= ranks[token]:
+            break
+        pieces[at : at + 2] = [pieces[at] + pieces[at + 1]]
+    return pieces
+
+
+@dataclass
+class Merges:
+    """Merges of a vocabulary by the ids of two pieces.
+
+    Whatever stands around a token, its bytes are merged in the same order, so
+    the last merge joins the same two pieces everywhere.
+    """
+
+    pairs: list[tuple[int, int, int]]  # ids of two pieces and the rank, which is the id, of both together
+    letters: list[int]  # ids of the 256 bytes
+    whole: dict[bytes, int]  # tokens that no merge makes; they count only as whole words
+
+
+def read_merges(ranks: dict[bytes, int]) -> Merges:
+    if max(ranks.values(), default=0) >= NOTHING:
+        raise ValueError(f"ranks from {NOTHING} on are not supported")
+    pairs, whole = [], {}
     for token, rank in ranks.items():
-        maps[zlib.crc32(token.hex().encode()) % BUCKETS][token.hex()] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
+        pieces = _last_pieces(token, ranks)
+        if len(pieces) == 2:
+            pairs.append((ranks[pieces[0]], ranks[pieces[1]], rank))
+        elif len(pieces) > 2:
+            whole[token] = rank
+    return Merges(pairs, [ranks[bytes([i])] for i in range(256)], whole)
+
+
+def rank_map(merges: Merges) -> tuple[Column, Column]:
+    """Literals: lists of keys of pairs, each followed by its rank, chosen by a checksum of the ids; ids of the bytes."""
+    lists: list[list[int]] = [[NEVER] for _ in range(BUCKETS)]
+    for left, right, rank in merges.pairs:
+        lists[(left * 31 + right) % BUCKETS] += [((left + 1) << ID_BITS) + right, rank]
+    kinds = ((lists, "array<array<bigint>>"), (merges.letters, "array<bigint>"))
+    return tuple(F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), kind) for x, kind in kinds)
+
 
+def _number(value: int) -> Column:
+    return F.lit(value).cast("bigint")
 
-def _rank(maps: Column, piece: Column) -> Column:
-    bucket = F.crc32(piece.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    return F.try_element_at(F.get(maps, bucket), piece)
 
+def _rank(lists: Column, left: Column, right: Column) -> Column:
+    """Rank of two neighbouring ids. A key is above all ranks; a missing one has place 0, where NEVER stands."""
+    own = F.get(lists, (left * 31 + right).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    place = F.array_position(own, F.shiftleft(left + 1, ID_BITS) + right)
+    return F.coalesce(F.get(own, place.cast("int")), _number(NEVER))
 
-def fold(maps: Column, word: Column) -> Column:
-    """Ids of one word in hex: again and again the leftmost pair of lowest rank is merged.
 
-    The state is where pieces start and, for each neighbouring pair, its rank
-    and start as one number, so the least is the leftmost pair of lowest rank. A
-    merge looks up the two pairs it makes and leaves the other numbers as they are.
+def fold(lists: Column, letters: Column, word: Column) -> Column:
+    """Ids of one word, a string with a character for each byte: again and again the leftmost pair of lowest rank is merged.
+
+    The state has a number for each piece, the rank of the pair that begins
+    there in front, then where the piece starts, so the least is the leftmost
+    pair of lowest rank. A merge looks up the two pairs it makes and leaves the
+    other numbers as they are. In front stands a piece that joins nothing.
     """
-    count = (F.length(word) / 2).cast("int")
+    below = (1 << PAIR_BITS) - 1
 
-    def piece(start: Column, end: Column) -> Column:
-        return F.substr(word, start * 2 + 1, (end - start) * 2)
+    def id_of(entry: Column) -> Column:
+        return entry.bitwiseAND(_number(NEVER))
 
-    def pair(start: Column, end: Column) -> Column:
-        return F.coalesce(_rank(maps, piece(start, end)), F.lit(NEVER)).cast("bigint") * PLACES + start
+    def pair(left: Column, right: Column) -> Column:
+        return F.shiftleft(_rank(lists, left, right), PAIR_BITS)
 
     def merge(state: Column, _: Column) -> Column:
-        pairs, starts = state["pairs"], state["starts"]
-
-        def merged(at: Column) -> Column:
-            # at is counted from 1, as slices are; F.get counts from 0.
-            none = F.array().cast("array<bigint>")
-            end = F.get(starts, at + 1)
-            before = F.when(at > 1, F.array(pair(F.get(starts, at - 2), end))).otherwise(none)
-            after = F.when(at < F.size(pairs), F.array(pair(F.get(starts, at - 1), F.get(starts, at + 2)))).otherwise(none)
-            left = F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0)))
-            others = F.concat(left, before, after, F.slice(pairs, at + 2, F.size(pairs)))
-            return F.struct(others.alias("pairs"), F.array_remove(starts, F.get(starts, at)).alias("starts"))
+        def merged(best: Column, at: Column) -> Column:
+            # at is counted from 1, F.get and the places of transform from 0.
+            made, before = F.shiftright(best, PAIR_BITS), F.get(state, at - 2)
+            left = pair(id_of(before), made) + before.bitwiseAND(_number(below))
+            own = pair(made, id_of(F.get(state, at + 1))) + best.bitwiseAND(_number(below - NEVER)) + made
+
+            def changed(entry: Column, i: Column) -> Column:
+                kept = F.when((i < at - 2) | (i > at), entry).when(i == at, _number(GONE))
+                return kept.when(i == at - 1, own).otherwise(left)
+
+            return F.array_remove(F.transform(state, changed), _number(GONE))
 
         def step(best: Column) -> Column:
-            at = F.array_position(starts, (best % PLACES).cast("int")).cast("int")
-            return F.when(best < NEVER * PLACES, bound(at, merged)).otherwise(state)
+            found = bound(F.array_position(state, best).cast("int"), lambda at: merged(best, at))
+            return F.when(best < _number(NEVER << PAIR_BITS), found).otherwise(state)
 
-        return bound(F.array_min(pairs), step)
+        return bound(F.array_min(state), step)
 
-    def ids(state: Column) -> Column:
-        starts = state["starts"]
-        firsts = F.slice(starts, F.lit(1), F.size(starts) - 1)
-        return F.transform(firsts, lambda start, i: _rank(maps, piece(start, F.get(starts, i + 1))))
+    def folded(ids: Column) -> Column:
+        def entry(own: Column, i: Column) -> Column:
+            return pair(own, F.get(ids, i + 1)) + F.shiftleft(i.cast("bigint"), ID_BITS) + own
 
-    def folded(whole: Column) -> Column:
-        steps = F.sequence(F.lit(2), count)
-        pairs = F.transform(steps, lambda i: pair(i - 2, i))
-        start = F.struct(pairs.alias("pairs"), F.sequence(F.lit(0), count).alias("starts"))
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.aggregate(steps, start, merge, ids))
+        front = F.array(_number((NEVER << PAIR_BITS) + NOTHING))
+        start, steps = F.concat(front, F.transform(ids, entry)), F.slice(ids, F.lit(2), F.size(ids))
+        return F.aggregate(steps, start, merge, lambda state: F.transform(F.slice(state, F.lit(2), F.size(state)), lambda e: id_of(e).cast("int")))
 
-    return bound(_rank(maps, word), folded)
+    places = F.sequence(F.lit(1), F.length(word))
+    return bound(F.transform(places, lambda i: F.get(letters, F.ascii(F.substr(word, i, F.lit(1))))), folded)
 
 
-def fold_all(ranks: dict[bytes, int], words: Column) -> Column:
-    """Ids of each word of an array of words in hex."""
-    return bound(rank_map(ranks), lambda maps: F.transform(words, lambda w: fold(maps, w)))
+def fold_all(merges: Merges, words: Column) -> Column:
+    """Ids of each word of an array of words, strings with a character for each byte."""
+    lists, letters = rank_map(merges)
+    return bound(lists, lambda a: bound(letters, lambda b: F.transform(words, lambda w: fold(a, b, w))))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -162,6 +213,7 @@ class WordTable:
     def __init__(self, words: pa.Array, ids: pa.Array, packed: np.dtype):
         self.words, self.ids, self.packed = words, ids, packed
         self._quick: dict[str, bytes] | None = None
+        self.pieces: Pieces | None = None
 
     def __getstate__(self):
         return self.words, self.ids, self.packed
@@ -205,21 +257,22 @@ def _whole(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def word_table(docs: DataFrame, ranks: dict[bytes, int]) -> WordTable:
-    """The most frequent distinct words of all texts, at most TABLE_WORDS."""
+def word_table(docs: DataFrame, ranks: dict[bytes, int], merges: Merges, most: int) -> WordTable:
+    """The most frequent distinct words of all texts, ``most`` at most."""
 
     def count(batches):
+        cut = COUNTED.findall
         seen: Counter[str] = Counter()  # pieces between blanks; only different ones are cut into words
 
         def rows():
-            counts: Counter[str] = Counter()
+            counts: dict[str, int] = {}
+            get = counts.get
             for piece, n in seen.items():
-                for w in COUNTED.findall(" " + piece):
-                    counts[w] += n
-            kept = [(w, n) for w, n in counts.items() if len(w.encode("utf-8", "surrogatepass")) <= TABLE_BYTES]
-            return pa.RecordBatch.from_pydict(
-                {"word": pa.array([w for w, _ in kept], pa.string()), "n": pa.array([n for _, n in kept], pa.int64())}
-            )
+                for w in cut(" " + piece):
+                    counts[w] = get(w, 0) + n
+            words = pa.array(counts.keys(), pa.string())
+            every = pa.RecordBatch.from_arrays([words, pa.array(counts.values(), pa.int64())], ["word", "n"])
+            return every.filter(pc.less_equal(pc.binary_length(words), TABLE_BYTES))
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -233,29 +286,41 @@ def word_table(docs: DataFrame, ranks: dict[bytes, int]) -> WordTable:
     counted = docs.select("text").mapInArrow(count, "word string, n bigint")
     level = F.floor(F.log2(F.sum("n")) * 8).cast("int")
     words = stored(counted.groupBy("word").agg(level.alias("level")), "words")
-    room, least = TABLE_WORDS, None
+    room, least = most, None
     for row in words.groupBy("level").count().orderBy(F.desc("level")).collect():  # a few hundred levels at most
         room -= row["count"]
         if room < 0:
             break
         least = row["level"]
     chosen = words.filter(F.lit(False) if least is None else F.col("level") >= least)
-    hexes = F.transform(F.array(F.hex(F.col("word").cast("binary"))), F.lower)
+    spelt = F.array(F.decode(F.col("word").cast("binary"), "ISO-8859-1"))
     small = "smallint" if _id_type(ranks) == np.uint16 else "int"
-    ids = F.get(fold_all(ranks, hexes), F.lit(0))
+    ids = F.get(fold_all(merges, spelt), F.lit(0))
     if small == "smallint":  # the bits of an unsigned number of two bytes
         ids = F.transform(ids, lambda i: F.when(i > 32767, i - 65536).otherwise(i).cast(small))
     found = chosen.select("word", ids.alias("ids"), "level").toArrow().sort_by([("level", "descending")])
+    if merges.whole:  # known as they are, whatever the fold makes of them
+        found = found.filter(pc.invert(pc.is_in(pc.cast(found.column("word"), pa.binary()), pa.array(merges.whole, pa.binary()))))
     return WordTable(_whole(found.column("word")), _whole(found.column("ids")), _id_type(ranks))
 
 
-def _outputs(ids: np.ndarray, tokens: Sequence[bytes], written: Sequence[str], names: Sequence[str]) -> list:
-    numbers = ids.tolist()
-    made: dict[str, Callable[[], object]] = {
-        "n_tokens": lambda: len(numbers),
-        "ids": lambda: numbers,
-        "ids_sha256": lambda: hashlib.sha256(" ".join([written[i] for i in numbers]).encode()).hexdigest(),
-        "decoded_sha256": lambda: hashlib.sha256(decode_ids(numbers, tokens)).hexdigest(),
+def _joined(ids: np.ndarray, ends: np.ndarray, written: pa.Array, between: bytes) -> list[bytes]:
+    """For each text, what is written for its ids, joined."""
+    texts = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), written.take(pa.array(ids)))
+    return pc.binary_join(texts, pa.scalar(between, pa.large_binary())).to_pylist()
+
+
+def _outputs(ids: np.ndarray, ends: np.ndarray, tokens: pa.Array, digits: pa.Array, names: Sequence[str]) -> list[pa.Array]:
+    """The wanted columns of a batch; the ids of a text lie from one of ``ends`` to the next."""
+
+    def hashes(written: pa.Array, between: bytes) -> pa.Array:
+        return pa.array([hashlib.sha256(text).hexdigest() for text in _joined(ids, ends, written, between)], pa.string())
+
+    made: dict[str, Callable[[], pa.Array]] = {
+        "n_tokens": lambda: pa.array(np.diff(ends), pa.int64()),
+        "ids": lambda: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))),
+        "ids_sha256": lambda: hashes(digits, b" "),
+        "decoded_sha256": lambda: hashes(tokens, b""),
     }
     return [made[name]() for name in names]
 
@@ -268,8 +333,126 @@ TYPES = {
 }
 
 
-def decode_ids(ids: Sequence[int], tokens: Sequence[bytes]) -> bytes:
-    return b"".join([tokens[i] for i in ids])
+def _put_in(known: pa.Array, folded: pa.Array, packed: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the texts of a batch one behind the other, with folded words in their places, and where each text ends."""
+    buffer = b"".join(known.to_pylist())
+    ids = np.frombuffer(buffer, dtype=packed)
+    ends = np.cumsum([0, *(pc.binary_length(known).to_numpy(zero_copy_only=False) // packed.itemsize)], dtype=np.int64)
+    words = folded.flatten()
+    if not len(words):
+        return ids, ends
+    waits = ids == np.iinfo(packed).max
+    lengths = np.ones(len(ids), dtype=np.int64)
+    lengths[waits] = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    places = np.concatenate([[0], np.cumsum(lengths)])
+    whole = np.repeat(ids, lengths)
+    whole[np.repeat(waits, lengths)] = words.flatten().to_numpy(zero_copy_only=False).astype(packed)
+    return whole, places[ends]
+
+
+def _grouped(ends: np.ndarray, groups: np.ndarray) -> pa.Buffer:
+    """Ends of groups of values, given the ends of the values and where groups begin, the end of the last one behind."""
+    return pa.py_buffer(ends[groups].astype(np.int32))
+
+
+def _ends(lengths: pa.Array) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths.to_numpy(zero_copy_only=False), dtype=np.int64)])
+
+
+class Pieces:
+    """Ids of texts by their different pieces.
+
+    Where the pattern allows it texts are cut at blanks, which is quick, and only
+    the different pieces of a batch are cut into words. Else a piece is a word.
+    """
+
+    def __init__(self, pattern: str, table: WordTable, ranks: dict[bytes, int], whole: dict[bytes, int]):
+        self.table, self.ranks, self.whole = table, ranks, whole
+        self.words = regex.compile(pattern).findall
+        self.mark = table.packed.type(np.iinfo(table.packed).max).tobytes()
+        self.at_blanks = pattern == CUT_AT_BLANKS
+        self.blank = regex.compile(r" (?=\S)")
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Pieces of each text, without the blank in front, and the places of the texts in this list."""
+        if not self.at_blanks:
+            return pa.array(map(self.words, texts.to_pylist()), pa.list_(pa.string())), np.arange(len(texts))
+        odd = pc.match_substring_regex(texts, ODD_BLANK)
+        plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        others = pa.array(map(self.blank.split, texts.filter(odd).to_pylist()), pa.list_(pa.string()))
+        order = np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")
+        return pa.concat_arrays([plain, others]), np.argsort(order)
+
+    def _split(self, pieces: list[str], firsts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Words of pieces behind a blank and of those that begin a text; where the words of each begin."""
+        if not self.at_blanks:
+            return pieces, np.arange(len(pieces) + 1)
+        # A piece with blanks of its own, or found at the beginning of a text only, must not touch its neighbours.
+        alone = [i for i, p in enumerate(pieces) if not p or p[0].isspace() or " " in p]
+        joined = pieces
+        if alone:
+            joined = pieces.copy()
+            for i in alone:
+                joined[i] = "x"
+        words = self.words(" " + " ".join(joined)) if pieces else []
+        begins = [i for i, w in enumerate(words) if w[0] == " "]
+        for text in [*(" " + pieces[i] for i in alone), *firsts]:
+            begins.append(len(words))
+            words += self.words(text)
+        for i, place in enumerate(alone):  # their words stand behind those of the others
+            pieces[place] = len(joined) + i
+        return words, np.array([*begins, len(words)], dtype=np.int64)
+
+    def _unknown(self, word: str, rest: list[str]) -> bytes:
+        """Ids of a word outside the table, or the mark of one that waits in ``rest`` for the fold."""
+        packed, raw = self.table.packed, word.encode("utf-8", "surrogatepass")
+        if raw in self.whole:
+            return packed.type(self.whole[raw]).tobytes()
+        if len(raw) > FOLD_BYTES:
+            return np.array(merge_long(raw, self.ranks), dtype=packed).tobytes()
+        rest.append(raw.decode("iso-8859-1"))
+        return self.mark
+
+    def _found(self, words: list[str]) -> tuple[pa.Array, list[str], np.ndarray]:
+        """Packed ids of words; the words that wait for the fold, and how many of these stand before each word."""
+        parts = list(map(self.table.quick().get, words))
+        lacking = [i for i, part in enumerate(parts) if part is None]
+        others = list(dict.fromkeys([words[i] for i in lacking]))
+        others = dict(zip(others, self.table.find(others), strict=True))
+        rest: list[str] = []
+        waits = np.zeros(len(words) + 1, dtype=np.int64)
+        for i in lacking:
+            part = others[words[i]]
+            if part is None:
+                before = len(rest)
+                part = self._unknown(words[i], rest)
+                waits[i + 1] = len(rest) - before
+            parts[i] = part
+        return pa.array(parts, pa.binary()), rest, np.cumsum(waits)
+
+    def look_up(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Packed ids of each text, and its words that wait for the fold, in order."""
+        cut, order = self._cut(pc.fill_null(texts.cast(pa.string()), ""))
+        starts, flat = _ends(pc.list_value_length(cut)), cut.flatten().dictionary_encode()
+        pieces, places = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
+        firsts: list[str] = []
+        if self.at_blanks:
+            firsts = flat.take(pa.array(starts[:-1])).to_pylist()
+        words, begins = self._split(pieces, firsts)
+        if self.at_blanks:
+            moved = np.array([p if isinstance(p, int) else i for i, p in enumerate(pieces)], dtype=np.int64)
+            places = moved[places]
+            places[starts[:-1]] = np.arange(len(firsts)) + (len(begins) - 1 - len(firsts))
+        ids, rest, waits = self._found(words)
+        n = len(begins) - 1
+        data = ids.buffers()[2] or pa.py_buffer(b"")
+        blobs = pa.Array.from_buffers(pa.binary(), n, [None, _grouped(_ends(pc.binary_length(ids)), begins), data])
+        rests = pa.ListArray.from_arrays(pa.array(waits[begins], pa.int32()), pa.array(rest, pa.string()))
+        picked, waiting = blobs.take(pa.array(places)), rests.take(pa.array(places))
+        data, rows = picked.buffers()[2] or pa.py_buffer(b""), len(cut)
+        known = pa.Array.from_buffers(pa.binary(), rows, [None, _grouped(_ends(pc.binary_length(picked)), starts), data])
+        lists = pa.ListArray.from_arrays(pa.array(_ends(pc.list_value_length(waiting))[starts], pa.int32()), waiting.flatten())
+        return known.take(pa.array(order)), lists.take(pa.array(order))
 
 
 def encode(
@@ -279,12 +462,15 @@ def encode(
     outputs: Sequence[str] = ("n_tokens", "ids"),
     keep: Sequence[str] | None = None,
     apart: bool = False,
+    table_words: int | None = None,
 ) -> DataFrame:
     """Documents with the wanted outputs: n_tokens, ids, ids_sha256 and decoded_sha256.
 
     ``keep`` names the columns to carry along, all unless given. ``apart`` writes
     the packed ids to the shared folder halfway: it takes about the room of the
     texts, and a task then has one Python worker at a time instead of two.
+    ``table_words`` is the size of the table of words, TABLE_WORDS unless given;
+    a smaller one takes less memory and more time, for the same rows.
 
     Only ``text`` is read, whole at any length; null counts as empty and has no
     id. Every single byte must have a rank. Equal texts get equal ids. An empty
@@ -293,70 +479,41 @@ def encode(
     bounded_batches(docs.sparkSession)
     docs = without(docs, outputs)
     context = docs.sparkSession.sparkContext
-    table = context.broadcast(word_table(docs, ranks))
+    merges = read_merges(ranks)
+    table = context.broadcast(word_table(docs, ranks, merges, TABLE_WORDS if table_words is None else table_words))
+    pa.default_memory_pool().release_unused()  # the driver needs its copy of the table no more
     shipped = context.broadcast(ranks)
     names = docs.columns if keep is None else [n for n in docs.columns if n in keep]
     kept = docs.select(*names).schema
     looked_up = pa.schema([pa.field("_known", pa.binary()), pa.field("_rest", pa.list_(pa.string()))])
-    packed = _id_type(ranks)
-    mark = np.iinfo(packed).max
-    waiting = packed.type(mark).tobytes()
+    packed, whole = _id_type(ranks), merges.whole
 
     def look_up(batches):
-        find, own, all_ranks = regex.compile(pattern).findall, table.value, shipped.value
-        quick = own.quick().get
+        own = table.value
+        if own.pieces is None:
+            own.pieces = Pieces(pattern, own, shipped.value, whole)
         for batch in batches:
-            blobs, rests = [], []
-            for at in range(0, batch.num_rows, LOOKED_UP):
-                texts = [find(text) if text else () for text in batch.column("text").slice(at, LOOKED_UP).to_pylist()]
-                known = [[quick(w) for w in words] for words in texts]
-                lacking = [[w for w, part in zip(words, parts, strict=True) if part is None] for words, parts in zip(texts, known, strict=True)]
-                others = list(dict.fromkeys(chain.from_iterable(lacking)))
-                others = dict(zip(others, own.find(others), strict=True))
-                for words, parts in zip(texts, known, strict=True):
-                    rest = []
-                    if None in parts:
-                        for i, part in enumerate(parts):
-                            if part is None:
-                                parts[i] = others[words[i]]
-                                if parts[i] is None:
-                                    raw = words[i].encode("utf-8", "surrogatepass")
-                                    if len(raw) > FOLD_BYTES:
-                                        parts[i] = np.array(merge_long(raw, all_ranks), dtype=packed).tobytes()
-                                    else:
-                                        parts[i] = waiting
-                                        rest.append(raw.hex())
-                    blobs.append(b"".join(parts))
-                    rests.append(rest)
-            more = [pa.array(blobs, pa.binary()), pa.array(rests, pa.list_(pa.string()))]
+            more = own.pieces.look_up(batch.column("text"))
             yield appended([batch.column(n) for n in names], names, more, looked_up)
 
     final = pa.schema([pa.field(name, TYPES[name]) for name in outputs])
 
     def put_in(batches):
+        _ = table  # a worker forgets what its next task does not name, and would build the table again
         tokens: list[bytes] = [b""] * (max(shipped.value.values(), default=-1) + 1)
         for token, rank in shipped.value.items():
             tokens[rank] = token
-        written = list(map(str, range(len(tokens))))
+        digits = pa.array([str(i).encode() for i in range(len(tokens))], pa.large_binary())
+        tokens = pa.array(tokens, pa.large_binary())
         for batch in batches:
-            made = []
-            columns = [batch.column(n).to_pylist() for n in ("_known", "_folded")]
-            for blob, folded in zip(*columns, strict=True):
-                ids = np.frombuffer(blob, dtype=packed)
-                if folded:
-                    parts, at = [], 0
-                    for place, own in zip(np.flatnonzero(ids == mark).tolist(), folded, strict=True):
-                        parts += [ids[at:place], np.array(own, dtype=packed)]
-                        at = place + 1
-                    ids = np.concatenate([*parts, ids[at:]])
-                made.append(_outputs(ids, tokens, written, outputs))
-            more = [pa.array([row[i] for row in made], TYPES[name]) for i, name in enumerate(outputs)]
-            yield appended([batch.column(n) for n in names], names, more, final)
+            ids, ends = _put_in(batch.column("_known"), batch.column("_folded"), packed)
+            made = _outputs(ids, ends, tokens, digits, outputs)
+            yield appended([batch.column(n) for n in names], names, made, final)
 
     found = docs.mapInArrow(look_up, extended(kept, looked_up))
     if apart:
         found = stored(found, "looked_up")
-    folded = found.select(*names, "_known", fold_all(ranks, F.col("_rest")).alias("_folded"))
+    folded = found.select(*names, "_known", fold_all(merges, F.col("_rest")).alias("_folded"))
     return folded.mapInArrow(put_in, extended(kept, final))
 
 
