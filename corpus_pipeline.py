@@ -17,6 +17,7 @@ MIN_LANGUAGE_SCORE = 0.5
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
 VOCABULARY = "byte_bpe_50k.tiktoken"
+TABLE_WORDS = 200_000  # the table of words passes through the driver, which holds what the other stages left
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the documents."""
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
     outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
-    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, outputs, keep=["doc_id", "source"], apart=True)
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, outputs, keep=["doc_id", "source"], apart=True, table_words=TABLE_WORDS)
 
 
 STAGES = [
