@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from turnlake.llm import jaccard, sigtree
+from turnlake.llm import common, jaccard, sigtree
 
 
 @pytest.mark.parametrize("percent", [50, 80, 85, 99])
@@ -66,3 +66,15 @@ def test_keep_one_moves_only_rows_that_may_go(spark):
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     moved = plan[plan.index("LeftAnti") :]
     assert "_maybe" in moved or "getbit" in moved
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "string"])
+def test_tasks_close_their_edges(spark, monkeypatch, kind):
+    """A long path takes few rounds, as tasks close what they hold first."""
+    rounds, stored = [], common._stored_with_mark
+    monkeypatch.setattr(common, "_stored_with_mark", lambda *a: rounds.append(1) or stored(*a))
+    edges = spark.range(1000, 1400).selectExpr(f"CAST(id AS {kind}) AS u", f"CAST(id + 1 AS {kind}) AS v").coalesce(1)
+    got = common.components(edges)
+    assert [f.dataType.simpleString() for f in got.schema] == [kind, kind]
+    assert sorted((int(r["node"]), int(r["component"])) for r in got.collect()) == [(i, 1000) for i in range(1000, 1401)]
+    assert len(rounds) == 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from turnlake.session import bounded_batches, fresh_dir
 
+FOREST_EDGES = 1_000_000  # edges a task closes together
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -68,6 +70,37 @@ def _stored_with_mark(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
     return written, tuple(mark.get.get(name) for name in ("n", "high", "low"))
 
 
+def _forest(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Edges (u, v) that hang each node on the smallest it reaches over the edges given."""
+    kind = held[0].schema.field("u").type
+    every = [batch.column(name).to_numpy(zero_copy_only=False) for name in ("u", "v") for batch in held]
+    nodes, ends = np.unique(np.concatenate(every), return_inverse=True)
+    a, b = np.split(ends, 2)
+    root = np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    hung = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[hung], kind), pa.array(nodes[root[hung]], kind)], ["u", "v"])
+
+
+def _forests(batches):
+    """Forests of FOREST_EDGES edges at a time."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= FOREST_EDGES:
+            yield _forest(held)
+            held, size = [], 0
+    if size:
+        yield _forest(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (u, v), for every node with a link.
 
@@ -75,10 +108,11 @@ def components(edges: DataFrame) -> DataFrame:
     smallest node they know, so path lengths fall by a power and a few rounds do
     for any shape. A round is two aggregations with map-side combining and two
     equi-joins; a node with very many neighbours is a skewed join key, which AQE
-    splits, never a list. Every round is a table in the shared folder.
+    splits, never a list. Every round is a table in the shared folder. Before the
+    first, tasks close what they hold, so that fewer rounds are needed.
     """
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    edges, seen = _stored_with_mark(edges, "edges")
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
+    edges, seen = _stored_with_mark(stored(edges, "links").mapInArrow(_forests, edges.schema).distinct(), "edges")
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))

@@ -32,10 +32,10 @@ WIDTH = 4
 PERCENT = 85
 WHOLE_GROUP = 8  # sets sharing a piece up to which their bitmaps are compared; more are one block as they are
 CLASS_BITS = 22  # buckets of the table of common tokens
-RUN_TOKENS = 2_000_000  # tokens counted together
+RUN_TOKENS = 1_000_000  # tokens counted together
 RUN_COUNT, COMMON = 3, 16  # a token is counted from so many in a run, and common from so many in all
 PARTS = 1024  # parts the pieces are dealt to by hash
-PIECES = 500_000  # pieces a task packs together
+PIECES = 100_000  # pieces a task packs together
 NODE_BITS = 48  # of a set's key that stand for it while blocks are searched
 CELL_TOKENS = 2_000_000  # tokens a cell of a block may hold
 FILTER_BITS = 23  # bits of the filter in front of joins that move texts
